@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quillspark.llm import simhash
+from quillspark.llm import simhash, token_output
 
 
 def queries() -> dict:
-    return {"op9_simhash": simhash.op9_simhash}
+    return {"op9_simhash": simhash.op9_simhash, "op10_token_output": token_output.op10_token_output}
 
 
 def oracle_sql() -> dict[str, str]:
