@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from quillspark.llm import simhash, token_output
+from quillspark.llm import simhash, substring_dedup, token_output
 
 
 def queries() -> dict:
-    return {"op9_simhash": simhash.op9_simhash, "op10_token_output": token_output.op10_token_output}
+    return {"op6_substring_dedup": substring_dedup.op6_substring_dedup, "op9_simhash": simhash.op9_simhash, "op10_token_output": token_output.op10_token_output}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_substring_dedup": substring_dedup.ORACLE}
