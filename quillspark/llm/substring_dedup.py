@@ -59,7 +59,7 @@ class Group:
         # windows that are the first of their kind in this group
         order = np.argsort(self.hash, kind="stable")
         h = self.hash[order]
-        same = np.concatenate([[False], h[1:] == h[:-1]])
+        same = np.concatenate([[False], h[1:] == h[:-1]])[: len(h)]
         self.again = np.zeros(len(h), bool)
         self.again[order[same]] = True
 
@@ -71,7 +71,7 @@ class Group:
 
 def _pack(ids: np.ndarray, starts: np.ndarray, hashes: np.ndarray | None) -> bytes:
     """Entries sorted by (id, start)."""
-    edge = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    edge = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])[: len(ids)])
     own = ids[edge]
     counts = np.diff(np.concatenate([edge, [len(ids)]]))
     step = np.diff(own.view(np.uint64), prepend=own[:1].view(np.uint64))
