@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from quillspark.llm import simhash, substring_dedup, token_output
+from quillspark.llm import chat, mixing, simhash, substring_dedup, token_output
 
 
 def queries() -> dict:
-    return {"op6_substring_dedup": substring_dedup.op6_substring_dedup, "op9_simhash": simhash.op9_simhash, "op10_token_output": token_output.op10_token_output}
+    return {
+        "op4_chat_format": chat.op4_chat_format,
+        "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+        "op7_mixing": mixing.op7_mixing,
+        "op9_simhash": simhash.op9_simhash,
+        "op10_token_output": token_output.op10_token_output,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring_dedup": substring_dedup.ORACLE}
+    return {"op4_chat_format": chat.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE, "op7_mixing": mixing.ORACLE}
