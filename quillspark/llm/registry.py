@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillspark.llm import chat, mixing, simhash, substring_dedup, token_output
+from quillspark.llm import ann, chat, mixing, simhash, substring_dedup, token_output
 
 
 def queries() -> dict:
     return {
+        "op1_ann": ann.op1_ann,
         "op4_chat_format": chat.op4_chat_format,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_mixing": mixing.op7_mixing,
@@ -16,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": chat.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE, "op7_mixing": mixing.ORACLE}
+    return {"op1_ann": ann.ORACLE, "op4_chat_format": chat.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE, "op7_mixing": mixing.ORACLE}
