@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillspark.llm import ann, chat, mixing, simhash, substring_dedup, token_output
+from quillspark.llm import ann, chat, mixing, simhash, substring_dedup, token_output, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_ann": ann.op1_ann,
+        "op2_url_filter": url_filter.op2_url_filter,
         "op4_chat_format": chat.op4_chat_format,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_mixing": mixing.op7_mixing,
