@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import ann, chat, mixing, simhash, substring_dedup, token_output, url_filter
+from quillspark.llm import ann, chat, decontaminate, mixing, simhash, substring_dedup, token_output, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_chat_format": chat.op4_chat_format,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_mixing": mixing.op7_mixing,
+        "op8_decontamination": decontaminate.op8_decontamination,
         "op9_simhash": simhash.op9_simhash,
         "op10_token_output": token_output.op10_token_output,
     }
