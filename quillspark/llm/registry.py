@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import ann, chat, decontaminate, mixing, simhash, substring_dedup, token_output, url_filter
+from quillspark.llm import ann, chat, decontaminate, mixing, simhash, substring_dedup, token_output, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_ann": ann.op1_ann,
         "op2_url_filter": url_filter.op2_url_filter,
         "op4_chat_format": chat.op4_chat_format,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_mixing": mixing.op7_mixing,
         "op8_decontamination": decontaminate.op8_decontamination,
