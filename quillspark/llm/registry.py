@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillspark.llm import ann, chat, decontaminate, mixing, simhash, substring_dedup, token_output, toxicity, url_filter
+from quillspark.llm import ann, chat, decontaminate, mixing, quality, simhash, substring_dedup, token_output, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_ann": ann.op1_ann,
         "op2_url_filter": url_filter.op2_url_filter,
+        "op3_quality": quality.op3_quality,
         "op4_chat_format": chat.op4_chat_format,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
