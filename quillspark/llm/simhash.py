@@ -24,7 +24,7 @@ from quillspark.llm import common
 SHORT_LIST = 16
 
 
-def fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def fingerprints(batches: Iterator[pa.RecordBatch], words: int, carried: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
     lower = np.arange(256, dtype=np.uint8)
     lower[65:91] += 32
     digest = xxhash.xxh64_intdigest
@@ -52,7 +52,7 @@ def fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.R
             bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             ones = np.add.reduceat(bits, upto[some], axis=0, dtype=np.int32)
             found[i + some] = np.packbits(2 * ones > full[some, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in carried), pa.array(found.view(np.int64))], ["doc_id", *carried, "fp"])
 
 
 def position_sets() -> list[tuple[int, int, int]]:
@@ -129,18 +129,19 @@ def links(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
         yield of(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
-    """(doc_id, fp, fingerprint, component_id) of every row of docs (doc_id, text).
+def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *carried, fp, fingerprint, component, component_id) of every row of docs (doc_id, text).
 
     Texts are lower-cased in A-Z and cut at ASCII white space; a shorter text is one shingle, an empty or null
     one has fingerprint zero and links like any other. component_id is the smallest doc_id reachable over
     fingerprints that differ in at most ``bits`` bits. Rows with null doc_id keep their row, get their
     fingerprint and the component's smallest doc_id that isn't null (null if none). Repeated rows stay.
-    Equal fingerprints are one node, so copies cost nothing in the index and are never paired.
+    Equal fingerprints are one node, so copies cost nothing in the index and are never paired. component is the component's smallest
+    fingerprint. carried names columns of longs that are passed through.
     """
     if not 0 <= bits <= 4:
         raise ValueError("the index guarantees pairs up to four differing bits")
-    marks = common.checkpointed(docs.select("doc_id", "text").mapInArrow(lambda it: fingerprints(it, words), "doc_id long, fp long"))
+    marks = common.checkpointed(docs.select("doc_id", *carried, "text").mapInArrow(lambda it: fingerprints(it, words, carried), ", ".join(f"{c} long" for c in ("doc_id", *carried, "fp"))))
     nodes = marks.groupBy("fp").agg(F.min("doc_id").alias("component_id"))
     byte = [F.shiftrightunsigned("fp", 8 * k).bitwiseAND(0xFF) for k in range(8)]
     keys = [(byte[a] * 65536 + byte[b] * 256 + byte[c] + k * (1 << 24)) for k, (a, b, c) in enumerate(position_sets())]
@@ -151,8 +152,22 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame
     # the component is named by its smallest fingerprint until the documents' ids are known
     least = nodes.join(reach, nodes.fp == reach.node, "left").select("fp", F.coalesce("component", "fp").alias("component"), "component_id")
     named = least.groupBy("component").agg(F.min("component_id").alias("component_id"))
-    by_fp = least.drop("component_id").join(named, "component").select("fp", "component_id")
-    return marks.join(by_fp, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    by_fp = least.drop("component_id").join(named, "component").select("fp", "component", "component_id")
+    return marks.join(by_fp, "fp").select("doc_id", *carried, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component", "component_id")
+
+
+def deduplicated(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
+    """One row of docs of each component, that of the smallest doc_id (null last; of equal ones by a hash of the text); all columns stay."""
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    marks = near_duplicates(docs.select("doc_id", key.alias("_key"), "text"), words, bits, ("_key",))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("i"), F.col("_key").alias("k"))).alias("first")
+    kept = common.checkpointed(marks.groupBy("component").agg(first, F.count("*").alias("n")).select(F.col("first.i").alias("_id"), F.col("first.k").alias("_k")).distinct())
+    whole = docs.withColumn("_key", key)
+    left = whole.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left_semi")
+    again = marks.groupBy("doc_id", "_key").count().filter("count > 1").join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left_semi")
+    if not again.isEmpty():  # the kept row itself is repeated
+        left = left.dropDuplicates(["doc_id", "_key"])
+    return left.drop("_key")
 
 
 def op9_simhash(spark, sf_dir) -> DataFrame:
