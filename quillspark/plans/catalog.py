@@ -1,26 +1,529 @@
-"""The library's query catalogue: name -> query, name -> SQL for the same rows."""
+"""The library's query catalogue: name -> query, name -> SQL for the same rows.
+
+A query builds its rows through the operators; the SQL says the same plainly. Where SQL cannot say it (parsers, packing,
+greedy reranking, diffs, retries), the tests hold the query against brute force.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions import vector
+from quillspark.functions import metrics as M
+from quillspark.functions import text as T
+from quillspark.operators import chunking, decide, evaluate, providers, retrieval, store, structure, validate
 from quillspark.session import table
+from quillspark.sources import documents as docs_io
+from quillspark.streaming import ingest
 
+_FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
-def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id = 0").select(F.col("embedding").alias("qv"))
-    scored = e.filter("embedding is not null").crossJoin(F.broadcast(q)).select("vec_id", F.round(vector.cosine(F.col("embedding"), F.col("qv")), 6).alias("similarity"))
-    return scored.orderBy(F.desc("similarity"), "vec_id").limit(10)
+
+def _query(oracle: str | None = None):
+    def add(f):
+        _FOUND[f.__name__] = (f, oracle)
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"vector_topk": vector_topk}
+    return {n: f for n, (f, _) in _FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {n: sql for n, (_, sql) in _FOUND.items() if sql}
+
+
+# --- vectors -----------------------------------------------------------------
+
+_COSINE = "round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
+
+
+def _vector_of(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
+    r = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == vec_id).select("embedding").first()
+    return list(r[0]) if r else []
+
+
+@_query(f"SELECT c.vec_id, {_COSINE} AS similarity FROM embeddings c, (SELECT * FROM embeddings WHERE vec_id = 0) q WHERE c.embedding IS NOT NULL ORDER BY similarity DESC, c.vec_id LIMIT 10")
+def vector_topk(spark, sf_dir):
+    return retrieval.vector_topk(table(spark, sf_dir, "embeddings"), _vector_of(spark, sf_dir, 0), 10, "vec_id")
+
+
+@_query(f"SELECT c.vec_id, {_COSINE} AS similarity FROM embeddings c, (SELECT * FROM embeddings WHERE vec_id = 0) q WHERE c.embedding IS NOT NULL AND c.label = 3 ORDER BY similarity DESC, c.vec_id LIMIT 10")
+def vector_topk_filtered(spark, sf_dir):
+    return retrieval.vector_topk(table(spark, sf_dir, "embeddings"), _vector_of(spark, sf_dir, 0), 10, "vec_id", F.col("label") == 3)
+
+
+def _asked(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+_TOPK = f"""
+s AS (SELECT q.vec_id AS query_id, c.vec_id, {_COSINE} AS similarity FROM embeddings q JOIN embeddings c ON q.vec_id % 100 = 0),
+v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s QUALIFY rank <= 30)
+"""
+
+
+@_query(f"WITH {_TOPK} SELECT query_id, vec_id, similarity, rank FROM v WHERE rank <= 10")
+def vector_topk_multi(spark, sf_dir):
+    return retrieval.vector_topk_many(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir), 10)
+
+
+# --- state -------------------------------------------------------------------
+
+
+def _hashed(spark, sf_dir):
+    return table(spark, sf_dir, "documents").withColumn("content_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
+
+
+@_query("SELECT min(doc_id) AS doc_id, sha256(coalesce(text, '')) AS content_hash FROM documents GROUP BY 2")
+def content_hash_dedup(spark, sf_dir):
+    return store.first_wins(_hashed(spark, sf_dir).select("doc_id", "content_hash"), ["content_hash"], "doc_id")
+
+
+@_query("""
+WITH h AS (SELECT doc_id, source, sha256(coalesce(text, '')) AS content_hash FROM documents)
+SELECT min(doc_id) AS doc_id, content_hash FROM h WHERE content_hash NOT IN (SELECT content_hash FROM h WHERE source = 'src0') GROUP BY content_hash""")
+def insert_if_new(spark, sf_dir):
+    h = _hashed(spark, sf_dir).select("doc_id", "source", "content_hash")
+    return store.insert_new(h.drop("source"), h.filter("source = 'src0'"), "content_hash", "doc_id")
+
+
+@_query("SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id, arg_min(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
+def first_seen_wins(spark, sf_dir):
+    return store.first_wins(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts"), ["user_id"], "ts", "event_id").drop("ts")
+
+
+@_query("SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 50")
+def pending_work(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return store.pending(d, table(spark, sf_dir, "labels"), "doc_id", 50, F.col("n_chars").desc_nulls_last(), F.col("doc_id"))
+
+
+@_query("""
+SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id, event_type""")
+def upsert_latest(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value", "ts")
+    return store.latest_wins(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), ["user_id", "event_type"], "ts", "event_id").drop("ts")
+
+
+@_query("""
+SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
+UNION ALL SELECT l_orderkey, l_linenumber, l_quantity * 2 FROM lineitem WHERE l_returnflag = 'R'""")
+def replace_partition(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    new = li.filter("l_returnflag = 'R'").withColumn("l_quantity", F.col("l_quantity") * 2)
+    return store.replace_children(li.drop("l_returnflag"), new.drop("l_returnflag"), "l_orderkey")
+
+
+_LINES = "l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)"
+
+
+def _lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+
+
+@_query(f"WITH {_LINES} SELECT count(DISTINCT doc_id) AS documents, count(*) AS sections, coalesce(round(avg(length(line))), 0) AS avg_chars, coalesce(max(length(line)) % 7, 0)::BIGINT AS max_level FROM l")
+def section_stats(spark, sf_dir):
+    s = _lines(spark, sf_dir).withColumn("chars", F.length("line"))
+    return store.section_stats(s, "doc_id", "chars", "chars").withColumn("max_level", F.col("max_level") % 7)
+
+
+@_query("""
+SELECT lang, count(*) AS chunks, count(*) FILTER (length(text) > 2000) AS split, round(avg(length(text))) AS avg_chars, max(length(text))::BIGINT AS max_chars, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)) AS unembedded
+FROM documents GROUP BY lang""")
+def chunk_stats(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l")).distinct(), F.col("doc_id") == F.col("l"), "left")
+    return store.chunk_stats(d, "lang", "text", F.when(F.length("text") > 2000, 2).otherwise(1), F.col("l").isNull())
+
+
+def _runs(spark, sf_dir):
+    c = F.round(F.col("value") / 100, 3)
+    return table(spark, sf_dir, "events").select("event_id", "event_type", F.when(c >= 0.6, "auto_filed").otherwise("human_review").alias("route"), c.alias("confidence"), (F.col("event_id") % 4).alias("model_calls"))
+
+
+@_query("""
+WITH r AS (SELECT round(value / 100, 3) AS c, event_id % 4 AS k FROM events)
+SELECT count(*) AS runs, count(*) FILTER (c >= 0.6) AS auto_filed, count(*) FILTER (c < 0.6) AS human_review, coalesce(sum(k), 0)::BIGINT AS model_calls, coalesce(round(avg(c), 3), 0) AS avg_confidence FROM r""")
+def decision_stats(spark, sf_dir):
+    return store.decision_stats(_runs(spark, sf_dir))
+
+
+@_query("SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
+def recent_rows(spark, sf_dir):
+    return table(spark, sf_dir, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(20).select("event_id", "user_id", "event_type")
+
+
+@_query(f"""
+WITH {_LINES}, d AS (SELECT doc_id, line, length(line) - length(replace(lower(line), 'the', '')) AS density FROM l WHERE length(line) BETWEEN 30 AND 4000),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY density DESC, line) AS rn FROM d)
+SELECT doc_id, line, density::BIGINT AS density FROM b WHERE rn = 1 ORDER BY density DESC, doc_id, line LIMIT 40""")
+def distinct_on_density(spark, sf_dir):
+    d = _lines(spark, sf_dir).filter(F.length("line").between(30, 4000)).select("doc_id", "line", T.term_density(F.col("line"), "the").cast("long").alias("density"))
+    return store.first_per_group(d, "doc_id", "density", "line", 40)
+
+
+@_query("""
+SELECT c_custkey, count(o_orderkey) AS orders, count(*) FILTER (o_totalprice > 100000) AS large, count(*) FILTER (o_orderstatus = 'F') AS closed
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
+def document_inventory(spark, sf_dir):
+    j = table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    return j.groupBy("c_custkey").agg(F.count("o_orderkey").alias("orders"), F.count_if(F.col("o_totalprice") > 100000).alias("large"), F.count_if(F.col("o_orderstatus") == "F").alias("closed"))
+
+
+@_query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, min(event_id) LIMIT 3")
+def most_common(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("at"))
+    return e.orderBy(F.desc("n"), "at").limit(3).drop("at")
+
+
+@_query("SELECT o_orderstatus, count(*) AS n, min(o_totalprice) AS low, list_sort(list(o_totalprice))[len(list(o_totalprice)) // 2 + 1] AS median, max(o_totalprice) AS high FROM orders GROUP BY o_orderstatus")
+def upper_median(spark, sf_dir):
+    """Exact by rank, not by collecting a group: the value at index n / 2 of the sorted values."""
+    from pyspark.sql.window import Window
+
+    o = table(spark, sf_dir, "orders").select("o_orderstatus", "o_totalprice")
+    counts = o.groupBy("o_orderstatus", "o_totalprice").agg(F.count("*").alias("k"))
+    w = Window.partitionBy("o_orderstatus").orderBy("o_totalprice").rowsBetween(Window.unboundedPreceding, 0)
+    d = counts.withColumn("upto", F.sum("k").over(w)).join(o.groupBy("o_orderstatus").agg(F.count("*").alias("n")), "o_orderstatus")
+    return d.groupBy("o_orderstatus").agg(F.first("n").alias("n"), F.min("o_totalprice").alias("low"), F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("o_totalprice"))).alias("median"), F.max("o_totalprice").alias("high"))
+
+
+# --- text and keyword retrieval ----------------------------------------------
+
+_NOISE_SQL = ", ".join(f"'{w}'" for w in T.NOISE)
+_TERMS_SQL = f"""
+w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9]{{2,}}')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[a-z][a-z0-9]{{2,}}'), 1) AS i FROM benchmark),
+f AS (SELECT item_id, w, min(i) AS i FROM w WHERE w NOT IN ({_NOISE_SQL}) GROUP BY ALL),
+t AS (SELECT item_id, w, i, row_number() OVER (PARTITION BY item_id ORDER BY i) AS k FROM f QUALIFY k <= 40)
+"""
+
+
+@_query(f"WITH {_TERMS_SQL} SELECT b.item_id, coalesce(string_agg(w, ' | ' ORDER BY i), '') AS query FROM benchmark b LEFT JOIN t USING (item_id) GROUP BY b.item_id")
+def or_query_terms(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.or_terms(F.col("text")), " | ").alias("query"))
+
+
+def _keyword(spark, sf_dir, k):
+    chunks = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.or_terms(F.col("text")).alias("terms"))
+    return retrieval.keyword_rank(chunks, asked, k, "doc_id")
+
+
+_KEYWORD = f"""
+{_TERMS_SQL},
+x AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9]{{2,}}')) AS w FROM documents) GROUP BY ALL),
+m AS (SELECT item_id AS query_id, doc_id, sum(n)::BIGINT AS matches FROM x JOIN t USING (w) GROUP BY ALL),
+kw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matches DESC, doc_id) AS rank FROM m QUALIFY rank <= 30)
+"""
+
+
+@_query(f"WITH {_KEYWORD} SELECT query_id, doc_id, matches, rank FROM kw")
+def keyword_rank(spark, sf_dir):
+    return _keyword(spark, sf_dir, 30)
+
+
+# vectors and keywords over the same keys: vec_id stands for the document of that number
+def _both(spark, sf_dir):
+    v = retrieval.vector_topk_many(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir), 30).withColumn("query_id", F.col("query_id").cast("long") / 100).withColumn("query_id", F.col("query_id").cast("long"))
+    k = _keyword(spark, sf_dir, 30).withColumnRenamed("doc_id", "vec_id")
+    return v, k
+
+
+_RANKINGS = f"""
+{_TOPK}, {_KEYWORD},
+both_ AS (SELECT query_id // 100 AS query_id, vec_id, rank, similarity, 0 AS src FROM v UNION ALL SELECT query_id, doc_id, rank, NULL, 1 FROM kw)
+"""
+
+
+@_query(f"WITH {_RANKINGS} SELECT query_id, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused_score FROM both_ GROUP BY ALL")
+def rrf_fusion(spark, sf_dir):
+    v, k = _both(spark, sf_dir)
+    both = v.select("query_id", "vec_id", "rank").unionByName(k.select("query_id", "vec_id", "rank"))
+    return retrieval.reciprocal_rank_fusion(both, "vec_id").withColumn("fused_score", F.round("fused_score", 9))
+
+
+@_query(f"""
+WITH {_RANKINGS},
+g AS (SELECT query_id, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused_score, max(similarity) AS similarity, min((src, rank)) AS first FROM both_ GROUP BY ALL)
+SELECT query_id, vec_id, similarity, fused_score, row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, first) AS rank FROM g QUALIFY rank <= 10""")
+def hybrid_search(spark, sf_dir):
+    return retrieval.retrieve("hybrid", *_both(spark, sf_dir), table(spark, sf_dir, "embeddings"), "vec_id")
+
+
+@_query()
+def mmr_rerank(spark, sf_dir):
+    return retrieval.retrieve("rerank", *_both(spark, sf_dir), table(spark, sf_dir, "embeddings"), "vec_id")
+
+
+# --- evaluation --------------------------------------------------------------
+
+
+def _results(spark, sf_dir):
+    """A case a query vector: its ten nearest; relevant are those of its label with small ids (none for label 0)."""
+    e = table(spark, sf_dir, "embeddings")
+    near = retrieval.vector_topk_many(e, _asked(spark, sf_dir), 10).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "similarity"))).alias("r"))
+    rel = e.filter("vec_id < 200 and label > 0").groupBy("label").agg(F.array_sort(F.collect_list("vec_id")).alias("relevant"))
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label").join(rel, "label", "left")
+    return q.join(near, "query_id").select(F.col("query_id").alias("id"), F.transform("r", lambda x: x["vec_id"]).alias("retrieved"), F.coalesce("relevant", F.array().cast("array<bigint>")).alias("relevant"), F.element_at("r", 1)["similarity"].alias("top_score"))
+
+
+_RESULTS = f"""
+{_TOPK},
+near AS (SELECT query_id, list(vec_id ORDER BY rank) AS retrieved, max(similarity) AS top_score FROM v WHERE rank <= 10 GROUP BY 1),
+rel AS (SELECT label, list(vec_id ORDER BY vec_id) AS relevant FROM embeddings WHERE vec_id < 200 AND label > 0 GROUP BY 1),
+res AS (SELECT e.vec_id AS id, retrieved, coalesce(relevant, []::BIGINT[]) AS relevant, top_score FROM embeddings e LEFT JOIN rel USING (label) JOIN near ON query_id = e.vec_id WHERE e.vec_id % 100 = 0)
+"""
+_METRICS = ", ".join(f"CASE WHEN list_has_any(retrieved[1:{k}], relevant) THEN 1.0::DOUBLE ELSE 0.0 END AS hit_{k}, CASE WHEN len(relevant) > 0 THEN len(list_intersect(retrieved[1:{k}], relevant))::DOUBLE / len(relevant) ELSE 0.0 END AS recall_{k}" for k in evaluate.KS)
+_RR = "coalesce(1.0::DOUBLE / list_min(list_filter(list_transform(relevant, lambda r: list_position(retrieved, r)), lambda p: p > 0)), 0.0)"
+
+
+@_query(f"WITH {_RESULTS} SELECT id, {_METRICS}, {_RR} AS rr FROM res")
+def hit_recall_mrr(spark, sf_dir):
+    return evaluate.case_metrics(_results(spark, sf_dir)).select("id", *[f"{m}_{k}" for k in evaluate.KS for m in ("hit", "recall")], "rr")
+
+
+@_query(f"""
+WITH {_RESULTS}, m AS (SELECT *, len(relevant) > 0 AS a, {_METRICS}, {_RR} AS rr FROM res),
+means AS (SELECT count(*) AS cases, count(*) FILTER (a) AS answerable, count(*) FILTER (NOT a) AS unanswerable,
+{", ".join(f"round(avg({x}_{k}) FILTER (a), 3) AS {x}_{k}" for k in evaluate.KS for x in ("hit", "recall"))},
+round(avg(rr) FILTER (a), 3) AS mrr, round(avg(top_score) FILTER (a), 3) AS top_answerable, round(avg(top_score) FILTER (NOT a), 3) AS top_unanswerable FROM m)
+SELECT *, round(top_answerable - top_unanswerable, 3) AS separation FROM means""")
+def score_summary(spark, sf_dir):
+    return evaluate.summary(_results(spark, sf_dir))
+
+
+@_query(f"WITH {_RESULTS} SELECT id, array_to_string(list_filter(relevant, lambda r: NOT list_contains(retrieved, r)), ',') AS missed FROM res")
+def missed_refs(spark, sf_dir):
+    return _results(spark, sf_dir).select("id", F.array_join(F.transform(M.missed(F.col("retrieved"), F.col("relevant")), lambda x: x.cast("string")), ",").alias("missed"))
+
+
+@_query(f"WITH {_RESULTS} SELECT id, array_to_string(list_filter(relevant, lambda r: NOT list_contains(retrieved, r)), ',') AS failures, list_has_all(retrieved, relevant) AS valid FROM res")
+def citation_check(spark, sf_dir):
+    bad = validate.fabricated(F.col("relevant"), F.col("retrieved"))
+    return _results(spark, sf_dir).select("id", F.array_join(F.transform(bad, lambda x: x.cast("string")), ",").alias("failures"), (F.size(bad) == 0).alias("valid"))
+
+
+@_query("""
+WITH r AS (SELECT round(value / 100, 3) AS c, event_type = 'purchase' AS e FROM events)
+SELECT t AS threshold, count(*) FILTER (c >= t) AS filed, count(*) FILTER (c >= t AND e) AS filed_exact, count(*) FILTER (c < t AND e) AS held_exact
+FROM r, (SELECT unnest([0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]::DOUBLE[]) AS t) GROUP BY t""")
+def threshold_sweep(spark, sf_dir):
+    d = _runs(spark, sf_dir).select("confidence", (F.col("event_type") == "purchase").alias("exact"))
+    return evaluate.threshold_sweep(d, [0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8])
+
+
+@_query("""
+WITH d AS (SELECT CASE WHEN round(value / 100, 3) >= 0.6 THEN 'auto_filed' ELSE 'human_review' END AS route,
+  list_filter([event_id % 3, event_id % 5 + 1], lambda x: x > 0) AS got, list_filter([event_id % 4, event_id % 2 + 1], lambda x: x > 1) AS want FROM events),
+m AS (SELECT route, len(list_intersect(got, want)) AS b, len(list_distinct(got)) AS g, len(list_distinct(want)) AS w, list_sort(list_distinct(got)) = list_sort(list_distinct(want)) AS e FROM d)
+SELECT route, count(*) AS n, round(avg(CASE WHEN g > 0 THEN b::DOUBLE / g WHEN w = 0 THEN 1.0 ELSE 0.0 END), 3) AS precision, round(avg(CASE WHEN w > 0 THEN b::DOUBLE / w ELSE 1.0 END), 3) AS recall, count(*) FILTER (e) AS exact FROM m GROUP BY route""")
+def route_calibration(spark, sf_dir):
+    i = F.col("event_id")
+    got = F.filter(F.array(i % 3, i % 5 + 1), lambda x: x > 0)
+    want = F.filter(F.array(i % 4, i % 2 + 1), lambda x: x > 1)
+    return evaluate.route_calibration(_runs(spark, sf_dir).select("route", got.alias("got"), want.alias("want")))
+
+
+@_query("""
+WITH g AS (SELECT o_custkey, list_sort(list(o_totalprice)) AS v FROM orders GROUP BY o_custkey)
+SELECT o_custkey, v[least(len(v), floor(0.5 * len(v))::INT + 1)] AS p50, v[least(len(v), floor(0.9 * len(v))::INT + 1)] AS p90 FROM g""")
+def floor_percentiles(spark, sf_dir):
+    g = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list("o_totalprice").alias("v"))
+    return g.select("o_custkey", evaluate.floor_percentile(F.col("v"), 0.5).alias("p50"), evaluate.floor_percentile(F.col("v"), 0.9).alias("p90"))
+
+
+# --- decisions ---------------------------------------------------------------
+
+_LOW = decide.Thresholds(retrieval=0.3)
+
+
+def _tops(spark, sf_dir):
+    near = retrieval.vector_topk_many(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir), 9).filter("vec_id <> query_id")
+    return near.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "similarity"))), lambda x: x["similarity"]).alias("s"))
+
+
+_TOPS = f"""{_TOPK}, t0 AS (SELECT query_id, list(similarity ORDER BY rank) AS s FROM v WHERE rank <= 9 AND vec_id <> query_id GROUP BY 1), tops AS (SELECT query_id, s[1] AS top, s[1] - coalesce(s[2], 0) AS margin, len(s) AS n FROM t0)"""
+
+
+@_query(f"WITH {_TOPS} SELECT query_id, round(top, 6) AS top_score, round(margin, 6) AS margin, CASE WHEN top < 0.3 THEN 'no candidate above the threshold' END AS reason FROM tops")
+def retrieval_gate(spark, sf_dir):
+    top, margin = decide.top_and_margin(F.col("s"))
+    return _tops(spark, sf_dir).select("query_id", F.round(top, 6).alias("top_score"), F.round(margin, 6).alias("margin"), decide.gate(top, F.size("s"), _LOW).alias("reason"))
+
+
+@_query(f"""
+WITH {_TOPS}, c AS (SELECT query_id, round(least(greatest(0.0, least(1.0, (top - 0.3) / 0.18)), greatest(0.0, least(1.0, margin / 0.05)), CASE WHEN query_id % 500 = 0 THEN 0.4 ELSE 1.0 END), 3)::DOUBLE AS confidence FROM tops)
+SELECT query_id, confidence, CASE WHEN confidence >= 0.6 THEN 'auto_filed' ELSE 'human_review' END AS route FROM c""")
+def confidence_route(spark, sf_dir):
+    top, margin = decide.top_and_margin(F.col("s"))
+    c = decide.confidence(top, margin, F.lit(0), F.when(F.col("query_id") % 500 == 0, 1).otherwise(0), F.lit(""), _LOW)
+    return _tops(spark, sf_dir).select("query_id", c.alias("confidence"), decide.route(c, _LOW).alias("route"))
+
+
+@_query()
+def agent_pipeline(spark, sf_dir):
+    """Retrieve, gate, judge offline, derive, route: everything but the gate's survivors stays outside Python."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("source").alias("context"), F.substring("text", 1, 200).alias("body"))
+    near = retrieval.vector_topk_many(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir), 9).filter("vec_id <> query_id").join(d, "vec_id", "left")
+    one = F.struct("rank", F.col("vec_id").cast("string").alias("ref"), "context", "body", "similarity")
+    items = near.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("r"))
+    candidates = F.transform("r", lambda x: F.struct(x["ref"].alias("ref"), x["context"].alias("context"), x["body"].alias("body"), x["similarity"].alias("similarity")))
+    return decide.decided(items.select(F.col("query_id").alias("item"), F.col("query_id").cast("string").alias("query"), candidates.alias("candidates")), t=_LOW)
+
+
+# --- validation --------------------------------------------------------------
+
+
+@_query(r"""
+WITH f AS (SELECT item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS q FROM benchmark),
+s AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents)
+SELECT item_id, doc_id FROM f JOIN s ON contains(t, q) WHERE q <> ''""")
+def grounding_check(spark, sf_dir):
+    return validate.grounding(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id")
+
+
+@_query(r"""
+WITH c AS (SELECT conv_id, turn, trim(coalesce(text, ''), e' \t\n\r') AS t FROM conversations),
+w AS (SELECT *, len(list_filter(string_split_regex(t, '\s+'), lambda x: x <> '')) AS n FROM c)
+SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN length(t) < 25 THEN 'quote_short' END, CASE WHEN t = '' THEN 'action_blank' END, CASE WHEN n > 15 THEN 'action_long' END, CASE WHEN length(t) < 30 THEN 'reasoning_short' END], lambda x: x IS NOT NULL), ',') AS violations FROM w""")
+def field_rule_violations(spark, sf_dir):
+    t = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(validate.obligation_violations(t, t, t), ",").alias("violations"))
+
+
+_ERRORS = ("ServerError 503 high demand", "ResourceExhausted quota, retry in 12.5 s", "ValueError bad input", "ClientError code: 429 retryDelay: '7s'", "NotFound use models/new-one instead")
+
+
+@_query("""
+WITH m AS (SELECT event_id, ['ServerError 503 high demand', 'ResourceExhausted quota, retry in 12.5 s', 'ValueError bad input', 'ClientError code: 429 retryDelay: ''7s''', 'NotFound use models/new-one instead'][event_id % 5 + 1] AS e FROM events)
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'transient' WHEN 2 THEN 'permanent' WHEN 4 THEN 'permanent' ELSE 'rate_limit' END AS kind, CASE event_id % 5 WHEN 1 THEN 12.5::DOUBLE WHEN 3 THEN 7.0 END AS wait, CASE WHEN event_id % 5 = 4 THEN 'new-one' END AS replacement FROM m""")
+def failure_classifier(spark, sf_dir):
+    e = F.element_at(F.array(*[F.lit(x) for x in _ERRORS]), (F.col("event_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", validate.failure_kind(e).alias("kind"), validate.retry_after(e).alias("wait"), validate.replacement_model(e).alias("replacement"))
+
+
+@_query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, try_cast(json_extract_string(props, '$.k') AS BIGINT) IS NOT NULL AS valid FROM events")
+def json_props_gate(spark, sf_dir):
+    parsed, valid = validate.schema_gate(F.col("props"), "k bigint", ["k"])
+    return table(spark, sf_dir, "events").select("event_id", parsed["k"].alias("k"), valid.alias("valid"))
+
+
+@_query("""
+SELECT o_orderkey, (2000 - year(o_orderdate)) * 12 + 6 - month(o_orderdate) > 24 AS stale FROM orders""")
+def stale_months(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.months_stale(F.col("o_orderdate"), F.to_date(F.lit("2000-06-15"))).alias("stale"))
+
+
+_PROSE = ("retained for not less than six (6) years", "within thirty days, or at least a period of 2 business days", "no later than umpteen hours", "for twenty-four months; minimum of one hour", "nothing stated")
+
+
+@_query("SELECT * FROM (VALUES (0, 2190.0::DOUBLE), (1, 32.8), (2, 0.0), (3, 1.0 / 24), (4, 0.0)) AS t(id, days)")
+def duration_days(spark, sf_dir):
+    rows = spark.createDataFrame(list(enumerate(_PROSE)), "id int, text string")
+    return rows.select("id", F.aggregate(T.durations(F.col("text")), F.lit(0.0), lambda s, d: s + d["days"]).alias("days"))
+
+
+_HEADINGS = (("3.2.1 Scope", "3.2.1"), ("3. Information", "3"), ("II.A Background", "II.A"), ("(iv) further", "iv"), ("Article 12a Duties", "12a"), ("2026 Annual Report", None), ("List of Subjects", None), ("§ 310.8 Fees", "310.8"), ("310-TELEMARKETING", None), ("", None))
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if r is None else repr(r)})" for i, (_, r) in enumerate(_HEADINGS)) + ") AS t(id, ref)")
+def heading_refs(spark, sf_dir):
+    rows = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(_HEADINGS)], "id int, heading string")
+    return rows.select("id", T.heading_reference(F.col("heading")).alias("ref"))
+
+
+# --- sets, sources -----------------------------------------------------------
+
+
+@_query("SELECT origin, count(*) AS n FROM (SELECT 'documents' AS origin FROM documents UNION ALL SELECT 'benchmark' FROM benchmark) GROUP BY origin")
+def provenance_union(spark, sf_dir):
+    d, b = (table(spark, sf_dir, t).select(F.col(k).alias("id"), "text") for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    return docs_io.merged(d, b, ("documents", "benchmark")).groupBy("origin").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT event_id::VARCHAR AS id, event_type AS query, '' AS note, event_id % 2 = 0 AS verified FROM events WHERE event_id % 3 > 0")
+def metadata_skip(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    row = F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("query"), F.array(F.lit("r")).alias("relevant"), F.when(F.col("event_id") % 2 == 0, True).alias("verified")))
+    meta = F.to_json(F.struct(F.col("event_id").alias("_row"), F.lit("about the file").alias("_note")))
+    return docs_io.cases(e.select(F.when(F.col("event_id") % 3 > 0, row).otherwise(meta).alias("value"))).drop("relevant")
+
+
+@_query("""
+SELECT 'P' || page_id AS external_id, CASE WHEN page_id % 4 = 0 THEN '(untitled)' ELSE url END AS title, sha256('web|P' || page_id || '|' || CASE WHEN page_id % 4 = 0 THEN '(untitled)' ELSE url END) AS content_hash,
+CASE WHEN page_id % 2 = 0 THEN DATE '2026-09-02' END AS published_on FROM pages WHERE page_id % 5 > 0""")
+def payload_documents(spark, sf_dir):
+    p, i = table(spark, sf_dir, "pages"), F.col("page_id")
+    item = F.to_json(F.struct(F.when(i % 5 > 0, F.concat(F.lit("P"), i)).alias("document_number"), F.when(i % 4 == 0, "").otherwise(F.col("url")).alias("title"), F.when(i % 2 == 0, "2026-9-2").otherwise("soon").alias("publication_date")))
+    raw = p.select((i % 3).alias("term_ix"), i.alias("pos"), item.alias("value"))
+    return docs_io.fetched(raw.unionByName(raw.withColumn("term_ix", F.lit(7).cast("long"))), "web").select("external_id", "title", "content_hash", "published_on")
+
+
+# --- structure ---------------------------------------------------------------
+
+
+@_query()
+def html_sections(spark, sf_dir):
+    return structure.sections(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@_query("""
+WITH s AS (SELECT doc_id, i - 1 AS ordinal, (length(string_split(text, chr(10))[i]) * 7 + i) % 5 AS level FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))
+SELECT a.doc_id, a.ordinal::BIGINT AS ordinal, a.level::BIGINT AS level, (SELECT max(b.ordinal) FROM s b WHERE b.doc_id = a.doc_id AND b.ordinal < a.ordinal AND b.level < a.level)::BIGINT AS parent_ordinal FROM s a""")
+def section_parents(spark, sf_dir):
+    s = _lines(spark, sf_dir).select("doc_id", F.col("line_no").alias("ordinal"), ((F.length("line") * 7 + F.col("line_no") + 1) % 5).alias("level"))
+    return structure.with_parents(s, "doc_id", levels=5).select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("ordinal", "level", "parent_ordinal")])
+
+
+@_query(r"SELECT lower(tag) AS tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<([A-Za-z][A-Za-z0-9]*)', 1)) AS tag FROM pages) GROUP BY 1")
+def tag_frequency(spark, sf_dir):
+    return structure.tag_frequency(table(spark, sf_dir, "pages"), "html")
+
+
+@_query()
+def chunk_documents(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return chunking.chunks(d, context="source").select("doc_id", "part", "of_parts", "text")
+
+
+@_query("SELECT doc_id, length(text) > 2000 AS may_split FROM documents WHERE length(trim(text, e' \\t\\n\\r')) > 0")
+def chunk_sizes(spark, sf_dir):
+    """Documents that have chunks; those of at most 2000 characters are one."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"), "text")
+    c = chunking.chunks(d).groupBy("doc_id", "n").agg(F.max("of_parts").alias("parts"))
+    return c.filter("n > 2000 or parts = 1").select("doc_id", (F.col("n") > 2000).alias("may_split"))
+
+
+@_query()
+def word_diff(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    diff = F.pandas_udf(lambda a, b: a.combine(b, providers.word_diff), "string")
+    d = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", before.alias("_before"))
+    return d.select("conv_id", "turn", diff(F.coalesce("_before", F.lit("")), F.coalesce("text", F.lit(""))).alias("diff"))
+
+
+@_query()
+def embed_documents(spark, sf_dir):
+    return providers.embedded(table(spark, sf_dir, "benchmark").select("item_id", "text"), "text").drop("text")
+
+
+# --- streaming ---------------------------------------------------------------
+
+
+@_query("SELECT user_id, event_type FROM events GROUP BY ALL")
+def stream_dedup(spark, sf_dir):
+    """Arrivals in a file stream, inserted if new; the store then holds each key once."""
+    base = f"{(spark.sparkContext.getConf().get('spark.checkpoint.dir') or '/tmp/checkpoints').rstrip('/')}/quillspark/stream-{uuid.uuid4().hex}"
+    path = f"{sf_dir}/events.parquet"
+    # a pattern, as the table may be one file or a folder
+    e = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + "[t]")
+    rows = e.select("user_id", "event_type", "event_id", F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("key"))
+    ingest.ingest_new(spark, rows, f"{base}/store", f"{base}/checkpoint", "key", "event_id")
+    return spark.read.parquet(f"{base}/store").select("user_id", "event_type")
