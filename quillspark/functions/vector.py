@@ -25,5 +25,5 @@ def cosine(a: Column, b: Column) -> Column:
 
 def as_vector(text: Column) -> Column:
     """``"[0.1,-2]"`` to ``array<double>``; null and blank text give an empty array."""
-    parts = F.filter(F.transform(F.split(F.regexp_replace(text, r"[\[\]]", ""), ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.regexp_replace(text, r"[\[\]]", ""), ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.coalesce(F.transform(parts, lambda x: x.cast("double")), F.array().cast("array<double>"))
