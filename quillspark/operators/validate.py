@@ -47,7 +47,8 @@ def grounding(quotes: DataFrame, sources: DataFrame, quote_id: str, source_id: s
     """(quote_id, source_id) of every quote that stands in a source, for all quotes against all sources.
 
     A containment join through a shared gram: a quote's first ``gram`` whole words must stand in the source in this
-    order, so only sources with them are compared in full. Quotes of fewer words are joined on what they have.
+    order, so only sources with them are compared in full. Quotes of fewer words are joined on what they have, and those of
+    one or two are looked for in blocks.
     """
     cut = lambda c: F.filter(F.split(T.grounding_form(c), " "), lambda w: w != "")
     q = quotes.select(quote_id, T.grounding_form(F.col("text")).alias("_q"), cut(F.col("text")).alias("_w")).filter("_q <> ''")
@@ -60,15 +61,27 @@ def grounding(quotes: DataFrame, sources: DataFrame, quote_id: str, source_id: s
     for n in sorted(sizes):
         own = q.filter(F.col("_n") == n).select(quote_id, "_q", "_key")
         if n == 0:
-            part = s.join(F.broadcast(own), F.contains("_s", "_q"))
-        else:
-            grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("_w", i, n), " ")))
-            part = s.select(source_id, "_s", F.explode(grams).alias("_key")).join(own, "_key").filter(F.contains("_s", "_q"))
-        part = part.select(quote_id, source_id)
+            for part in _short_quotes(s, own, quote_id, source_id):
+                found = part if found is None else found.unionByName(part)
+            continue
+        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("_w", i, n), " ")))
+        part = s.select(source_id, "_s", F.explode(grams).alias("_key")).join(own, "_key").filter(F.contains("_s", "_q")).select(quote_id, source_id)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else quotes.select(quote_id).crossJoin(sources.select(source_id)).limit(0)
 
 
+def _short_quotes(sources: DataFrame, quotes: DataFrame, quote_id: str, source_id: str, block: int = 200):
+    """Quotes without an inner word share no gram; they are looked for in blocks of literals, a pass over the sources each."""
+    held, kind = [], dict(quotes.dtypes)[quote_id]
+    for r in [*quotes.select(quote_id, "_q").toLocalIterator(), None]:
+        if r is not None:
+            held.append(F.struct(F.lit(r[0]).cast(kind).alias("id"), F.lit(r[1]).alias("q")))
+        if held and (r is None or len(held) == block):
+            hit = F.filter(F.array(*held), lambda x: F.contains(F.col("_s"), x["q"]))
+            yield sources.select(source_id, F.explode(hit).alias("_h")).select(F.col("_h.id").alias(quote_id), source_id)
+            held = []
+
+
 def fabricated(cited: Column, offered: Column) -> Column:
     """Cited identifiers that were not offered, repeats kept."""
     return F.filter(cited, lambda c: ~F.coalesce(F.array_contains(offered, c), F.lit(False)))
