@@ -43,7 +43,8 @@ class PieceEncoder:
     """Ids of texts as the tokenizers library gives them, each distinct piece encoded by it once.
 
     The vocabulary's pattern never joins a character that isn't white space with white space after it, so
-    a text may be cut there and the pieces' ids put end to end.
+    a text may be cut there and the pieces' ids put end to end. A piece is remembered under its word if it is a space
+    and a word, as it stands if it begins with a line feed, and after a zero byte otherwise.
     """
 
     def __init__(self, vocabulary: str, width: int):
@@ -51,29 +52,73 @@ class PieceEncoder:
 
         self.tokenizer, self.kind, self.seen = Tokenizer.from_str(vocabulary), f"<u{width}", {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.feed = self._ids(["\n"])[0]
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keys(self, text: str) -> list[str]:
+        if "\0" in text or any(s in text for s in self.special):
+            return ["\0" + text]
+        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text.count(" ") + text.count("\n") + 1 != len(text.split()):
+            return [p[1:] if p[0] == " " and len(p) > 1 and not p[1].isspace() else p if p[0] == "\n" else "\0" + p for p in PIECE.split(text) if p]
+        keys = text.replace("\n", " \n").split(" ")
+        keys[0] = "\0" + keys[0]
+        return keys
+
+    def _learn(self, keys: set[str]) -> None:
+        """Words of letters go to the library many at a time, with line feeds between, which no token crosses."""
+        seen, marked = self.seen, {}
+        for k in keys:
+            if len(k) > 2 and k[-1] in ",." and k[:-1].isalpha():  # a mark after a letter is a token sequence of its own
+                marked[k] = k[:-1]
+        plain = [k for k in keys if k not in marked]
+        words = list({*(k for k in plain if k.isalpha()), *(w for w in marked.values() if w not in seen)})
+        other = [k for k in plain if not k.isalpha()]
+        for lo in range(0, len(words), 256) if len(self.feed) == 1 else ():
+            part = words[lo : lo + 256]
+            ids = self._ids(["\n".join([" " + w for w in part])])[0]
+            cut = np.flatnonzero(ids == self.feed[0])
+            if len(cut) != len(part) - 1:
+                raise RuntimeError("the vocabulary joins line feeds with letters")
+            for w, a, b in zip(part, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True):
+                seen[w] = ids[a:b].tobytes()
+        if len(self.feed) != 1:
+            other += words
+        marks = dict(zip(",.", (x.tobytes() for x in self._ids([",", "."])), strict=True)) if marked else {}
+        for k, ids in zip(other, self._ids([k[1:] if k[:1] == "\0" else k if k[:1] == "\n" else " " + k for k in other]), strict=True):
+            seen[k] = ids.tobytes()
+        for k, w in marked.items():
+            seen[k] = seen[w] + marks[k[-1]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        seen, cut = self.seen, []
+        seen = self.seen
         if len(seen) > REMEMBERED:
             seen.clear()
-        missing: set[str] = set()
+        keys, ends = [], []
         for text in texts:
-            if any(s in text for s in self.special):
-                pieces = [text]
-            elif "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text.count(" ") + text.count("\n") + 1 != len(text.split()):
-                pieces = PIECE.split(text)
-            else:
-                pieces = text.replace("\n", " \n").split(" ")
-                pieces[1:] = [p if p[0] == "\n" else " " + p for p in pieces[1:]]
-            cut.append(pieces)
-            missing.update(p for p in pieces if p not in seen)
+            keys += self._keys(text)
+            ends.append(len(keys))
+        ids = list(map(seen.get, keys))
+        missing = [k for k, x in enumerate(ids) if x is None]
         if missing:
-            new = list(missing)
-            seen.update(zip(new, self._encode(new), strict=True))
-        return [b"".join([seen[p] for p in pieces]) for pieces in cut]
+            self._learn({keys[k] for k in missing})
+            for k in missing:
+                ids[k] = seen[keys[k]]
+            for k in {keys[k] for k in missing if len(keys[k]) > 200}:  # whole texts aren't remembered
+                del seen[k]
+        return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+
+
+#: A worker's encoders, which live as long as the worker.
+_ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
+
+
+def encoder_for(vocabulary: str, width: int) -> PieceEncoder:
+    if (vocabulary, width) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[vocabulary, width] = PieceEncoder(vocabulary, width)
+    return _ENCODERS[vocabulary, width]
 
 
 class FileBuilder:
@@ -149,15 +194,15 @@ class SeekableFile:
 def _write(batches: Iterator[pa.RecordBatch], vocabulary: str, end: int, width: int, frame_bytes: int, file_bytes: int, level: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    encoder, tail = PieceEncoder(vocabulary, width), np.array([end], f"<u{width}").tobytes()
+    encoder, tail = encoder_for(vocabulary, width), np.array([end], f"<u{width}").tobytes()
     partition, number = TaskContext.get().partitionId(), 0
     build = FileBuilder(width, frame_bytes, level)
     done = lambda: pa.RecordBatch.from_arrays([pa.array([build.content(partition, number)], pa.binary())], ["value"])
     for batch in batches:
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-        for lo in range(0, len(ids), 256):
-            part = [t or "" for t in texts.slice(lo, 256).to_pylist()]
-            for i, tokens in zip(ids[lo : lo + 256], encoder(part), strict=True):
+        for lo in range(0, len(ids), 128):
+            part = [t or "" for t in texts.slice(lo, 128).to_pylist()]
+            for i, tokens in zip(ids[lo : lo + 128], encoder(part), strict=True):
                 build.add(i, tokens + tail)
                 if len(build.out) >= file_bytes:
                     yield done()
@@ -166,7 +211,7 @@ def _write(batches: Iterator[pa.RecordBatch], vocabulary: str, end: int, width:
         yield done()
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int, vocabulary_size: int, text_bytes_each: int = 16 << 20, frame_bytes: int = 256 << 10, file_bytes: int = 64 << 20, level: int = 3) -> None:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int, vocabulary_size: int, text_bytes_each: int = 16 << 20, frame_bytes: int = 256 << 10, file_bytes: int = 64 << 20, level: int = 1) -> None:
     """Files of docs (doc_id, text) below path, documents in ascending doc_id, null last; within a doc_id by text.
 
     Null and empty texts are the end id alone. Repeated rows are written each. An empty table writes no document.
@@ -174,7 +219,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int, vocabula
     width = 2 if max(vocabulary_size, end + 1) <= 1 << 16 else 4
     n = common.groups_for(common.text_bytes(docs), text_bytes_each)
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
-    dealt = docs.select("doc_id", "text").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    dealt = docs.select("doc_id", "text").repartitionByRange(n, order[0]).sortWithinPartitions(*order)
     rows = dealt.mapInArrow(lambda it: _write(it, vocabulary, end, width, frame_bytes, file_bytes, level), "value binary")
     rows.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", TAIL.decode("latin-1")).text(path)
 

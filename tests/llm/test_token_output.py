@@ -22,6 +22,13 @@ def test_pieces_encode_as_whole_texts(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in ENCODER(texts)] == [e.ids for e in TOKENIZER.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_ordinary_prose_takes_the_fast_way(sf):
+    import duckdb
+
+    texts = [t for (t,) in duckdb.sql(f"select text from '{sf}/documents.parquet'").fetchall()]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ENCODER(texts)] == [e.ids for e in TOKENIZER.encode_batch(texts, add_special_tokens=False)]
+
+
 def expected(rows):
     done, at = [], 0
     for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
