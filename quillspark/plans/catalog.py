@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import metrics as M
 from quillspark.functions import text as T
-from quillspark.operators import chunking, decide, evaluate, providers, retrieval, store, structure, validate
+from quillspark.operators import chunking, decide, evaluate, providers, retrieval, review, store, structure, validate
 from quillspark.session import table
 from quillspark.sources import documents as docs_io
 from quillspark.streaming import ingest
@@ -527,3 +527,65 @@ def stream_dedup(spark, sf_dir):
     rows = e.select("user_id", "event_type", "event_id", F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("key"))
     ingest.ingest_new(spark, rows, f"{base}/store", f"{base}/checkpoint", "key", "event_id")
     return spark.read.parquet(f"{base}/store").select("user_id", "event_type")
+
+
+# --- review ------------------------------------------------------------------
+
+
+@_query(f"""
+WITH l AS (SELECT doc_id, i - 1 AS ordinal, string_split(text, chr(10))[i] AS body FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+c AS (SELECT doc_id, ordinal, body, length(body) - length(replace(lower(body), 'the', '')) AS density FROM l WHERE length(body) BETWEEN 100 AND 2000 AND regexp_matches(body, '\\b(?:that|with)\\b', 'i') AND NOT regexp_matches(body, '\\b(?:was)\\b', 'i')),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY density DESC, ordinal) AS rn FROM c)
+SELECT doc_id, ordinal::BIGINT AS ordinal, density::BIGINT AS density FROM b WHERE rn = 1 ORDER BY density DESC, doc_id, ordinal LIMIT 25""")
+def candidate_mining(spark, sf_dir):
+    s = _lines(spark, sf_dir).select("doc_id", F.col("line_no").alias("ordinal"), F.col("line").alias("body"))
+    found = review.candidates(s, table(spark, sf_dir, "documents"), "doc_id", "that|with", "was", 25, "the", 100, 2000)
+    return found.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("density").cast("long").alias("density"))
+
+
+@_query("SELECT l_orderkey AS ref, l_linenumber AS part FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM lineitem i WHERE i.l_orderkey = lineitem.l_orderkey AND i.l_linenumber = lineitem.l_linenumber AND i.l_returnflag = 'A')")
+def index_pending(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ref"), F.col("l_linenumber").alias("part"), "l_returnflag")
+    index = li.withColumn("embedding", F.when(F.col("l_returnflag") == "A", F.array(F.lit(1.0))))
+    return review.unindexed(li.drop("l_returnflag"), index)
+
+
+_CLAUSES = (
+    ("P-1 §1.1", "Log keeping", "Audit logs are retained for at least six years.", "2020-01-31"),
+    ("P-1 §1.2", "Audit log review", "Each audit log is kept for not less than a period of thirty (30) days.", "2020-01-31"),
+    ("P-2 §1.1", "Notice", "Notify within 72 hours, as set out in the contract.", None),
+    ("P-3 §2.4", "Other", "Nothing here; governed by law.", "2026-01-05"),
+)
+
+
+def _clauses(spark):
+    c = spark.createDataFrame(_CLAUSES, "clause_id string, heading string, text string, reviewed string")
+    return c.select("*", F.substring("clause_id", 1, 3).alias("policy_id"), F.col("heading").alias("policy_title"), T.strict_date(F.col("reviewed")).alias("last_reviewed"))
+
+
+@_query("SELECT * FROM (VALUES ('P-1 §1.1', 'audit log', 2190.0::DOUBLE, 'six years', false, true), ('P-1 §1.2', 'audit log', 30.0, 'thirty days', false, true), ('P-2 §1.1', 'notif', 3.0, '72 hours', true, true)) AS t(clause_id, topic, days, phrase, defers, stale)")
+def policy_review(spark, sf_dir):
+    c = _clauses(spark)
+    marks = c.select("clause_id", review.defers(F.col("text")).alias("defers"), T.months_stale(F.col("last_reviewed"), F.to_date(F.lit("2026-09-10"))).alias("stale"))
+    return review.topic_durations(c).drop("heading").join(marks, "clause_id").withColumn("days", F.round("days", 6))
+
+
+@_query("""
+WITH t AS (SELECT trim(regexp_replace(event_type || ' ' || user_id % 50, '\\s+', ' ', 'g')) AS k, arg_max(value, event_id) AS want FROM events WHERE event_id % 2 = 0 GROUP BY 1)
+SELECT event_id, value AS got, want FROM events JOIN t ON event_type || ' ' || user_id = k WHERE event_id % 2 = 1""")
+def decision_truth(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    truth = e.filter("event_id % 2 = 0").select(F.concat(F.lit(" "), F.col("event_type"), F.lit(" \n\t"), F.col("user_id") % 50).alias("query"), F.col("event_id").alias("at"), F.col("value").alias("want"))
+    return review.with_truth(e.filter("event_id % 2 = 1").select("event_id", F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("query"), F.col("value").alias("got")), truth).drop("query")
+
+
+@_query("SELECT doc_id AS id, r AS ref, r < 100 AS known FROM (SELECT doc_id, unnest([doc_id % 150, doc_id % 7]) AS r FROM labels)")
+def broken_labels(spark, sf_dir):
+    cases = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.array(F.col("doc_id") % 150, F.col("doc_id") % 7).alias("relevant"))
+    return review.broken_labels(cases, spark.range(100).withColumnRenamed("id", "ref"))
+
+
+@_query("SELECT user_id, event_id, coalesce(event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id), true) AS starts FROM events")
+def header_changes(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("part"), "event_id", "event_type")
+    return review.header_changes(e, "event_type", "event_id").select(F.col("part").alias("user_id"), "event_id", "starts")
