@@ -8,11 +8,11 @@ text; they aggregate to a document score, calibrated on the labelled documents,
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents that the model is fitted on at most, about, and the characters of the longest of them.
-SAMPLE_DOCS, DOC_CHARS = 6000, 30_000
+SAMPLE_DOCS, DOC_CHARS = 4000, 30_000
 #: Words whose emission a worker remembers.
-REMEMBERED = 600_000
-_SLOTS = 1 << 18
+REMEMBERED = 1_000_000
+#: Words of a chain that are scanned together; a longer text is cut, its parts joined exactly.
+SEGMENT = 256
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _STARTS = (3, 4, 5, 6, 7)
 _WORD = re.compile(r"\S+")
@@ -34,14 +35,16 @@ def core(word: str) -> str:
     return word.strip(_EDGE).lower()
 
 
-def features(word: str) -> list[int]:
-    """Slots of a word's features: itself, its beginnings and endings, its shape."""
+def features(word: str) -> list[str]:
+    """Names of a word's features: itself, its beginnings and endings, its shape."""
     w = core(word)
-    names = ["bias", "w=" + w, f"n={min(len(w), 9)}"]
-    names += [f"p={w[:k]}" for k in _STARTS if len(w) > k] + [f"s={w[-k:]}" for k in (2, 3) if len(w) > k]
-    if any(c.isdigit() for c in w):
+    n = len(w)
+    names = ["bias", "w=" + w, f"n={min(n, 9)}"]
+    names += ["p=" + w[:k] for k in _STARTS if n > k]
+    names += ["s=" + w[-k:] for k in (2, 3) if n > k]
+    if not w.isalpha() and any(c.isdigit() for c in w):
         names.append("digit")
-    return [zlib.crc32(n.encode()) % _SLOTS for n in names]
+    return names
 
 
 def _marginals(e: np.ndarray, lengths: np.ndarray, way: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,15 +82,82 @@ def _chains(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
     return grid, lengths[order], place, col
 
 
+def _after(m: tuple, r: np.ndarray) -> np.ndarray:
+    """The odds that a map makes of odds r."""
+    a, b, c, d = m
+    return (a * r + b) / (c * r + d)
+
+
+def long_marginals(e: np.ndarray, lengths: np.ndarray, way: np.ndarray) -> np.ndarray:
+    """Odds of T at each place of chains end to end, as _marginals gives them.
+
+    Chains are cut in segments that are scanned side by side. What a segment does to the odds that come in from its
+    left or right is one fractional linear map, so the maps of a chain's segments carry the odds across exactly.
+    """
+    oo, ot, to, tt = way
+    parts = -(-lengths // SEGMENT)
+    chain = np.repeat(np.arange(len(lengths)), parts)
+    number = np.arange(len(chain)) - np.repeat(np.cumsum(parts) - parts, parts)
+    size = np.minimum(SEGMENT, lengths[chain] - number * SEGMENT)
+    grid = np.ones((int(size.max()), len(chain)))
+    col = np.repeat(np.arange(len(chain)), size)
+    place = np.arange(len(e)) - np.repeat(np.cumsum(size) - size, size)
+    grid[place, col] = e
+    first, last = number == 0, number == parts[chain] - 1
+    full, rows = np.flatnonzero(~last), len(grid)
+    one, zero = np.ones(len(chain)), np.zeros(len(chain))
+
+    # forward: the map of every segment that another follows, then the odds before each segment
+    a, b, c, d = one, zero, zero, one
+    for t in range(rows if len(full) else 0):
+        x = grid[t]
+        a, b, c, d = x * (tt * a + ot * c), x * (tt * b + ot * d), to * a + oo * c, to * b + oo * d
+        if t == 0:
+            a, b, c, d = np.where(first, 0.0, a), np.where(first, x, b), np.where(first, 0.0, c), np.where(first, 1.0, d)
+        scale = 1 / (a + b + c + d)
+        a, b, c, d = a * scale, b * scale, c * scale, d * scale
+    before = np.ones(len(chain))
+    for k in range(int(parts.max()) - 1):
+        at = full[number[full] == k]
+        before[at + 1] = _after((a[at], b[at], c[at], d[at]), before[at])
+    fore = np.empty_like(grid)
+    r = before
+    for t in range(rows):
+        r = grid[t] * (r * tt + ot) / (r * to + oo) if t else np.where(first, grid[0], grid[0] * (r * tt + ot) / (r * to + oo))
+        fore[t] = r
+
+    # backward: the same from the right; a step counts where the place to its right is inside the segment
+    a, b, c, d = one, zero, zero, one
+    for t in range(rows - 2, -1, -1) if len(full) else ():
+        x, inside = grid[t + 1], t + 1 < size
+        m = tt * x * a + to * c, tt * x * b + to * d, ot * x * a + oo * c, ot * x * b + oo * d
+        scale = 1 / (m[0] + m[1] + m[2] + m[3])
+        a, b, c, d = (np.where(inside, n * scale, o) for n, o in zip(m, (a, b, c, d), strict=True))
+    after = np.ones(len(chain))
+    for k in range(int(parts.max()) - 1, 0, -1):
+        at = np.flatnonzero(number == k)
+        y = grid[0, at] * _after((a[at], b[at], c[at], d[at]), after[at])
+        after[at - 1] = (tt * y + to) / (ot * y + oo)
+    back = np.empty_like(grid)
+    q = after
+    back[rows - 1] = q
+    for t in range(rows - 2, -1, -1):
+        y = grid[t + 1] * q
+        q = np.where(t + 1 < size, (tt * y + to) / (ot * y + oo), q)
+        back[t] = q
+    return fore[place, col] * back[place, col]
+
+
 @dataclass
 class Tagger:
-    weights: np.ndarray  # of a feature: T less O
+    weights: dict[str, float]  # of a feature: T less O
     way: np.ndarray  # log weights of OO, OT, TO, TT
     calibration: tuple[float, float, float]
     base: float
 
     def emission(self, word: str) -> float:
-        return float(np.exp(np.clip(self.weights[features(word)].sum(), -30, 30)))
+        of = self.weights.get
+        return math.exp(min(30.0, max(-30.0, sum([of(n, 0.0) for n in features(word)]))))
 
     def tagged(self, chains: list) -> list[np.ndarray]:
         """Probability of T of every token of some texts, given emission odds."""
@@ -95,9 +165,7 @@ class Tagger:
         some = np.flatnonzero(lengths)
         out = [np.zeros(0)] * len(chains)
         if len(some):
-            flat = np.concatenate([np.asarray(c, np.float64) for c in chains])
-            grid, held, place, col = _chains(flat, lengths[some])
-            odds = _marginals(grid, held, np.exp(self.way))[0][place, col]
+            odds = long_marginals(np.concatenate([np.asarray(chains[k], np.float64) for k in some]), lengths[some], np.exp(self.way))
             for k, p in zip(some, np.split(odds / (1 + odds), np.cumsum(lengths[some])[:-1]), strict=True):
                 out[k] = p
         return out
@@ -119,15 +187,15 @@ def signs(p: np.ndarray) -> tuple[float, float]:
     return math.log(top / (1 - top)), math.log(some / (1 - some))
 
 
-def seeds(texts: list[set[str]], toxic: np.ndarray) -> set[str]:
+def seeds(texts: Callable[[], Iterable[set[str]]], toxic: np.ndarray) -> set[str]:
     """Words and beginnings (``lowe~``) that mark toxic documents; by a log-likelihood ratio against chance."""
     rate = toxic.mean()
     own, all_ = Counter(), Counter()
-    for words, y in zip(texts, toxic, strict=True):
+    for words, y in zip(texts(), toxic, strict=True):
         if y:
             own.update(words | {w[:k] + "~" for w in words for k in _STARTS[1:] if len(w) > k})
     own = {name: k for name, k in own.items() if k > 2 and len(name) > 2}
-    for words in texts:
+    for words in texts():
         names = words | {w[:k] + "~" for w in words for k in _STARTS[1:] if len(w) > k}
         all_.update(names & own.keys())
     found = set()
@@ -147,14 +215,14 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 60, l2: float = 1e-3)
     y = np.array(toxic, bool)
     rate = float((y.sum() + 0.5) / (len(y) + 1))
     flat = (math.log(rate / (1 - rate)), 0.0, 0.0)
-    nothing = Tagger(np.zeros(_SLOTS), np.zeros(4), flat, rate)
+    nothing = Tagger({}, np.zeros(4), flat, rate)
     if not y.any() or y.all():
         return nothing
     # a document is an array of numbers of its words' spellings
     kinds: dict[str, int] = {}
     words = [np.array([kinds.setdefault(w, len(kinds)) for w in t.split()], np.int32) for t in texts]
     cores = np.array([core(w) for w in kinds], object)
-    marks = seeds([set(cores[np.unique(ws)]) - {""} for ws in words], y)
+    marks = seeds(lambda: (set(cores[np.unique(ws)]) - {""} for ws in words), y)
     if not marks:
         return nothing
     begin = {m.rstrip("~")[:4] for m in marks}
@@ -174,9 +242,10 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 60, l2: float = 1e-3)
                 last = hi
     seen, token = np.unique(np.concatenate(chains), return_inverse=True)
     spelled = list(kinds)
-    slots = [features(spelled[k]) for k in seen]
+    names: dict[str, int] = {}
+    slots = [[names.setdefault(n, len(names)) for n in features(spelled[k])] for k in seen]
     owner = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
-    used, slot = np.unique(np.concatenate([np.array(s) for s in slots]), return_inverse=True)
+    slot = np.concatenate([np.array(s) for s in slots])
     gold = np.concatenate(labels).astype(float)
     lengths = np.array([len(c) for c in chains])
     _, held, place, col = _chains(gold, lengths)
@@ -185,8 +254,8 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 60, l2: float = 1e-3)
     inside[np.cumsum(lengths) - 1] = False
     now = np.flatnonzero(inside)
     pairs = np.bincount((2 * gold[now] + gold[now + 1]).astype(int), minlength=4)
-    w, way = np.zeros(len(used)), np.zeros(4)
-    m = [np.zeros(len(used) + 4), np.zeros(len(used) + 4)]
+    w, way = np.zeros(len(names)), np.zeros(4)
+    m = [np.zeros(len(names) + 4), np.zeros(len(names) + 4)]
     for step in range(1, rounds + 1):
         emission = np.bincount(owner, w[slot], len(slots))
         grid = np.ones(shape)
@@ -197,15 +266,13 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 60, l2: float = 1e-3)
         f, nxt = fore[place[now], col[now]], (grid * back)[place[now + 1], col[now + 1]]
         joint = np.stack([np.ones(len(now)) * np.exp(way[0]), nxt * np.exp(way[1]), f * np.exp(way[2]), f * nxt * np.exp(way[3])])
         joint /= joint.sum(axis=0)
-        up = np.concatenate([np.bincount(slot, np.bincount(token, gold - p, len(slots))[owner], len(used)), pairs - joint.sum(axis=1)])
+        up = np.concatenate([np.bincount(slot, np.bincount(token, gold - p, len(slots))[owner], len(names)), pairs - joint.sum(axis=1)])
         up = up / len(gold) * 100 - l2 * np.concatenate([w, way])
         m[0] = 0.9 * m[0] + 0.1 * up
         m[1] = 0.99 * m[1] + 0.01 * up * up
         change = 0.3 * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-6)
         w, way = w + change[:-4], way + change[-4:]
-    weights = np.zeros(_SLOTS)
-    weights[used] = w
-    tagger = Tagger(weights, way - way[0], flat, rate)
+    tagger = Tagger({n: float(x) for n, x in zip(names, w, strict=True) if abs(x) > 1e-3}, way - way[0], flat, rate)
     emission = np.array([tagger.emission(w) for w in spelled])
     x = np.array([signs(p) for lo in range(0, len(words), 500) for p in tagger.tagged([emission[ws] for ws in words[lo : lo + 500]])])
     tagger.calibration = _calibrated(x, y.astype(float))
@@ -225,6 +292,8 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 class _Emissions(dict):
+    """Emission odds of words, each computed when first asked for."""
+
     def __init__(self, tagger: Tagger):
         super().__init__()
         self.tagger = tagger
@@ -236,6 +305,21 @@ class _Emissions(dict):
         return value
 
 
+#: What a worker remembers of the last tagger it used, for all tasks that use it.
+_REMEMBERED: dict[bytes, _Emissions] = {}
+
+
+def emissions_of(tagger: Tagger, name: bytes) -> _Emissions:
+    if name not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[name] = _Emissions(tagger)
+    return _REMEMBERED[name]
+
+
+def _name(tagger: Tagger) -> bytes:
+    return hashlib.sha256(repr((sorted(tagger.weights.items()), tagger.way.tolist())).encode()).digest()
+
+
 _SPANS = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 SPANS_DDL = "array<struct<first: int, end: int, p: double>>"
 
@@ -285,8 +369,10 @@ def trained(docs: DataFrame, labels: DataFrame, held_out: bool = True) -> Tagger
 
 def tag(docs: DataFrame, tagger: Tagger) -> DataFrame:
     """(doc_id, score, spans) of every row of docs; null and empty texts are scored as texts without any sign."""
+    name = _name(tagger)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        emit = _Emissions(tagger)
+        emit = emissions_of(tagger, name)
         for b in batches:
             score, found = [], []
             for texts, marginals in scored_texts(b.column("text"), tagger, emit):
@@ -299,8 +385,10 @@ def tag(docs: DataFrame, tagger: Tagger) -> DataFrame:
 
 def without_toxic(docs: DataFrame, tagger: Tagger, least: float = 0.3) -> DataFrame:
     """Rows of docs that score below ``least``; all columns stay."""
+    name = _name(tagger)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        emit = _Emissions(tagger)
+        emit = emissions_of(tagger, name)
         for b in batches:
             keep = [tagger.score(p) < least for _, marginals in scored_texts(b.column("text"), tagger, emit) for p in marginals]
             yield b.filter(pa.array(keep, pa.bool_()))

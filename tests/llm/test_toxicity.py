@@ -24,6 +24,16 @@ def test_marginals_match_enumeration():
         at += n
 
 
+def test_segments_join_exactly(monkeypatch):
+    monkeypatch.setattr(tox, "SEGMENT", 4)
+    rng = np.random.default_rng(5)
+    way = np.exp(rng.normal(size=4) * 2)
+    lengths = np.array([1, 4, 5, 13, 8, 2, 30])
+    e = np.exp(rng.normal(size=lengths.sum()) * 6)
+    grid, held, place, col = tox._chains(e, lengths)
+    assert tox.long_marginals(e, lengths, way) == pytest.approx(tox._marginals(grid, held, way)[0][place, col], rel=1e-9)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     got = tox.op5_toxicity(spark, sf)
