@@ -55,7 +55,7 @@ class Group:
         words = rolling.words(self.data, self.starts, self.ends)
         self.first, self.upto = common.window_starts(self.before, width)
         self.hash = rolling.windows(words, self.first, width)
-        self.place = common.RollingHash(0xD1342543DE82EF93).windows(common.mixed(words), self.first, width)
+        self.words, self.width = words, width
         # windows that are the first of their kind in this group
         order = np.argsort(self.hash, kind="stable")
         h = self.hash[order]
@@ -63,6 +63,11 @@ class Group:
         self.again = np.zeros(len(h), bool)
         self.again[order[same]] = True
 
+    def bucket(self, windows: np.ndarray, buckets: int) -> np.ndarray:
+        """Buckets of some windows, by a hash that knows nothing of the other."""
+        other = common.RollingHash(0xD1342543DE82EF93)
+        return (other.windows(common.mixed(self.words), self.first[windows], self.width) % np.uint64(buckets)).astype(np.int32)
+
     def rows_before(self) -> np.ndarray:
         """Words of the same doc_id in earlier rows: repeated ids number their words on."""
         run = np.searchsorted(self.ids, self.ids)
@@ -91,7 +96,7 @@ def _unpack(blob: bytes, hashed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def _windows(table: pa.Table, width: int, buckets: int) -> pa.Table:
     group = Group(table, width)
     keep = np.flatnonzero(~group.again)
-    bucket = (group.place[keep] % np.uint64(buckets)).astype(np.int64)
+    bucket = group.bucket(keep, buckets)
     order = np.argsort(bucket, kind="stable")
     keep, bucket = keep[order], bucket[order]
     doc = np.searchsorted(group.upto, keep, "right") - 1
@@ -157,7 +162,7 @@ def _remove(key, docs: pa.Table, found: pa.Table, width: int, with_text: bool, s
     return pa.table(out, schema=schema)
 
 
-def repeated_windows(docs: DataFrame, width: int = 20, with_text: bool = False, group_bytes: int = 16 << 20, bucket_bytes: int = 6 << 20) -> DataFrame:
+def repeated_windows(docs: DataFrame, width: int = 20, with_text: bool = False, group_bytes: int = 8 << 20, bucket_bytes: int = 6 << 20) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, removed, kept_text) of every row of docs (doc_id, text).
 
     A word goes if a window of ``width`` words that covers it has a copy that starts earlier: in a smaller doc_id or
