@@ -189,10 +189,11 @@ def op6_substring_dedup(spark, sf_dir) -> DataFrame:
 #: The same rows in DuckDB.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-v AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 18, 1))) AS s FROM d),
-r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(w[s:s + 19], ' ') ORDER BY doc_id, s) AS k FROM v),
-g AS (SELECT doc_id, unnest(range(s, s + 20)) AS i FROM r WHERE k > 1),
-x AS (SELECT doc_id, list(DISTINCT i) AS gone FROM g GROUP BY doc_id),
-y AS (SELECT d.doc_id, len(w) AS n, coalesce(len(gone), 0) AS m, list_filter(w, lambda e, i: gone IS NULL OR NOT list_contains(gone, i)) AS kept FROM d LEFT JOIN x USING (doc_id))
-SELECT doc_id, n::BIGINT AS n_words, m::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM y
+t AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+v AS (SELECT doc_id, i AS s, string_agg(word, ' ') OVER f AS x, count(*) OVER f AS n FROM t WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY x ORDER BY doc_id, s) AS k FROM v WHERE n = 20),
+g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM r WHERE k > 1),
+j AS (SELECT t.doc_id, t.i, word, g.i IS NOT NULL AS gone FROM t LEFT JOIN g ON t.doc_id = g.doc_id AND t.i = g.i)
+SELECT d.doc_id, count(j.i)::BIGINT AS n_words, count(j.i) FILTER (gone)::BIGINT AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY j.i) FILTER (NOT gone), '')) AS kept_sha256
+FROM d LEFT JOIN j ON d.doc_id = j.doc_id GROUP BY d.doc_id
 """
