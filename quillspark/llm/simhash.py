@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import common
 
+#: Bytes of text hashed together: every shingle of them takes some hundred bytes for a moment.
+SLICE_BYTES = 1 << 20
 #: Lists up to this length are compared by shifting; longer ones are flooded from pivots.
 SHORT_LIST = 16
 
@@ -31,7 +33,7 @@ def fingerprints(batches: Iterator[pa.RecordBatch], words: int, carried: tuple[s
     for batch in batches:
         data, at = common.raw_strings(batch.column("text"))
         found = np.zeros(batch.num_rows, np.uint64)
-        for i, j in common.slices(at):
+        for i, j in common.slices(at, SLICE_BYTES):
             piece, own = data[at[i] : at[j]], at[i : j + 1] - at[i]
             starts, ends, before = common.word_spans(piece, own)
             if not len(starts):

@@ -8,7 +8,6 @@ text; they aggregate to a document score, calibrated on the labelled documents,
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import Counter
@@ -22,8 +21,8 @@ from pyspark.sql import functions as F
 
 #: Labelled documents that the model is fitted on at most, about, and the characters of the longest of them.
 SAMPLE_DOCS, DOC_CHARS = 4000, 30_000
-#: Words whose emission a worker remembers.
-REMEMBERED = 1_000_000
+#: Words whose emission a task remembers.
+REMEMBERED = 400_000
 #: Words of a chain that are scanned together; a longer text is cut, its parts joined exactly.
 SEGMENT = 256
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -305,21 +304,6 @@ class _Emissions(dict):
         return value
 
 
-#: What a worker remembers of the last tagger it used, for all tasks that use it.
-_REMEMBERED: dict[bytes, _Emissions] = {}
-
-
-def emissions_of(tagger: Tagger, name: bytes) -> _Emissions:
-    if name not in _REMEMBERED:
-        _REMEMBERED.clear()
-        _REMEMBERED[name] = _Emissions(tagger)
-    return _REMEMBERED[name]
-
-
-def _name(tagger: Tagger) -> bytes:
-    return hashlib.sha256(repr((sorted(tagger.weights.items()), tagger.way.tolist())).encode()).digest()
-
-
 _SPANS = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 SPANS_DDL = "array<struct<first: int, end: int, p: double>>"
 
@@ -369,10 +353,8 @@ def trained(docs: DataFrame, labels: DataFrame, held_out: bool = True) -> Tagger
 
 def tag(docs: DataFrame, tagger: Tagger) -> DataFrame:
     """(doc_id, score, spans) of every row of docs; null and empty texts are scored as texts without any sign."""
-    name = _name(tagger)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        emit = emissions_of(tagger, name)
+        emit = _Emissions(tagger)
         for b in batches:
             score, found = [], []
             for texts, marginals in scored_texts(b.column("text"), tagger, emit):
@@ -385,10 +367,8 @@ def tag(docs: DataFrame, tagger: Tagger) -> DataFrame:
 
 def without_toxic(docs: DataFrame, tagger: Tagger, least: float = 0.3) -> DataFrame:
     """Rows of docs that score below ``least``; all columns stay."""
-    name = _name(tagger)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        emit = emissions_of(tagger, name)
+        emit = _Emissions(tagger)
         for b in batches:
             keep = [tagger.score(p) < least for _, marginals in scored_texts(b.column("text"), tagger, emit) for p in marginals]
             yield b.filter(pa.array(keep, pa.bool_()))
