@@ -47,10 +47,11 @@ class PieceEncoder:
     and a word, as it stands if it begins with a line feed, and after a zero byte otherwise.
     """
 
-    def __init__(self, vocabulary: str, width: int):
+    def __init__(self, vocabulary: str, width: int, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind, self.seen = Tokenizer.from_str(vocabulary), f"<u{width}", {}
+        self.remembered = remembered
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.feed = self._ids(["\n"])[0]
 
@@ -93,7 +94,7 @@ class PieceEncoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         seen = self.seen
-        if len(seen) > REMEMBERED:
+        if len(seen) > self.remembered:
             seen.clear()
         keys, ends = [], []
         for text in texts:
@@ -111,14 +112,15 @@ class PieceEncoder:
 
 
 #: A worker's encoders, which live as long as the worker.
-_ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, int, int], PieceEncoder] = {}
 
 
-def encoder_for(vocabulary: str, width: int) -> PieceEncoder:
-    if (vocabulary, width) not in _ENCODERS:
+def encoder_for(vocabulary: str, width: int, remembered: int) -> PieceEncoder:
+    key = (vocabulary, width, remembered)
+    if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[vocabulary, width] = PieceEncoder(vocabulary, width)
-    return _ENCODERS[vocabulary, width]
+        _ENCODERS[key] = PieceEncoder(*key)
+    return _ENCODERS[key]
 
 
 class FileBuilder:
@@ -191,10 +193,10 @@ class SeekableFile:
         return np.frombuffer(self._last[1], f"<u{self.width}", int(self.counts[k]), int(self.within[k]) * self.width)
 
 
-def _write(batches: Iterator[pa.RecordBatch], vocabulary: str, end: int, width: int, frame_bytes: int, file_bytes: int, level: int) -> Iterator[pa.RecordBatch]:
+def _write(batches: Iterator[pa.RecordBatch], vocabulary: str, end: int, width: int, frame_bytes: int, file_bytes: int, level: int, remembered: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    encoder, tail = encoder_for(vocabulary, width), np.array([end], f"<u{width}").tobytes()
+    encoder, tail = encoder_for(vocabulary, width, remembered), np.array([end], f"<u{width}").tobytes()
     partition, number = TaskContext.get().partitionId(), 0
     build = FileBuilder(width, frame_bytes, level)
     done = lambda: pa.RecordBatch.from_arrays([pa.array([build.content(partition, number)], pa.binary())], ["value"])
@@ -211,7 +213,7 @@ def _write(batches: Iterator[pa.RecordBatch], vocabulary: str, end: int, width:
         yield done()
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int, vocabulary_size: int, text_bytes_each: int = 16 << 20, frame_bytes: int = 256 << 10, file_bytes: int = 64 << 20, level: int = 1) -> None:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int, vocabulary_size: int, text_bytes_each: int = 16 << 20, frame_bytes: int = 256 << 10, file_bytes: int = 64 << 20, level: int = 1, remembered: int = REMEMBERED) -> None:
     """Files of docs (doc_id, text) below path, documents in ascending doc_id, null last; within a doc_id by text.
 
     Null and empty texts are the end id alone. Repeated rows are written each. An empty table writes no document.
@@ -220,7 +222,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int, vocabula
     n = common.groups_for(common.text_bytes(docs), text_bytes_each)
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
     dealt = docs.select("doc_id", "text").repartitionByRange(n, order[0]).sortWithinPartitions(*order)
-    rows = dealt.mapInArrow(lambda it: _write(it, vocabulary, end, width, frame_bytes, file_bytes, level), "value binary")
+    rows = dealt.mapInArrow(lambda it: _write(it, vocabulary, end, width, frame_bytes, file_bytes, level, remembered), "value binary")
     rows.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", TAIL.decode("latin-1")).text(path)
 
 
@@ -253,7 +255,7 @@ def vocabulary_text(path: str, most: int = 64 << 20) -> str:
     return text
 
 
-def encoded(docs: DataFrame, tokenizer_path: str | None = None, end: int = 2, path: str | None = None) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer_path: str | None = None, end: int = 2, path: str | None = None, **settings) -> DataFrame:
     """Writes docs and reads the files back."""
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -261,7 +263,7 @@ def encoded(docs: DataFrame, tokenizer_path: str | None = None, end: int = 2, pa
     spark = docs.sparkSession
     text = vocabulary_text(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
     path = path or common.shared_dir(spark, "tokens")
-    write_tokens(docs, path, text, end, Tokenizer.from_str(text).get_vocab_size())
+    write_tokens(docs, path, text, end, Tokenizer.from_str(text).get_vocab_size(), **settings)
     return read_index(spark, path)
 
 
