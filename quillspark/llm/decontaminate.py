@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import common
 
 Q = 10
-#: Edits allowed per character of a segment; times Q it must stay below 1.
+#: Edits allowed per character of a segment, as far as the bound stays positive; times Q it must stay below 1.
 EDIT_RATE = 0.07
 #: Segments have so many characters at least and under twice as many; a shorter item is one segment.
 SEGMENT = 80
@@ -102,9 +102,9 @@ class Index:
             n = max(1, len(text) // SEGMENT)
             for k in range(n):
                 part = text[len(text) * k // n : len(text) * (k + 1) // n]
-                edits = math.floor(EDIT_RATE * len(part))
-                self.segments.append((item, part, edits, len(part) + 1 - Q * (edits + 1)))
-        self.segments = [s for s in self.segments if s[3] > 0]
+                if len(part) >= Q:
+                    edits = min(math.floor(EDIT_RATE * len(part)), len(part) // Q - 1)  # the bound is 1 at least
+                    self.segments.append((item, part, edits, len(part) + 1 - Q * (edits + 1)))
         self.grams: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, part, _, _) in enumerate(self.segments):
             for j in range(len(part) - Q + 1):

@@ -71,3 +71,17 @@ def test_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(k, "intro " + t + " outro") for k, t in items] + [(9, "nothing")], "doc_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in dc.leaks(df, bench).collect()) == [(0, 0), (1, 1), (2, 2)]
     assert [r.doc_id for r in dc.without_leaks(df, bench).collect()] == [9]
+
+
+def test_items_of_every_length_are_found(spark):
+    rng = random.Random(5)
+    items = [(n, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))) for n in range(1, 100)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame([(n, f"0123 {t} 4567") for n, t in items], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in dc.leaks(df, bench).collect()) == [(n, n) for n in range(dc.Q, 100)]
+    assert sorted(r.doc_id for r in dc.without_leaks(df, bench).collect()) == list(range(1, dc.Q))
+    # as many edits as the length allows, spread evenly, by the items alone
+    most = {n: min(int(0.07 * n), n // 10 - 1) for n in range(10, 100)}
+    worn = [(n, "".join("#" if any(c == n * (k + 1) // (most[n] + 1) for k in range(most[n])) else x for c, x in enumerate(t))) for n, t in items if n >= 10]
+    df = spark.createDataFrame(worn, "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in dc.leaks(df, bench).collect()) == [(n, n) for n in range(10, 100)]
