@@ -368,7 +368,7 @@ def confidence_route(spark, sf_dir):
 @_query()
 def agent_pipeline(spark, sf_dir):
     """Retrieve, gate, judge offline, derive, route: everything but the gate's survivors stays outside Python."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("source").alias("context"), F.substring("text", 1, 200).alias("body"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("source").alias("context"), F.col("text").alias("body"))
     near = retrieval.vector_topk_many(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir), 9).filter("vec_id <> query_id").join(d, "vec_id", "left")
     one = F.struct("rank", F.col("vec_id").cast("string").alias("ref"), "context", "body", "similarity")
     items = near.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("r"))

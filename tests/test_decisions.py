@@ -115,3 +115,14 @@ def test_embedder_is_deterministic(spark):
     df = spark.createDataFrame([("a b",), ("a b",), ("",)], "t string")
     got = [list(r.embedding) for r in providers.embedded(df, "t").collect()]
     assert got[0] == got[1] and abs(sum(x * x for x in got[0]) - 1) < 1e-6 and not any(got[2])
+
+
+def test_agent_candidates_carry_whole_texts(spark, monkeypatch):
+    from quillspark.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(catalog.decide, "decided", lambda items, **_: items)
+    offered = {int(c.ref): c.body for r in catalog.agent_pipeline(spark, sf).collect() for c in r.candidates if c.body}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert max(map(len, offered.values())) > 200
+    assert offered == {i: texts[i] for i in offered}
