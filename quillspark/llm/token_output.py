@@ -11,6 +11,7 @@ Spark's text writer puts down one file per row and commits it, so a lost executo
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -33,82 +34,125 @@ CHECKSUM_FLAG = 0x80
 
 #: The last bytes of every file; the writer adds them as the end of its only "line".
 TAIL = struct.pack("<I", SEEKABLE_MAGIC)
-#: Pieces whose ids a worker remembers.
-REMEMBERED = 1_200_000
-#: White space that isn't preceded by white space begins a new piece: no token of a byte-level BPE lies across.
-PIECE = re.compile(r"(?<=\S)(?=[ \n])")
+#: Pieces whose ids a worker remembers, and bytes of text that are encoded together.
+REMEMBERED, SLICE_BYTES = 1_200_000, 8 << 20
+
+# Kinds of bytes: what may begin a piece after a character that isn't white space, what may begin one after a letter, letters.
+_GAP, _MARK, _LETTER = (np.zeros(256, bool) for _ in range(3))
+_GAP[[0x20, 0x0A]] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[33:127] = True
+_MARK[[*range(48, 58), *range(65, 91), *range(97, 123), ord("'")]] = False
+_INK = np.zeros(256, bool)
+_INK[33:127] = True
+
+
+def piece_starts(data: np.ndarray) -> np.ndarray:
+    """Places where a new piece begins: a space or line feed after a character that isn't white space, and a mark after an ASCII letter."""
+    here, before = data[1:], data[:-1]
+    mark = _MARK[here] & _LETTER[before]
+    gap = _GAP[here] & _INK[before]
+    for k in np.flatnonzero(_GAP[here] & (before >= 0x80)).tolist():  # the character before has several bytes
+        last = data[max(0, k - 3) : k + 1].tobytes().decode(errors="ignore")[-1:]
+        gap[k] = last != "" and not last.isspace()
+    return np.flatnonzero(mark | gap) + 1
 
 
 class PieceEncoder:
     """Ids of texts as the tokenizers library gives them, each distinct piece encoded by it once.
 
-    The vocabulary's pattern never joins a character that isn't white space with white space after it, so
-    a text may be cut there and the pieces' ids put end to end. A piece is remembered under its word if it is a space
-    and a word, as it stands if it begins with a line feed, and after a zero byte otherwise.
+    The byte-level pattern never joins a character that isn't white space with white space after it, nor a letter with a mark
+    after it (an apostrophe apart), so texts may be cut there and the pieces' ids put end to end. Pieces are told apart
+    by Arrow, many texts at once; a text that holds a special token's string is one piece. Other vocabularies get whole texts.
     """
 
     def __init__(self, vocabulary: str, width: int, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.seen = Tokenizer.from_str(vocabulary), f"<u{width}", {}
-        self.remembered = remembered
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer, self.kind, self.remembered = Tokenizer.from_str(vocabulary), f"<u{width}", remembered
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        how = json.loads(vocabulary)
+        before = how.get("pre_tokenizer") or {}
+        self.cuts = how.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
         self.feed = self._ids(["\n"])[0]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots: dict[bytes, int] = {}
+        self.ids, self.ends = np.zeros(1 << 16, self.kind), np.zeros((1 << 14) + 1, np.int64)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _keys(self, text: str) -> list[str]:
-        if "\0" in text or any(s in text for s in self.special):
-            return ["\0" + text]
-        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text.count(" ") + text.count("\n") + 1 != len(text.split()):
-            return [p[1:] if p[0] == " " and len(p) > 1 and not p[1].isspace() else p if p[0] == "\n" else "\0" + p for p in PIECE.split(text) if p]
-        keys = text.replace("\n", " \n").split(" ")
-        keys[0] = "\0" + keys[0]
-        return keys
-
-    def _learn(self, keys: set[str]) -> None:
-        """Words of letters go to the library many at a time, with line feeds between, which no token crosses."""
-        seen, marked = self.seen, {}
-        for k in keys:
-            if len(k) > 2 and k[-1] in ",." and k[:-1].isalpha():  # a mark after a letter is a token sequence of its own
-                marked[k] = k[:-1]
-        plain = [k for k in keys if k not in marked]
-        words = list({*(k for k in plain if k.isalpha()), *(w for w in marked.values() if w not in seen)})
-        other = [k for k in plain if not k.isalpha()]
-        for lo in range(0, len(words), 256) if len(self.feed) == 1 else ():
-            part = words[lo : lo + 256]
-            ids = self._ids(["\n".join([" " + w for w in part])])[0]
+    def _add(self, pieces: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, held = len(self.slots), int(self.ends[len(self.slots)])
+        while len(self.ids) < held + len(ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while len(self.ends) < n + len(pieces) + 1:
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[held : held + len(ids)] = ids
+        self.ends[n + 1 : n + len(pieces) + 1] = held + np.cumsum(sizes)
+        self.slots.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """A space and a word go to the library many at a time, with line feeds between, which no token crosses; others each by itself."""
+        # the first byte after the space and the last byte are no white space, and there is no line feed
+        likely = re.compile(rb" [!-~\xc3][^\n]*(?<=[!-~])").fullmatch if self.cuts and len(self.feed) == 1 else lambda p: None
+        plain, other = [], []
+        for p in pieces:
+            (plain if likely(p) else other).append(p)
+        if any(s in b"\n".join(plain) for s in self.special):
+            plain, other = [], pieces
+        for lo in range(0, len(plain), 256):
+            part = plain[lo : lo + 256]
+            ids = self._ids([b"\n".join(part).decode()])[0]
             cut = np.flatnonzero(ids == self.feed[0])
             if len(cut) != len(part) - 1:
-                raise RuntimeError("the vocabulary joins line feeds with letters")
-            for w, a, b in zip(part, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True):
-                seen[w] = ids[a:b].tobytes()
-        if len(self.feed) != 1:
-            other += words
-        marks = dict(zip(",.", (x.tobytes() for x in self._ids([",", "."])), strict=True)) if marked else {}
-        for k, ids in zip(other, self._ids([k[1:] if k[:1] == "\0" else k if k[:1] == "\n" else " " + k for k in other]), strict=True):
-            seen[k] = ids.tobytes()
-        for k, w in marked.items():
-            seen[k] = seen[w] + marks[k[-1]]
+                raise RuntimeError("the vocabulary joins line feeds with words")
+            self._add(part, np.delete(ids, cut), np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
+        for lo in range(0, len(other), 256):
+            part = other[lo : lo + 256]
+            ids = self._ids([p.decode() for p in part])
+            self._add(part, np.concatenate(ids), np.array([len(x) for x in ids]))
+
+    def encoded(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts (UTF-8 bytes end to end, n + 1 offsets) end to end, and the ids before each text."""
+        whole = np.zeros(len(data) + 1, bool)
+        whole[at] = True
+        if self.cuts and len(data):
+            starts = piece_starts(data)
+            raw = data.tobytes() if self.special else b""
+            for s in self.special:
+                place = raw.find(s)
+                while place >= 0:  # no piece begins inside a text with a special token
+                    k = int(np.searchsorted(at, place, "right"))
+                    starts = starts[(starts < at[k - 1]) | (starts >= at[k])]
+                    place = raw.find(s, int(at[k]))
+            whole[starts] = True
+        edges = np.flatnonzero(whole)
+        if len(edges) < 2:
+            return np.zeros(0, self.kind), np.zeros(len(at), np.int64)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        kinds = pieces.dictionary.to_pylist()
+        if len(self.slots) > self.remembered:
+            self._forget()
+        found = list(map(self.slots.get, kinds))
+        unseen = [p for p, k in zip(kinds, found, strict=True) if k is None] if None in found else []
+        if unseen:
+            self._learn(unseen)
+            found = [self.slots[p] if k is None else k for p, k in zip(kinds, found, strict=True)]
+        slot = np.array(found, np.int64)[pieces.indices.to_numpy()]
+        first, size = self.ends[slot], self.ends[slot + 1] - self.ends[slot]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        out = self.ids[np.repeat(first - upto[:-1], size) + np.arange(upto[-1])]
+        if any(len(p) > 1000 for p in unseen):  # whole texts aren't remembered
+            self._forget()
+        return out, upto[np.searchsorted(edges, at)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        seen = self.seen
-        if len(seen) > self.remembered:
-            seen.clear()
-        keys, ends = [], []
-        for text in texts:
-            keys += self._keys(text)
-            ends.append(len(keys))
-        ids = list(map(seen.get, keys))
-        missing = [k for k, x in enumerate(ids) if x is None]
-        if missing:
-            self._learn({keys[k] for k in missing})
-            for k in missing:
-                ids[k] = seen[keys[k]]
-            for k in {keys[k] for k in missing if len(keys[k]) > 200}:  # whole texts aren't remembered
-                del seen[k]
-        return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        data, at = common.raw_strings(pa.array(texts, pa.large_string()))
+        ids, upto = self.encoded(data, at)
+        return [ids[a:b].tobytes() for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
 
 
 #: A worker's encoders, which live as long as the worker.
@@ -201,11 +245,12 @@ def _write(batches: Iterator[pa.RecordBatch], vocabulary: str, end: int, width:
     build = FileBuilder(width, frame_bytes, level)
     done = lambda: pa.RecordBatch.from_arrays([pa.array([build.content(partition, number)], pa.binary())], ["value"])
     for batch in batches:
-        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-        for lo in range(0, len(ids), 128):
-            part = [t or "" for t in texts.slice(lo, 128).to_pylist()]
-            for i, tokens in zip(ids[lo : lo + 128], encoder(part), strict=True):
-                build.add(i, tokens + tail)
+        doc_ids = batch.column("doc_id").to_pylist()
+        data, at = common.raw_strings(batch.column("text"))
+        for i, j in common.slices(at, SLICE_BYTES):
+            ids, upto = encoder.encoded(data[at[i] : at[j]], at[i : j + 1] - at[i])
+            for k in range(i, j):
+                build.add(doc_ids[k], ids[upto[k - i] : upto[k - i + 1]].tobytes() + tail)
                 if len(build.out) >= file_bytes:
                     yield done()
                     build, number = FileBuilder(width, frame_bytes, level), number + 1
