@@ -1,9 +1,10 @@
 r"""Chat formatting with a grammar round trip.
 
 The template marks a turn as ``<|im_start|>role\ntext<|im_end|>\n``. A deterministic parser reads what was rendered;
-a turn that does not come back as it was gets its conflicting content escaped (a backslash after the first
-character of a control string, before the backslashes that stand there already) and is rendered and parsed again
-until all turns are identical. The parser takes one such backslash away and accepts no bare control string in a text.
+every turn that does not come back as it was gets its conflicting content escaped (a backslash after the first
+character of a control string, before the backslashes that stand there already), and the whole is rendered and
+parsed again until all turns are identical. The parser takes one such backslash away and accepts no bare control
+string in a text. A role stands on one line: its backslashes are doubled and its line breaks are ``\\n``.
 """
 
 from __future__ import annotations
@@ -51,6 +52,17 @@ def rendered_turn(role: str, text: str) -> str:
     return f"{START}{role}\n{text}{END}\n"
 
 
+def on_one_line(role: str) -> str:
+    return role.replace(ESCAPE, ESCAPE * 2).replace("\n", ESCAPE + "n")
+
+
+def _role_of(line: str, turn: int) -> str:
+    """The role that stands on a line; raises where a backslash stands before anything else than a backslash or n."""
+    if re.search(r"(?<!\\)(?:\\\\)*\\(?![\\n])", line):
+        raise GrammarError(turn)
+    return re.sub(r"\\([\\n])", lambda m: "\n" if m[1] == "n" else ESCAPE, line)
+
+
 def parsed(output: str) -> list[tuple[str, str, int, int]]:
     """(role, text, start, end) of each turn; start and end delimit the text as it stands in the output."""
     turns, at = [], 0
@@ -63,26 +75,38 @@ def parsed(output: str) -> list[tuple[str, str, int, int]]:
         for part in (role, body):
             if any(not m[2] and _is_control(m[1], m.string, m.end()) for m in CONFLICT.finditer(part)):
                 raise GrammarError(len(turns))
-        turns.append((unescaped(role), unescaped(body), line + 1, end))
+        turns.append((_role_of(unescaped(role), len(turns)), unescaped(body), line + 1, end))
         at = end + len(END) + 1
     return turns
 
 
+def _comes_back(turn: tuple[str, str], shown: str) -> bool:
+    try:
+        return [t[:2] for t in parsed(shown)] == [turn]
+    except GrammarError:
+        return False
+
+
+def rendered(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[str, str, int, int]]]:
+    """The rendered turns and what the parser reads from them, which is the same turns.
+
+    A turn that comes back by itself also does among others, as the parser looks at nothing beyond its end. So every turn
+    is tried once, those that fail are escaped, and the whole is parsed once.
+    """
+    shown = [rendered_turn(on_one_line(r), t) for r, t in turns]
+    for k, turn in enumerate(turns):
+        if not _comes_back(turn, shown[k]):
+            shown[k] = rendered_turn(escaped(on_one_line(turn[0])), escaped(turn[1]))
+    output = "".join(shown)
+    back = parsed(output)
+    if [b[:2] for b in back] != turns:
+        raise ValueError("the rendered turns don't come back")
+    return output, back
+
+
 def formatted(turns: list[tuple[str, str]]) -> str:
-    """The rendered turns, each escaped only if it needs it. A role's line breaks become spaces beforehand."""
-    shown = [rendered_turn(r, t) for r, t in turns]
-    done: set[int] = set()
-    while True:
-        try:
-            back = parsed("".join(shown))
-            wrong = next((k for k, (a, b) in enumerate(zip(turns, back, strict=False)) if a != b[:2]), None if len(back) == len(turns) else min(len(back), len(turns)))
-        except GrammarError as e:
-            wrong = e.turn
-        if wrong is None:
-            return "".join(shown)
-        wrong = next(k for k in range(min(wrong, len(turns) - 1), -1, -1) if k not in done)
-        done.add(wrong)
-        shown[wrong] = rendered_turn(escaped(turns[wrong][0]), escaped(turns[wrong][1]))
+    """The rendered turns, each escaped only if it needs it."""
+    return rendered(turns)[0]
 
 
 _OUT = pa.schema([("conv_id", pa.int64()), ("part", pa.int32()), ("formatted", pa.string()), ("loss", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))])
@@ -92,11 +116,11 @@ OUT_DDL = "conv_id long, part int, formatted string, loss array<struct<first: lo
 def _format(batches: Iterator[pa.RecordBatch], learned: str) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by conversation and turn; a long conversation goes out in several parts."""
     held: list[tuple[str, str]] = []
-    now, part, chars, rows = object(), 0, 0, []
+    now, part, chars, rows, size = object(), 0, 0, [], 0
 
     def flush() -> None:
-        text = formatted(held)
-        loss = [{"first": a, "end": b} for role, _, a, b in parsed(text) if role == learned]
+        text, back = rendered(held)
+        loss = [{"first": a, "end": b} for role, _, a, b in back if role == learned]
         rows.append({"conv_id": now, "part": part, "formatted": text, "loss": loss})
         held.clear()
 
@@ -105,12 +129,13 @@ def _format(batches: Iterator[pa.RecordBatch], learned: str) -> Iterator[pa.Reco
             if conv != now or chars > RUN_CHARS:
                 if held:
                     flush()
+                    size += chars
                 part, chars, now = part + 1 if conv == now else 0, 0, conv
-            held.append(((role or "").replace("\n", " "), text or ""))
-            chars += len(text or "")
-            if len(rows) >= 256:
+            held.append((role or "", text or ""))
+            chars += len(role or "") + len(text or "") + len(rendered_turn("", ""))
+            if len(rows) >= 256 or size > 4 * RUN_CHARS:
                 yield pa.RecordBatch.from_pylist(rows, schema=_OUT)
-                rows = []
+                rows, size = [], 0
     if held:
         flush()
     if rows:
@@ -122,7 +147,8 @@ def format_conversations(turns: DataFrame, learned: str = "assistant") -> DataFr
 
     Turns go by (turn, role, text), null turn first; null role and text are empty; rows without conv_id are one
     conversation with a null id; repeated rows are repeated turns. Parts of a conversation follow one another, and
-    come in order within a partition. No row of a conversation is held longer than its part.
+    come in order within a partition. No row of a conversation is held longer than its part; a part has about RUN_CHARS rendered
+    characters, whatever its turns hold. A conversation is the work of one task, which reads it as a stream.
     """
     order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text"]
     rows = turns.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions(*order)
@@ -173,13 +199,13 @@ def op4_chat_format(spark, sf_dir) -> DataFrame:
     return read_back(format_conversations(turns.unionByName(probe)))
 
 
-#: The same rows in DuckDB; a turn adds 12 + 1 + 10 + 1 characters and one for each control string in it.
+#: The same rows in DuckDB; a turn adds 12 + 1 + 10 + 1 characters, one for each control string in it and one for each backslash or line break in its role.
 ORACLE = r"""
-WITH c AS (SELECT conv_id, turn, replace(coalesce(role, ''), chr(10), ' ') AS role, coalesce(text, '') AS text FROM conversations
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 n AS (SELECT *, len(regexp_extract_all(role || chr(10) || text, '<\\*(\|im_start\|>|\|im_end\|>|\|endoftext\|>|\|system\|>|\|user\|>|\|assistant\|>|s>|/s>|<SYS>>|</SYS>>)|\[\\*(INST\]|/INST\])')) AS marks FROM c)
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum(24 + length(role) + length(text) + marks)::BIGINT AS formatted_chars
+       sum(24 + length(role) + length(role) - length(translate(role, chr(92) || chr(10), '')) + length(text) + marks)::BIGINT AS formatted_chars
 FROM n GROUP BY conv_id
 """
