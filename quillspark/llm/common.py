@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -21,20 +22,40 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 4 << 20
 
 
+def shared_base(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all executors see. Only a local session without it gets a folder of this machine."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return (base or f"{tempfile.gettempdir()}/checkpoints").rstrip("/")
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which all executors see."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/quillspark/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below spark.checkpoint.dir."""
+    return f"{shared_base(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to spark.checkpoint.dir and read from there: it is computed once and survives lost executors."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+        sc.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def fresh(taken: list[str], *bases: str) -> list[str]:
+    """Column names made of bases that none of taken has, in any case."""
+    used = {t.lower() for t in taken}
+    out = []
+    for name in bases:
+        name = f"_{name}"
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts; sizes the number of groups, so that a group has the same size at any scale."""
     return docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
@@ -152,21 +173,33 @@ def unpacked(blob: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
     return np.frombuffer(blob, f"<u{width}", n, at + 1), at + 1 + width * n
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def joined(left: DataFrame, right: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """left with the row of right, which has one row a key, inner. Both are read several times: let them be tables or checkpoints.
+
+    Keys that hold a thousandth of left or more, a thousand at most by count, go by broadcast; so no task gets all rows of a key.
+    """
+    least = math.ceil(left.count() / share)
+    hot = left.groupBy(key).count().filter(F.col("count") >= max(least, 2)).select(key)
+    hot = F.broadcast(hot)
+    rare = left.join(hot, key, "left_anti").join(right, key)
+    return left.join(F.broadcast(right.join(hot, key, "left_semi")), key).unionByName(rare)
+
+
+def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of edges (a, b).
 
-    Alternating large-star and small-star steps. Every round is checkpointed; a node's least
-    neighbour is a partial aggregate, so a node with very many neighbours meets in no task.
+    Alternating large-star and small-star steps; every round is checkpointed. Their number grows with the logarithm of the
+    nodes, most_rounds only ends a run that would not. The rows of a node with very many neighbours go through ``joined``.
     """
     now = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
+        large = joined(both, least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = checkpointed(large.filter("a <> b").distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        small = joined(large, least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         after = checkpointed(small.filter("a <> b").distinct())
         signature = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         same, before = signature == before, signature

@@ -24,7 +24,7 @@ def brute(rows):
         held |= {s: 2.0 * total[s] for s in over}
     target = share | held
     out, at = [], dict.fromkeys(names, 0)
-    order = sorted(range(len(rows)), key=lambda k: (hashlib.md5(str("" if rows[k][0] is None else rows[k][0]).encode()).hexdigest(), rows[k][0] or 0, size[k]))
+    order = sorted(range(len(rows)), key=lambda k: (hashlib.md5(f"{'' if rows[k][0] is None else rows[k][0]}\n{rows[k][1] or ''}".encode()).hexdigest(), rows[k][0] or 0, size[k]))
     for k in order:
         s = rows[k][2]
         copies = sum(at[s] + size[k] / 2 + j * total[s] <= target[s] for j in (0, 1))
@@ -44,7 +44,10 @@ def test_matches_brute_force_and_sql(spark, sf):
     assert got == want
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
-    assert sorted(con.execute(mixing.ORACLE).fetchall(), key=lambda r: (str(r[0]), r[1], r[4])) == got
+    whole = [tuple(r) for r in mixing.op7_mixing(spark, sf).collect()]
+    assert sorted(con.execute(mixing.ORACLE).fetchall(), key=str) == sorted(whole, key=str)
+    first = [r[5] for r in whole if r[5] is not None]
+    assert first == sorted(first) and sorted((r[:5] for r in whole), key=lambda r: (str(r[0]), r[1], r[4])) == got
     near = {}
     for d, r in zip(docs.collect(), [None] * len(got), strict=True):
         near[d.source] = 0
@@ -76,3 +79,15 @@ def test_training_order_is_sorted_and_whole(spark, sf):
     order = [r.position for r in mixing.training_order(mixed).collect()]
     assert order == sorted(order) and len(order) == mixed.agg(F.sum(F.size("positions"))).first()[0]
     assert 0 <= order[0] and order[-1] <= 1
+
+
+def test_schedules_change_positions_and_not_what_is_taken(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    one, other = (mixing.mixture(docs, schedules=x).select("doc_id", "taken", "positions").collect() for x in (mixing.SCHEDULES, mixing.SCHEDULES[::-1]))
+    assert sorted(r[:2] for r in one) == sorted(r[:2] for r in other) and sorted(map(str, one)) != sorted(map(str, other))
+
+
+def test_one_row_repeated_very_often(spark):
+    docs = spark.range(30_000).selectExpr("CASE WHEN id < 20000 THEN 5L ELSE id END AS doc_id", "CASE WHEN id < 20000 THEN 'a b' ELSE concat('c d ', id) END AS text", "'s' AS source")
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    assert rows_of(mixing.mixture(docs)) == brute(rows)
