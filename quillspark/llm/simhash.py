@@ -1,10 +1,11 @@
-"""SimHash near-dedup: 64-bit fingerprints linked through a byte-position inverted index.
-
-A posting is a triple of byte positions with the bytes a fingerprint has there. Two fingerprints
-that differ in at most four bits differ in at most four of their eight bytes, so they share four
-positional bytes at least (the guaranteed minimum), and every set of four positions contains one of
-the indexed triples. Within a posting list the shared positional bytes of a pair are tallied, pairs
-below the minimum are dropped and the rest is verified by its differing bits.
+"""SimHash near-dedup: 64-bit fingerprints linked through a byte-position inverted index with count filtering.
+
+Two fingerprints that differ in at most four bits differ in at most four of their eight bytes, so they share four
+positional bytes at least (the guaranteed minimum). Tallying pairs in the lists of single positional bytes, 2,048 of them
+in all, would grow with the square of the table; so a posting is a set of four byte positions with the bytes a fingerprint has
+there, all seventy sets of it. A pair meets in as many lists as its tally of shared positional bytes says, in one at
+least if and only if the tally reaches the minimum. Where it meets the tally is taken, the list of its first four shared
+positions alone reports it, and its differing bits are verified.
 """
 
 from __future__ import annotations
@@ -57,26 +58,37 @@ def fingerprints(batches: Iterator[pa.RecordBatch], words: int, carried: tuple[s
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in carried), pa.array(found.view(np.int64))], ["doc_id", *carried, "fp"])
 
 
-def position_sets() -> list[tuple[int, int, int]]:
-    """Twenty triples of the eight byte positions, one inside every four of them (Turan's construction)."""
-    ring = [range(0, 3), range(3, 6), range(6, 8)]
-    found = [t for g in ring for t in combinations(g, 3)]
-    for k, g in enumerate(ring):
-        found += [tuple(sorted((*two, one))) for two in combinations(g, 2) for one in ring[(k + 1) % 3]]
-    return sorted(found)
+def position_sets() -> list[tuple[int, ...]]:
+    """All sets of four of the eight byte positions."""
+    return list(combinations(range(8), 4))
+
+
+#: For each set of shared positions (as bits) the number of the position set that its first four make; 255 below the minimum.
+_FIRST_SET = np.full(256, 255, np.uint8)
+for _mask in range(256):
+    _shared = tuple(k for k in range(8) if _mask >> k & 1)
+    if len(_shared) >= 4:
+        _FIRST_SET[_mask] = position_sets().index(_shared[:4])
+
+
+def shared_positions(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """Positions of equal bytes, as the bits of a number."""
+    same = (a ^ b).view(np.uint8).reshape(-1, 8) == 0
+    return np.packbits(same, axis=1, bitorder="little")[:, 0]
 
 
 def close(a: np.ndarray, b: np.ndarray | np.uint64, bits: int) -> np.ndarray:
     """Tally of shared positional bytes first, then the differing bits."""
-    x = a ^ b
-    shared = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1, dtype=np.int8)
-    near = shared >= 8 - bits
-    near[near] = np.bitwise_count(x[near]) <= bits
+    near = np.bitwise_count(shared_positions(a, b)) >= 8 - bits
+    near[near] = np.bitwise_count((a ^ b)[near]) <= bits
     return near
 
 
 def _flood(fp: np.ndarray, bits: int) -> tuple[list, list]:
-    """Links that connect what is linked in a long list, a tree of each component."""
+    """Links that connect what is linked in a long list, a tree of each component.
+
+    Lists are long where many fingerprints lie close together, so that the first pivots take most of the list.
+    """
     rest, left, right = np.arange(len(fp)), [], []
     while len(rest):
         pivots, rest = [rest[0]], rest[1:]
@@ -91,7 +103,7 @@ def _flood(fp: np.ndarray, bits: int) -> tuple[list, list]:
 
 
 def links(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Links within runs of equal keys; rows come sorted by key."""
+    """Links within runs of equal keys (number of the position set, then its four bytes); rows come sorted by key."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def of(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
@@ -105,6 +117,8 @@ def links(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
         for d in range(1, min(SHORT_LIST, int(size.max())) if len(size) else 0):
             i = index[index + d < within]
             i = i[close(fp[i], fp[i + d], bits)]
+            # a pair is reported by the first of the lists in which it meets
+            i = i[_FIRST_SET[shared_positions(fp[i], fp[i + d])] == key[i] >> 32]
             left.append(i)
             right.append(i + d)
         for k in np.flatnonzero(size > SHORT_LIST):
@@ -119,8 +133,8 @@ def links(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, node, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "fp"))
-        held.append((key, node, fp.view(np.uint64)))
+        key, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp"))
+        held.append((key, node, node.view(np.uint64)))
         if key[0] == key[-1] and held[0][0][0] == key[0]:
             continue
         key, node, fp = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -144,32 +158,40 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, carried: tup
     if not 0 <= bits <= 4:
         raise ValueError("the index guarantees pairs up to four differing bits")
     marks = common.checkpointed(docs.select("doc_id", *carried, "text").mapInArrow(lambda it: fingerprints(it, words, carried), ", ".join(f"{c} long" for c in ("doc_id", *carried, "fp"))))
-    nodes = marks.groupBy("fp").agg(F.min("doc_id").alias("component_id"))
+    nodes = common.checkpointed(marks.groupBy("fp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")))
     byte = [F.shiftrightunsigned("fp", 8 * k).bitwiseAND(0xFF) for k in range(8)]
-    keys = [(byte[a] * 65536 + byte[b] * 256 + byte[c] + k * (1 << 24)) for k, (a, b, c) in enumerate(position_sets())]
-    lists = nodes.select(F.col("fp").alias("node"), "fp", F.explode(F.array(*keys)).alias("key"))
+    keys = [F.lit(k << 32).bitwiseOR(F.shiftleft(byte[a], 24)).bitwiseOR(F.shiftleft(byte[b], 16)).bitwiseOR(F.shiftleft(byte[c], 8)).bitwiseOR(byte[d]) for k, (a, b, c, d) in enumerate(position_sets())]
+    lists = nodes.select("fp", F.explode(F.array(*keys)).alias("key"))
     lists = lists.repartition("key").sortWithinPartitions("key")
     edges = lists.mapInArrow(lambda it: links(it, bits), "a long, b long")
     reach = common.components(edges)
-    # the component is named by its smallest fingerprint until the documents' ids are known
-    least = nodes.join(reach, nodes.fp == reach.node, "left").select("fp", F.coalesce("component", "fp").alias("component"), "component_id")
-    named = least.groupBy("component").agg(F.min("component_id").alias("component_id"))
-    by_fp = least.drop("component_id").join(named, "component").select("fp", "component", "component_id")
-    return marks.join(by_fp, "fp").select("doc_id", *carried, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component", "component_id")
+    # a component is named by its smallest fingerprint until the documents' ids are known; what has no link names itself
+    linked = common.checkpointed(nodes.join(reach, nodes.fp == reach.node).select("fp", "component", "component_id"))
+    named = linked.groupBy("component").agg(F.min("component_id").alias("component_id"))
+    of = common.joined(linked.drop("component_id"), named, "component").select(F.col("fp").alias("node"), "component", F.col("component_id").alias("least"))
+    by_fp = nodes.join(of, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component"), F.when(F.col("node").isNull(), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    found = common.joined(marks, by_fp, "fp")
+    return found.select("doc_id", *carried, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component", "component_id")
 
 
 def deduplicated(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
-    """One row of docs of each component, that of the smallest doc_id (null last; of equal ones by a hash of the text); all columns stay."""
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    marks = near_duplicates(docs.select("doc_id", key.alias("_key"), "text"), words, bits, ("_key",))
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("i"), F.col("_key").alias("k"))).alias("first")
-    kept = common.checkpointed(marks.groupBy("component").agg(first, F.count("*").alias("n")).select(F.col("first.i").alias("_id"), F.col("first.k").alias("_k")).distinct())
-    whole = docs.withColumn("_key", key)
-    left = whole.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left_semi")
-    again = marks.groupBy("doc_id", "_key").count().filter("count > 1").join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left_semi")
+    """One row of docs (doc_id, text, ...) of each component, that of the smallest doc_id; all columns stay, whatever their names.
+
+    Null doc_ids come last; of equal doc_ids the smallest hash of the text stays, and of rows that repeat both any one. Null and
+    empty texts are one component. An empty table stays empty.
+    """
+    names = docs.columns
+    key, id_, k = common.fresh(names, "key", "id", "k")
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
+    marks = near_duplicates(docs.select("doc_id", hashed.alias("key"), "text"), words, bits, ("key",))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("i"), F.col("key").alias("k"))).alias("first")
+    kept = common.checkpointed(marks.groupBy("component").agg(first).select(F.col("first.i").alias(id_), F.col("first.k").alias(k)).distinct())
+    whole = docs.withColumn(key, hashed)
+    left = whole.join(kept, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(k)), "left_semi")
+    again = marks.groupBy("doc_id", "key").count().filter("count > 1").join(kept, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col("key") == F.col(k)), "left_semi")
     if not again.isEmpty():  # the kept row itself is repeated
-        left = left.dropDuplicates(["doc_id", "_key"])
-    return left.drop("_key")
+        left = left.dropDuplicates(["doc_id", key])
+    return left.select(*[F.col(f"`{n}`") for n in names])
 
 
 def op9_simhash(spark, sf_dir) -> DataFrame:

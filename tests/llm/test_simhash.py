@@ -30,10 +30,29 @@ def brute(rows, words=4, bits=4):
     return sorted(((d, f"{f:016x}", least[root(i)]) for i, (d, f) in enumerate(fp)), key=str)
 
 
-def test_every_four_positions_hold_an_indexed_triple():
+def test_pairs_that_reach_the_minimum_meet_once():
     sets = simhash.position_sets()
-    assert len(sets) == 20
-    assert all(any(set(s) <= set(four) for s in sets) for four in combinations(range(8), 4))
+    assert len(sets) == 70
+    for mask in range(256):
+        shared = {k for k in range(8) if mask >> k & 1}
+        first = simhash._FIRST_SET[mask]
+        assert (first < 70 and set(sets[first]) <= shared) if len(shared) >= 4 else first == 255
+
+
+def test_close_fingerprints_are_linked(spark):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    fp = {x for b in base for x in (b, *(b ^ sum(1 << k for k in rng.sample(range(64), n)) for n in (1, 2, 3, 4, 4, 5, 6)))}
+    rows = sorted((k << 32 | (x >> 8 * s[0] & 255) << 24 | (x >> 8 * s[1] & 255) << 16 | (x >> 8 * s[2] & 255) << 8 | x >> 8 * s[3] & 255, np.uint64(x).astype(np.int64).item()) for x in fp for k, s in enumerate(simhash.position_sets()))
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["key", "fp"])
+    found = [(a & (1 << 64) - 1, b & (1 << 64) - 1) for out in simhash.links(iter([batch]), 4) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    assert len(found) == len(set(found))
+    assert {frozenset(p) for p in found} == {frozenset((a, b)) for a, b in combinations(fp, 2) if (a ^ b).bit_count() <= 4}
 
 
 def test_matches_brute_force(spark, sf):
