@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -258,15 +258,29 @@ def _write(batches: Iterator[pa.RecordBatch], vocabulary: str, end: int, width:
         yield done()
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int, vocabulary_size: int, text_bytes_each: int = 16 << 20, frame_bytes: int = 256 << 10, file_bytes: int = 64 << 20, level: int = 1, remembered: int = REMEMBERED) -> None:
-    """Files of docs (doc_id, text) below path, documents in ascending doc_id, null last; within a doc_id by text.
+def id_order() -> list[Column]:
+    """Ascending doc_id, null last. Of equal doc_ids by a hash of the text; rows that repeat both are dealt out as they were read."""
+    return [F.col("doc_id"), F.xxhash64("text"), F.monotonically_increasing_id()]
+
+
+def written_order() -> list[Column]:
+    """The order in which the rows of a folder of parquet files were written."""
+    name = F.col("_metadata.file_name")
+    number = lambda p: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(name, p, 1), F.lit("")), F.lit("9999999999")).cast("long"), F.lit(0).cast("long"))
+    return [number(r"part-(\d+)"), number(r"\.c(\d+)"), F.col("_metadata.row_index")]
+
+
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int, vocabulary_size: int, order: list[Column] | None = None, text_bytes_each: int = 16 << 20, frame_bytes: int = 256 << 10, file_bytes: int = 64 << 20, level: int = 1, remembered: int = REMEMBERED) -> None:
+    """Files of docs (doc_id, text) below path, documents in ascending order of some columns, null last, by default those of ``id_order``.
 
     Null and empty texts are the end id alone. Repeated rows are written each. An empty table writes no document.
     """
     width = 2 if max(vocabulary_size, end + 1) <= 1 << 16 else 4
     n = common.groups_for(common.text_bytes(docs), text_bytes_each)
-    order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
-    dealt = docs.select("doc_id", "text").repartitionByRange(n, order[0]).sortWithinPartitions(*order)
+    keys = [f"o{k}" for k in range(len(order or id_order()))]
+    whole = docs.select("doc_id", "text", *[o.alias(k) for o, k in zip(order or id_order(), keys, strict=True)])
+    by = [F.col(k).asc_nulls_last() for k in keys]
+    dealt = whole.repartitionByRange(n, *by).sortWithinPartitions(*by).select("doc_id", "text")
     rows = dealt.mapInArrow(lambda it: _write(it, vocabulary, end, width, frame_bytes, file_bytes, level, remembered), "value binary")
     rows.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", TAIL.decode("latin-1")).text(path)
 
@@ -300,7 +314,7 @@ def vocabulary_text(path: str, most: int = 64 << 20) -> str:
     return text
 
 
-def encoded(docs: DataFrame, tokenizer_path: str | None = None, end: int = 2, path: str | None = None, **settings) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer_path: str | None = None, end: int = 2, path: str | None = None, order: list[Column] | None = None, **settings) -> DataFrame:
     """Writes docs and reads the files back."""
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -308,7 +322,7 @@ def encoded(docs: DataFrame, tokenizer_path: str | None = None, end: int = 2, pa
     spark = docs.sparkSession
     text = vocabulary_text(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
     path = path or common.shared_dir(spark, "tokens")
-    write_tokens(docs, path, text, end, Tokenizer.from_str(text).get_vocab_size(), **settings)
+    write_tokens(docs, path, text, end, Tokenizer.from_str(text).get_vocab_size(), order, **settings)
     return read_index(spark, path)
 
 

@@ -10,7 +10,7 @@ from quillspark.llm import decontaminate, mixing, simhash, toxicity
 from test_decontaminate import edits
 from test_mixing import brute as brute_mix
 from test_simhash import brute as brute_groups
-from test_token_output import expected
+from test_token_output import in_order
 
 
 def test_every_stage_matches_brute_force(spark, sf, tmp_path):
@@ -40,8 +40,10 @@ def test_every_stage_matches_brute_force(spark, sf, tmp_path):
     left = {d: r for d, r in left.items() if d not in dropped}
     taken = {r[0]: r[4] // r[1] if r[1] else 1 for r in brute_mix([(d, r.text, r.source) for d, r in left.items()])}
     assert sorted(r.doc_id for r in got["mixing"]) == sorted(d for d, n in taken.items() for _ in range(n))
-    want = expected([(r.doc_id, r.text) for r in got["mixing"]])
-    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got["token_output"]) == sorted(want)
+    # the token files keep the training order
+    at = {(r.doc_id, x) for r in mixing.mixture(spark.read.parquet(f"{tmp_path}/decontamination")).collect() for x in r.positions}
+    trained = [(d, left[d].text) for x, d in sorted((x, d) for d, x in at)]
+    assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in sorted(got["token_output"], key=lambda r: r.start)] == in_order(trained)
 
 
 def test_repeated_rows_and_empty_tables(spark):
@@ -60,3 +62,17 @@ def test_entry_lists_all_queries():
     assert {int(m[1]) for x in names if (m := re.match(r"op(\d+)_", x))} == set(range(1, 11)) and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
     assert np.all([callable(f) for f in names.values()])
+
+
+def test_columns_of_any_name_stay_as_they_are(spark, sf, tmp_path):
+    names = ["_id", "_k", "_key", "_position", "_positions", "_s", "__key", "key", "fp", "component", "position", "repeats", "draw", "size"]
+    rows = [(k, f"word{k} " * (k % 5 + 3) + "tail of some text", "en", f"s{k % 3}", 1, *[f"{n}{k}" for n in names]) for k in [*range(12), 3, 3]]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame(rows, ddl)
+    known = {(r[0], *r[5:]) for r in rows}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        if name != "token_output":
+            assert docs.columns == [c.split()[0].strip("`") for c in ddl.split(", ")]
+            assert {(r[0], *r[5:]) for r in docs.collect()} <= known and docs.count()

@@ -3,9 +3,11 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillspark.llm import token_output as out
@@ -29,9 +31,18 @@ def test_ordinary_prose_takes_the_fast_way(sf):
     assert [np.frombuffer(x, "<u4").tolist() for x in ENCODER(texts)] == [e.ids for e in TOKENIZER.encode_batch(texts, add_special_tokens=False)]
 
 
+def hashed(text):
+    """Spark's xxhash64, signed; a null hashes to the seed."""
+    return 42 if text is None else np.uint64(xxhash.xxh64_intdigest(text.encode(), 42)).astype(np.int64).item()
+
+
 def expected(rows):
+    return in_order(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashed(r[1]))))
+
+
+def in_order(rows):
     done, at = [], 0
-    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+    for d, t in rows:
         ids = [*TOKENIZER.encode(t or "", add_special_tokens=False).ids, 2]
         done.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
@@ -65,3 +76,16 @@ def test_frames_stand_alone_and_are_checked():
     broken[file.at[1] + 6] ^= 1
     with pytest.raises((ValueError, zstandard.ZstdError)):
         out.SeekableFile(bytes(broken)).frame(1)
+
+
+def test_a_special_string_and_other_white_space_inside_texts():
+    texts = ["a <|endoftext|> b, c", "x\u00a0 y\u2003\n z\u3000 w", "\u4f60\u597d \u4e16\u754c, don't stop.Now", " ", "\n\n", "", "don't,' 'x"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ENCODER(texts)] == [e.ids for e in TOKENIZER.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_files_keep_the_order_in_which_rows_were_written(spark, tmp_path):
+    rows = [(k * 37 % 101, f"text {k}") for k in range(101)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(5, F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id")).write.parquet(f"{tmp_path}/all")
+    docs = spark.read.parquet(f"{tmp_path}/all")
+    got = [tuple(r)[:4] for r in out.encoded(docs, order=out.written_order(), text_bytes_each=100).orderBy("start").collect()]
+    assert got == in_order(sorted(rows, reverse=True))
