@@ -1,185 +1,316 @@
 """Exact substring dedup over fixed windows of words.
 
-Every window gets a Rabin-Karp hash. A group of documents (by hash of doc_id, of about ``group_bytes`` of
-text) sends each distinct hash once, with its first place in the group, packed in one blob per hash bucket;
-a bucket counts the hashes over all groups and answers each group with the places that have an earlier
-copy elsewhere. The group then merges what is repeated into maximal removal intervals. Both the number of
-groups and of buckets follow the input, so no task grows with it, and a passage in a third of all
-documents is one entry a group.
-
-Hashes are 64 bits, compared within a bucket chosen by an independent hash: two different windows
-are taken for equal with a chance of about (windows in a bucket) / 2**64 each.
+Every window gets a Rabin-Karp hash over its words' hashes. A group of documents (by hash of doc_id, of about
+``group_bytes`` of text) sends each of its different windows once, with its first place in the group, packed in one blob per hash
+bucket; a bucket counts the hashes over all groups and answers each group with the places that have an earlier
+copy elsewhere, and with the place of the first. The group merges what is repeated into maximal removal intervals. So a
+passage in a third of all documents is one entry a group, and rows that are repeated whole are counted before they are sent.
+
+Hashes only propose. Inside a group repeated windows are compared word by word. Between groups, runs of windows that
+repeat a run of another document are claims: the claim's words, as a BLAKE2 digest, go to the group that holds the other
+document and are compared with the words there. If any claim fails, everything is counted again under other hash functions.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import common
 
-#: Orders documents without an id last.
-NO_ID = (1 << 63) - 1
+#: A row that stands for more copies is put out several times, so that no array of copies is longer.
+COPIES = 1 << 16
+_SPACE = b" \t\n\x0b\x0c\r"
 
 
 def _press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed; of rows in a batch that repeat doc_id and text one, with their number."""
     press = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         data, at = common.raw_strings(batch.column("text"))
-        small = pa.array([press.compress(data[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("doc_id"), batch.column("missing"), small], ["grp", "doc_id", "missing", "small"])
+        raw, times = data.tobytes(), {}
+        for k, row in enumerate(zip(batch.column("grp").to_pylist(), batch.column("id").to_pylist(), batch.column("late").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True)):
+            own = (*row[:3], raw[row[3] : row[4]])
+            times[own] = times.get(own, 0) + 1
+        yield pa.RecordBatch.from_arrays([
+            pa.array([k[0] for k in times], pa.int64()), pa.array([k[1] for k in times], pa.int64()), pa.array([k[2] for k in times], pa.bool_()),
+            pa.array(list(times.values()), pa.int64()), pa.array([press.compress(k[3]) for k in times], pa.binary()),
+        ], ["grp", "id", "late", "copies", "small"])
+
+
+def word_digests(words: list[bytes], seed: int) -> np.ndarray:
+    """Two independent 64-bit hashes of each word."""
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(w, seed) for w in words]), "<u8").reshape(-1, 2)
 
 
-class Group:
-    """The documents of a group by (doc_id, text), with their words and windows."""
+class Texts:
+    """The different documents of a group by (id, text), those without a doc_id last, with the places of their words."""
 
-    def __init__(self, table: pa.Table, width: int):
-        ids = table.column("doc_id").to_pylist()
-        self.missing = table.column("missing").to_pylist()
+    def __init__(self, table: pa.Table):
         open_ = zstandard.ZstdDecompressor()
-        texts = [open_.decompress(x) for x in table.column("small").to_pylist()]
-        order = sorted(range(len(ids)), key=lambda k: (ids[k], texts[k]))
-        self.ids, self.missing = np.array([ids[k] for k in order], np.int64), [self.missing[k] for k in order]
-        texts = [texts[k] for k in order]
-        self.at = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
-        self.data = np.frombuffer(b"".join(texts), np.uint8)
+        rows: dict[tuple[bool, int, bytes], int] = {}
+        for late, i, small, n in zip(*(table.column(c).to_pylist() for c in ("late", "id", "small", "copies")), strict=True):
+            own = (late, i, open_.decompress(small))
+            rows[own] = rows.get(own, 0) + n
+        order = sorted(rows)
+        self.late, self.ids = np.array([r[0] for r in order], bool), np.array([r[1] for r in order], np.int64)
+        self.copies = np.array([rows[r] for r in order], np.int64)
+        self.at = np.concatenate([[0], np.cumsum([len(r[2]) for r in order], dtype=np.int64)])
+        self.raw = b"".join([r[2] for r in order])
+        self.data = np.frombuffer(self.raw, np.uint8)
         self.starts, self.ends, self.before = common.word_spans(self.data, self.at)
-        rolling = common.RollingHash(0x9E3779B97F4A7C15 & ~3 | 3)
-        words = rolling.words(self.data, self.starts, self.ends)
+        # rows that repeat an id number their words on, whole copies too
+        self.number = np.concatenate([[0], np.cumsum(np.diff(self.before) * self.copies)])[:-1]
+        known = int((~self.late).sum())
+        self.parts = {False: (0, self.ids[:known]), True: (known, self.ids[known:])}
+
+    def lead(self) -> np.ndarray:
+        """The number of each row's first word within its id."""
+        out = np.zeros(len(self.ids), np.int64)
+        for low, ids in self.parts.values():
+            out[low : low + len(ids)] = self.number[low + np.searchsorted(ids, ids)]
+        return self.number - out
+
+    def word(self, late: bool, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, index among all words) of the words of these numbers in these ids."""
+        low, own = self.parts[late]
+        place = self.number[low + np.searchsorted(own, ids)] + starts
+        row = np.searchsorted(self.number, place, "right") - 1
+        # rows without words have the number of the row after them
+        return row, self.before[row] + place - self.number[row]
+
+    def words(self, first: int, n: int) -> bytes:
+        """Some words in a row, a space between."""
+        return b" ".join([self.raw[a:b] for a, b in zip(self.starts[first : first + n].tolist(), self.ends[first : first + n].tolist(), strict=True)])
+
+
+class Group(Texts):
+    """And with their windows."""
+
+    def __init__(self, table: pa.Table, width: int, seed: int):
+        super().__init__(table)
+        self.width = width
+        # a piece is a word and the white space after it
+        edges = np.concatenate([self.starts, [len(self.data)]])
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(edges), pa.py_buffer(self.data)]).dictionary_encode()
+        kinds: dict[bytes, int] = {}
+        of_piece = np.array([kinds.setdefault(p.rstrip(_SPACE), len(kinds)) for p in pieces.dictionary.to_pylist()], np.int64)
+        self.codes = of_piece[pieces.indices.to_numpy()] if len(of_piece) else np.zeros(0, np.int64)
+        self.digests = word_digests(list(kinds), seed)
         self.first, self.upto = common.window_starts(self.before, width)
-        self.hash = rolling.windows(words, self.first, width)
-        self.words, self.width = words, width
-        # windows that are the first of their kind in this group
+        self.hash = common.RollingHash(0x9E3779B97F4A7C15 & ~3 | 3).windows(self.digests[:, 0][self.codes], self.first, width)
         order = np.argsort(self.hash, kind="stable")
         h = self.hash[order]
         same = np.concatenate([[False], h[1:] == h[:-1]])[: len(h)]
+        leader = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))]
+        one, two = self.first[order[same]], self.first[leader[same]]
+        alike = np.ones(len(one), bool)
+        for j in range(width):
+            alike &= self.codes[one + j] == self.codes[two + j]
+        #: windows that repeat an earlier one of this group, word by word
         self.again = np.zeros(len(h), bool)
-        self.again[order[same]] = True
+        self.again[order[same][alike]] = True
+        for value in np.unique(h[same][~alike]):  # different windows with the same hash
+            seen = set()
+            for k in order[h == value].tolist():
+                own = self.codes[self.first[k] : self.first[k] + width].tobytes()
+                self.again[k] = own in seen
+                seen.add(own)
 
     def bucket(self, windows: np.ndarray, buckets: int) -> np.ndarray:
         """Buckets of some windows, by a hash that knows nothing of the other."""
         other = common.RollingHash(0xD1342543DE82EF93)
-        return (other.windows(common.mixed(self.words), self.first[windows], self.width) % np.uint64(buckets)).astype(np.int32)
+        return (other.windows(self.digests[:, 1][self.codes], self.first[windows], self.width) % np.uint64(buckets)).astype(np.int64)
 
-    def rows_before(self) -> np.ndarray:
-        """Words of the same doc_id in earlier rows: repeated ids number their words on."""
-        run = np.searchsorted(self.ids, self.ids)
-        return self.before[:-1] - self.before[run]
 
-
-def _pack(ids: np.ndarray, starts: np.ndarray, hashes: np.ndarray | None) -> bytes:
-    """Entries sorted by (id, start)."""
+def _pack(ids: np.ndarray, starts: np.ndarray, *rest: np.ndarray) -> bytes:
+    """Entries sorted by (id, start), with further columns."""
     edge = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])[: len(ids)])
     own = ids[edge]
     counts = np.diff(np.concatenate([edge, [len(ids)]]))
     step = np.diff(own.view(np.uint64), prepend=own[:1].view(np.uint64))
-    out = struct.pack("<QQq", len(own), len(ids), own[0]) + common.packed(step) + common.packed(counts) + common.packed(starts)
-    return out + (hashes.tobytes() if hashes is not None else b"")
+    columns = [step, counts, starts, *(r.view(np.uint64) if r.dtype.itemsize == 8 else r for r in rest)]
+    return struct.pack("<QQq", len(own), len(ids), own[0]) + b"".join(map(common.packed, columns))
 
 
-def _unpack(blob: bytes, hashed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+def _unpack(blob: bytes, rest: int) -> list[np.ndarray]:
     docs, n, first = struct.unpack("<QQq", blob[:24])
     step, at = common.unpacked(blob, 24, docs)
     counts, at = common.unpacked(blob, at, docs)
     starts, at = common.unpacked(blob, at, n)
     own = (np.cumsum(step.astype(np.uint64)) + np.uint64(first & (1 << 64) - 1)).view(np.int64)
-    return np.repeat(own, counts.astype(np.int64)), starts.astype(np.int64), np.frombuffer(blob, "<u8", n, at) if hashed else None
+    out = [np.repeat(own, counts.astype(np.int64)), starts.astype(np.int64)]
+    for _ in range(rest):
+        column, at = common.unpacked(blob, at, n)
+        out.append(column.astype(np.uint64))
+    return out
+
+
+def _runs(*keys: np.ndarray) -> list[slice]:
+    """Runs of rows that agree in all keys."""
+    if not len(keys[0]):
+        return []
+    new = np.zeros(len(keys[0]), bool)
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    edges = [0, *np.flatnonzero(new).tolist(), len(new)]
+    return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def _windows(table: pa.Table, width: int, buckets: int) -> pa.Table:
-    group = Group(table, width)
+def _windows(table: pa.Table, width: int, buckets: int, seed: int) -> pa.Table:
+    group = Group(table, width, seed)
     keep = np.flatnonzero(~group.again)
     bucket = group.bucket(keep, buckets)
-    order = np.argsort(bucket, kind="stable")
-    keep, bucket = keep[order], bucket[order]
-    doc = np.searchsorted(group.upto, keep, "right") - 1
-    start = group.first[keep] - group.before[doc] + group.rows_before()[doc]
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(keep)]]) if len(keep) else np.zeros(1, int)
-    cut = [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    blobs = [_pack(group.ids[doc[c]], start[c], group.hash[keep[c]]) for c in cut]
+    row = np.searchsorted(group.upto, keep, "right") - 1
+    order = np.argsort(2 * bucket + group.late[row], kind="stable")
+    keep, bucket, row = keep[order], bucket[order], row[order]
+    late, start = group.late[row], group.first[keep] - group.before[row] + group.lead()[row]
+    cut = _runs(bucket, late)
     grp = table.column("grp")[0].as_py()
-    return pa.table({"bucket": pa.array([int(bucket[c.start]) for c in cut], pa.int64()), "grp": pa.array([grp] * len(cut), pa.int64()), "blob": pa.array(blobs, pa.binary())})
+    return pa.table({
+        "bucket": pa.array([int(bucket[c.start]) for c in cut], pa.int64()), "grp": pa.array([grp] * len(cut), pa.int64()), "late": pa.array([bool(late[c.start]) for c in cut], pa.bool_()),
+        "blob": pa.array([_pack(group.ids[row[c]], start[c], group.hash[keep[c]]) for c in cut], pa.binary()),
+    })
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """Of a bucket: for each group the places whose window starts earlier in another group."""
-    grp, parts = table.column("grp").to_pylist(), [_unpack(b, True) for b in table.column("blob").to_pylist()]
+    """Of a bucket: for each group the places whose hash has an earlier place elsewhere, and the first place."""
+    parts = [_unpack(b, 1) for b in table.column("blob").to_pylist()]
     ids, starts, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
-    owner = np.repeat(np.array(grp, np.int64), [len(p[0]) for p in parts])
+    size = [len(p[0]) for p in parts]
+    grp, late = np.repeat(table.column("grp").to_numpy(), size), np.repeat(np.array(table.column("late").to_pylist(), bool), size)
     order = np.argsort(hashes)
     h = hashes[order]
     same = h[1:] == h[:-1]
     some = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-    some = some[np.lexsort((starts[some], ids[some], hashes[some]))]
+    some = some[np.lexsort((starts[some], ids[some], late[some], hashes[some]))]
     later = np.concatenate([[False], hashes[some][1:] == hashes[some][:-1]]) if len(some) else np.zeros(0, bool)
-    some = some[later]
-    some = some[np.lexsort((starts[some], ids[some], owner[some]))]
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(owner[some])) + 1, [len(some)]]) if len(some) else np.zeros(1, int)
-    cut = [some[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return pa.table({"grp": pa.array([int(owner[c[0]]) for c in cut], pa.int64()), "blob": pa.array([_pack(ids[c], starts[c], None) for c in cut], pa.binary())})
+    first = some[np.maximum.accumulate(np.where(later, 0, np.arange(len(some))))] if len(some) else some
+    some, first = some[later], first[later]
+    by = np.lexsort((starts[some], ids[some], late[some], grp[some]))
+    some, first = some[by], first[by]
+    cut = _runs(grp[some], late[some])
+    blobs = [_pack(ids[some[c]], starts[some[c]], grp[first[c]], late[first[c]].astype(np.uint8), ids[first[c]], starts[first[c]]) for c in cut]
+    return pa.table({"grp": pa.array([int(grp[some[c.start]]) for c in cut], pa.int64()), "late": pa.array([bool(late[some[c.start]]) for c in cut], pa.bool_()), "blob": pa.array(blobs, pa.binary())})
 
 
-def _remove(key, docs: pa.Table, found: pa.Table, width: int, with_text: bool, schema: pa.Schema) -> pa.Table:
+_CLAIM = pa.struct([("late", pa.bool_()), ("id", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
+_OUT = pa.schema([
+    ("to", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
+    ("kept_text", pa.string()), ("copies", pa.int64()), ("claim", _CLAIM), ("failed", pa.bool_()),
+])
+_DDL = "to long, doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<first: int, last: int>>, kept_text string, copies long, claim struct<late: boolean, id: long, first: long, n: long, digest: binary>, failed boolean"
+
+
+def _digest(words: bytes) -> bytes:
+    return hashlib.blake2b(words, digest_size=16).digest()
+
+
+def _remove(docs: pa.Table, found: pa.Table, width: int, with_text: bool, seed: int) -> pa.Table:
     if not docs.num_rows:
-        return schema.empty_table()
-    group = Group(docs, width)
-    repeated = group.again.copy()
-    lead = group.rows_before()
-    for blob in found.column("blob").to_pylist():
-        ids, starts, _ = _unpack(blob, False)
-        row = np.searchsorted(group.ids, ids)
-        # rows of one doc_id number their words on; the row is the last that begins at or before
-        place = starts + group.before[row]
-        row = np.searchsorted(group.before, place, "right") - 1
-        repeated[group.upto[row] + place - group.before[row]] = True
+        return _OUT.empty_table()
+    group = Group(docs, width, seed)
+    grp = docs.column("grp")[0].as_py()
+    repeated, rows = group.again.copy(), []
+    parts = []
+    for late, blob in zip(found.column("late").to_pylist(), found.column("blob").to_pylist(), strict=True):
+        ids, starts, *first = _unpack(blob, 4)
+        row, word = group.word(late, ids, starts)
+        repeated[group.upto[row] + word - group.before[row]] = True
+        parts.append((word, *(x.view(np.int64) for x in first)))
+    if parts:
+        word, to, late0, id0, start0 = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(word)
+        word, to, late0, id0, start0 = (x[order] for x in (word, to, late0, id0, start0))
+        step = np.arange(len(word))
+        claims = set()
+        for c in _runs(word - step, to, late0, id0, start0 - step):
+            n = c.stop - c.start + width - 1
+            claims.add((int(to[c.start]), bool(late0[c.start]), int(id0[c.start]), int(start0[c.start]), n, _digest(group.words(int(word[c.start]), n))))
+        rows += [{"to": c[0], "claim": dict(zip(("late", "id", "first", "n", "digest"), c[1:], strict=True))} for c in sorted(claims)]
     cover = np.zeros(len(group.starts) + 1, np.int32)
     hit = group.first[repeated]
     np.add.at(cover, hit, 1)
     np.add.at(cover, hit + width, -1)
     gone = np.cumsum(cover[:-1]) > 0
-    out: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], "kept_sha256": [], "removed": [], "kept_text": []}
-    raw = group.data.tobytes()
-    begin, end = group.starts.tolist(), group.ends.tolist()
     for k in range(len(group.ids)):
         a, b = int(group.before[k]), int(group.before[k + 1])
-        mask = gone[a:b]
-        left = (np.flatnonzero(~mask) + a).tolist()
-        kept = b" ".join([raw[begin[w] : end[w]] for w in left])
+        mask, own = gone[a:b], {"to": grp, "doc_id": None if group.late[k] else int(group.ids[k]), "n_words": b - a}
         turn = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8))).reshape(-1, 2).tolist()
-        out["doc_id"].append(None if group.missing[k] else int(group.ids[k]))
-        out["n_words"].append(b - a)
-        out["n_removed"].append(int(mask.sum()))
-        out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-        out["removed"].append([{"first": x, "last": y - 1} for x, y in turn])
-        out["kept_text"].append(kept.decode("utf-8", "replace") if with_text else None)
-    return pa.table(out, schema=schema)
+        kept = b" ".join([group.words(a + x, y - x) for x, y in _between(turn, b - a)])
+        rows.append(own | _kept(kept, with_text) | {"n_removed": int(mask.sum()), "removed": [{"first": x, "last": y - 1} for x, y in turn], "copies": 1})
+        more = int(group.copies[k]) - 1
+        while more > 0:  # whole copies: all their windows come earlier
+            all_ = b - a >= width
+            kept = b"" if all_ else group.words(a, b - a)
+            rows.append(own | _kept(kept, with_text) | {"n_removed": b - a if all_ else 0, "removed": [{"first": 0, "last": b - a - 1}] if all_ else [], "copies": min(more, COPIES)})
+            more -= COPIES
+    return pa.Table.from_pylist(rows, schema=_OUT)
+
+
+def _between(turn: list[list[int]], n: int) -> list[tuple[int, int]]:
+    """What intervals leave of n words."""
+    edges = [0, *(x for t in turn for x in t), n]
+    return [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if a < b]
 
 
-def repeated_windows(docs: DataFrame, width: int = 20, with_text: bool = False, group_bytes: int = 8 << 20, bucket_bytes: int = 6 << 20) -> DataFrame:
+def _kept(kept: bytes, with_text: bool) -> dict:
+    return {"kept_sha256": hashlib.sha256(kept).hexdigest(), "kept_text": kept.decode("utf-8", "replace") if with_text else None}
+
+
+def _verify(docs: pa.Table, found: pa.Table) -> pa.Table:
+    """Results as they are, and of the claims those whose words aren't in the place they name."""
+    done = found.filter(found.column("claim").is_null())
+    claims = [c for c in found.column("claim").to_pylist() if c is not None]
+    if not claims:
+        return done
+    texts, failed = Texts(docs), []
+    for c in claims:
+        _, word = texts.word(c["late"], np.array([c["id"]]), np.array([c["first"]]))
+        if _digest(texts.words(int(word[0]), c["n"])) != c["digest"]:
+            failed.append({"claim": c, "failed": True})
+    return pa.concat_tables([done, pa.Table.from_pylist(failed[:1], schema=_OUT)])
+
+
+def repeated_windows(docs: DataFrame, width: int = 20, with_text: bool = False, group_bytes: int | None = None, bucket_bytes: int | None = None, tries: int = 8) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, removed, kept_text) of every row of docs (doc_id, text).
 
     A word goes if a window of ``width`` words that covers it has a copy that starts earlier: in a smaller doc_id or
     before it in the same document, judged on the input. ``removed`` lists the maximal intervals of word numbers.
     Null texts have no words. Rows that repeat a doc_id are ordered by text and number their words on; no window
-    spans two rows. Rows without doc_id come last. kept_text is given only on request. Extra columns are ignored.
+    spans two rows. Rows without doc_id come last, by a hash of their texts. kept_text is given only on request. Extra
+    columns are ignored. Groups and buckets have 8 MB of text, with a table over 32 GB up to 64 MB: their number
+    grows with the root of the table's size, so that a blob holds many windows.
     """
     total = common.text_bytes(docs)
-    groups, buckets = common.groups_for(total, group_bytes), common.groups_for(total, bucket_bytes)
-    known = F.coalesce("doc_id", F.lit(NO_ID))
-    rows = docs.select(F.pmod(F.xxhash64(known), F.lit(groups)).alias("grp"), known.alias("doc_id"), F.col("doc_id").isNull().alias("missing"), "text")
-    small = rows.mapInArrow(_press, "grp long, doc_id long, missing boolean, small binary").repartition(groups, "grp")
-    sent = small.groupBy("grp").applyInArrow(lambda t: _windows(t, width, buckets), "bucket long, grp long, blob binary")
-    found = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_count, "grp long, blob binary")
-    ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<first: int, last: int>>, kept_text string"
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), ("kept_text", pa.string())])
-    return small.groupBy("grp").cogroup(found.repartition(groups, "grp").groupBy("grp")).applyInArrow(lambda k, a, b: _remove(k, a, b, width, with_text, schema), ddl)
+    piece = int(min(max(math.sqrt(2000 * total), 8 << 20), 64 << 20))
+    groups, buckets = common.groups_for(total, group_bytes or piece), common.groups_for(total, bucket_bytes or piece * 3 // 4)
+    # rows without a doc_id are known by their texts, so they are dealt out like others
+    id_ = F.coalesce("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = docs.select(F.pmod(F.xxhash64(id_), F.lit(groups)).alias("grp"), id_.alias("id"), F.col("doc_id").isNull().alias("late"), "text")
+    small = rows.mapInArrow(_press, "grp long, id long, late boolean, copies long, small binary").repartition(groups, "grp")
+    for seed in range(tries):
+        out = common.checkpointed(_counted(small, groups, buckets, width, with_text, seed))
+        if out.filter("failed").isEmpty():
+            return out.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc_id", "n_words", "n_removed", "kept_sha256", "removed", "kept_text")
+    raise RuntimeError(f"different windows had equal hashes under {tries} hash functions")
+
+
+def _counted(small: DataFrame, groups: int, buckets: int, width: int, with_text: bool, seed: int) -> DataFrame:
+    """Results and failed claims under one pair of hash functions."""
+    sent = small.groupBy("grp").applyInArrow(lambda t: _windows(t, width, buckets, seed), "bucket long, grp long, late boolean, blob binary")
+    found = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_count, "grp long, late boolean, blob binary")
+    out = small.groupBy("grp").cogroup(found.repartition(groups, "grp").groupBy("grp")).applyInArrow(lambda a, b: _remove(a, b, width, with_text, seed), _DDL)
+    return small.groupBy("grp").cogroup(out.repartition(groups, "to").groupBy("to")).applyInArrow(_verify, _DDL)
 
 
 def op6_substring_dedup(spark, sf_dir) -> DataFrame:
