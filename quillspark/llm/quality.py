@@ -1,9 +1,9 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
 Words and pairs of words are hashed into slots; slot counts of the target (documents labelled good) and of all text give
-two bag models. A document's log weight is the mean log ratio of its n-grams times their number, up to a bound that
-keeps long texts from winning or losing by length alone. Adding Gumbel noise drawn from doc_id and taking
-the k largest samples k documents without replacement in proportion to their weights.
+two bag models. A document's log weight is the sum of the log ratios of all its n-grams, which is the log ratio of its
+probabilities under the two models. Adding Gumbel noise drawn from doc_id and text and taking the k largest samples k
+documents without replacement in proportion to their weights.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ from pyspark.sql.window import Window
 from quillspark.llm import common
 
 SLOTS = 1 << 14
-#: Target documents at most, about; and n-grams from which on a longer text weighs no more.
-TARGET_DOCS, FULL_WEIGHT = 20_000, 200
-#: Log weight of a text without words: it comes last.
-NO_WORDS = -1e6
+#: Target documents at most, about.
+TARGET_DOCS = 20_000
+#: Log weight of a text without words: it comes last, as no text of less than 10^10 n-grams weighs so little.
+NO_WORDS = -1e11
 #: Digits of the fixed-point keys are looked at so many bits at a time.
-_DIGIT, _DIGITS, _SCALE, _ZERO = 13, 4, 1 << 20, 1 << 45
+_DIGIT, _DIGITS, _SCALE, _ZERO = 15, 4, 1 << 20, 1 << 59
 
 
 def slots(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -69,7 +69,7 @@ def log_ratios(table: DataFrame, smooth: float = 1.0) -> np.ndarray:
 
 
 def weighted(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """(doc_id, n_ngrams, log_weight) of every row."""
+    """(doc_id, own, n_ngrams, log_weight) of every row; own is a hash of its text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, weight = np.zeros(b.num_rows, np.int64), np.full(b.num_rows, NO_WORDS)
@@ -78,10 +78,10 @@ def weighted(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
                 sums = np.concatenate([[0.0], np.cumsum(ratio[s])])
                 n[i : i + len(k)] = k
                 some = np.flatnonzero(k)
-                weight[i + some] = ((sums[before[1:]] - sums[before[:-1]])[some] / k[some]) * np.minimum(k[some], FULL_WEIGHT)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(np.round(weight, 9))], ["doc_id", "n_ngrams", "log_weight"])
+                weight[i + some] = (sums[before[1:]] - sums[before[:-1]])[some]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("own"), pa.array(n), pa.array(np.round(weight, 9))], ["doc_id", "own", "n_ngrams", "log_weight"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_ngrams long, log_weight double")
+    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"), "text").mapInArrow(run, "doc_id long, own long, n_ngrams long, log_weight double")
 
 
 def largest(rows: DataFrame, key: str, k: int) -> DataFrame:
@@ -102,8 +102,12 @@ def largest(rows: DataFrame, key: str, k: int) -> DataFrame:
             left -= n
         prefix = prefix << _DIGIT | digit
     clear = rows.filter(F.col("_v") != prefix).withColumn("kept", F.col("_v") > prefix)
-    tie = rows.filter(F.col("_v") == prefix).withColumn("kept", F.row_number().over(Window.partitionBy("_v").orderBy(F.desc(key), F.col("doc_id").asc_nulls_last())) <= left)
-    return clear.unionByName(tie).drop("_v")
+    # rows of the k-th key itself: equal ones are counted, numbered together, and as many of them kept as are left
+    names = [c for c in rows.columns if c != "_v"]
+    tie = rows.filter(F.col("_v") == prefix).groupBy(*rows.columns).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_v").orderBy(F.desc(key), F.col("doc_id").asc_nulls_last(), *names).rowsBetween(Window.unboundedPreceding, 0))
+    tie = tie.withColumn("_keep", F.lit(left) - upto + F.col("_n")).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_n")))
+    return clear.drop("_v").unionByName(tie.select(*names, (F.col("_i") <= F.col("_keep")).alias("kept")))
 
 
 def resampled(docs: DataFrame, labels: DataFrame, share: float | None = None) -> DataFrame:
@@ -111,7 +115,8 @@ def resampled(docs: DataFrame, labels: DataFrame, share: float | None = None) ->
 
     The target is a bounded share of the documents labelled good (quality 1), drawn by a hash of doc_id; a doc_id labelled
     twice is good if all labels are. The sample has ``share`` of the rows, by default as many as are good among those
-    labelled (all, without labels). Texts without words come last. Rows with equal doc_id and text are drawn alike.
+    labelled (all, without labels). Null and empty texts, and others without
+    words, come last. Rows with equal doc_id and text are drawn alike; null doc_ids with different texts are not. An empty table stays empty.
     """
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n, good = known.agg(F.count("*"), F.coalesce(F.sum((F.col("quality") == 1).cast("long")), F.lit(0))).first()
@@ -120,13 +125,13 @@ def resampled(docs: DataFrame, labels: DataFrame, share: float | None = None) ->
     target = known.filter("quality = 1").filter(draw).select(F.col("doc_id").alias("_good"))
     marked = docs.select("doc_id", "text").join(F.broadcast(target), F.col("doc_id") == F.col("_good"), "left").select("text", F.col("_good").isNotNull().alias("is_target"))
     ratio = log_ratios(counts(marked))
-    u = (F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("gumbel")), 11) + 0.5) / float(1 << 53)
+    u = (F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "own", F.lit("gumbel")), 11) + 0.5) / float(1 << 53)
     rows = common.checkpointed(weighted(docs, ratio).withColumn("sample_key", F.col("log_weight") - F.log(-F.log(u))))
     total = rows.count()
     k = round(share * total)
     if k <= 0 or k >= total:
-        return rows.withColumn("kept", F.lit(k > 0)).drop("sample_key")
-    return largest(rows, "sample_key", k).drop("sample_key")
+        return rows.withColumn("kept", F.lit(k > 0)).drop("sample_key", "own")
+    return largest(rows, "sample_key", k).drop("sample_key", "own")
 
 
 def op3_quality(spark, sf_dir) -> DataFrame:
