@@ -18,6 +18,8 @@ from quillspark.llm import common
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: Labelled URLs that the model is fitted on, about so many at most.
 SAMPLE = 20_000
+#: Parts that the fitting rows fall in, to learn each row's statistics from the others.
+FOLDS = 4
 #: Parts of a url whose labelled copies are counted: last one and two labels of the host, first folder of the path.
 STATISTICS = ("suffix1", "suffix2", "segment")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,7 +36,7 @@ def parts(pages: DataFrame) -> DataFrame:
 
 
 def rule(host: Column, path: Column, rules=RULES) -> Column:
-    """The longest rule that fits, else null; of equal ones the first."""
+    """The longest rule that fits, else null; of equally long ones the last named."""
     found = F.lit(None).cast("string")
     for _, text in sorted(rules, key=lambda r: len(r[1])):
         at = text.index("/")
@@ -144,35 +146,57 @@ class Boosted:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-self._margin()))
 
 
-def with_suffixes(rows: DataFrame, stats: dict[str, DataFrame], prior: float) -> DataFrame:
-    """Adds the share of blocked and the logarithm of the number of labelled URLs with the same parts of STATISTICS."""
+def suffix_statistics(train: DataFrame) -> tuple[dict[str, DataFrame], float]:
+    """For each of STATISTICS a table (value, ones, n) of the fitting rows, no larger than they are; and the share of ones."""
+    ones = train.agg(F.avg("y")).first()[0]
+    return {s: train.groupBy(s).agg(F.sum("y").alias(f"f_{s}_ones"), F.count("*").cast("double").alias(f"f_{s}_n")) for s in STATISTICS}, 0.0 if ones is None else float(ones)
+
+
+def with_suffixes(rows: DataFrame, stats: dict[str, DataFrame], prior: float, own: DataFrame | None = None) -> DataFrame:
+    """Adds the share of blocked and the logarithm of the number of labelled URLs with the same parts of STATISTICS.
+
+    own are the fitting rows: where rows has their fold, a row's statistics leave the fitting rows of its fold out, so no
+    row's label is among its own features.
+    """
     for name, table in stats.items():
-        rows = rows.join(table, name, "left").fillna({f"f_{name}_share": prior, f"f_{name}_n": 0.0})
+        share, n = f"f_{name}_share", f"f_{name}_n"
+        rows = rows.join(F.broadcast(table), name, "left").fillna({f"f_{name}_ones": 0.0, n: 0.0})
+        if own is not None:
+            fold = own.groupBy(name, "fold").agg(F.sum("y").alias("_ones"), F.count("*").alias("_n"))
+            rows = rows.join(F.broadcast(fold), [name, "fold"]).withColumn(f"f_{name}_ones", F.col(f"f_{name}_ones") - F.col("_ones")).withColumn(n, F.col(n) - F.col("_n")).drop("_ones", "_n")
+        rows = rows.withColumn(share, (F.col(f"f_{name}_ones") + F.lit(prior)) / (F.col(n) + F.lit(1.0))).withColumn(n, F.log1p(n)).drop(f"f_{name}_ones")
     return rows
 
 
+def sampled(labelled: DataFrame, names: list[str], n: int, sample: int) -> DataFrame:
+    """The rows that trees are fitted on: of n labelled ones about sample, drawn by a hash of url and page_id, with their fold."""
+    draw = F.xxhash64(F.coalesce("url", F.lit("")), F.coalesce("page_id", F.lit(-1)))
+    some = labelled.filter(F.pmod(draw, F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, sample / n)))
+    fold = F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(FOLDS)).alias("fold")
+    return common.checkpointed(some.select("page_id", *names, *STATISTICS, fold, F.when(F.col("given") == "block", 1.0).otherwise(0.0).alias("y")))
+
+
+def fitted(train: DataFrame, names: list[str]) -> tuple[Boosted, dict[str, DataFrame], float]:
+    stats, prior = suffix_statistics(train)
+    names = [*names, *(f"f_{s}_{x}" for s in stats for x in ("share", "n"))]
+    return Boosted(with_suffixes(train, stats, prior, train), names), stats, prior
+
+
 def filtered(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     """(page_id, host, path, rule, verdict, probability) of every row of pages (page_id, url).
 
     The verdict is the longest fitting rule's, else block where the trees give 0.5 or more. The trees are fitted on a
-    bounded share of the rows that a rule labels, drawn by a hash of the url; without labels of both kinds everything
+    bounded share of the rows that a rule labels, drawn by a hash of url and page_id; without labels of both kinds everything
     follows the only kind, and allow without any. Null and malformed urls have empty host and path and are judged by
-    their features. Repeated rows stay; extra columns are ignored.
+    their features. Repeated rows stay; extra columns are ignored; an empty table stays empty.
     """
     judged = parts(pages.select("page_id", "url"))
     judged = judged.withColumn("rule", rule(F.col("host"), F.col("path"), rules))
     rows, names = lexical(judged.withColumn("given", verdict_of(F.col("rule"), rules)))
-    labelled = rows.filter("given is not null")
     n = judged.filter("rule is not null").count()
     if not n:
         return judged.select("page_id", "host", "path", "rule", F.lit("allow").alias("verdict"), F.lit(0.0).alias("probability"))
-    draw = F.pmod(F.xxhash64(F.coalesce("url", F.lit("")), F.coalesce("page_id", F.lit(-1))), F.lit(1 << 20))
-    train = common.checkpointed(labelled.filter(draw < math.ceil((1 << 20) * min(1.0, sample / n))).select(*names, *STATISTICS, F.when(F.col("given") == "block", 1.0).otherwise(0.0).alias("y")))
-    ones = train.agg(F.avg("y")).first()[0]
-    prior = 0.0 if ones is None else float(ones)
-    stats = {s: train.groupBy(s).agg(((F.sum("y") + prior) / (F.count("*") + 1)).alias(f"f_{s}_share"), F.log1p(F.count("*").cast("double")).alias(f"f_{s}_n")) for s in STATISTICS}
-    names = [*names, *(f"f_{s}_{x}" for s in stats for x in ("share", "n"))]
-    model = Boosted(with_suffixes(train, stats, prior), names)
+    model, stats, prior = fitted(sampled(rows.filter("given is not null"), names, n, sample), names)
     out = with_suffixes(rows, stats, prior).withColumn("probability", model.probability())
     verdict = F.coalesce("given", F.when(F.col("probability") >= 0.5, F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "probability")
