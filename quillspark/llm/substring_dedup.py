@@ -29,6 +29,8 @@ from quillspark.llm import common
 
 #: A row that stands for more copies is put out several times, so that no array of copies is longer.
 COPIES = 1 << 16
+#: Bytes of text, and windows, that are looked at together.
+SLICE, WINDOWS = 1 << 20, 1 << 17
 _SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -52,8 +54,24 @@ def word_digests(words: list[bytes], seed: int) -> np.ndarray:
     return np.frombuffer(b"".join([xxhash.xxh3_128_digest(w, seed) for w in words]), "<u8").reshape(-1, 2)
 
 
+def _cuts(data: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of about SLICE bytes that begin at white space, so that no word spans two."""
+    out, at = [], 0
+    while at < len(data):
+        end = at + SLICE
+        while end < len(data) and not common.SEPARATOR[data[end]]:
+            gap = np.flatnonzero(common.SEPARATOR[data[end : end + SLICE]])
+            end = end + int(gap[0]) if len(gap) else min(end + SLICE, len(data))
+        out.append((at, min(end, len(data))))
+        at = end
+    return out
+
+
 class Texts:
-    """The different documents of a group by (id, text), those without a doc_id last, with the places of their words."""
+    """The different documents of a group by (id, text), those without a doc_id last, with the places of their words.
+
+    Everything about words is kept in four bytes and made a stretch at a time: a very long document is a group of its own.
+    """
 
     def __init__(self, table: pa.Table):
         open_ = zstandard.ZstdDecompressor()
@@ -66,8 +84,17 @@ class Texts:
         self.copies = np.array([rows[r] for r in order], np.int64)
         self.at = np.concatenate([[0], np.cumsum([len(r[2]) for r in order], dtype=np.int64)])
         self.raw = b"".join([r[2] for r in order])
+        del rows, order
         self.data = np.frombuffer(self.raw, np.uint8)
-        self.starts, self.ends, self.before = common.word_spans(self.data, self.at)
+        starts, ends = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for a, b in _cuts(self.data):
+            edges = self.at[np.searchsorted(self.at, a, "right") : np.searchsorted(self.at, b, "left")]
+            own = np.concatenate([[a], edges, [b]]) - a
+            first, last, _ = common.word_spans(self.data[a:b], own)
+            starts.append((first + a).astype(np.int32))
+            ends.append((last + a).astype(np.int32))
+        self.starts, self.ends = np.concatenate(starts), np.concatenate(ends)
+        self.before = np.searchsorted(self.starts, self.at)
         # rows that repeat an id number their words on, whole copies too
         self.number = np.concatenate([[0], np.cumsum(np.diff(self.before) * self.copies)])[:-1]
         known = int((~self.late).sum())
@@ -88,9 +115,20 @@ class Texts:
         # rows without words have the number of the row after them
         return row, self.before[row] + place - self.number[row]
 
-    def words(self, first: int, n: int) -> bytes:
-        """Some words in a row, a space between."""
-        return b" ".join([self.raw[a:b] for a, b in zip(self.starts[first : first + n].tolist(), self.ends[first : first + n].tolist(), strict=True)])
+    def joined(self, stretches: list[tuple[int, int]]) -> Iterator[bytes]:
+        """Words of stretches (first, past the last), a space between all of them, in pieces."""
+        space = b""
+        for first, end in stretches:
+            for a in range(first, end, 1 << 15):
+                b = min(end, a + (1 << 15))
+                yield space + b" ".join([self.raw[x:y] for x, y in zip(self.starts[a:b].tolist(), self.ends[a:b].tolist(), strict=True)])
+                space = b" "
+
+    def digest(self, first: int, n: int) -> bytes:
+        out = hashlib.blake2b(digest_size=16)
+        for part in self.joined([(first, first + n)]):
+            out.update(part)
+        return out.digest()
 
 
 class Group(Texts):
@@ -99,37 +137,65 @@ class Group(Texts):
     def __init__(self, table: pa.Table, width: int, seed: int):
         super().__init__(table)
         self.width = width
-        # a piece is a word and the white space after it
-        edges = np.concatenate([self.starts, [len(self.data)]])
-        pieces = pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(edges), pa.py_buffer(self.data)]).dictionary_encode()
         kinds: dict[bytes, int] = {}
-        of_piece = np.array([kinds.setdefault(p.rstrip(_SPACE), len(kinds)) for p in pieces.dictionary.to_pylist()], np.int64)
-        self.codes = of_piece[pieces.indices.to_numpy()] if len(of_piece) else np.zeros(0, np.int64)
+        codes = [np.zeros(0, np.int32)]
+        for a, b in _cuts(self.data):
+            i, j = np.searchsorted(self.starts, (a, b))
+            if i < j:
+                # a piece is a word and the white space after it
+                edges = np.concatenate([self.starts[i:j], [b]]).astype(np.int64)
+                pieces = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(edges), pa.py_buffer(self.data)]).dictionary_encode()
+                own = np.array([kinds.setdefault(p.rstrip(_SPACE), len(kinds)) for p in pieces.dictionary.to_pylist()], np.int32)
+                codes.append(own[pieces.indices.to_numpy()])
+        self.codes = np.concatenate(codes)
         self.digests = word_digests(list(kinds), seed)
-        self.first, self.upto = common.window_starts(self.before, width)
-        self.hash = common.RollingHash(0x9E3779B97F4A7C15 & ~3 | 3).windows(self.digests[:, 0][self.codes], self.first, width)
+        del kinds, codes
+        each = np.maximum(np.diff(self.before) - width + 1, 0)
+        self.upto = np.concatenate([[0], np.cumsum(each)])
+        self.hash = np.empty(self.upto[-1], np.uint64)
+        for a in range(0, len(self.hash), WINDOWS):
+            own = np.arange(a, min(a + WINDOWS, len(self.hash)))
+            self.hash[own] = self._hashed(own, 0, 0x9E3779B97F4A7C15 & ~3 | 3)
         order = np.argsort(self.hash, kind="stable")
         h = self.hash[order]
-        same = np.concatenate([[False], h[1:] == h[:-1]])[: len(h)]
-        leader = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))]
-        one, two = self.first[order[same]], self.first[leader[same]]
-        alike = np.ones(len(one), bool)
+        same = np.zeros(len(h), bool)
+        same[1:] = h[1:] == h[:-1]
+        later = np.flatnonzero(same)
+        leader = np.flatnonzero(~same)[np.cumsum(~same, dtype=np.int32)[later] - 1]
+        later, leader, values = order[later], order[leader], h[later]
+        del order, h, same
+        alike = np.ones(len(later), bool)
+        one, two = self.start(later), self.start(leader)
         for j in range(width):
             alike &= self.codes[one + j] == self.codes[two + j]
         #: windows that repeat an earlier one of this group, word by word
-        self.again = np.zeros(len(h), bool)
-        self.again[order[same][alike]] = True
-        for value in np.unique(h[same][~alike]):  # different windows with the same hash
+        self.again = np.zeros(len(self.hash), bool)
+        self.again[later[alike]] = True
+        for value in np.unique(values[~alike]):  # different windows with the same hash
             seen = set()
-            for k in order[h == value].tolist():
-                own = self.codes[self.first[k] : self.first[k] + width].tobytes()
+            for k in np.flatnonzero(self.hash == value).tolist():
+                at = int(self.start(np.array([k]))[0])
+                own = self.codes[at : at + width].tobytes()
                 self.again[k] = own in seen
                 seen.add(own)
 
+    def start(self, windows: np.ndarray) -> np.ndarray:
+        """Index among all words of the first word of some windows."""
+        row = np.searchsorted(self.upto, windows, "right") - 1
+        return windows - self.upto[row] + self.before[row]
+
+    def _hashed(self, windows: np.ndarray, which: int, base: int) -> np.ndarray:
+        """Rabin-Karp hashes of windows in ascending order, over one of the words' two hashes."""
+        first = self.start(windows)
+        low = int(first[0])
+        return common.RollingHash(base).windows(self.digests[:, which][self.codes[low : int(first[-1]) + self.width]], first - low, self.width)
+
     def bucket(self, windows: np.ndarray, buckets: int) -> np.ndarray:
-        """Buckets of some windows, by a hash that knows nothing of the other."""
-        other = common.RollingHash(0xD1342543DE82EF93)
-        return (other.windows(self.digests[:, 1][self.codes], self.first[windows], self.width) % np.uint64(buckets)).astype(np.int64)
+        """Buckets of windows in ascending order, by a hash that knows nothing of the other."""
+        out = np.empty(len(windows), np.int32)
+        for a in range(0, len(windows), WINDOWS):
+            out[a : a + WINDOWS] = self._hashed(windows[a : a + WINDOWS], 1, 0xD1342543DE82EF93) % np.uint64(buckets)
+        return out
 
 
 def _pack(ids: np.ndarray, starts: np.ndarray, *rest: np.ndarray) -> bytes:
@@ -169,17 +235,17 @@ def _runs(*keys: np.ndarray) -> list[slice]:
 def _windows(table: pa.Table, width: int, buckets: int, seed: int) -> pa.Table:
     group = Group(table, width, seed)
     keep = np.flatnonzero(~group.again)
-    bucket = group.bucket(keep, buckets)
-    row = np.searchsorted(group.upto, keep, "right") - 1
-    order = np.argsort(2 * bucket + group.late[row], kind="stable")
-    keep, bucket, row = keep[order], bucket[order], row[order]
-    late, start = group.late[row], group.first[keep] - group.before[row] + group.lead()[row]
-    cut = _runs(bucket, late)
+    first_late = group.upto[group.parts[True][0]]
+    key = 2 * group.bucket(keep, buckets).astype(np.int64) + (keep >= first_late)
+    order = np.argsort(key, kind="stable")
+    key, lead, out = key[order], group.lead(), []
+    for c in _runs(key):
+        own = keep[order[c]]
+        row = np.searchsorted(group.upto, own, "right") - 1
+        out.append((int(key[c.start]) >> 1, bool(key[c.start] & 1), _pack(group.ids[row], own - group.upto[row] + lead[row], group.hash[own])))
     grp = table.column("grp")[0].as_py()
-    return pa.table({
-        "bucket": pa.array([int(bucket[c.start]) for c in cut], pa.int64()), "grp": pa.array([grp] * len(cut), pa.int64()), "late": pa.array([bool(late[c.start]) for c in cut], pa.bool_()),
-        "blob": pa.array([_pack(group.ids[row[c]], start[c], group.hash[keep[c]]) for c in cut], pa.binary()),
-    })
+    columns = list(zip(*out, strict=True)) or [[]] * 3
+    return pa.table({"bucket": pa.array(columns[0], pa.int64()), "grp": pa.array([grp] * len(out), pa.int64()), "late": pa.array(columns[1], pa.bool_()), "blob": pa.array(columns[2], pa.binary())})
 
 
 def _count(table: pa.Table) -> pa.Table:
@@ -211,10 +277,6 @@ _OUT = pa.schema([
 _DDL = "to long, doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<first: int, last: int>>, kept_text string, copies long, claim struct<late: boolean, id: long, first: long, n: long, digest: binary>, failed boolean"
 
 
-def _digest(words: bytes) -> bytes:
-    return hashlib.blake2b(words, digest_size=16).digest()
-
-
 def _remove(docs: pa.Table, found: pa.Table, width: int, with_text: bool, seed: int) -> pa.Table:
     if not docs.num_rows:
         return _OUT.empty_table()
@@ -235,36 +297,35 @@ def _remove(docs: pa.Table, found: pa.Table, width: int, with_text: bool, seed:
         claims = set()
         for c in _runs(word - step, to, late0, id0, start0 - step):
             n = c.stop - c.start + width - 1
-            claims.add((int(to[c.start]), bool(late0[c.start]), int(id0[c.start]), int(start0[c.start]), n, _digest(group.words(int(word[c.start]), n))))
+            claims.add((int(to[c.start]), bool(late0[c.start]), int(id0[c.start]), int(start0[c.start]), n, group.digest(int(word[c.start]), n)))
         rows += [{"to": c[0], "claim": dict(zip(("late", "id", "first", "n", "digest"), c[1:], strict=True))} for c in sorted(claims)]
     cover = np.zeros(len(group.starts) + 1, np.int32)
-    hit = group.first[repeated]
+    hit = group.start(np.flatnonzero(repeated))
     np.add.at(cover, hit, 1)
     np.add.at(cover, hit + width, -1)
-    gone = np.cumsum(cover[:-1]) > 0
+    gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
     for k in range(len(group.ids)):
         a, b = int(group.before[k]), int(group.before[k + 1])
-        mask, own = gone[a:b], {"to": grp, "doc_id": None if group.late[k] else int(group.ids[k]), "n_words": b - a}
-        turn = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8))).reshape(-1, 2).tolist()
-        kept = b" ".join([group.words(a + x, y - x) for x, y in _between(turn, b - a)])
-        rows.append(own | _kept(kept, with_text) | {"n_removed": int(mask.sum()), "removed": [{"first": x, "last": y - 1} for x, y in turn], "copies": 1})
+        own = {"to": grp, "doc_id": None if group.late[k] else int(group.ids[k]), "n_words": b - a}
+        turn = np.flatnonzero(np.diff(np.concatenate([[False], gone[a:b], [False]]).astype(np.int8))).reshape(-1, 2).tolist()
+        edges = [a, *(a + x for t in turn for x in t), b]
+        left = [(x, y) for x, y in zip(edges[::2], edges[1::2], strict=True) if x < y]
+        rows.append(own | _kept(group.joined(left), with_text) | {"n_removed": sum(y - x for x, y in turn), "removed": [{"first": x, "last": y - 1} for x, y in turn], "copies": 1})
         more = int(group.copies[k]) - 1
         while more > 0:  # whole copies: all their windows come earlier
             all_ = b - a >= width
-            kept = b"" if all_ else group.words(a, b - a)
-            rows.append(own | _kept(kept, with_text) | {"n_removed": b - a if all_ else 0, "removed": [{"first": 0, "last": b - a - 1}] if all_ else [], "copies": min(more, COPIES)})
+            kept = _kept(group.joined([] if all_ or a == b else [(a, b)]), with_text)
+            rows.append(own | kept | {"n_removed": b - a if all_ else 0, "removed": [{"first": 0, "last": b - a - 1}] if all_ else [], "copies": min(more, COPIES)})
             more -= COPIES
     return pa.Table.from_pylist(rows, schema=_OUT)
 
 
-def _between(turn: list[list[int]], n: int) -> list[tuple[int, int]]:
-    """What intervals leave of n words."""
-    edges = [0, *(x for t in turn for x in t), n]
-    return [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if a < b]
-
-
-def _kept(kept: bytes, with_text: bool) -> dict:
-    return {"kept_sha256": hashlib.sha256(kept).hexdigest(), "kept_text": kept.decode("utf-8", "replace") if with_text else None}
+def _kept(parts: Iterator[bytes], with_text: bool) -> dict:
+    sha, held = hashlib.sha256(), []
+    for part in parts:
+        sha.update(part)
+        held += [part] * with_text
+    return {"kept_sha256": sha.hexdigest(), "kept_text": b"".join(held).decode("utf-8", "replace") if with_text else None}
 
 
 def _verify(docs: pa.Table, found: pa.Table) -> pa.Table:
@@ -276,7 +337,7 @@ def _verify(docs: pa.Table, found: pa.Table) -> pa.Table:
     texts, failed = Texts(docs), []
     for c in claims:
         _, word = texts.word(c["late"], np.array([c["id"]]), np.array([c["first"]]))
-        if _digest(texts.words(int(word[0]), c["n"])) != c["digest"]:
+        if texts.digest(int(word[0]), c["n"]) != c["digest"]:
             failed.append({"claim": c, "failed": True})
     return pa.concat_tables([done, pa.Table.from_pylist(failed[:1], schema=_OUT)])
 

@@ -3,6 +3,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from quillspark.llm import substring_dedup as sub
@@ -86,3 +87,15 @@ def test_one_row_repeated_very_often(spark):
     docs = spark.range(70_000).selectExpr("CASE WHEN id % 7 > 0 THEN 5L WHEN id % 2 = 0 THEN NULL ELSE id END AS doc_id", f"CASE WHEN id % 7 > 0 THEN '{w}' ELSE concat('x', id) END AS text")
     got = sub.repeated_windows(docs)
     assert got.count() == 70_000 and got.filter("doc_id = 5 and n_removed = 25").count() == 59_999 and got.filter("n_removed = 0").count() == 10_001
+
+
+def test_stretches_and_slices_change_nothing(spark, sf, monkeypatch):
+    """Kernels that look at a few bytes and windows at a time find the same."""
+    monkeypatch.setattr(sub, "SLICE", 50)
+    monkeypatch.setattr(sub, "WINDOWS", 7)
+    rows = [(k, " ".join(f"w{(k * 7 + i) % 90}" for i in range(60)) + "\n" * (k % 3)) for k in range(12)] + [(99, "x" * 500 + " a b"), (100, "")]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(rows)), pa.array([d for d, _ in rows]), pa.array([False] * len(rows)), pa.array([t for _, t in rows])], ["grp", "id", "late", "text"])
+    table = pa.Table.from_batches(list(sub._press(iter([batch]))))
+    found = sub._count(pa.table({k: v for k, v in sub._windows(table, 20, 1, 0).to_pydict().items()}, schema=pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("late", pa.bool_()), ("blob", pa.binary())])))
+    got = sub._remove(table, found, 20, False, 0).to_pylist()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got), key=str) == brute(rows)
