@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,13 +21,10 @@ NUMBER_WORDS = {
 UNIT_DAYS = {"year": 365.0, "month": 30.0, "day": 1.0, "business day": 1.4, "hour": 1 / 24}
 DURATION = r"(?i)(?:not less than|at least|minimum of|no later than|within|for)\s+(?:a period of\s+)?(\w+)\s*(?:\(\d+\)\s*)?(year|month|day|business day|hour)s?"
 
-# How a heading carries its own reference, tried in this order.
-REFERENCES = (
-    r"^\s*(?:§+\s*)?(\d+(?:\.\d+)+)",
-    r"^\s*(?:§+\s*)?(\d+)(?=[.)])",
-    r"^\s*([IVXLCDM]+(?:\.[A-Z0-9]+)*)(?=[.)\s])",
-    r"^\s*\(([a-z]{1,3}|[ivxlcdm]{1,4}|\d{1,3})\)",
-    r"^\s*(?i:Article|Section|Sec\.|Part|Rule)\s+([\w.\-]+)",
+# How a heading carries its own reference (one group of these), and where a sentence ends.
+REFERENCE = (
+    r"^\s*(?:(?:§+\s*)?(\d+(?:\.\d+)+)|(?:§+\s*)?(\d+)(?=[.)])|([IVXLCDM]+(?:\.[A-Z0-9]+)*)(?=[.)\s])"
+    r"|\(([a-z]{1,3}|[ivxlcdm]{1,4}|\d{1,3})\)|(?i:Article|Section|Sec\.|Part|Rule)\s+([\w.\-]+))[\s.\-\u2014:)]*"
 )
 SENTENCE_END = r"(?<=[.;:])\s+(?=[A-Z(])"
 
@@ -67,16 +66,14 @@ def tokens(c: Column) -> Column:
 
 
 def term_density(c: Column, term: str) -> Column:
-    """Characters that occurrences of term take, in any case, inside words too."""
-    return F.lit(len(term)) * F.regexp_count(c, F.lit(f"(?i){term}"))
+    """Characters that occurrences of term take, in any case, inside words too; term is text, not a pattern."""
+    return F.lit(len(term)) * F.regexp_count(c, F.lit(f"(?i){re.escape(term)}"))
 
 
 def heading_reference(c: Column) -> Column:
     """The reference a heading begins with, or null."""
-    found = F.lit(None).cast("string")
-    for pattern in reversed(REFERENCES):
-        found = F.coalesce(F.nullif(F.regexp_extract(c, pattern, 1), F.lit("")), found)
-    return found
+    groups = [F.nullif(F.regexp_extract(c, REFERENCE, k), F.lit("")) for k in range(1, 6)]
+    return F.coalesce(*groups)
 
 
 def durations(c: Column) -> Column:

@@ -77,3 +77,20 @@ def chunks(df: DataFrame, text: str = "text", context: str | None = None, target
 def section_context(title: str, ref: str, heading: str):
     """Title (90 characters), reference and heading, those that aren't empty."""
     return F.concat_ws(" — ", F.nullif(F.substring(title, 1, 90), F.lit("")), F.nullif(F.col(ref), F.lit("")), F.nullif(F.col(heading), F.lit("")))
+
+
+def section_chunks(sections: DataFrame, target: int = TARGET, maximum: int = MAXIMUM) -> DataFrame:
+    """(ref, document, text, body, context, part, of_parts) of sections (document, ordinal, title, ref, heading, body).
+
+    A chunk's reference is document:ordinal:reference (x without one): stable when a document is parsed again, and no two
+    documents share one.
+    """
+    d = sections.withColumn("_context", section_context("title", "ref", "heading"))
+    d = d.select("document", F.concat_ws(":", F.col("document").cast("string"), F.col("ordinal").cast("string"), F.coalesce(F.nullif("ref", F.lit("")), F.lit("x"))).alias("ref"), "body", "_context")
+    return chunks(d.withColumnRenamed("body", "_text"), "_text", "_context", target, maximum).select("ref", "document", "text", "body", "context", "part", "of_parts")
+
+
+def clause_chunks(clauses: DataFrame) -> DataFrame:
+    """One chunk of each clause (clause_id, policy_title, section, heading, text, retrieval_text), however long: what is cited is one unit."""
+    context = F.concat_ws(" — ", "policy_title", F.coalesce("section", F.lit("")), F.coalesce("heading", F.lit("")))
+    return clauses.select(F.col("clause_id").alias("ref"), F.col("retrieval_text").alias("text"), F.col("text").alias("body"), context.alias("context"), F.lit(0).alias("part"), F.lit(1).alias("of_parts"))

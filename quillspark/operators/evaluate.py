@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillspark.functions import metrics as M
 
@@ -39,6 +40,51 @@ def floor_percentile(values: Column, p: float) -> Column:
     return F.when(n > 0, F.element_at(F.array_sort(values), at)).otherwise(0.0)
 
 
+def _upto(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, value, n, upto): rows of the group, and those up to this value. Equal values are counted before they are sorted."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_k"))
+    run = Window.partitionBy(group).orderBy(value)
+    whole = Window.partitionBy(group)
+    return counts.select(group, value, F.sum("_k").over(whole).alias("n"), F.sum("_k").over(run).alias("upto"))
+
+
+def floor_percentiles(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(group, name...) with the value at index floor(share * n) of each group's sorted values, the last at most; no group is collected."""
+    d = _upto(df, group, value)
+    at = lambda p: F.least(F.floor(F.lit(p) * F.col("n")), F.col("n") - 1)
+    return d.groupBy(group).agg(*[F.min(F.when(F.col("upto") > at(p), F.col(value))).alias(name) for name, p in shares.items()])
+
+
+def upper_median(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, n, low, median, high): the median is the value at index n // 2 of the sorted values."""
+    d = _upto(df, group, value)
+    middle = F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col(value)))
+    return d.groupBy(group).agg(F.first("n").alias("n"), F.min(value).alias("low"), middle.alias("median"), F.max(value).alias("high"))
+
+
+def most_common(df: DataFrame, column: str, order: str, limit: int) -> DataFrame:
+    """(column, n): the commonest values, of equal ones the first seen by order."""
+    counts = df.groupBy(column).agg(F.count("*").alias("n"), F.min(order).alias("_at"))
+    return counts.orderBy(F.desc("n"), "_at").limit(limit).drop("_at")
+
+
+def component_summary(runs: DataFrame, retrieval: float = 0.67, span: float = 0.18, divisor: float = 0.05, share: float = 0.6) -> DataFrame:
+    """One row about what holds confidence down, from runs (top_score, margin) that reached the judge.
+
+    Least, middle (at index n // 2) and greatest of both components, how often the margin was the lower one, and whether in more than
+    ``share`` of the runs, so that confidence is little else than the margin.
+    """
+    part = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    top, margin = F.coalesce("top_score", F.lit(0.0)), F.coalesce("margin", F.lit(0.0))
+    d = runs.select(F.lit(1).alias("_g"), part((top - retrieval) / span).alias("r"), part(margin / divisor).alias("m"))
+    both = None
+    for name in ("r", "m"):
+        m = upper_median(d, "_g", name).select("_g", *[F.round(c, 6).alias(f"{'retrieval' if name == 'r' else 'margin'}_{c}") for c in ("low", "median", "high")])
+        both = m if both is None else both.join(m, "_g")
+    bound = d.groupBy("_g").agg(F.count("*").alias("judged"), F.count_if(F.col("m") < F.col("r")).alias("margin_binds"))
+    return bound.join(both, "_g").withColumn("margin_dominates", F.col("margin_binds") > F.col("judged") * share).drop("_g")
+
+
 def threshold_sweep(decisions: DataFrame, thresholds: list[float]) -> DataFrame:
     """(threshold, filed, filed_exact, held_exact) from decisions (confidence, exact): one pass for all thresholds."""
     t = F.explode(F.array(*[F.lit(x) for x in thresholds])).alias("threshold")

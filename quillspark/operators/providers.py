@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import inspect
 import math
 import random
 import time
@@ -12,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quillspark.operators.validate import RATE_LIMIT, TRANSIENT
 
@@ -74,17 +76,27 @@ def call(fn: Callable[[], object], budget: Budget, attempts: int = 3, rate_limit
             wait(pauses[min(tried + limited, len(pauses)) - 1])
 
 
-def embedded(df: DataFrame, text: str, embed: Callable | None = None, batch: int = 20, calls: int = 1 << 30) -> DataFrame:
-    """df with embedding: array<float>, embedded in batches of bounded size. Write the result before reading it twice: a recomputed task would call again."""
+def embedded(df: DataFrame, text: str, embed: Callable | None = None, batch: int = 20, calls: int = 1 << 30, per_minute: int | None = None, task: str = "document", wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """df with embedding: array<float>, embedded in batches of bounded size; embed takes texts, and the task if it asks for one.
+
+    per_minute bounds the texts that a task sends in a minute. Write the result before reading it twice: a recomputed task would call again.
+    """
+    if task not in ("document", "query"):
+        raise ValueError(f"unknown task {task!r}")
     embed = embed or hashing_embedder()
+    ask = (lambda texts: embed(texts, task)) if len(inspect.signature(embed).parameters) > 1 else embed
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        budget = Budget(calls)
+        budget, sent = Budget(calls), 0
         for pdf in batches:
             vectors: list = []
             for lo in range(0, len(pdf), batch):
                 part = pdf[text].iloc[lo : lo + batch].tolist()
-                got = call(lambda part=part: embed(part), budget, rate_limit_is_fatal=False)
+                if per_minute and sent and (sent + len(part) > per_minute):
+                    wait(60.0)
+                    sent = 0
+                got = call(lambda part=part: ask(part), budget, rate_limit_is_fatal=False)
+                sent += len(part)
                 if len(got) != len(part):
                     raise ValueError(f"{len(got)} vectors for {len(part)} texts")
                 vectors += got
@@ -94,6 +106,24 @@ def embedded(df: DataFrame, text: str, embed: Callable | None = None, batch: int
     return df.mapInPandas(run, f"{ddl}, embedding array<float>")
 
 
+def index_in_batches(chunks: DataFrame, path: str, keys: tuple[str, ...] = ("ref", "part"), rows: int = 10_000, **settings) -> int:
+    """Embeds the chunks that the index at path doesn't have yet and appends them, ``rows`` or so at a time; how many batches that took.
+
+    Every batch is committed before the next begins, so a failure loses one batch, and the next call goes on after the last commit.
+    """
+    spark = chunks.sparkSession
+    ddl = f"{', '.join(f'`{n}` {t}' for n, t in chunks.dtypes)}, embedding array<float>"
+    spark.createDataFrame([], ddl).write.mode("append").parquet(path)
+    pending = chunks.join(spark.read.schema(ddl).parquet(path).select(*keys), list(keys), "left_anti")
+    n = math.ceil(pending.count() / rows)
+    for k in range(n):
+        # the batch of a chunk doesn't depend on what is pending
+        own = chunks.filter((F.pmod(F.xxhash64(*keys), F.lit(n)) == k))
+        left = own.join(spark.read.schema(ddl).parquet(path).select(*keys), list(keys), "left_anti")
+        embedded(left.select(*chunks.columns), "text", **settings).write.mode("append").parquet(path)
+    return n
+
+
 def word_diff(old: str | None, new: str | None) -> str:
     """[-removed-] [+added+] and kept words, in order."""
     a, b = (old or "").split(), (new or "").split()
@@ -106,19 +136,6 @@ def word_diff(old: str | None, new: str | None) -> str:
     return " ".join(out)
 
 
-def porter_like_key(word: str) -> str:
-    """A light English stem for keyword columns: plural and -ing/-ed endings off where a vowel stays."""
-    for end, put in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
-        if word.endswith(end) and len(word) > len(end) + 1:
-            word = word[: -len(end)] + put
-            break
-    for end in ("ing", "ed"):
-        if word.endswith(end) and any(c in "aeiouy" for c in word[: -len(end)]):
-            word = word[: -len(end)]
-            break
-    return word
-
-
 def call_share(limit: int, partitions: int) -> int:
     """Each partition's part of a cap on calls."""
     return max(1, math.floor(limit / max(partitions, 1)))

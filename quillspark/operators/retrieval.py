@@ -11,11 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark.functions import text as T
 from quillspark.functions import vector
+from quillspark.functions.stem import stemmed
 
 RRF_K = 60
-#: Queries that go along with a task at a time; more are searched in further blocks.
-QUERY_BLOCK = 2048
+#: Bytes of query vectors that go along with a pass over the chunks, and queries that are scored together.
+QUERY_BYTES, QUERY_BLOCK = 64 << 20, 512
+#: Query terms up to which they are sent to every task; with more, both sides are dealt out by term and salt.
+TERMS_SENT, SALTS = 200_000, 16
 
 
 def vector_topk(chunks: DataFrame, query: list[float], k: int, key: str = "ref", condition: Column | None = None) -> DataFrame:
@@ -26,24 +30,37 @@ def vector_topk(chunks: DataFrame, query: list[float], k: int, key: str = "ref",
     return rows.select(key, F.round(vector.cosine(F.col("embedding"), q), 6).alias("similarity")).orderBy(F.desc("similarity"), key).limit(k)
 
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _passes(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of as many queries at a time as QUERY_BYTES hold."""
     held: list = []
     for r in queries.toLocalIterator():
         held.append(r)
-        if len(held) == QUERY_BLOCK:
+        if len(held) * 8 * len(r[1]) >= QUERY_BYTES:
             yield np.array([x[0] for x in held]), np.array([x[1] for x in held], float)
             held = []
     if held:
         yield np.array([x[0] for x in held]), np.array([x[1] for x in held], float)
 
 
+def _largest(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest of each row, ties to the smaller column, without a sort of the rows."""
+    k = min(k, scores.shape[1])
+    least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+    row, column = np.nonzero(scores >= least)
+    order = np.lexsort((column, -scores[row, column], row))
+    row, column = row[order], column[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[first], column[first]
+
+
 def vector_topk_many(chunks: DataFrame, queries: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
     """(query_id, key, similarity, rank) for queries (query_id, embedding) against chunks (key, embedding).
 
-    Queries come in blocks of bounded size; every task keeps its k best for each query, which are merged by a window.
+    Query vectors go along with the tasks, QUERY_BYTES of them a pass over the chunks; every task keeps its k best for
+    each query, which are merged by a window.
     """
     found = None
-    for ids, q in _blocks(queries.select("query_id", "embedding").filter("embedding is not null")):
+    for ids, q in _passes(queries.select("query_id", "embedding").filter("embedding is not null")):
         norms = np.linalg.norm(q, axis=1)
         unit = np.divide(q, norms[:, None], out=np.zeros_like(q), where=norms[:, None] > 0)
 
@@ -53,12 +70,14 @@ def vector_topk_many(chunks: DataFrame, queries: DataFrame, k: int, key: str = "
                     continue
                 x = np.array(b.column("embedding").flatten().to_numpy(zero_copy_only=False), float).reshape(b.num_rows, -1)
                 keys = b.column(key).to_numpy(zero_copy_only=False)
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                s = np.round(unit @ np.divide(x, n, out=np.zeros_like(x), where=n > 0).T, 6)
                 order = np.argsort(keys, kind="stable")
-                best = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]]
-                row = np.repeat(np.arange(len(ids)), best.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(keys[best.ravel()]), pa.array(s[row, best.ravel()])], ["query_id", key, "similarity"])
+                x, keys = x[order], keys[order]
+                n = np.linalg.norm(x, axis=1, keepdims=True)
+                x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+                for lo in range(0, len(ids), QUERY_BLOCK):
+                    s = np.round(unit[lo : lo + QUERY_BLOCK] @ x.T, 6)
+                    row, best = _largest(s, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo + row]), pa.array(keys[best]), pa.array(s[row, best])], ["query_id", key, "similarity"])
 
         part = chunks.filter("embedding is not null").select(key, "embedding").mapInArrow(near, f"query_id long, {key} long, similarity double")
         found = part if found is None else found.unionByName(part)
@@ -68,18 +87,50 @@ def vector_topk_many(chunks: DataFrame, queries: DataFrame, k: int, key: str = "
     return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
-def keyword_rank(chunks: DataFrame, queries: DataFrame, k: int, key: str, tokens: str = "tokens", terms: str = "terms") -> DataFrame:
-    """(query_id, key, matches, rank): chunks by the number of positions that match any term.
+def token_index(chunks: DataFrame, key: str, tokens: str = "tokens", stems: bool = True) -> DataFrame:
+    """(key, term, n): an inverted index to write once and search often; n positions of the chunk have the (stemmed) term.
 
-    An inverted join on the term: nothing is compared that shares no term. Counts are combined before the shuffle.
+    Positions of a word are counted before its stem is taken, so each word of a chunk is stemmed once.
     """
     words = chunks.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    if not stems:
+        return words
+    return stemmed(words, "term", "_stem").groupBy(key, F.col("_stem").alias("term")).agg(F.sum("n").alias("n"))
+
+
+def index_search(index: DataFrame, queries: DataFrame, k: int, key: str, terms: str = "terms", stems: bool = True) -> DataFrame:
+    """(query_id, key, matches, rank): chunks of a token index by the number of positions that match any term, for queries (query_id, terms).
+
+    Nothing is compared that shares no term. Query terms are counted: up to TERMS_SENT of them go to every task, and the
+    index isn't shuffled; more are dealt out by term and a salt of the chunk, so a common term is many keys.
+    """
     asked = queries.select("query_id", F.explode(F.array_distinct(terms)).alias("term"))
-    found = words.join(asked, "term").groupBy("query_id", key).agg(F.sum("n").alias("matches"))
+    if stems:
+        asked = stemmed(asked, "term", "_stem").select("query_id", F.col("_stem").alias("term")).distinct()
+    if asked.count() <= TERMS_SENT:
+        pairs = index.join(F.broadcast(asked), "term")
+    else:
+        salt = F.pmod(F.xxhash64(key), F.lit(SALTS))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+        pairs = index.withColumn("_salt", salt).join(asked.withColumn("_salt", every), ["term", "_salt"])
+    found = pairs.groupBy("query_id", key).agg(F.sum("n").alias("matches"))
     w = Window.partitionBy("query_id").orderBy(F.desc("matches"), key)
     return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
+def keyword_rank(chunks: DataFrame, queries: DataFrame, k: int, key: str, tokens: str = "tokens", terms: str = "terms", stems: bool = True) -> DataFrame:
+    """``index_search`` in the ``token_index`` of chunks (key, tokens)."""
+    return index_search(token_index(chunks, key, tokens, stems), queries, k, key, terms, stems)
+
+
+def search_view(found: DataFrame, snippet: int = 160) -> DataFrame:
+    """(rank, ref, similarity, part_label, snippet) of ranked chunks (rank, ref, similarity, part, of_parts, body), best first."""
+    label = F.when(F.col("of_parts") > 1, F.concat(F.lit("part "), F.col("part") + 1, F.lit(" of "), F.col("of_parts"))).otherwise("")
+    flat = T.collapsed(F.col("body"))
+    shown = F.when(F.length(flat) > snippet, F.concat(F.substring(flat, 1, snippet), F.lit("..."))).otherwise(flat)
+    return found.select("rank", "ref", F.round("similarity", 3).alias("similarity"), label.alias("part_label"), shown.alias("snippet")).orderBy("rank", "ref")
+
+
 def reciprocal_rank_fusion(rankings: DataFrame, key: str, k: int = RRF_K) -> DataFrame:
     """(query_id, key, fused_score) from rows (query_id, key, rank) of any number of rankers; a null key scores nothing but holds its rank."""
     return rankings.filter(F.col(key).isNotNull()).groupBy("query_id", key).agg(F.sum(F.lit(1.0) / (k + F.col("rank"))).alias("fused_score"))

@@ -2,11 +2,86 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: The tables that the library keeps; keys are what ``latest_wins``, ``first_wins`` and ``replace_children`` hold unique.
+TABLES = {
+    "source_documents": "source string, external_id string, title string, doc_type string, published_on date, html_url string, pdf_url string, abstract string, agencies array<string>, content_hash string, first_seen_at timestamp",
+    "document_sections": "document string, ref string, heading string, body string, level int, ordinal int, parent_ordinal int, char_count int, extracted_from string",
+    "chunks": "corpus string, ref string, context string, body string, text string, part int, of_parts int, document string, embedding array<float>, indexed_at timestamp",
+    "agent_runs": "obligation string, obligation_hash string, route string, confidence double, reason string, top_score double, margin double, model_calls long, affected array<string>, analysis string, retrieval_mode string, ran_at timestamp",
+}
+KEYS = {"source_documents": ("content_hash",), "document_sections": ("document", "ordinal"), "chunks": ("corpus", "ref", "part"), "agent_runs": ("obligation_hash",)}
+
+
+def _files(spark: SparkSession, base: str):
+    """Hadoop's file system of a path, and a function that makes paths below it."""
+    jvm = spark.sparkContext._jvm
+    path = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join([base.rstrip("/"), *parts]))
+    return path().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def current_version(spark: SparkSession, base: str) -> int:
+    """The last committed version of a table, 0 before the first."""
+    fs, path = _files(spark, base)
+    marks = fs.listStatus(path("_committed")) if fs.exists(path("_committed")) else []
+    return max((int(m.getPath().getName()) for m in marks), default=0)
+
+
+def commit_version(df: DataFrame, base: str) -> int:
+    """Writes df as the next version of a table and commits it; the version's number.
+
+    Readers see a version only once its mark exists, which is created in one step and by one writer: a second one that built on
+    the same version fails, and whatever a failed writer left is never read. The old version stays for readers that have it open.
+    """
+    spark = df.sparkSession
+    fs, path = _files(spark, base)
+    n = current_version(spark, base) + 1
+    where = f"v={n}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{base.rstrip('/')}/{where}")
+    mark = path("_committed", str(n))
+    try:
+        out = fs.create(mark, False)
+    except Exception as e:
+        raise RuntimeError(f"version {n} of {base} was committed by another writer") from e
+    out.write(bytearray(where.encode()))
+    out.close()
+    return n
+
+
+def read_current(spark: SparkSession, base: str, ddl: str | None = None) -> DataFrame:
+    """The last committed version; an empty table of ddl before the first."""
+    n = current_version(spark, base)
+    if not n:
+        if ddl is None:
+            raise ValueError(f"{base} has no version yet")
+        return spark.createDataFrame([], ddl)
+    where = spark.read.text(f"{base.rstrip('/')}/_committed/{n}").first()[0]
+    return spark.read.parquet(f"{base.rstrip('/')}/{where}")
+
+
+def init_tables(spark: SparkSession, base: str) -> None:
+    """An empty first version of each of TABLES that has none; others stay as they are."""
+    for name, ddl in TABLES.items():
+        if not current_version(spark, f"{base}/{name}"):
+            commit_version(spark.createDataFrame([], ddl), f"{base}/{name}")
+
+
+def obligation_key(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def upsert_runs(now: DataFrame, new: DataFrame, stamp: str = "ran_at") -> DataFrame:
+    """Decisions with the new ones: one row an obligation, by the hash of its text, the latest."""
+    keyed = [d.withColumn("obligation_hash", obligation_key(F.col("obligation"))) for d in (now, new)]
+    return latest_wins(*keyed, ["obligation_hash"], stamp)
+
+
 def content_hash(*columns: str) -> Column:
     return F.sha2(F.concat_ws("|", *columns), 256)
 
@@ -80,6 +155,6 @@ def first_per_group(df: DataFrame, group: str, score: str, tie: str, limit: int)
 
 
 def readiness(chunks: DataFrame, embedding: str = "embedding") -> DataFrame:
-    """(ready, message) without looking at more rows than needed for ready."""
+    """(ready, message) with the number of embedded chunks; reads that one column."""
     n = chunks.agg(F.count(embedding).alias("n"))
     return n.select((F.col("n") > 0).alias("ready"), F.when(F.col("n") > 0, F.concat(F.col("n").cast("string"), F.lit(" embedded chunks"))).otherwise("no embedded chunks").alias("message"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import text as T
+from quillspark.operators import evaluate
 
 # Element names of the regulatory XML dialect and of HTML.
 CONTAINERS = frozenset("RULE PRORULE NOTICE PRESDOCU PREAMB SUPLINF REGTEXT PART SUBPART SECTION APPENDIX EXTRACT SUBJGRP".split())
@@ -171,12 +172,95 @@ def with_fallback(df: DataFrame, key: str, parsers: dict[str, tuple[str, Callabl
     return df.select(key, *dict.fromkeys(c for c, _ in parsers.values())).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, {SECTION_DDL}, extracted_from string")
 
 
-def with_parents(df: DataFrame, key: str, ordinal: str = "ordinal", level: str = "level", levels: int = 12) -> DataFrame:
-    """Adds parent_ordinal: the nearest row before of a smaller level; levels bounds how deep trees are."""
+#: Different levels up to which parents are found by windows; a table with more is walked document by document.
+LEVELS = 200
+
+
+def with_parents(df: DataFrame, key: str, ordinal: str = "ordinal", level: str = "level") -> DataFrame:
+    """Adds parent_ordinal: the nearest row before of a smaller level, whatever the levels are; null where there is none.
+
+    For each level that occurs a window knows the last row of it, and the parent is the last of those of smaller levels.
+    """
+    levels = sorted(r[0] for r in df.select(level).filter(F.col(level).isNotNull()).distinct().limit(LEVELS + 1).collect())
+    if len(levels) > LEVELS:
+        return _walked_parents(df, key, ordinal, level)
     before = Window.partitionBy(key).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col(level) == n, F.col(ordinal)), ignorenulls=True).over(before) for n in range(levels)]
-    d = df.withColumn("_last", F.array(*last))
-    return d.withColumn("parent_ordinal", F.array_max(F.slice("_last", 1, F.col(level)))).drop("_last")
+    last = [F.last(F.when(F.col(level) == n, F.col(ordinal)), ignorenulls=True).over(before) for n in levels]
+    d = df.withColumn("_last", F.array(*last) if levels else F.array().cast("array<long>"))
+    smaller = F.size(F.filter(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<long>"), lambda n: n < F.col(level)))
+    return d.withColumn("parent_ordinal", F.array_max(F.slice("_last", 1, smaller))).drop("_last")
+
+
+def _walked_parents(df: DataFrame, key: str, ordinal: str, level: str) -> DataFrame:
+    ddl = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(ordinal, ignore_index=True)
+        at = stack_parents(pdf[level].tolist())
+        return pdf.assign(parent_ordinal=[None if p is None else pdf[ordinal][p] for p in at])
+
+    return df.groupBy(key).applyInPandas(walk, f"{ddl}, parent_ordinal {dict(df.dtypes)[ordinal]}")
+
+
+def rendered_tree(sections: DataFrame, key: str, snippet: int = 70) -> DataFrame:
+    """(key, ordinal, line) of sections (ordinal, level, ref, heading, body): two spaces a level, ordinal, level and label, then the body's beginning."""
+    indent = F.repeat(F.lit("  "), F.col("level"))
+    body = T.collapsed(F.coalesce("body", F.lit("")))
+    shown = F.concat(F.lit("\n"), indent, F.lit("      "), F.substring(body, 1, snippet), F.when(F.length("body") > snippet, "...").otherwise(""))
+    head = F.concat(indent, F.lpad(F.col("ordinal").cast("string"), 3, " "), F.lit(" L"), F.col("level").cast("string"), F.lit(" "), F.substring(label(F.col("heading"), F.col("ref"), F.col("ordinal")), 1, 60))
+    return sections.select(key, "ordinal", F.concat(head, F.when(body != "", shown).otherwise("")).alias("line"))
+
+
+# Elements that may carry structure, for inspection of unknown files.
+STRUCTURAL = frozenset("HD HED SECTION SECTNO SUBJECT SUBSECT PART SUBPART TITLE AMDPAR REGTEXT PREAMB SUPLINF RULE EXTRACT GPH".split())
+ELEMENT_DDL = "ordinal int, tag string, depth int, attributes map<string, string>, text string"
+
+
+def xml_elements(df: DataFrame, key: str, markup: str, shown: int = 52) -> DataFrame:
+    """(key, ordinal, tag, depth, attributes, text) of every element in document order; a broken end keeps what came before."""
+    def elements(data: str | None) -> list[tuple]:
+        found: list[list] = []
+        open_: list[list] = []
+
+        def start(name, attrs):
+            own = [name.rpartition(":")[2], len(open_), attrs, []]
+            found.append(own)
+            open_.append(own)
+
+        def text(words):
+            for own in open_:
+                own[3].append(words)
+
+        p = expat.ParserCreate()
+        p.StartElementHandler, p.CharacterDataHandler = start, text
+        p.EndElementHandler = lambda _: open_.pop()
+        try:
+            p.Parse(data or "", True)
+        except expat.ExpatError:
+            pass
+        return [(i, tag, depth, attrs, _flat(words)[:shown]) for i, (tag, depth, attrs, words) in enumerate(found)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(k, *e) for k, m in zip(pdf[key], pdf[markup], strict=True) for e in elements(m)]
+            yield pd.DataFrame(rows, columns=[key, "ordinal", "tag", "depth", "attributes", "text"])
+
+    return df.select(key, markup).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, {ELEMENT_DDL}")
+
+
+def element_frequency(elements: DataFrame, limit: int = 20) -> DataFrame:
+    """(tag, n): the commonest tags, of equal ones the first seen."""
+    return evaluate.most_common(elements, "tag", "ordinal", limit)
+
+
+def heading_attributes(elements: DataFrame) -> DataFrame:
+    """(attributes, n): combinations of attributes that headings carry, as JSON with sorted names."""
+    entries = F.map_from_entries(F.array_sort(F.map_entries("attributes")))
+    return elements.filter(F.upper("tag").isin("HD", "HED")).groupBy(F.to_json(entries).alias("attributes")).agg(F.count("*").alias("n"))
+
+
+def structural_elements(elements: DataFrame) -> DataFrame:
+    return elements.filter(F.upper("tag").isin(*sorted(STRUCTURAL)))
 
 
 def tag_frequency(df: DataFrame, markup: str) -> DataFrame:
@@ -216,16 +300,29 @@ def line_sections(lines: DataFrame, key: str = "doc") -> DataFrame:
     return parts.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("_section")) - 1).cast("int").alias("ordinal"), F.coalesce("level", F.lit(0)).alias("level"), "heading", "body")
 
 
+def policy_problems(files: DataFrame) -> DataFrame:
+    """(path, problem) of policy files (path, value) without front matter or without a required field in it."""
+    front = F.regexp_extract("value", r"(?s)^---\s*\n(.*?)\n---", 1)
+    has = F.col("value").rlike(r"(?s)^---\s*\n.*?\n---")
+    missing = [F.when(~front.rlike(rf"(?m)^\s*{n}\s*:"), F.lit(f"front matter is missing {n}")) for n in ("id", "title", "owner", "domain")]
+    problem = F.when(~has, F.array(F.lit("no front matter"))).otherwise(F.array_compact(F.array(*missing)))
+    return files.select("path", F.explode(problem).alias("problem"))
+
+
+# Numbered section and clause lines of a policy file.
+SECTION_LINE, CLAUSE_LINE = r"^##\s+(\d+)\.?\s+(.*)$", r"^###\s+(\d+(?:\.\d+)*)\s+(.*)$"
+
+
 def policy_clauses(files: DataFrame) -> DataFrame:
     """Clauses of policy files (path, value): front matter, ``## n. Section``, ``### n.n Clause``, body lines joined."""
     front = F.regexp_extract("value", r"(?s)^---\s*\n(.*?)\n---", 1)
     field = lambda n: F.nullif(T.strip(F.regexp_extract(front, rf"(?m)^{n}\s*:(.*)$", 1)), F.lit(""))
     body = F.regexp_replace("value", r"(?s)^---\s*\n.*?\n---", "")
     d = files.select("path", field("id").alias("policy_id"), field("title").alias("policy_title"), field("owner").alias("owner"), field("domain").alias("domain"), T.strict_date(field("effective")).alias("effective"), T.strict_date(field("last_reviewed")).alias("last_reviewed"), F.posexplode(F.split(body, r"\r?\n")).alias("line_no", "line"))
-    section = F.regexp_extract("line", r"^##\s+\d+\.\s+(.*)$", 1)
-    clause, title = (F.regexp_extract("line", r"^###\s+(\d+(?:\.\d+)+)\s+(.*)$", k) for k in (1, 2))
+    section = F.regexp_extract("line", SECTION_LINE, 2)
+    clause, title = (F.regexp_extract("line", CLAUSE_LINE, k) for k in (1, 2))
     run = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_head", F.col("line").rlike(r"^###?\s"))
+    d = d.withColumn("_head", F.col("line").rlike(SECTION_LINE) | F.col("line").rlike(CLAUSE_LINE))
     d = d.withColumn("section", F.last(F.nullif(section, F.lit("")), True).over(run)).withColumn("_part", F.sum(F.col("_head").cast("int")).over(run))
     g = d.groupBy("path", "policy_id", "policy_title", "owner", "domain", "effective", "last_reviewed", "_part").agg(
         F.first(F.when(F.col("_head"), F.nullif(clause, F.lit(""))), True).alias("ref"),

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 
 # Domains of the enumerated fields.
-PARTIES = ("controller", "processor")
-MODALITIES = ("must", "must_not", "may", "should", "conditional")
+PARTIES = ("provider", "deployer", "importer", "distributor", "authorised_representative", "notified_body", "member_state", "unspecified")
+MODALITIES = ("mandatory", "conditional", "permitted", "prohibited", "recommended")
+VERDICTS = ("affected", "not_affected", "ambiguous")
+SEVERITIES = ("high", "medium", "low", "none")
 
 # What marks a failure as passing, and as a quota problem, in "ClassName message", lower case.
 TRANSIENT = (
@@ -29,45 +31,75 @@ def words(c: Column) -> Column:
     return F.size(F.filter(F.split(c, r"(?U)\s+"), lambda w: w != ""))
 
 
-def obligation_violations(quote: Column, action: Column, reasoning: Column) -> Column:
+def obligation_violations(quote: Column, action: Column, party: Column | None = None, modality: Column | None = None) -> Column:
+    """Broken rules of an obligation: a quote of 25 characters, an action of 1 to 15 words, known party and modality."""
+    rules = {"quote_short": F.length(T.strip(quote)) < 25, "action_blank": T.strip(action) == "", "action_long": words(action) > 15}
+    if party is not None:
+        rules["party_unknown"] = ~F.coalesce(party.isin(*PARTIES), F.lit(False))
+    if modality is not None:
+        rules["modality_unknown"] = ~F.coalesce(modality.isin(*MODALITIES), F.lit(False))
+    return violations(**rules)
+
+
+def assessment_violations(verdict: Column, severity: Column, reasoning: Column) -> Column:
+    """Broken rules of an assessment: known verdict and severity (a missing one is none), a reason of 30 characters."""
     return violations(
-        quote_short=F.length(T.strip(quote)) < 25,
-        action_blank=T.strip(action) == "",
-        action_long=words(action) > 15,
-        reasoning_short=F.length(T.strip(reasoning)) < 30,
+        verdict_unknown=~F.coalesce(verdict.isin(*VERDICTS), F.lit(False)),
+        severity_unknown=~F.coalesce(severity, F.lit("none")).isin(*SEVERITIES),
+        reasoning_short=F.length(T.strip(F.coalesce(reasoning, F.lit("")))) < 30,
     )
 
 
+def repeated(refs: Column) -> Column:
+    """Values that stand more than once in an array, each once, in order."""
+    return F.array_sort(F.array_distinct(F.filter(refs, lambda r: F.size(F.filter(refs, lambda x: x.eqNullSafe(r))) > 1)))
+
+
+def result_violations(obligations: Column, none_stated: Column) -> Column:
+    """Broken rules of a result (array of obligations with source_ref, and whether it says that there are none)."""
+    refs = F.transform(obligations, lambda o: o["source_ref"])
+    return violations(refs_repeated=F.size(repeated(refs)) > 0, says_none_but_has_some=none_stated & (F.size(obligations) > 0))
+
+
 def grounded(quote: Column, source: Column) -> Column:
     """Whether the quote stands in the source, after folding quotes, dashes, case and white space."""
     return F.contains(T.grounding_form(source), T.grounding_form(quote))
 
 
 def grounding(quotes: DataFrame, sources: DataFrame, quote_id: str, source_id: str, gram: int = 8) -> DataFrame:
-    """(quote_id, source_id) of every quote that stands in a source, for all quotes against all sources.
+    """(quote_id, source_id) of every quote that stands in a source, for all quotes against all sources, each pair once.
 
     A containment join through a shared gram: a quote's first ``gram`` whole words must stand in the source in this
-    order, so only sources with them are compared in full. Quotes of fewer words are joined on what they have, and those of
-    one or two are looked for in blocks.
+    order. Only hashes of grams are shuffled; they give candidate pairs, to which the texts are joined once and compared in
+    full. Quotes of fewer words are joined on what they have, and those of one or two are looked for in blocks.
     """
     cut = lambda c: F.filter(F.split(T.grounding_form(c), " "), lambda w: w != "")
     q = quotes.select(quote_id, T.grounding_form(F.col("text")).alias("_q"), cut(F.col("text")).alias("_w")).filter("_q <> ''")
     # words at the ends may be parts of words in the source; the inner ones may not
     inner = F.when(F.size("_w") > 2, F.slice("_w", 2, F.least(F.lit(gram), F.size("_w") - 2))).otherwise(F.array().cast("array<string>"))
-    q = q.withColumn("_inner", inner).withColumn("_n", F.size("_inner")).withColumn("_key", F.array_join("_inner", " "))
-    sizes = [r["_n"] for r in q.select("_n").distinct().collect()]
-    s = sources.select(source_id, T.grounding_form(F.col("text")).alias("_s"), cut(F.col("text")).alias("_w"))
-    found = None
-    for n in sorted(sizes):
-        own = q.filter(F.col("_n") == n).select(quote_id, "_q", "_key")
-        if n == 0:
-            for part in _short_quotes(s, own, quote_id, source_id):
-                found = part if found is None else found.unionByName(part)
-            continue
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("_w", i, n), " ")))
-        part = s.select(source_id, "_s", F.explode(grams).alias("_key")).join(own, "_key").filter(F.contains("_s", "_q")).select(quote_id, source_id)
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else quotes.select(quote_id).crossJoin(sources.select(source_id)).limit(0)
+    q = q.withColumn("_inner", inner).withColumn("_n", F.size("_inner")).withColumn("_key", F.xxhash64("_inner"))
+    sizes = sorted(r["_n"] for r in q.select("_n").distinct().collect())
+    forms = sources.select(source_id, T.grounding_form(F.col("text")).alias("_s"))
+    if not sizes:
+        return q.select(quote_id).join(forms.select(source_id), F.lit(False))
+    found = []
+    if 0 in sizes:
+        found += list(_short_quotes(forms, q.filter("_n = 0"), quote_id, source_id))
+    if long := [n for n in sizes if n]:
+        grams = [_gram_hashes("_w", n) for n in long]
+        keys = sources.select(source_id, cut(F.col("text")).alias("_w")).select(source_id, F.explode(F.array_distinct(F.flatten(F.array(*grams)))).alias("_key"))
+        pairs = keys.join(q.filter("_n > 0").select(quote_id, "_key"), "_key").select(quote_id, source_id).distinct()
+        found.append(pairs.join(q.select(quote_id, "_q"), quote_id).join(forms, source_id).filter(F.contains("_s", "_q")).select(quote_id, source_id).distinct())
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _gram_hashes(words_: str, n: int) -> Column:
+    """Hashes of every n words in a row."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words_) - n + 1, F.lit(1)))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(words_, i, n)))
 
 
 def _short_quotes(sources: DataFrame, quotes: DataFrame, quote_id: str, source_id: str, block: int = 200):
@@ -103,10 +135,15 @@ def failure_kind(error: Column) -> Column:
     return F.when(any_of(RATE_LIMIT), "rate_limit").when(any_of(TRANSIENT), "transient").otherwise("permanent")
 
 
+# How an error states a waiting time, and the model to use instead.
+RETRY = (r"(?i)retry in ([\d.]+)\s*s", r"(?i)retry_?delay[\"'\s:]+([\d.]+)\s*s")
+REPLACEMENT = r"(?i)use\s+models/([\w.\-]+)"
+
+
 def retry_after(error: Column) -> Column:
-    first, second = (F.try_to_number(F.nullif(F.regexp_extract(error, p, 1), F.lit("")), F.lit("999999.999")) for p in (r"(?i)retry in ([\d.]+)\s*s", r"(?i)retry_?delay[\"'\s:]+([\d.]+)\s*s"))
+    first, second = (F.try_to_number(F.nullif(F.regexp_extract(error, p, 1), F.lit("")), F.lit("999999.999")) for p in RETRY)
     return F.coalesce(first, second).cast("double")
 
 
 def replacement_model(error: Column) -> Column:
-    return F.nullif(F.regexp_extract(error, r"(?i)use\s+models/([\w.\-]+)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(error, REPLACEMENT, 1), F.lit(""))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions import metrics as M
 from quillspark.functions import text as T
-from quillspark.operators import structure
+from quillspark.operators import evaluate, structure
 from quillspark.operators.store import content_hash, first_wins
 
 ITEM_DDL = "document_number string, title string, type string, abstract string, publication_date string, html_url string, pdf_url string, agencies array<struct<name: string, id: long>>"
@@ -36,9 +40,36 @@ def fetched(payloads: DataFrame, source: str) -> DataFrame:
     return first_wins(from_payload(payloads, source), ["external_id"], "term_ix", "pos")
 
 
+def fetch(spark: SparkSession, terms: list[str], get: Callable[[str], list[str]]) -> DataFrame:
+    """(term_ix, pos, value) of the items that get returns for each term. A term may fail; if all do, the first error is raised."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for ix, term in zip(pdf["term_ix"], pdf["term"], strict=True):
+                try:
+                    rows += [(ix, pos, value, None) for pos, value in enumerate(get(term))] or [(ix, -1, None, None)]
+                except Exception as e:
+                    rows.append((ix, -1, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["term_ix", "pos", "value", "error"])
+
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(terms)], "term_ix int, term string")
+    # read once: a second look would fetch again
+    found = [tuple(r) for r in asked.repartition(max(1, min(len(terms), 8))).mapInPandas(run, "term_ix int, pos int, value string, error string").collect()] if terms else []
+    errors = sorted((r[0], r[3]) for r in found if r[3])
+    if errors and len(errors) == len(terms):
+        raise RuntimeError(f"all {len(terms)} terms failed, first: {errors[0][1]}")
+    return spark.createDataFrame([r[:3] for r in found if r[1] >= 0], "term_ix int, pos int, value string")
+
+
 def policies(spark: SparkSession, path: str) -> DataFrame:
-    """Clauses of all policy files, in the order of policy and clause number; a repeated clause id is an error."""
+    """Clauses of all policy files, in the order of policy and clause number.
+
+    A file without front matter, or without id, title, owner or domain in it, is an error, and so is a repeated clause id.
+    """
     files = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
+    problems = structure.policy_problems(files).limit(5).collect()
+    if problems:
+        raise ValueError("; ".join(f"{r['path']}: {r['problem']}" for r in problems))
     clauses = structure.policy_clauses(files)
     twice = clauses.groupBy("clause_id").count().filter("count > 1").limit(5).collect()
     if twice:
@@ -59,16 +90,47 @@ def cases(lines: DataFrame, value: str = "value") -> DataFrame:
     return d.withColumns({"note": F.coalesce("note", F.lit("")), "verified": F.coalesce("verified", F.lit(False))})
 
 
-def exported(cases_: DataFrame) -> DataFrame:
-    """Labelled rows for a golden set: judged and verified ones, without their candidates."""
-    return cases_.filter("relevant is not null and verified").select("id", "query", "relevant", "note", "verified")
+def exported(drafts: DataFrame) -> DataFrame:
+    """Labelled rows for a golden set: judged and verified ones, without their candidates.
+
+    drafts has (id, query, relevant, verified, modality, obliged_party, source_ref, source_document); the note is built from the last four.
+    """
+    note = F.format_string("%s obligation on %s, %s of %s", "modality", "obliged_party", "source_ref", "source_document")
+    return drafts.filter("relevant is not null and verified").select("id", "query", "relevant", note.alias("note"), "verified")
 
 
 def merged(left: DataFrame, right: DataFrame, names: tuple[str, str]) -> DataFrame:
     """Both sets with where each row came from."""
-    return left.withColumn("origin", F.lit(names[0])).unionByName(right.withColumn("origin", F.lit(names[1])))
-
-
-def report(results: DataFrame, label: str) -> DataFrame:
-    """One JSON row a case for a run report: the ten best, rounded scores."""
-    return results.select(F.to_json(F.struct(F.lit(label).alias("label"), "id", F.slice("retrieved", 1, 10).alias("retrieved"), F.round("top_score", 3).alias("top_score"))).alias("value"))
+    return left.withColumn("provenance", F.lit(names[0])).unionByName(right.withColumn("provenance", F.lit(names[1])))
+
+
+def merged_lines(left: DataFrame, right: DataFrame, names: tuple[str, str], about: dict[str, str]) -> DataFrame:
+    """(place, value): a case file as JSON lines, one metadata row on top, then left and right, each by id."""
+    head = left.sparkSession.range(1).select(F.lit(0).alias("place"), F.lit("").alias("id"), F.to_json(F.struct(*[F.lit(v).alias(f"_{k}") for k, v in about.items()])).alias("value"))
+    both = merged(left, right, names)
+    line = F.to_json(F.struct(*both.columns))
+    rows = both.select(F.when(F.col("provenance") == names[0], 1).otherwise(2).alias("place"), "id", line.alias("value"))
+    return head.unionByName(rows).orderBy("place", "id").select("place", "value")
+
+
+def with_drafts(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """Drafts so far and new ones whose id isn't among them; columns that one side lacks are null."""
+    return existing.unionByName(new.join(existing.select("id"), "id", "left_anti"), allowMissingColumns=True)
+
+
+def report(results: DataFrame, label: str, run_at: str, config: dict[str, str] | None = None) -> DataFrame:
+    """(place, value): a scored run as JSON lines: one row about the run with its summary, then one a case, by id.
+
+    results has (id, retrieved, relevant, top_score, verified). A case states its ten best, its first hit, what was missed, and rounded scores.
+    """
+    retrieved, relevant = F.col("retrieved"), F.col("relevant")
+    summary = evaluate.summary(results)
+    settings = F.to_json(F.create_map(*[F.lit(x) for pair in sorted((config or {}).items()) for x in pair])) if config else F.lit("{}")
+    about = F.struct(F.lit(label).alias("label"), F.lit(run_at).alias("run_at"), settings.alias("config"), F.struct(*summary.columns).alias("summary"))
+    head = summary.select(F.lit(0).alias("place"), F.lit("").alias("id"), F.to_json(about).alias("value"))
+    case = F.struct(
+        "id", "verified", "relevant", F.slice(retrieved, 1, 10).alias("retrieved"), M.first_hit_rank(retrieved, relevant).alias("first_hit_rank"),
+        M.missed(retrieved, relevant).alias("missed"), F.round("top_score", 3).alias("top_score"), F.round(M.recall(retrieved, relevant, 10), 3).alias("recall_10"),
+    )
+    rows = results.select(F.lit(1).alias("place"), F.col("id").cast("string").alias("id"), F.to_json(case).alias("value"))
+    return head.unionByName(rows).orderBy("place", "id").select("place", "value")

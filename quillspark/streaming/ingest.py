@@ -14,16 +14,12 @@ def ingest_new(spark: SparkSession, stream: DataFrame, store: str, checkpoint: s
     One writer a store. A micro-batch that is replayed after a failure finds its own rows in the store and adds none.
     """
     schema = stream.schema
+    # the store exists from the start, if without rows
+    spark.createDataFrame([], schema).write.mode("append").parquet(store)
 
     def add(batch: DataFrame, _: int) -> None:
         s = batch.sparkSession
-        try:
-            known = s.read.schema(schema).parquet(store)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = s.createDataFrame([], schema)
-        insert_new(batch, known, key, *order).write.mode("append").parquet(store)
+        insert_new(batch, s.read.schema(schema).parquet(store), key, *order).write.mode("append").parquet(store)
 
     q = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(add).start()
     q.awaitTermination()

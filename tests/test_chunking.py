@@ -33,3 +33,12 @@ def test_context_is_repeated(spark):
     assert all(r.text.startswith("ctx\n") and r.of_parts == len(got) - 1 for r in got if r.id == 1)
     assert [r.text for r in got if r.id == 2] == ["x"] and not [r for r in got if r.id == 3]
     assert [r.part for r in got if r.id == 1] == list(range(len(got) - 1))
+
+
+def test_sections_and_clauses(spark):
+    s = spark.createDataFrame([(7, 0, "T" * 100, "1.2", "Scope", "short body"), (7, 1, "", None, "", "A sentence here. " * 200), (8, 0, "T", "1.2", None, " ")], "document long, ordinal int, title string, ref string, heading string, body string")
+    got = {(r.ref, r.part): r for r in C.section_chunks(s).collect()}
+    assert got["7:0:1.2", 0].text == "T" * 90 + " — 1.2 — Scope\nshort body" and got["7:0:1.2", 0].of_parts == 1
+    assert got["7:1:x", 0].context == "" and got["7:1:x", 0].of_parts == len(got) - 1 > 1 and all(k[0] != "8:0:1.2" for k in got)
+    c = spark.createDataFrame([("P §1", "T", "S", "H", "x" * 5000, "T — S — H\nx")], "clause_id string, policy_title string, section string, heading string, text string, retrieval_text string")
+    assert tuple(C.clause_chunks(c).first()) == ("P §1", "T — S — H\nx", "x" * 5000, "T — S — H", 0, 1)

@@ -1,18 +1,35 @@
+import json
+import sys
+
+import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from quillspark.functions import metrics as M
 from quillspark.operators import decide, evaluate, providers, validate
 
+# judges run in workers that can't import this file
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def one(spark, *columns):
     return spark.range(1).select(*columns).first()
 
 
 def test_field_rules(spark):
-    df = spark.createDataFrame([("x" * 25, "keep it", "y" * 30), ("  short ", " ", "z"), ("q" * 40, "w " * 16, "r" * 40)], "q string, a string, r string")
-    got = [r[0] for r in df.select(validate.obligation_violations(*map(F.col, "qar"))).collect()]
-    assert got == [[], ["quote_short", "action_blank", "reasoning_short"], ["action_long"]]
+    df = spark.createDataFrame([("x" * 25, "keep it", "provider", "mandatory"), ("  short ", " ", "nobody", None), ("q" * 40, "w " * 16, None, "recommended")], "q string, a string, p string, m string")
+    got = [r[0] for r in df.select(validate.obligation_violations(*map(F.col, "qapm"))).collect()]
+    assert got == [[], ["quote_short", "action_blank", "party_unknown", "modality_unknown"], ["action_long", "party_unknown"]]
+    df = spark.createDataFrame([("affected", "high", "y" * 30), ("maybe", "grave", " " * 40), ("ambiguous", None, "z" * 31)], "v string, s string, r string")
+    assert [r[0] for r in df.select(validate.assessment_violations(*map(F.col, "vsr"))).collect()] == [[], ["verdict_unknown", "severity_unknown", "reasoning_short"], []]
+
+
+def test_results_cite_each_place_once_and_agree_with_themselves(spark):
+    rows = [(["a", "b"], False), (["a", "b", "a", "b", "b"], True), ([], True), ([], False)]
+    df = spark.createDataFrame([([(r,) for r in refs], none) for refs, none in rows], "o array<struct<source_ref: string>>, n boolean")
+    got = df.select(validate.result_violations(F.col("o"), F.col("n")), validate.repeated(F.transform("o", lambda x: x["source_ref"]))).collect()
+    assert [r[0] for r in got] == [[], ["refs_repeated", "says_none_but_has_some"], [], []] and got[1][1] == ["a", "b"]
 
 
 def test_grounding_variants(spark):
@@ -48,20 +65,63 @@ def test_confidence_is_the_weakest_signal(spark):
     assert c(0.7, 0.05, 0, 0, "") < c(0.8, 0.05, 0, 0, "")
 
 
+WHY = "the clause states the same duty as the obligation"
+ITEMS = "item long, query string, candidates array<struct<ref: string, context: string, body: string, similarity: double>>"
+
+
+def pair(a, b):
+    return [("r1", "c", "b", a), ("r2", "c", "b", b)]
+
+
+def said(*ids, verdict="affected", **more):
+    return {"assessments": [{"clause_id": i, "verdict": verdict, "reasoning": WHY, **more} for i in ids]}
+
+
 def test_decisions_retry_and_gate(spark):
-    ddl = "item long, query string, candidates array<struct<ref: string, context: string, body: string, similarity: double>>"
-    pair = lambda a, b: [("r1", "c", "b", a), ("r2", "c", "b", b)]
-    items = spark.createDataFrame([(1, "good", pair(0.9, 0.7)), (2, "low", pair(0.5, 0.4)), (3, "liar", pair(0.9, 0.7)), (4, "learns", pair(0.9, 0.7)), (5, "none", [])], ddl)
+    items = spark.createDataFrame([(1, "good", pair(0.9, 0.7)), (2, "low", pair(0.5, 0.4)), (3, "liar", pair(0.9, 0.7)), (4, "learns", pair(0.9, 0.7)), (5, "none", []), (6, "broken", pair(0.9, 0.7)), (7, "unsure", pair(0.9, 0.7))], ITEMS)
 
-    def judge(query, candidates, feedback):
+    def judge(prompt, candidates, feedback):
+        query = prompt.split("\n")[1]
         if query == "liar" or query == "learns" and not feedback:
-            return [{"clause_id": "invented", "verdict": "affected"}]
-        return [{"clause_id": c["ref"], "verdict": "affected"} for c in candidates]
+            return said("invented")
+        if query == "broken":  # four kinds of malformed answers, each told what was wrong
+            return {"": "no json {", "not JSON": {"assessments": [{"verdict": "affected"}]}}.get(feedback[:8], json.dumps(said("r1", severity="high")))
+        return said(*[c["ref"] for c in candidates]) | ({"ambiguity_note": "defers to a missing annex"} if query == "unsure" else {})
 
     got = {r.item: r for r in decide.decided(items, judge).collect()}
     assert (got[1].route, got[1].model_calls, got[1].affected) == ("auto_filed", 1, ["r1", "r2"])
-    assert (got[2].route, got[2].model_calls) == ("human_review", 0) and got[5].reason == "retrieval returned nothing"
-    assert (got[3].confidence, got[3].model_calls) == (0.0, 3) and (got[4].route, got[4].model_calls) == ("auto_filed", 2)
+    assert got[1].reason == "retrieval 1.00 (top 0.900), margin 1.00 (0.200), integrity 1.00"
+    assert (got[2].route, got[2].model_calls, got[2].affected) == ("human_review", 0, []) and got[5].reason == "retrieval returned nothing"
+    assert (got[3].confidence, got[3].model_calls, got[3].reason) == (0.0, 3, "no valid grounded assessment after 3 attempts")
+    assert got[3].attempts[0] == "attempt 1: cited ['invented'] which were not offered" and (got[4].route, got[4].model_calls) == ("auto_filed", 2)
+    assert got[6].attempts == ["attempt 1: schema invalid", "attempt 2: schema invalid"] and got[6].assessments[0].severity == "high"
+    assert got[7].confidence == 0.4 and got[7].reason.endswith("integrity 0.40 — obligation itself is ambiguous") and got[7].route == "human_review"
+
+
+def test_malformed_answers_are_described():
+    ok, why = decide.checked(said("r1"))
+    assert ok["assessments"][0]["severity"] == "none" and why == ""
+    for answer, part in [("{", "not JSON"), ([], "assessments"), ({"assessments": [3]}, "clause_id"), (said("r", verdict="yes"), "verdict"), (said("r", severity="grave"), "severity"), (said("r") | {"ambiguity_note": 3}, "ambiguity_note"), ({"assessments": [{"clause_id": "r", "verdict": "affected", "reasoning": "short"}]}, "reasoning")]:
+        assert decide.checked(answer)[0] is None and part in decide.checked(answer)[1]
+
+
+def test_the_budget_covers_all_retries(spark):
+    items = spark.createDataFrame([(k, "liar", pair(0.9, 0.7)) for k in range(4)], ITEMS).coalesce(1)
+    bad = lambda *_: said("invented")
+    assert sum(r.model_calls for r in decide.decided(items, bad, calls=12).collect()) == 12
+    with pytest.raises(Exception, match="call budget of 11 is spent"):
+        decide.decided(items, bad, calls=11).collect()
+
+
+def test_explanations_name_what_lowers_integrity(spark):
+    why = one(spark, decide.explanation(*[F.lit(x) for x in (0.76, 0.02, 2, 1, "x")]))[0]
+    assert why == "retrieval 0.50 (top 0.760), margin 0.40 (0.020), integrity 0.00 — 2 fabricated citation(s); 1 clause(s) marked ambiguous; obligation itself is ambiguous"
+
+
+def test_views_and_prompt(spark):
+    df = spark.createDataFrame([([("a", "affected"), ("b", "ambiguous"), ("c", "affected")], pair(0.9, 0.7))], "s array<struct<clause_id: string, verdict: string>>, c array<struct<ref: string, context: string, body: string, similarity: double>>")
+    got = df.select(*decide.views(F.col("s")), decide.prompt_candidates(F.col("c"))).first()
+    assert got[0] == ["a", "c"] and got[1] == ["b"] and got[2] == "[1] r1\n    c\n    b\n\n[2] r2\n    c\n    b"
 
 
 def test_metrics(spark):
@@ -105,10 +165,55 @@ def test_calls_are_retried_within_the_budget():
         providers.call(lambda: fn(1, ValueError, "bad"), providers.Budget(50), wait=waits.append)
 
 
-def test_word_diff_and_stems():
+def test_word_diff():
     assert providers.word_diff("keep six years", "keep seven full years") == "keep [-six-] [+seven full+] years"
     assert providers.word_diff(None, "a") == "[+a+]" and providers.word_diff("a", "a") == "a"
-    assert [providers.porter_like_key(w) for w in ("policies", "classes", "retaining", "sing", "kept")] == ["polici", "class", "retain", "sing", "kept"]
+
+
+def test_percentiles_by_rank(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(g), None if v == 9 else float(v)) for g, v in zip(rng.integers(0, 7, 400), rng.integers(0, 10, 400), strict=True)]
+    df = spark.createDataFrame(rows, "g long, v double")
+    got = {r.g: r for r in evaluate.floor_percentiles(df, "g", "v", {"p0": 0.0, "p50": 0.5, "p90": 0.9, "p100": 1.0}).collect()}
+    median = {r.g: r for r in evaluate.upper_median(df, "g", "v").collect()}
+    for g in range(7):
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        assert tuple(got[g][1:]) == tuple(v[min(int(p * len(v)), len(v) - 1)] for p in (0, 0.5, 0.9, 1)) and tuple(median[g][1:]) == (len(v), v[0], v[len(v) // 2], v[-1])
+    plan = evaluate.floor_percentiles(df, "g", "v", {"p": 0.5})._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "partial_count" in plan
+
+
+def test_component_summary(spark):
+    runs = spark.createDataFrame([(0.85, 0.01), (0.76, 0.04), (0.70, None)], "top_score double, margin double")
+    r = evaluate.component_summary(runs).first()
+    assert (r.judged, r.margin_binds, r.retrieval_low, r.retrieval_median, r.retrieval_high) == (3, 2, 0.166667, 0.5, 1.0)
+    assert (r.margin_low, r.margin_median, r.margin_high, r.margin_dominates) == (0.0, 0.2, 0.8, True)
+
+
+def test_batches_are_committed_one_by_one(spark, tmp_path):
+    chunks = spark.createDataFrame([(f"r{k}", k % 2, f"text {k}") for k in range(30)], "ref string, part int, text string")
+    asked = []
+
+    def embed(texts):
+        asked.extend(texts)
+        return [[1.0, 2.0]] * len(texts)
+
+    path = str(tmp_path / "index")
+    assert providers.index_in_batches(chunks.limit(0), path) == 0
+    assert providers.index_in_batches(chunks, path, rows=10, embed=embed) == 3
+    done = spark.read.parquet(path)
+    assert done.count() == done.select("ref", "part").distinct().count() == 30 and done.filter("embedding is null").count() == 0
+    assert providers.index_in_batches(chunks, path, rows=10, embed=lambda t: 1 / 0) == 0
+
+
+def test_embedding_tasks_and_rate(spark):
+    pauses = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame([(f"t{k}",) for k in range(9)], "t string").coalesce(1)
+    both = lambda texts, task: [[float(len(task))]] * len(texts)
+    got = providers.embedded(df, "t", both, batch=2, per_minute=4, task="query", wait=lambda s: pauses.add(1)).collect()
+    assert [r.embedding for r in got] == [[5.0]] * 9 and pauses.value == 2
+    with pytest.raises(ValueError):
+        providers.embedded(df, "t", task="other")
 
 
 def test_embedder_is_deterministic(spark):
@@ -121,8 +226,11 @@ def test_agent_candidates_carry_whole_texts(spark, monkeypatch):
     from quillspark.plans import catalog
 
     sf = "/root/testdata/sf0.001"
-    monkeypatch.setattr(catalog.decide, "decided", lambda items, **_: items)
-    offered = {int(c.ref): c.body for r in catalog.agent_pipeline(spark, sf).collect() for c in r.candidates if c.body}
+    seen = []
+    real = catalog.decide.decided
+    monkeypatch.setattr(catalog.decide, "decided", lambda items, **more: seen.append(items) or real(items, **more))
+    catalog.agent_pipeline(spark, sf)
+    offered = {int(c.ref): c.body for r in seen[0].collect() for c in r.candidates if c.body}
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert max(map(len, offered.values())) > 200
     assert offered == {i: texts[i] for i in offered}

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions import vector
+from quillspark.functions.stem import stemmed
 from quillspark.operators import retrieval as R
+from quillspark.operators import validate
 
 
 def fused(spark, *lists):
@@ -56,6 +58,7 @@ def test_or_terms(spark):
 
 def test_many_queries_match_one_by_one(spark, sf, monkeypatch):
     monkeypatch.setattr(R, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(R, "QUERY_BYTES", 4 * 8 * 64)
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     q = e.filter("vec_id < 7").select(F.col("vec_id").alias("query_id"), "embedding")
     many = R.vector_topk_many(e, q, 5).collect()
@@ -75,3 +78,44 @@ def test_modes(spark):
     with pytest.raises(ValueError):
         R.retrieve("other", v, k, e, "ref")
     assert R.retrieve("hybrid", v, k, e, "ref").filter("ref = 'c'").first().similarity is None
+
+
+def test_published_stems(spark):
+    """Pairs that the algorithm's publication gives for its steps."""
+    pairs = dict(p.split(">") for p in (
+        "caresses>caress ponies>poni ties>ti cats>cat feed>feed agreed>agre plastered>plaster bled>bled motoring>motor sing>sing conflated>conflat troubled>troubl sized>size hopping>hop tanned>tan falling>fall "
+        "hissing>hiss fizzed>fizz failing>fail filing>file happy>happi sky>sky relational>relat conditional>condit rational>ration valenci>valenc digitizer>digit conformabli>conform radicalli>radic "
+        "differentli>differ vileli>vile analogousli>analog vietnamization>vietnam predication>predic operator>oper feudalism>feudal decisiveness>decis hopefulness>hope callousness>callous formaliti>formal "
+        "sensitiviti>sensit sensibiliti>sensibl triplicate>triplic formative>form formalize>formal electriciti>electr electrical>electr hopeful>hope goodness>good revival>reviv allowance>allow inference>infer "
+        "airliner>airlin gyroscopic>gyroscop adjustable>adjust defensible>defens irritant>irrit replacement>replac adjustment>adjust dependent>depend adoption>adopt homologou>homolog communism>commun "
+        "activate>activ angulariti>angular homologous>homolog effective>effect bowdlerize>bowdler probate>probat rate>rate cease>ceas controll>control roll>roll generalizations>gener oscillators>oscil by>by yes>ye"
+    ).split())
+    df = spark.createDataFrame([(w,) for w in pairs], "w string")
+    assert {r.w: r.s for r in stemmed(df, "w", "s").collect()} == pairs
+
+
+def test_keywords_match_by_stem_on_both_ways(spark, monkeypatch):
+    chunks = spark.createDataFrame([(1, ["retention", "policies", "retained"]), (2, ["retains", "other"]), (3, ["unrelated"])], "ref long, tokens array<string>")
+    asked = spark.createDataFrame([(0, ["retain", "policy"]), (1, ["retaining", "retained"]), (2, [])], "query_id long, terms array<string>")
+    want = [(0, 1, 2, 1), (0, 2, 1, 2), (1, 1, 1, 1), (1, 2, 1, 2)]
+    assert sorted(map(tuple, R.keyword_rank(chunks, asked, 5, "ref").collect())) == want
+    monkeypatch.setattr(R, "TERMS_SENT", 0)
+    assert sorted(map(tuple, R.keyword_rank(chunks, asked, 5, "ref").collect())) == want
+    assert R.keyword_rank(chunks, asked, 5, "ref", stems=False).count() == 2 - 1
+
+
+def test_plans_of_searches(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    b = spark.read.parquet(f"{sf}/benchmark.parquet")
+    plan = validate.grounding(b, d, "item_id", "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    keys = plan[plan.index("Generate explode(array_distinct(flatten") :]
+    assert "_s#" not in keys.split("\n")[0] and "text" not in plan.split("Generate")[0].split("Join")[-1]
+    index = R.token_index(d.select("doc_id", T.tokens(F.col("text")).alias("tokens")), "doc_id")
+    asked = b.select(F.col("item_id").alias("query_id"), T.or_terms(F.col("text")).alias("terms"))
+    plan = R.index_search(index, asked, 5, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "WindowGroupLimit" in plan
+
+
+def test_search_view(spark):
+    df = spark.createDataFrame([(1, "r", 0.98765, 0, 1, " a \n b "), (2, "s", 0.5, 1, 3, "x" * 200)], "rank long, ref string, similarity double, part int, of_parts int, body string")
+    assert [tuple(r) for r in R.search_view(df).collect()] == [(1, "r", 0.988, "", "a b"), (2, "s", 0.5, "part 2 of 3", "x" * 160 + "...")]

@@ -1,4 +1,5 @@
 import datetime
+import hashlib
 import json
 
 import pytest
@@ -42,15 +43,40 @@ def test_policies(spark, tmp_path):
     assert got[0].text == "Keep it six years." and got[0].retrieval_text == "Records — Keeping — How long\nKeep it six years."
     assert got[0].last_reviewed is None and got[0].effective == datetime.date(2024, 1, 5)
     (tmp_path / "P-002.md").write_text(POLICY)
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="repeated"):
         D.policies(spark, str(tmp_path))
+    (tmp_path / "P-002.md").write_text("## 1. Keeping\n### 1.1 x\ntext")
+    with pytest.raises(ValueError, match="no front matter"):
+        D.policies(spark, str(tmp_path))
+    (tmp_path / "P-002.md").write_text(POLICY.replace("owner: Legal\n", "").replace("P-001", "P-002"))
+    with pytest.raises(ValueError, match="missing owner"):
+        D.policies(spark, str(tmp_path))
+
+
+def test_terms_may_fail_but_not_all(spark):
+    def get(term):
+        if term.startswith("bad"):
+            raise OSError("no answer")
+        return [json.dumps({"document_number": f"{term}{k}"}) for k in range(2)] if term != "empty" else []
+
+    got = D.fetch(spark, ["a", "bad", "empty", "b"], get)
+    assert sorted((r.term_ix, r.pos) for r in got.collect()) == [(0, 0), (0, 1), (3, 0), (3, 1)]
+    assert sorted(r.external_id for r in D.fetched(got, "s").collect()) == ["a0", "a1", "b0", "b1"]
+    with pytest.raises(RuntimeError, match="all 2 terms failed"):
+        D.fetch(spark, ["bad", "bad2"], get)
+    assert D.fetch(spark, [], get).count() == 0
 
 
 def test_cases_skip_metadata(spark):
     lines = ['{"_about": 1}', "{}", " ", '{"id": "a", "query": "q", "relevant": ["r"], "_x": 1}', '{"id": "b", "query": "q", "relevant": [], "verified": true}']
     got = D.cases(spark.createDataFrame([(x,) for x in lines], "value string"))
     assert [(r.id, r.note, r.verified) for r in got.collect()] == [("a", "", False), ("b", "", True)]
-    assert [r.id for r in D.exported(got).collect()] == ["b"]
+    drafts = got.select("*", *[F.lit(x).alias(n) for n, x in (("modality", "mandatory"), ("obliged_party", "provider"), ("source_ref", "Article 1"), ("source_document", "Act"))]).drop("note")
+    assert [(r.id, r.note) for r in D.exported(drafts).collect()] == [("b", "mandatory obligation on provider, Article 1 of Act")]
+    lines = [json.loads(r.value) for r in D.merged_lines(got.drop("relevant").filter("id = 'b'"), got.drop("relevant").filter("id = 'a'"), ("one", "two"), {"about": "both"}).collect()]
+    assert lines[0] == {"_about": "both"} and [(x["id"], x["provenance"]) for x in lines[1:]] == [("b", "one"), ("a", "two")]
+    more = D.with_drafts(got.select("id", "query"), spark.createDataFrame([("a", "new", 1), ("c", "q3", 2)], "id string, query string, n int"))
+    assert sorted((r.id, r.query, r.n) for r in more.collect() if r.id != "b") == [("a", "q", None), ("c", "q3", 2)]
 
 
 def test_upsert_and_replace(spark):
@@ -65,8 +91,42 @@ def test_upsert_and_replace(spark):
 def test_readiness_and_report(spark):
     e = spark.createDataFrame([(None,), ([1.0],)], "embedding array<float>")
     assert store.readiness(e).first()[:] == (True, "1 embedded chunks") and not store.readiness(e.limit(0)).first().ready
-    r = D.report(spark.createDataFrame([("a", [str(k) for k in range(20)], 0.12345)], "id string, retrieved array<string>, top_score double"), "run").first()[0]
-    assert len(json.loads(r)["retrieved"]) == 10 and json.loads(r)["top_score"] == 0.123
+    results = spark.createDataFrame([("a", [str(k) for k in range(20)], ["3", "z"], 0.12345, True), ("b", ["1"], [], 0.5, False)], "id string, retrieved array<string>, relevant array<string>, top_score double, verified boolean")
+    lines = [json.loads(r.value) for r in D.report(results, "run", "2026-01-01T00:00:00+00:00", {"mode": "vector"}).collect()]
+    assert lines[0]["label"] == "run" and lines[0]["run_at"][:4] == "2026" and json.loads(lines[0]["config"]) == {"mode": "vector"} and lines[0]["summary"]["cases"] == 2
+    assert len(lines[1]["retrieved"]) == 10 and lines[1]["top_score"] == 0.123 and lines[1]["first_hit_rank"] == 4 and lines[1]["missed"] == ["z"] and lines[1]["recall_10"] == 0.5 and [x["id"] for x in lines[1:]] == ["a", "b"]
+
+
+def test_versions_are_committed_whole(spark, tmp_path):
+    base = str(tmp_path / "t")
+    assert store.read_current(spark, base, "a int").count() == 0 and store.current_version(spark, base) == 0
+    df = spark.range(5)
+    assert store.commit_version(df, base) == 1 and store.commit_version(df.limit(2), base) == 2
+    assert store.read_current(spark, base).count() == 2
+    with pytest.raises(Exception):  # what a failed writer leaves isn't read
+        store.commit_version(df.selectExpr("raise_error('no') AS id"), base)
+    assert store.current_version(spark, base) == 2 and store.read_current(spark, base).count() == 2
+    seen = store.current_version
+    store.current_version = lambda *_: 1  # a writer that built on version 1
+    try:
+        with pytest.raises(RuntimeError, match="another writer"):
+            store.commit_version(df, base)
+    finally:
+        store.current_version = seen
+    assert store.read_current(spark, base).count() == 2
+
+
+def test_tables_are_made_once(spark, tmp_path):
+    base = str(tmp_path)
+    store.init_tables(spark, base)
+    run = spark.createDataFrame([("duty", "auto_filed", 0.9)], "obligation string, route string, confidence double").withColumn("ran_at", F.current_timestamp())
+    runs = store.read_current(spark, f"{base}/agent_runs")
+    now = store.upsert_runs(runs, spark.createDataFrame([], runs.schema).unionByName(run, allowMissingColumns=True))
+    store.commit_version(now, f"{base}/agent_runs")
+    store.init_tables(spark, base)
+    got = store.read_current(spark, f"{base}/agent_runs").collect()
+    assert len(got) == 1 and got[0].obligation_hash == hashlib.sha256(b"duty").hexdigest()
+    assert {n: [f.name for f in store.read_current(spark, f"{base}/{n}").schema] for n in store.TABLES}["chunks"][:3] == ["corpus", "ref", "context"]
 
 
 def test_stream_adds_each_key_once(spark, tmp_path):
