@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark.session import shared_base, shared_dir  # noqa: F401
+
 #: ASCII white space 0x20 and 0x09-0x0D; every other byte belongs to a word.
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -22,19 +24,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 4 << 20
 
 
-def shared_base(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors see. Only a local session without it gets a folder of this machine."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return (base or f"{tempfile.gettempdir()}/checkpoints").rstrip("/")
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir."""
-    return f"{shared_base(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to spark.checkpoint.dir and read from there: it is computed once and survives lost executors."""
     sc = df.sparkSession.sparkContext
@@ -43,6 +32,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def trimmed() -> None:
+    """Hands memory that Python and Arrow hold without use back to the system, as workers and the driver live on from stage to stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 def fresh(taken: list[str], *bases: str) -> list[str]:
     """Column names made of bases that none of taken has, in any case."""
     used = {t.lower() for t in taken}
@@ -185,21 +183,27 @@ def joined(left: DataFrame, right: DataFrame, key: str, share: int = 1000) -> Da
     return left.join(F.broadcast(right.join(hot, key, "left_semi")), key).unionByName(rare)
 
 
+def salted(left: DataFrame, right: DataFrame, key: str, other: str, salts: int = 16) -> DataFrame:
+    """left joined with right, which has one row a key and is small; rows of a key are dealt to as many tasks as there are salts, by column other."""
+    salt = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+    return left.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(salts))).join(right.withColumn("_salt", salt), [key, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of edges (a, b).
 
     Alternating large-star and small-star steps; every round is checkpointed. Their number grows with the logarithm of the
-    nodes, most_rounds only ends a run that would not. The rows of a node with very many neighbours go through ``joined``.
+    nodes, most_rounds only ends a run that would not. The edges of a node with very many neighbours are dealt to several tasks.
     """
     now = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = joined(both, least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = checkpointed(large.filter("a <> b").distinct())
+        large = salted(both, least, "a", "b").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large.filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = joined(large, least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        small = salted(large, least, "a", "b").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         after = checkpointed(small.filter("a <> b").distinct())
         signature = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         same, before = signature == before, signature

@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, carried: tup
     # a component is named by its smallest fingerprint until the documents' ids are known; what has no link names itself
     linked = common.checkpointed(nodes.join(reach, nodes.fp == reach.node).select("fp", "component", "component_id"))
     named = linked.groupBy("component").agg(F.min("component_id").alias("component_id"))
-    of = common.joined(linked.drop("component_id"), named, "component").select(F.col("fp").alias("node"), "component", F.col("component_id").alias("least"))
+    of = common.salted(linked.drop("component_id"), named, "component", "fp").select(F.col("fp").alias("node"), "component", F.col("component_id").alias("least"))
     by_fp = nodes.join(of, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component"), F.when(F.col("node").isNull(), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
     found = common.joined(marks, by_fp, "fp")
     return found.select("doc_id", *carried, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component", "component_id")

@@ -35,7 +35,7 @@ CHECKSUM_FLAG = 0x80
 #: The last bytes of every file; the writer adds them as the end of its only "line".
 TAIL = struct.pack("<I", SEEKABLE_MAGIC)
 #: Pieces whose ids a worker remembers, and bytes of text that are encoded together.
-REMEMBERED, SLICE_BYTES = 1_200_000, 8 << 20
+REMEMBERED, SLICE_BYTES = 1_200_000, 4 << 20
 
 # Kinds of bytes: what may begin a piece after a character that isn't white space, what may begin one after a letter, letters.
 _GAP, _MARK, _LETTER = (np.zeros(256, bool) for _ in range(3))
@@ -256,6 +256,7 @@ def _write(batches: Iterator[pa.RecordBatch], vocabulary: str, end: int, width:
                     build, number = FileBuilder(width, frame_bytes, level), number + 1
     if build.ids:
         yield done()
+    common.trimmed()
 
 
 def id_order() -> list[Column]:

@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm import common
+
 #: Labelled documents that the model is fitted on at most, about, and the characters of the longest of them.
 SAMPLE_DOCS, DOC_CHARS = 4000, 30_000
 #: Words whose emission a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Words of a chain that are scanned together; a longer text is cut, its parts joined exactly.
 SEGMENT = 256
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -341,14 +343,19 @@ def trained(docs: DataFrame, labels: DataFrame, held_out: bool = True) -> Tagger
     """A tagger fitted on a bounded sample of docs (doc_id, text) with labels (doc_id, toxic).
 
     Rows whose crc32(doc_id as text) mod 4 is 2 are held out. A doc_id labelled twice is toxic if any label is; null
-    labels don't count. The sample is drawn by a hash of doc_id.
+    labels don't count. The sample is drawn by a hash of doc_id; of rows that repeat a doc_id one stands for all, so its
+    size is bounded by SAMPLE_DOCS texts of DOC_CHARS. Null doc_ids have no label. Without labels of both kinds the tagger knows nothing.
     """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if held_out:
         known = known.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, SAMPLE_DOCS / max(known.count(), 1))))
-    rows = docs.select("doc_id", "text").filter(F.length("text") <= DOC_CHARS).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"])
-    return fit(rows["text"].tolist(), rows["toxic"].tolist())
+    own = docs.select("doc_id", "text").filter(F.length("text") <= DOC_CHARS).join(F.broadcast(picked), "doc_id")
+    rows = own.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).toPandas().sort_values("doc_id")
+    tagger = fit(rows["text"].tolist(), rows["toxic"].tolist())
+    del rows
+    common.trimmed()
+    return tagger
 
 
 def tag(docs: DataFrame, tagger: Tagger) -> DataFrame:
@@ -361,17 +368,24 @@ def tag(docs: DataFrame, tagger: Tagger) -> DataFrame:
                 score += [tagger.score(p) for p in marginals]
                 found += [spans(t, p) for t, p in zip(texts, marginals, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score, pa.float64()), pa.array(found, _SPANS)], ["doc_id", "score", "spans"])
+        del emit
+        common.trimmed()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, score double, spans {SPANS_DDL}")
 
 
 def without_toxic(docs: DataFrame, tagger: Tagger, least: float = 0.3) -> DataFrame:
-    """Rows of docs that score below ``least``; all columns stay."""
+    """Rows of docs that score below ``least``; all columns stay, whatever their names.
+
+    Null and empty texts are scored as texts without any sign; repeated rows stay or go together; an empty table stays empty.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emit = _Emissions(tagger)
         for b in batches:
             keep = [tagger.score(p) < least for _, marginals in scored_texts(b.column("text"), tagger, emit) for p in marginals]
             yield b.filter(pa.array(keep, pa.bool_()))
+        del emit
+        common.trimmed()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -66,3 +66,56 @@ def test_spans_and_odd_rows(spark):
     assert tox.tag(df.limit(0), tagger).count() == 0
     labels = spark.createDataFrame([(1, None)], "doc_id long, toxic int")
     assert tox.trained(df, labels).score(np.zeros(0)) == pytest.approx(0.5)
+
+
+def test_scores_match_a_plain_forward_backward(spark, sf):
+    """Every document's score, from the fitted weights alone: one chain after another in plain Python."""
+    import math
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    tagger = tox.trained(docs, labels)
+    oo, ot, to, tt = (math.exp(x) for x in tagger.way)
+
+    def features(word):
+        w = word.strip("".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())).lower()
+        names = ["bias", "w=" + w, f"n={min(len(w), 9)}", *("p=" + w[:k] for k in (3, 4, 5, 6, 7) if len(w) > k), *("s=" + w[-k:] for k in (2, 3) if len(w) > k)]
+        return names + ["digit"] * any(c.isdigit() for c in w)
+
+    def score(text):
+        e = [math.exp(max(-30.0, min(30.0, sum(tagger.weights.get(n, 0.0) for n in features(w))))) for w in (text or "").split()]
+        if not e:
+            top = some = -12.0
+        else:
+            fore, back = [(1.0, e[0])], [(1.0, 1.0)]
+            for x in e[1:]:
+                o, t = fore[-1]
+                now = (o * oo + t * to, (o * ot + t * tt) * x)
+                fore.append(tuple(v / sum(now) for v in now))
+            for x in e[:0:-1]:
+                o, t = back[-1]
+                now = (oo * o + ot * x * t, to * o + tt * x * t)
+                back.append(tuple(v / sum(now) for v in now))
+            p = [f[1] * b[1] / (f[0] * b[0] + f[1] * b[1]) for f, b in zip(fore, back[::-1], strict=True)]
+            clip = lambda v: max(6e-6, min(1 - 6e-6, v))
+            logit = lambda v: math.log(v / (1 - v))
+            top = logit(clip(max(p)))
+            some = logit(clip(-math.expm1(sum(math.log1p(-min(v, 1 - 1e-9)) for v in p))))
+        a, b, c = tagger.calibration
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * top + c * some))))
+
+    got = {r.doc_id: r.score for r in tox.op5_toxicity(spark, sf).collect()}
+    for r in docs.collect():
+        assert got[r.doc_id] == pytest.approx(score(r.text), abs=1e-7)
+
+
+def test_a_doc_id_repeated_very_often_is_one_text_of_the_sample(spark):
+    docs = spark.range(20_000).selectExpr("id % 3 AS doc_id", "concat('text ', id) AS text")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    seen = []
+    real = tox.fit
+    try:
+        tox.fit = lambda texts, toxic: seen.extend(texts) or real(texts, toxic)
+        tox.trained(docs, labels, held_out=False)
+    finally:
+        tox.fit = real
+    assert len(seen) == 3
