@@ -1,4 +1,4 @@
-"""Porter's stemming algorithm of 1980 as SQL expressions, the same for Spark and for other engines with regular expressions.
+"""Porter's stemming algorithm of 1980: as SQL expressions, the same for Spark and for other engines with regular expressions, and word by word.
 
 A word goes through eight steps, each a CASE over the word as the step before left it. In a plan every step is a lambda over
 the word, so no expression is repeated; in SQL every step is a subquery.
@@ -6,6 +6,7 @@ the word, so no expression is repeated; in SQL every step is a subquery.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -78,3 +79,46 @@ def stem_sql(source: str, word: str) -> str:
     for step in _steps(lambda c, p: f"regexp_matches({c}, '{p}')"):
         sql = f"(SELECT * REPLACE (CASE WHEN length({word}) > 2 THEN {step('stem')} ELSE stem END AS stem) FROM {sql})"
     return sql
+
+
+def _ending(ends) -> re.Pattern:
+    return re.compile(f"(.+?)({'|'.join(ends)})")
+
+
+_MEASURE0, _MEASURE1, _EXACTLY1, _HAS_VOWEL, _IS_SHORT = (re.compile(p) for p in (_MORE0, _MORE1, _ONE, _VOWEL, _SHORT))
+_TWO, _THREE, _FOUR, _PAST = _ending(STEP2), _ending(STEP3), _ending(STEP4), _ending(("ed", "ing"))
+
+
+def stem(word: str) -> str:
+    """The stem of one lower-case word, for kernels that keep what they have seen."""
+    if len(word) <= 2:
+        return word
+    w = "Y" + word[1:] if word[0] == "y" else word
+    if (w.endswith("sses") and len(w) > 4) or (w.endswith("ies") and len(w) > 3):
+        w = w[:-2]
+    elif w.endswith("s") and not w.endswith("ss"):
+        w = w[:-1]
+    if w.endswith("eed") and len(w) > 3:
+        w = w[:-1] if _MEASURE0.search(w[:-3]) else w
+    elif (m := _PAST.fullmatch(w)) and _HAS_VOWEL.search(m[1]):
+        w = m[1]
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif len(w) > 1 and w[-1] == w[-2] and w[-1] not in "aeiouylsz":
+            w = w[:-1]
+        elif _IS_SHORT.search(w):
+            w += "e"
+    if w.endswith("y") and len(w) > 1 and _HAS_VOWEL.search(w[:-1]):
+        w = w[:-1] + "i"
+    for ends, known in ((_TWO, STEP2), (_THREE, STEP3)):
+        if (m := ends.fullmatch(w)) and _MEASURE0.search(m[1]):
+            w = m[1] + known[m[2]]
+    if m := _FOUR.fullmatch(w):
+        w = m[1] if _MEASURE1.search(m[1]) else w
+    elif w.endswith(("sion", "tion")) and len(w) > 4 and _MEASURE1.search(w[:-3]):
+        w = w[:-3]
+    if w.endswith("e") and len(w) > 1 and (_MEASURE1.search(w[:-1]) or (_EXACTLY1.search(w[:-1]) and not _IS_SHORT.search(w[:-1]))):
+        w = w[:-1]
+    if w.endswith("ll") and _MEASURE1.search(w):
+        w = w[:-1]
+    return w.lower()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from quillspark.functions import text as T
 from quillspark.functions import vector
-from quillspark.functions.stem import stemmed
+from quillspark.functions.stem import stem, stemmed
 
 RRF_K = 60
 #: Bytes of query vectors that go along with a pass over the chunks, and queries that are scored together.
@@ -118,9 +118,89 @@ def index_search(index: DataFrame, queries: DataFrame, k: int, key: str, terms:
     return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
+def _asked(queries: DataFrame, terms: str) -> Iterator[tuple[list, list[list[str]]]]:
+    """(ids, terms) of as many queries at a time as have TERMS_SENT terms."""
+    ids, words, n = [], [], 0
+    for r in queries.select("query_id", F.array_distinct(terms)).filter(F.size(terms) > 0).toLocalIterator():
+        ids.append(r[0])
+        words.append(r[1])
+        n += len(r[1])
+        if n >= TERMS_SENT:
+            yield ids, words
+            ids, words, n = [], [], 0
+    if ids:
+        yield ids, words
+
+
+class _Stems(dict):
+    """Number of the query term that each word stands for, -1 for none; of bounded size."""
+
+    def __init__(self, vocabulary: dict[str, int], of: Callable[[str], str], most: int = 500_000):
+        super().__init__()
+        self.vocabulary, self.of, self.most = vocabulary, of, most
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        number = self[word] = self.vocabulary.get(self.of(word), -1)
+        return number
+
+
 def keyword_rank(chunks: DataFrame, queries: DataFrame, k: int, key: str, tokens: str = "tokens", terms: str = "terms", stems: bool = True) -> DataFrame:
-    """``index_search`` in the ``token_index`` of chunks (key, tokens)."""
-    return index_search(token_index(chunks, key, tokens, stems), queries, k, key, terms, stems)
+    """(query_id, key, matches, rank): chunks (key, tokens) by the number of positions that match any (stemmed) term of queries (query_id, terms).
+
+    The same rows as ``index_search`` in a ``token_index``, for a search without one: query terms go along with the tasks,
+    TERMS_SENT of them a pass; a task counts terms in blocks of chunks, multiplies counts with the queries' terms and keeps
+    its k best for each query. So no pair of chunk and query is shuffled, however common a term is.
+    """
+    of = stem if stems else (lambda w: w)
+    found = None
+    kind = dict(chunks.dtypes)[key]
+    for ids, words in _asked(queries, terms):
+        vocabulary: dict[str, int] = {}
+        numbers = [sorted({vocabulary.setdefault(of(w), len(vocabulary)) for w in own}) for own in words]
+
+        def near(batches: Iterator[pa.RecordBatch], ids=ids, vocabulary=vocabulary, numbers=numbers) -> Iterator[pa.RecordBatch]:
+            known = _Stems(vocabulary, of)
+            for b in batches:
+                keys = b.column(key).to_pylist()
+                order = sorted(range(b.num_rows), key=keys.__getitem__)
+                b = b.take(pa.array(order, pa.int64()))
+                keys = [keys[i] for i in order]
+                lists = b.column("_tokens")
+                row = np.repeat(np.arange(b.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                encoded = lists.flatten().dictionary_encode()
+                term = np.array([known[w] for w in encoded.dictionary.to_pylist()], np.int64)[encoded.indices.to_numpy()] if len(row) else np.zeros(0, np.int64)
+                row, term = row[term >= 0], term[term >= 0]
+                for lo in range(0, len(ids), QUERY_BLOCK):
+                    own = numbers[lo : lo + QUERY_BLOCK]
+                    used = np.unique(np.concatenate(own))
+                    place = np.full(len(vocabulary), -1)
+                    place[used] = np.arange(len(used))
+                    wanted = np.zeros((len(used), len(own)))
+                    for q, n in enumerate(own):
+                        wanted[place[n], q] = 1
+                    column = place[term]
+                    at, column = row[column >= 0], column[column >= 0]
+                    step = max(1, (1 << 22) // len(used))
+                    best: list[tuple] = []
+                    for first in range(0, b.num_rows, step):
+                        i, j = np.searchsorted(at, (first, first + step))
+                        n = min(step, b.num_rows - first)
+                        counts = np.bincount((at[i:j] - first) * len(used) + column[i:j], minlength=n * len(used)).reshape(n, -1)
+                        scores = (counts @ wanted).T
+                        q, c = _largest(scores, k)
+                        some = scores[q, c] > 0
+                        best.append((q[some] + lo, c[some] + first, scores[q, c][some]))
+                    q, c, n = (np.concatenate(x) for x in zip(*best, strict=True)) if best else (np.zeros(0, int),) * 3
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in q], pa.int64()), pa.array([keys[x] for x in c], b.schema.field(key).type), pa.array(n.astype(np.int64))], ["query_id", key, "matches"])
+
+        part = chunks.select(key, F.col(tokens).alias("_tokens")).filter(F.size("_tokens") > 0).mapInArrow(near, f"query_id long, {key} {kind}, matches long")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = chunks.sparkSession.createDataFrame([], f"query_id long, {key} {kind}, matches long")
+    w = Window.partitionBy("query_id").orderBy(F.desc("matches"), key)
+    return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
 def search_view(found: DataFrame, snippet: int = 160) -> DataFrame:

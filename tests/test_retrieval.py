@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions import vector
-from quillspark.functions.stem import stemmed
+from quillspark.functions.stem import stem, stemmed
 from quillspark.operators import retrieval as R
 from quillspark.operators import validate
 
@@ -91,7 +91,14 @@ def test_published_stems(spark):
         "activate>activ angulariti>angular homologous>homolog effective>effect bowdlerize>bowdler probate>probat rate>rate cease>ceas controll>control roll>roll generalizations>gener oscillators>oscil by>by yes>ye"
     ).split())
     df = spark.createDataFrame([(w,) for w in pairs], "w string")
-    assert {r.w: r.s for r in stemmed(df, "w", "s").collect()} == pairs
+    assert {r.w: r.s for r in stemmed(df, "w", "s").collect()} == pairs == {w: stem(w) for w in pairs}
+
+
+def test_stems_word_by_word_and_in_expressions(spark, sf):
+    words = spark.read.parquet(f"{sf}/documents.parquet").select(F.explode(T.tokens(F.col("text"))).alias("w")).distinct()
+    more = spark.createDataFrame([(a + b + c,) for a in ("b", "tr", "y", "gener", "sky", "agr", "") for b in ("", "a", "ee", "ll", "iz", "at", "y") for c in ("s", "es", "sses", "ies", "ed", "ing", "eed", "y", "ational", "ness", "ion", "tion", "sion", "e", "ll", "er")], "w string")
+    both = stemmed(words.unionByName(more).filter("w <> ''"), "w", "s").collect()
+    assert len(both) > 1000 and [(r.w, r.s) for r in both] == [(r.w, stem(r.w)) for r in both]
 
 
 def test_keywords_match_by_stem_on_both_ways(spark, monkeypatch):
@@ -99,11 +106,24 @@ def test_keywords_match_by_stem_on_both_ways(spark, monkeypatch):
     asked = spark.createDataFrame([(0, ["retain", "policy"]), (1, ["retaining", "retained"]), (2, [])], "query_id long, terms array<string>")
     want = [(0, 1, 2, 1), (0, 2, 1, 2), (1, 1, 1, 1), (1, 2, 1, 2)]
     assert sorted(map(tuple, R.keyword_rank(chunks, asked, 5, "ref").collect())) == want
+    index = R.token_index(chunks, "ref")
+    assert sorted(map(tuple, R.index_search(index, asked, 5, "ref").collect())) == want
     monkeypatch.setattr(R, "TERMS_SENT", 0)
     assert sorted(map(tuple, R.keyword_rank(chunks, asked, 5, "ref").collect())) == want
+    assert sorted(map(tuple, R.index_search(index, asked, 5, "ref").collect())) == want
     assert R.keyword_rank(chunks, asked, 5, "ref", stems=False).count() == 2 - 1
 
 
+def test_scan_and_index_find_the_same(spark, sf, monkeypatch):
+    monkeypatch.setattr(R, "QUERY_BLOCK", 7)
+    chunks = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+    asked = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), T.or_terms(F.col("text")).alias("terms"))
+    scan = sorted(map(tuple, R.keyword_rank(chunks, asked, 9, "doc_id").select("query_id", "doc_id", "matches", "rank").collect()))
+    index = R.index_search(R.token_index(chunks, "doc_id"), asked, 9, "doc_id").select("query_id", "doc_id", "matches", "rank")
+    assert scan == sorted(map(tuple, index.collect())) and len(scan) > 100
+    assert R.keyword_rank(chunks.limit(0), asked, 9, "doc_id").count() == 0 and R.keyword_rank(chunks, asked.limit(0), 9, "doc_id").count() == 0
+
+
 def test_plans_of_searches(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     b = spark.read.parquet(f"{sf}/benchmark.parquet")
