@@ -10,6 +10,7 @@ positions alone reports it, and its differing bits are verified.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,13 +28,19 @@ SLICE_BYTES = 1 << 20
 SHORT_LIST = 16
 
 
-def fingerprints(batches: Iterator[pa.RecordBatch], words: int, carried: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
+#: What sets the further 64 bits of a wide fingerprint apart from the first.
+_LANES = (0, 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA0761D6478BD642F)
+
+
+def fingerprints(batches: Iterator[pa.RecordBatch], words: int, carried: tuple[str, ...] = (), lanes: int = 1) -> Iterator[pa.RecordBatch]:
+    """doc_id, carried and fp of every row; with more lanes also fp1, fp2..., of hashes made from each shingle's hash."""
     lower = np.arange(256, dtype=np.uint8)
     lower[65:91] += 32
     digest = xxhash.xxh64_intdigest
+    names = ["fp", *(f"fp{k}" for k in range(1, lanes))]
     for batch in batches:
         data, at = common.raw_strings(batch.column("text"))
-        found = np.zeros(batch.num_rows, np.uint64)
+        found = np.zeros((lanes, batch.num_rows), np.uint64)
         for i, j in common.slices(at, SLICE_BYTES):
             piece, own = data[at[i] : at[j]], at[i : j + 1] - at[i]
             starts, ends, before = common.word_spans(piece, own)
@@ -52,10 +59,12 @@ def fingerprints(batches: Iterator[pa.RecordBatch], words: int, carried: tuple[s
             last = np.minimum(first + words, np.repeat(before[1:], full)) - 1
             h = np.fromiter((digest(text[a:b], 42) for a, b in zip(s[first].tolist(), e[last].tolist(), strict=True)), np.uint64, len(first))
             some = np.flatnonzero(full)
-            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, upto[some], axis=0, dtype=np.int32)
-            found[i + some] = np.packbits(2 * ones > full[some, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in carried), pa.array(found.view(np.int64))], ["doc_id", *carried, "fp"])
+            for lane in range(lanes):
+                own_h = common.mixed(h ^ np.uint64(_LANES[lane])) if lane else h
+                bits = np.unpackbits(own_h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                ones = np.add.reduceat(bits, upto[some], axis=0, dtype=np.int32)
+                found[lane, i + some] = np.packbits(2 * ones > full[some, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in carried), *(pa.array(x.view(np.int64)) for x in found)], ["doc_id", *carried, *names])
 
 
 def position_sets() -> list[tuple[int, ...]]:
@@ -102,8 +111,11 @@ def _flood(fp: np.ndarray, bits: int) -> tuple[list, list]:
     return left, right
 
 
-def links(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Links within runs of equal keys (number of the position set, then its four bytes); rows come sorted by key."""
+def links(batches: Iterator[pa.RecordBatch], bits: int, name: str = "fp", once: bool = True) -> Iterator[pa.RecordBatch]:
+    """Links of nodes within runs of equal keys (number of the position set, then its bytes); rows come sorted by key.
+
+    once: the keys are those of ``position_sets``, and a pair of a short list is reported by its first list alone.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def of(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
@@ -118,7 +130,8 @@ def links(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
             i = index[index + d < within]
             i = i[close(fp[i], fp[i + d], bits)]
             # a pair is reported by the first of the lists in which it meets
-            i = i[_FIRST_SET[shared_positions(fp[i], fp[i + d])] == key[i] >> 32]
+            if once:
+                i = i[_FIRST_SET[shared_positions(fp[i], fp[i + d])] == key[i] >> 32]
             left.append(i)
             right.append(i + d)
         for k in np.flatnonzero(size > SHORT_LIST):
@@ -133,8 +146,8 @@ def links(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp"))
-        held.append((key, node, node.view(np.uint64)))
+        key, node, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", name, "fp"))
+        held.append((key, node, fp.view(np.uint64)))
         if key[0] == key[-1] and held[0][0][0] == key[0]:
             continue
         key, node, fp = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -174,22 +187,94 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, carried: tup
     return found.select("doc_id", *carried, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component", "component_id")
 
 
-def deduplicated(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
-    """One row of docs (doc_id, text, ...) of each component, that of the smallest doc_id; all columns stay, whatever their names.
+# --- near copies by similarity ---------------------------------------------------
+
+#: Bits of the first 64 of a wide fingerprint that may differ. At a similarity of 0.8 some 10 do, with a deviation of 3; of unlike texts 32.
+WIDE_BITS = 20
+#: Positional bytes in a posting of the wide index, and number of position sets.
+WIDE_BYTES, WIDE_SETS = 3, 128
+
+
+def wide_sets() -> list[tuple[int, ...]]:
+    """Sets of WIDE_BYTES of the 32 byte positions; every position is in about as many."""
+    rng, out = np.random.default_rng(5), []
+    while len(out) < WIDE_SETS:
+        order = rng.permutation(32)
+        out += [tuple(sorted(order[k : k + WIDE_BYTES].tolist())) for k in range(0, 32 - WIDE_BYTES + 1, WIDE_BYTES)]
+    return out[:WIDE_SETS]
+
+
+_CASE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def shingles(text: str | None, words: int) -> set[bytes]:
+    """Different shingles of a text, lower-cased in A-Z; the whole of a shorter one; none of an empty one."""
+    w = re.findall(common.WORD.encode(), (text or "").encode().translate(_CASE))
+    return {b" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def _similar(batches: Iterator[pa.RecordBatch], words: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Of pairs (a, b, x, y) of nodes with their texts those whose shingles are similar; two texts without any are."""
+    now, own = None, set()
+    for batch in batches:
+        keep = np.zeros(batch.num_rows, bool)
+        x, y = batch.column("x"), batch.column("y")
+        for k, a in enumerate(batch.column("a").to_pylist()):
+            if a != now:
+                now, own = a, shingles(x[k].as_py(), words)
+            other = shingles(y[k].as_py(), words)
+            both = len(own & other)
+            keep[k] = both >= similarity * (len(own) + len(other) - both)
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+
+def similar_texts(nodes: DataFrame, texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(a, b): links of nodes (key, fp, fp1, fp2, fp3) whose texts (key, text) have that Jaccard similarity of their shingles.
+
+    Links connect what is connected: of pairs that lie close in the fingerprint a tree for each posting list, verified on the texts.
+    """
+    byte = lambda p: F.shiftrightunsigned("fp" if p < 8 else f"fp{p // 8}", 8 * (p % 8)).bitwiseAND(0xFF)
+    keys = []
+    for k, places in enumerate(wide_sets()):
+        key = F.lit(k).cast("long")
+        for p in places:
+            key = F.shiftleft(key, 8).bitwiseOR(byte(p))
+        keys.append(key)
+    lists = nodes.select(F.col("key").alias("node"), "fp", F.explode(F.array(*keys)).alias("key"))
+    lists = lists.repartition("key").sortWithinPartitions("key", "node")
+    edges = common.checkpointed(lists.mapInArrow(lambda it: links(it, WIDE_BITS, "node", False), "a long, b long").distinct())
+    ends = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    known = common.checkpointed(texts.join(ends, "key", "left_semi").groupBy("key").agg(F.any_value("text").alias("text")))
+    pairs = edges.join(known.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(known.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
+    return pairs.sortWithinPartitions("a").mapInArrow(lambda it: _similar(it, words, similarity), "a long, b long")
+
+
+def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of docs (doc_id, text, ...) of each group of near copies, that of the smallest doc_id; all columns stay, whatever their names.
+
+    Near copies have shingles of five words whose Jaccard similarity is 0.8 or more; groups are what such links connect. Candidates
+    come from an index over 256-bit fingerprints, in which a posting has three of 32 positional bytes; pairs that share as many and
+    differ in few bits are verified on the texts, so no other texts are linked, and what the index misses is said in the README.
 
     Null doc_ids come last; of equal doc_ids the smallest hash of the text stays, and of rows that repeat both any one. Null and
-    empty texts are one component. An empty table stays empty.
+    empty texts are one group. An empty table stays empty.
     """
     names = docs.columns
     key, id_, k = common.fresh(names, "key", "id", "k")
     hashed = F.xxhash64(F.coalesce("text", F.lit("")))
-    marks = near_duplicates(docs.select("doc_id", hashed.alias("key"), "text"), words, bits, ("key",))
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("i"), F.col("key").alias("k"))).alias("first")
-    kept = common.checkpointed(marks.groupBy("component").agg(first).select(F.col("first.i").alias(id_), F.col("first.k").alias(k)).distinct())
+    rows = docs.select("doc_id", hashed.alias("key"), "text")
+    marks = rows.mapInArrow(lambda it: fingerprints(it, words, ("key",), 4), "doc_id long, key long, fp long, fp1 long, fp2 long, fp3 long")
+    lanes = ("fp", "fp1", "fp2", "fp3")
+    own = marks.groupBy("key", "doc_id").agg(*[F.min(c).alias(c) for c in lanes], F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("i"))).alias("first")
+    nodes = common.checkpointed(own.groupBy("key").agg(*[F.min(c).alias(c) for c in lanes], least, F.max("n").alias("n")))
+    reach = common.components(similar_texts(nodes.select("key", *lanes), rows.select("key", "text"), words, similarity))
+    first = F.min(F.struct("first.late", "first.i", F.col("key").alias("k"))).alias("first")
+    groups = nodes.join(reach, nodes.key == reach.node, "left").groupBy(F.coalesce("component", "key").alias("component")).agg(first)
+    kept = common.checkpointed(groups.select(F.col("first.i").alias(id_), F.col("first.k").alias(k)))
     whole = docs.withColumn(key, hashed)
     left = whole.join(kept, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(k)), "left_semi")
-    again = marks.groupBy("doc_id", "key").count().filter("count > 1").join(kept, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col("key") == F.col(k)), "left_semi")
-    if not again.isEmpty():  # the kept row itself is repeated
+    if not nodes.filter("n > 1").isEmpty():  # rows that repeat doc_id and text
         left = left.dropDuplicates(["doc_id", key])
     return left.select(*[F.col(f"`{n}`") for n in names])
 

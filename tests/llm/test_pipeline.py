@@ -9,7 +9,7 @@ from quillspark.llm import decontaminate, mixing, simhash, toxicity
 
 from test_decontaminate import holds
 from test_mixing import brute as brute_mix
-from test_simhash import brute as brute_groups
+from test_simhash import similar_groups
 from test_token_output import in_order
 
 
@@ -29,7 +29,7 @@ def test_every_stage_matches_brute_force(spark, sf, tmp_path):
     one = lambda t: tagger.score(tagger.tagged([[tagger.emission(w) for w in (t or "").split()]])[0])
     left = {d: r for d, r in left.items() if one(r.text) < 0.3}
     assert sorted(r.doc_id for r in got["toxicity"]) == sorted(left)
-    left = {d: left[d] for d, _, c in brute_groups([(d, r.text) for d, r in left.items()]) if d == c}
+    left = {d: left[d] for d, c in similar_groups([(d, r.text) for d, r in left.items()]).items() if d == c}
     assert sorted(r.doc_id for r in got["simhash_dedup"]) == sorted(left)
     bench = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     whole = {d for d, r in left.items() if any(decontaminate.plain_text(b) in decontaminate.plain_text(r.text) for b in bench)}
@@ -50,6 +50,8 @@ def test_repeated_rows_and_empty_tables(spark):
     docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = sorted((tuple(r)[:2] for r in simhash.deduplicated(docs).collect()), key=str)
     assert kept == sorted([(1, "a b c d e"), (1, "other words stand in here"), (None, "q r"), (2, None)], key=str)
+    several = docs.union(spark.createDataFrame([(5, "A B c\td  e", "en", "s", 1), (None, None, "en", "s", 1), (None, "", "en", "s", 1)], docs.schema))
+    assert sorted((tuple(r)[:2] for r in simhash.deduplicated(several).collect()), key=str) == kept
     mixed = mixing.mixed_documents(docs)
     n = mixing.mixture(docs).agg(F.sum(F.size("positions"))).first()[0]
     assert mixed.columns == docs.columns and mixed.count() == n

@@ -1,4 +1,6 @@
+import math
 import re
+from collections import Counter
 from itertools import combinations
 
 import xxhash
@@ -30,6 +32,40 @@ def brute(rows, words=4, bits=4):
     return sorted(((d, f"{f:016x}", least[root(i)]) for i, (d, f) in enumerate(fp)), key=str)
 
 
+def five_words(text):
+    w = re.findall(rb"[^\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else {()}
+
+
+def similar_groups(rows, least=0.8):
+    """doc_id -> smallest doc_id of its group, from all pairs of different texts that are similar.
+
+    Such a pair shares one of the rarest fifth and one more of either's shingles.
+    """
+    by_text = {}
+    for d, t in rows:
+        by_text.setdefault(t or "", []).append(d)
+    own = {t: five_words(t) for t in by_text}
+    seen = Counter(g for s in own.values() for g in s)
+    root, index = {t: t for t in by_text}, {}
+
+    def find(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    for t, s in own.items():
+        for g in sorted(s, key=lambda g: (seen[g], g))[: len(s) - math.ceil(least * len(s)) + 1]:
+            index.setdefault(g, []).append(t)
+    for x, y in {tuple(sorted(p)) for same in index.values() for p in combinations(same, 2)}:
+        if len(own[x] & own[y]) >= least * len(own[x] | own[y]):
+            root[find(x)] = find(y)
+    out = {}
+    for t, ids in by_text.items():
+        out.setdefault(find(t), []).extend(ids)
+    return {d: min(ids) for ids in out.values() for d in ids}
+
+
 def test_pairs_that_reach_the_minimum_meet_once():
     sets = simhash.position_sets()
     assert len(sets) == 70
@@ -75,3 +111,38 @@ def test_long_lists_are_linked(spark):
     fp = np.array([i ^ i >> 1 for i in range(64)], np.uint64)
     left, right = simhash._flood(fp, 4)
     assert sum(map(len, left)) == 63 and len(np.unique(np.concatenate(right))) == 63
+
+
+def test_groups_of_similar_texts(spark):
+    """On a larger table: no link that isn't one, and nearly all that are."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = similar_groups(rows)
+    kept = {r.doc_id for r in simhash.deduplicated(docs).collect()}
+    should = set(want.values())
+    copies = {d for d, t in rows} - should
+    assert should <= kept
+    missed = len(kept - should)
+    assert len(copies) > 500 and missed <= 0.02 * len(copies), (missed, len(copies))
+
+
+def test_similarity_at_the_edge(spark):
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(6))
+    rows = []
+    for k in range(60):  # a text of 300 words, and copies with so many words replaced, far apart
+        w = [word() for _ in range(300)]
+        rows.append((10 * k, " ".join(w)))
+        for n, changes in enumerate((1, 3, 5, 6, 8, 12), 1):
+            v = list(w)
+            for c in range(changes):
+                v[20 + c * 22] = word()
+            rows.append((10 * k + n, " ".join(v)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = similar_groups(rows)
+    kept = {r.doc_id for r in simhash.deduplicated(docs).collect()}
+    assert set(want.values()) <= kept and len(kept - set(want.values())) <= 0.1 * len(rows)
+    near = {d for d in want if d % 10 in (1, 2)}  # similarity of 0.9 and more
+    assert len(near & kept) <= 0.02 * len(near)
