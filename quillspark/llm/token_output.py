@@ -15,7 +15,7 @@ import json
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -202,15 +202,19 @@ class FileBuilder:
 
 
 class SeekableFile:
-    """Reads documents out of a file's bytes, frame by frame."""
+    """Reads documents out of a file frame by frame, given read(first byte, number of bytes) and the file's size.
 
-    def __init__(self, content: bytes):
-        count, flag, magic = struct.unpack("<IBI", content[-9:])
+    Only the seek table, the index frame and the frames that hold the requested documents are read.
+    """
+
+    def __init__(self, read: Callable[[int, int], bytes], size: int):
+        tail = read(max(0, size - 9), min(size, 9))
+        count, flag, magic = struct.unpack("<IBI", tail) if len(tail) == 9 else (0, 0, 0)
         if magic != SEEKABLE_MAGIC or flag != CHECKSUM_FLAG:
             raise ValueError("no seek table at the end")
-        self.content = content
-        self.seek = np.frombuffer(content, "<u4", 3 * count, len(content) - 9 - 12 * count).reshape(-1, 3)
-        self.at = np.concatenate([[0], np.cumsum(self.seek[:, 0], dtype=np.int64)])
+        self.read = read
+        self.seek = np.frombuffer(read(size - 9 - 12 * count, 12 * count), "<u4").reshape(-1, 3)
+        self.offsets = np.concatenate([[0], np.cumsum(self.seek[:, 0], dtype=np.int64)])
         index = self.frame(count - 1)
         self.width, self.partition, self.number, n = struct.unpack("<IIIQ", index[:20])
         known = np.frombuffer(index, np.uint8, n, 20)
@@ -222,9 +226,27 @@ class SeekableFile:
         self.within = self.starts - (self.starts[first] if n else 0)
         self._last: tuple[int, bytes] = (-1, b"")
 
+    @classmethod
+    def of(cls, content: bytes) -> SeekableFile:
+        return cls(lambda at, n: content[at : at + n], len(content))
+
+    @classmethod
+    def at(cls, spark: SparkSession, path: str) -> SeekableFile:
+        """A file in any storage that Spark reads, by ranges, on the driver."""
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        stream = fs.open(where)
+
+        def read(at: int, n: int) -> bytes:
+            stream.seek(at)
+            return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n))
+
+        return cls(read, fs.getFileStatus(where).getLen())
+
     def frame(self, k: int) -> bytes:
         size, plain, check = (int(x) for x in self.seek[k])
-        out = zstandard.ZstdDecompressor().decompress(self.content[self.at[k] : self.at[k] + size], max_output_size=max(plain, 1))
+        out = zstandard.ZstdDecompressor().decompress(self.read(int(self.offsets[k]), size), max_output_size=max(plain, 1))
         if len(out) != plain or xxhash.xxh64_intdigest(out) & 0xFFFFFFFF != check:
             raise ValueError(f"frame {k} is damaged")
         return out
@@ -290,7 +312,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = {"partition": pa.int64(), "number": pa.int64(), "place": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "ids_crc32": pa.int64()}
     for batch in batches:
         for content in batch.column("content"):
-            file = SeekableFile(content.as_buffer().to_pybytes())
+            file = SeekableFile.of(content.as_buffer().to_pybytes())
             n = len(file.doc_ids)
             crc = [zlib.crc32(file.tokens(k).astype("<u4").tobytes()) for k in range(n)]
             columns = [[file.partition] * n, [file.number] * n, range(n), file.doc_ids, file.counts, crc]

@@ -68,14 +68,14 @@ def test_frames_stand_alone_and_are_checked():
     for k, d in enumerate(docs):
         build.add(k, np.array(d, "<u2").tobytes())
     content = build.content(0, 0) + out.TAIL
-    file = out.SeekableFile(content)
+    file = out.SeekableFile.of(content)
     assert [file.tokens(k).tolist() for k in (4, 0, 2, 3, 1)] == [docs[k] for k in (4, 0, 2, 3, 1)]
     plain = b"".join(file.frame(k) for k in range(len(file.seek)))
     assert zstandard.ZstdDecompressor().decompressobj(read_across_frames=True).decompress(content).startswith(plain[:20])
     broken = bytearray(content)
-    broken[file.at[1] + 6] ^= 1
+    broken[file.offsets[1] + 6] ^= 1
     with pytest.raises((ValueError, zstandard.ZstdError)):
-        out.SeekableFile(bytes(broken)).frame(1)
+        out.SeekableFile.of(bytes(broken)).frame(1)
 
 
 def test_a_special_string_and_other_white_space_inside_texts():
@@ -89,3 +89,25 @@ def test_files_keep_the_order_in_which_rows_were_written(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/all")
     got = [tuple(r)[:4] for r in out.encoded(docs, order=out.written_order(), text_bytes_each=100).orderBy("start").collect()]
     assert got == in_order(sorted(rows, reverse=True))
+
+
+def test_readers_fetch_only_what_they_need(spark, tmp_path):
+    """And the writer's line end is the format's magic number: the files are as the format says, byte by byte."""
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(300))) for k in range(300)]
+    path = f"{tmp_path}/tokens"
+    out.encoded(spark.createDataFrame(rows, "doc_id long, text string"), path=path, frame_bytes=4096).collect()
+    files = sorted(p for p in (tmp_path / "tokens").iterdir() if p.name.startswith("part-"))
+    whole = files[0].read_bytes()
+    assert whole.endswith(out.TAIL) and len(out.SeekableFile.of(whole).seek) > 20
+    fetched = []
+
+    class Counting(out.SeekableFile):
+        def __init__(self, read, size):
+            super().__init__(lambda at, n: fetched.append(n) or read(at, n), size)
+
+    file = Counting.at(spark, str(files[0]))
+    k = len(file.doc_ids) // 2
+    want = TOKENIZER.encode(dict(rows)[file.doc_ids[k]], add_special_tokens=False).ids
+    assert file.tokens(k).tolist() == [*want, 2] and sum(fetched) < len(whole) / 5
+    with pytest.raises(ValueError):
+        out.SeekableFile.of(b"short")
