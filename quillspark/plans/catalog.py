@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import metrics as M
 from quillspark.functions import text as T
+from quillspark.functions import vector
 from quillspark.functions.stem import stem_sql, stemmed
 from quillspark.operators import chunking, decide, evaluate, providers, retrieval, review, store, structure, validate
 from quillspark.session import shared_dir, table
@@ -848,3 +849,78 @@ def broken_labels(spark, sf_dir):
 def header_changes(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("part"), "event_id", "event_type")
     return review.header_changes(e, "event_type", "event_id").select(F.col("part").alias("user_id"), "event_id", "starts")
+
+
+# --- further structure and state ---------------------------------------------
+
+
+@_query("SELECT count(embedding) > 0 AS ready, CASE WHEN count(embedding) > 0 THEN count(embedding) || ' embedded chunks' ELSE 'no embedded chunks' END AS message FROM embeddings")
+def readiness(spark, sf_dir):
+    return store.readiness(table(spark, sf_dir, "embeddings"))
+
+
+@_query("SELECT DISTINCT 'U' || user_id % 40 AS policy_id, event_type AS policy_title, ts::DATE AS last_reviewed FROM events WHERE (2026 - year(ts)) * 12 + 9 - month(ts) > 20")
+def stale_policies(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("U"), F.col("user_id") % 40).alias("policy_id"), F.col("event_type").alias("policy_title"), F.to_date("ts").alias("last_reviewed"))
+    return review.stale_policies(e, F.to_date(F.lit("2026-09-10")), 20)
+
+
+@_query("""
+WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, l_returnflag) AS l_linenumber, 10 + 4 * (l_quantity::INT % 3) AS size, l_returnflag = 'R' AS bold, 'line ' || l_partkey AS text FROM lineitem),
+b AS (SELECT l_orderkey, size AS body FROM (SELECT l_orderkey, size, count(*) AS n, min(l_linenumber) AS seen FROM l GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, seen) = 1),
+h AS (SELECT l.*, size >= body * 1.15 OR (bold AND size >= body) AS heading FROM l JOIN b USING (l_orderkey)),
+r AS (SELECT l_orderkey, size, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY size DESC) - 1 AS level FROM h WHERE heading),
+s AS (SELECT h.*, sum(heading::INT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS section FROM h),
+p AS (SELECT s.l_orderkey, section, max(r.level) FILTER (heading) AS level, max(text) FILTER (heading) AS heading, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY l_linenumber) FILTER (NOT heading), '') AS body
+      FROM s LEFT JOIN (SELECT DISTINCT * FROM r) r ON r.l_orderkey = s.l_orderkey AND r.size = s.size GROUP BY ALL)
+SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY section) - 1)::INT AS ordinal, coalesce(level, 0)::INT AS level, heading, body FROM p""")
+def line_sections(spark, sf_dir):
+    """Lines of an order as lines of a page, of three sizes and some of them bold."""
+    from pyspark.sql.window import Window
+
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_returnflag"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", number.alias("line_no"), F.concat(F.lit("line "), "l_partkey").alias("text"), (10 + 4 * (F.col("l_quantity").cast("int") % 3)).cast("double").alias("size"), (F.col("l_returnflag") == "R").alias("bold"))
+    return structure.line_sections(lines, "l_orderkey")
+
+
+_SECTION_ROWS = """
+x AS (SELECT l_orderkey, l_linenumber % 3 + 1 AS hd, l_shipdate::VARCHAR AS heading, l_quantity || ' of ' || l_partkey AS body, l_linenumber || '|' || hd || '|' || (l_returnflag <> 'R') || '|' || heading || '|' || body AS place FROM lineitem)
+"""
+
+
+@_query(f"WITH {_SECTION_ROWS} SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY place) - 1)::INT AS ordinal, (hd - min(hd) OVER (PARTITION BY l_orderkey))::INT AS level, heading, body FROM x")
+def xml_sections(spark, sf_dir):
+    return structure.sections(_xml(spark, sf_dir), "l_orderkey", "xml", structure.xml_sections)
+
+
+@_query("SELECT l_orderkey, CASE WHEN l_orderkey % 2 = 0 THEN 'xml' ELSE 'html' END AS extracted_from, CASE WHEN l_orderkey % 2 = 0 THEN count(*) ELSE 1 END AS sections FROM lineitem GROUP BY l_orderkey")
+def format_fallback(spark, sf_dir):
+    """Every other order's XML is broken; its HTML stands in."""
+    d = _xml(spark, sf_dir).select("l_orderkey", F.when(F.col("l_orderkey") % 2 == 0, F.col("xml")).otherwise("<RULE").alias("xml"), F.concat(F.lit("<h1>Order</h1><p>"), "l_orderkey").alias("html"))
+    found = structure.with_fallback(d, "l_orderkey", {"xml": ("xml", structure.xml_sections), "html": ("html", structure.html_sections)})
+    return found.groupBy("l_orderkey", "extracted_from").agg(F.count("*").alias("sections"))
+
+
+@_query("SELECT vec_id, len(embedding) AS n, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings WHERE embedding IS NOT NULL")
+def vector_coercion(spark, sf_dir):
+    """Vectors written as text and read back."""
+    text = F.concat(F.lit("["), F.array_join(F.transform("embedding", lambda x: x.cast("string")), ", "), F.lit("]"))
+    v = table(spark, sf_dir, "embeddings").filter("embedding is not null").select("vec_id", vector.as_vector(text).alias("v"))
+    return v.select("vec_id", F.size("v").cast("long").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+@_query("""
+SELECT event_type || '.json' AS file, event_type AS label, format('{:.3f}', round(avg(value) / 1000, 3)) AS recall_1, CASE WHEN event_type = 'error' THEN 'n/a' ELSE format('{:.3f}', round(min(value) / 1000, 3)) END AS mrr, format('{:.3f}', round(max(value) / 1000, 3)) AS separation FROM events GROUP BY event_type""")
+def runs_compared(spark, sf_dir):
+    part = lambda f: F.round(f("value") / 1000, 3)
+    runs = table(spark, sf_dir, "events").groupBy("event_type").agg(part(F.avg).alias("recall_1"), part(F.min).alias("mrr"), part(F.max).alias("separation"))
+    runs = runs.select(F.concat("event_type", F.lit(".json")).alias("file"), F.col("event_type").alias("label"), "recall_1", F.when(F.col("event_type") != "error", F.col("mrr")).alias("mrr"), "separation")
+    return review.runs_compared(runs)
+
+
+@_query("""
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN doc_id || '. ' || lang WHEN 1 THEN doc_id || ' ' || lang WHEN 2 THEN lang ELSE '[section ' || doc_id || ']' END AS label FROM documents""")
+def section_labels(spark, sf_dir):
+    i = F.col("doc_id")
+    heading = F.when(i % 4 == 0, F.concat(i.cast("string"), F.lit(". "), F.col("lang"))).when(i % 4 < 3, F.col("lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", structure.label(heading, F.when(i % 4 < 2, i.cast("string")), i).alias("label"))
