@@ -96,9 +96,13 @@ def close(a: np.ndarray, b: np.ndarray | np.uint64, bits: int) -> np.ndarray:
 def _flood(fp: np.ndarray, bits: int) -> tuple[list, list]:
     """Links that connect what is linked in a long list, a tree of each component.
 
-    Lists are long where many fingerprints lie close together, so that the first pivots take most of the list.
+    Lists are long where many fingerprints lie close together, so that the first pivots take most of the list. Those
+    nearest to the list's majority of bits come first: the centre of a group is the pivot in most lists in which it meets, so that
+    its lists give the same links over and over and not others each time.
     """
-    rest, left, right = np.arange(len(fp)), [], []
+    ones = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
+    middle = np.packbits(2 * ones > len(fp)).view(np.uint64)[0]
+    rest, left, right = np.argsort(np.bitwise_count(fp ^ middle), kind="stable"), [], []
     while len(rest):
         pivots, rest = [rest[0]], rest[1:]
         while pivots and len(rest):
@@ -111,14 +115,15 @@ def _flood(fp: np.ndarray, bits: int) -> tuple[list, list]:
     return left, right
 
 
-def links(batches: Iterator[pa.RecordBatch], bits: int, name: str = "fp", once: bool = True) -> Iterator[pa.RecordBatch]:
+def links(batches: Iterator[pa.RecordBatch], bits: int, name: str = "fp", label: str = "fp", once: bool = True) -> Iterator[pa.RecordBatch]:
     """Links of nodes within runs of equal keys (number of the position set, then its bytes); rows come sorted by key.
 
     once: the keys are those of ``position_sets``, and a pair of a short list is reported by its first list alone.
+    Nodes that agree in label are known to be connected: links between them are left out.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def of(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    def of(key: np.ndarray, node: np.ndarray, known: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         edge = np.flatnonzero(np.diff(key)) + 1
         begin, end = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
         size = end - begin
@@ -138,7 +143,9 @@ def links(batches: Iterator[pa.RecordBatch], bits: int, name: str = "fp", once:
             a, b = _flood(fp[begin[k] : end[k]], bits)
             left += [x + begin[k] for x in a]
             right += [x + begin[k] for x in b]
-        a, b = (node[np.concatenate(x).astype(np.int64)] if x else np.zeros(0, np.int64) for x in (left, right))
+        a, b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (left, right))
+        new = known[a] != known[b]
+        a, b = node[a[new]], node[b[new]]
         pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
 
@@ -146,14 +153,14 @@ def links(batches: Iterator[pa.RecordBatch], bits: int, name: str = "fp", once:
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, node, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", name, "fp"))
-        held.append((key, node, fp.view(np.uint64)))
+        key, node, known, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", name, label, "fp"))
+        held.append((key, node, known, fp.view(np.uint64)))
         if key[0] == key[-1] and held[0][0][0] == key[0]:
             continue
-        key, node, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
         cut = int(np.searchsorted(key, key[-1]))
-        yield of(key[:cut], node[:cut], fp[:cut])
-        held = [(key[cut:], node[cut:], fp[cut:])]
+        yield of(key[:cut], *(x[:cut] for x in rest))
+        held = [(key[cut:], *(x[cut:] for x in rest))]
     if held:
         yield of(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -189,10 +196,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, carried: tup
 
 # --- near copies by similarity ---------------------------------------------------
 
-#: Bits of the first 64 of a wide fingerprint that may differ. At a similarity of 0.8 some 10 do, with a deviation of 3; of unlike texts 32.
-WIDE_BITS = 20
-#: Positional bytes in a posting of the wide index, and number of position sets.
-WIDE_BYTES, WIDE_SETS = 3, 128
+#: Bits of the first 64 of a wide fingerprint that may differ, and of all 256. At a similarity of 0.8 some 10 and 39 do, with
+#: deviations of 3 and 6; of unlike texts 32 and 128.
+WIDE_BITS, ALL_BITS = 20, 56
+#: Positional bytes in a posting of the wide index, number of position sets, and those that are searched first.
+WIDE_BYTES, WIDE_SETS, FIRST_SETS = 3, 128, 16
 
 
 def wide_sets() -> list[tuple[int, ...]]:
@@ -231,7 +239,9 @@ def _similar(batches: Iterator[pa.RecordBatch], words: int, similarity: float) -
 def similar_texts(nodes: DataFrame, texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(a, b): links of nodes (key, fp, fp1, fp2, fp3) whose texts (key, text) have that Jaccard similarity of their shingles.
 
-    Links connect what is connected: of pairs that lie close in the fingerprint a tree for each posting list, verified on the texts.
+    Links connect what is connected: of pairs that lie close in the fingerprint a tree for each posting list, verified on the
+    texts. A few position sets come first; what their links connect isn't compared again under the others, so a large group of
+    near copies is verified over a few links a text and not over as many as there are sets.
     """
     byte = lambda p: F.shiftrightunsigned("fp" if p < 8 else f"fp{p // 8}", 8 * (p % 8)).bitwiseAND(0xFF)
     keys = []
@@ -240,13 +250,25 @@ def similar_texts(nodes: DataFrame, texts: DataFrame, words: int = 5, similarity
         for p in places:
             key = F.shiftleft(key, 8).bitwiseOR(byte(p))
         keys.append(key)
-    lists = nodes.select(F.col("key").alias("node"), "fp", F.explode(F.array(*keys)).alias("key"))
-    lists = lists.repartition("key").sortWithinPartitions("key", "node")
-    edges = common.checkpointed(lists.mapInArrow(lambda it: links(it, WIDE_BITS, "node", False), "a long, b long").distinct())
-    ends = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    known = common.checkpointed(texts.join(ends, "key", "left_semi").groupBy("key").agg(F.any_value("text").alias("text")))
-    pairs = edges.join(known.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(known.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
-    return pairs.sortWithinPartitions("a").mapInArrow(lambda it: _similar(it, words, similarity), "a long, b long")
+
+    def searched(labelled: DataFrame, keys: list) -> DataFrame:
+        lists = labelled.select(F.col("key").alias("node"), "label", "fp", F.explode(F.array(*keys)).alias("key"))
+        lists = lists.repartition("key").sortWithinPartitions("key", "node")
+        edges = lists.mapInArrow(lambda it: links(it, WIDE_BITS, "node", "label", False), "a long, b long").distinct()
+        lanes = ("fp", "fp1", "fp2", "fp3")
+        for end in ("a", "b"):
+            edges = edges.join(nodes.select(F.col("key").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in lanes]), end)
+        differ = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in lanes), F.lit(0))
+        edges = common.checkpointed(edges.filter(differ <= ALL_BITS).select("a", "b"))
+        ends = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        known = common.checkpointed(texts.join(ends, "key", "left_semi").groupBy("key").agg(F.any_value("text").alias("text")))
+        pairs = edges.join(known.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(known.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
+        return common.checkpointed(pairs.sortWithinPartitions("a").mapInArrow(lambda it: _similar(it, words, similarity), "a long, b long"))
+
+    first = searched(nodes.withColumn("label", F.col("key")), keys[:FIRST_SETS])
+    reach = common.components(first).select(F.col("node").alias("key"), F.col("component").alias("label"))
+    labelled = nodes.join(reach, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    return first.unionByName(searched(labelled, keys))
 
 
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
