@@ -234,14 +234,16 @@ def _similar(batches: Iterator[pa.RecordBatch], words: int, similarity: float) -
             both = len(own & other)
             keep[k] = both >= similarity * (len(own) + len(other) - both)
         yield batch.select(["a", "b"]).filter(pa.array(keep))
+    del own
+    common.trimmed()
 
 
 def similar_texts(nodes: DataFrame, texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(a, b): links of nodes (key, fp, fp1, fp2, fp3) whose texts (key, text) have that Jaccard similarity of their shingles.
 
     Links connect what is connected: of pairs that lie close in the fingerprint a tree for each posting list, verified on the
-    texts. A few position sets come first; what their links connect isn't compared again under the others, so a large group of
-    near copies is verified over a few links a text and not over as many as there are sets.
+    texts. A few position sets come first; what their links connect, and pairs that they have compared, aren't compared again under
+    the others, so a large group of near copies is verified over a few links a text and not over as many as there are sets.
     """
     byte = lambda p: F.shiftrightunsigned("fp" if p < 8 else f"fp{p // 8}", 8 * (p % 8)).bitwiseAND(0xFF)
     keys = []
@@ -251,10 +253,12 @@ def similar_texts(nodes: DataFrame, texts: DataFrame, words: int = 5, similarity
             key = F.shiftleft(key, 8).bitwiseOR(byte(p))
         keys.append(key)
 
-    def searched(labelled: DataFrame, keys: list) -> DataFrame:
+    def candidates(labelled: DataFrame, keys: list) -> DataFrame:
         lists = labelled.select(F.col("key").alias("node"), "label", "fp", F.explode(F.array(*keys)).alias("key"))
         lists = lists.repartition("key").sortWithinPartitions("key", "node")
-        edges = lists.mapInArrow(lambda it: links(it, WIDE_BITS, "node", "label", False), "a long, b long").distinct()
+        return common.checkpointed(lists.mapInArrow(lambda it: links(it, WIDE_BITS, "node", "label", False), "a long, b long").distinct())
+
+    def verified(edges: DataFrame) -> DataFrame:
         lanes = ("fp", "fp1", "fp2", "fp3")
         for end in ("a", "b"):
             edges = edges.join(nodes.select(F.col("key").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in lanes]), end)
@@ -265,10 +269,12 @@ def similar_texts(nodes: DataFrame, texts: DataFrame, words: int = 5, similarity
         pairs = edges.join(known.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(known.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
         return common.checkpointed(pairs.sortWithinPartitions("a").mapInArrow(lambda it: _similar(it, words, similarity), "a long, b long"))
 
-    first = searched(nodes.withColumn("label", F.col("key")), keys[:FIRST_SETS])
+    early = candidates(nodes.withColumn("label", F.col("key")), keys[:FIRST_SETS])
+    first = verified(early)
     reach = common.components(first).select(F.col("node").alias("key"), F.col("component").alias("label"))
     labelled = nodes.join(reach, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    return first.unionByName(searched(labelled, keys))
+    late = candidates(labelled, keys[FIRST_SETS:]).join(early, ["a", "b"], "left_anti")
+    return first.unionByName(verified(late))
 
 
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
