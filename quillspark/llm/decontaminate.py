@@ -33,8 +33,8 @@ EDIT_RATE = 0.07
 SEGMENT, STRIDE = 86, 43
 #: Characters of segments in a block; its index takes some fifty bytes for each. More are searched in further blocks.
 BLOCK_CHARS = 2_000_000
-#: Shared q-grams that are tallied together.
-HITS = 1 << 21
+#: Shared q-grams that are tallied together, and bytes of text that are looked at together.
+HITS, SLICE_BYTES = 1 << 21, 1 << 20
 
 _LETTER = np.arange(256, dtype=np.uint8)
 _LETTER[65:91] += 32
@@ -227,7 +227,7 @@ class Index:
 def _found(column: pa.Array, index: Index) -> Iterator[tuple[int, dict[int, list]]]:
     """(row, item -> (edits, first byte, byte past the end, segment)) of each text with a hit."""
     data, at = common.raw_strings(column)
-    for i, j in common.slices(at):
+    for i, j in common.slices(at, SLICE_BYTES):
         raw, own = data[at[i] : at[j]], at[i : j + 1] - at[i]
         text, upto, where = plain(raw, own)
         hits: dict[int, dict] = {}
@@ -333,6 +333,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 clean = np.ones(b.num_rows, bool)
                 clean[[row for row, _ in _found(b.column("text"), index)]] = False
                 yield b.filter(pa.array(clean))
+            common.trimmed()
 
         return run
 

@@ -65,6 +65,7 @@ def fingerprints(batches: Iterator[pa.RecordBatch], words: int, carried: tuple[s
                 ones = np.add.reduceat(bits, upto[some], axis=0, dtype=np.int32)
                 found[lane, i + some] = np.packbits(2 * ones > full[some, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in carried), *(pa.array(x.view(np.int64)) for x in found)], ["doc_id", *carried, *names])
+    common.trimmed()
 
 
 def position_sets() -> list[tuple[int, ...]]:
