@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import ann, chat, decontaminate, mixing, quality, simhash, substring_dedup, token_output, toxicity, url_filter
+from quillspark.llm import align, ann, chat, decontaminate, mixing, quality, simhash, substring_dedup, token_output, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_decontamination": decontaminate.op8_decontamination,
         "op9_simhash": simhash.op9_simhash,
         "op10_token_output": token_output.op10_token_output,
+        "op11_alignment": align.op11_alignment,
     }
 
 

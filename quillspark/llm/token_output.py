@@ -63,14 +63,16 @@ class PieceEncoder:
 
     The byte-level pattern never joins a character that isn't white space with white space after it, nor a letter with a mark
     after it (an apostrophe apart), so texts may be cut there and the pieces' ids put end to end. Pieces are told apart
-    by Arrow, many texts at once; a text that holds a special token's string is one piece. Other vocabularies get whole texts.
+    by Arrow, many texts at once; a text that holds a special token's string is one piece, unless those are plain text (literal).
+    Other vocabularies get whole texts.
     """
 
-    def __init__(self, vocabulary: str, width: int, remembered: int = REMEMBERED):
+    def __init__(self, vocabulary: str, width: int, remembered: int = REMEMBERED, literal: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind, self.remembered = Tokenizer.from_str(vocabulary), f"<u{width}", remembered
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = literal
+        self.special = [] if literal else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         how = json.loads(vocabulary)
         before = how.get("pre_tokenizer") or {}
         self.cuts = how.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
@@ -121,13 +123,11 @@ class PieceEncoder:
         whole[at] = True
         if self.cuts and len(data):
             starts = piece_starts(data)
-            raw = data.tobytes() if self.special else b""
-            for s in self.special:
-                place = raw.find(s)
-                while place >= 0:  # no piece begins inside a text with a special token
-                    k = int(np.searchsorted(at, place, "right"))
-                    starts = starts[(starts < at[k - 1]) | (starts >= at[k])]
-                    place = raw.find(s, int(at[k]))
+            if self.special:  # no piece begins inside a text with a special token
+                places = [m.start() for m in re.finditer(b"|".join(map(re.escape, self.special)), data.tobytes())]
+                special = np.zeros(len(at), bool)
+                special[np.searchsorted(at, places, "right") - 1] = True
+                starts = starts[~special[np.searchsorted(at, starts, "right") - 1]]
             whole[starts] = True
         edges = np.flatnonzero(whole)
         if len(edges) < 2:
