@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import align, ann, chat, decontaminate, mixing, quality, simhash, substring_dedup, token_output, toxicity, url_filter
+from quillspark.llm import align, ann, chat, decontaminate, html_text, mixing, negatives, quality, simhash, substring_dedup, token_output, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -18,8 +18,10 @@ def queries() -> dict:
         "op9_simhash": simhash.op9_simhash,
         "op10_token_output": token_output.op10_token_output,
         "op11_alignment": align.op11_alignment,
+        "op12_hard_negatives": negatives.op12_hard_negatives,
+        "op13_html": html_text.op13_html,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ann": ann.ORACLE, "op4_chat_format": chat.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE, "op7_mixing": mixing.ORACLE}
+    return {"op1_ann": ann.ORACLE, "op4_chat_format": chat.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE, "op7_mixing": mixing.ORACLE, "op12_hard_negatives": negatives.ORACLE}
