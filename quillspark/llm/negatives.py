@@ -350,7 +350,7 @@ def op12_hard_negatives(spark, sf_dir) -> DataFrame:
 #: The same rows in DuckDB.
 ORACLE = """
 WITH e AS (
-  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) for x in embedding] AS v
   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
 ),
 p AS (

@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -79,7 +80,11 @@ def test_odd_rows(spark):
 def test_query(spark, sf):
     """The driver's table; labels move by vec_id."""
     rows = [(r.vec_id, [float(x) for x in r.embedding], (r.label + 1) % 10 if r.vec_id % 7 == 0 else r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
-    assert rows_of(negatives.op12_hard_negatives(spark, sf)) == plain(rows)
+    got = rows_of(negatives.op12_hard_negatives(spark, sf))
+    assert got == plain(rows)
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
+    assert sorted(con.execute(negatives.ORACLE).fetchall()) == got
 
 
 def test_tree_bounds():
