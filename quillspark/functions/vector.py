@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 
 def dot(a: Column, b: Column) -> Column:
-    """Sum of products over the shorter length; 0.0 for an empty vector."""
+    """Sum of products over the shorter length; 0.0 for an empty vector. Components that are null or no number count as nothing."""
     n = F.least(F.size(a), F.size(b))
     terms = F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(terms, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    return F.aggregate(terms, F.lit(0.0), lambda s, x: s + F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0)))
 
 
 def norm(a: Column) -> Column:
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + F.coalesce(x.cast("double") * x.cast("double"), F.lit(0.0))))
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + F.coalesce(F.nanvl(x.cast("double") * x.cast("double"), F.lit(0.0)), F.lit(0.0))))
 
 
 def cosine(a: Column, b: Column) -> Column:

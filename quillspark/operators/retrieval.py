@@ -30,16 +30,17 @@ def vector_topk(chunks: DataFrame, query: list[float], k: int, key: str = "ref",
     return rows.select(key, F.round(vector.cosine(F.col("embedding"), q), 6).alias("similarity")).orderBy(F.desc("similarity"), key).limit(k)
 
 
-def _passes(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _passes(queries: DataFrame) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
     """(ids, vectors) of as many queries at a time as QUERY_BYTES hold."""
-    held: list = []
+    held, n = [], 0
     for r in queries.toLocalIterator():
         held.append(r)
-        if len(held) * 8 * len(r[1]) >= QUERY_BYTES:
-            yield np.array([x[0] for x in held]), np.array([x[1] for x in held], float)
-            held = []
+        n += 8 * (len(r[1]) + 1)
+        if n >= QUERY_BYTES:
+            yield np.array([x[0] for x in held]), [np.array(x[1], float) for x in held]
+            held, n = [], 0
     if held:
-        yield np.array([x[0] for x in held]), np.array([x[1] for x in held], float)
+        yield np.array([x[0] for x in held]), [np.array(x[1], float) for x in held]
 
 
 def _largest(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,36 +54,78 @@ def _largest(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return row[first], column[first]
 
 
+class RunningTop:
+    """The k best rows of each query over all batches of a task, ties to the smaller key; so k rows a query leave the task at most."""
+
+    def __init__(self, k: int, key: str, score: str):
+        self.k, self.names, self.parts, self.held, self.least = k, ("query_id", key, score), [], 0, 0
+
+    def add(self, query: np.ndarray, keys: list | np.ndarray, score: np.ndarray) -> None:
+        if len(query):
+            self.parts.append(pd.DataFrame(dict(zip(self.names, (query, keys, score), strict=True))))
+            self.held += len(query)
+        if self.held > max(4 * self.least, 1 << 18):
+            self._shrink()
+
+    def _shrink(self) -> None:
+        query, key, score = self.names
+        best = pd.concat(self.parts, ignore_index=True).sort_values([query, score, key], ascending=[True, False, True], kind="stable")
+        best = best[best.groupby(query).cumcount() < self.k]
+        self.parts, self.held, self.least = [best], len(best), len(best)
+
+    def batch(self, key_type: pa.DataType, score_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            self._shrink()
+            best = self.parts[0]
+            yield pa.RecordBatch.from_arrays([pa.array(best[n], t) for n, t in zip(self.names, (pa.int64(), key_type, score_type), strict=True)], list(self.names))
+
+
+def by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, vectors) of a column of vectors for each length that occurs; components that are null or no number count as nothing."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = np.nan_to_num(column.flatten().to_numpy(zero_copy_only=False).astype(float), nan=0.0, posinf=np.inf, neginf=-np.inf)
+    starts = np.cumsum(sizes) - sizes
+    for n in np.unique(sizes):
+        rows = np.flatnonzero(sizes == n)
+        yield rows, flat[starts[rows][:, None] + np.arange(n)]
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
 def vector_topk_many(chunks: DataFrame, queries: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
     """(query_id, key, similarity, rank) for queries (query_id, embedding) against chunks (key, embedding).
 
     Query vectors go along with the tasks, QUERY_BYTES of them a pass over the chunks; every task keeps its k best for
-    each query, which are merged by a window.
+    each query over all its batches, which are merged by a window. Of vectors of unequal length the product is over the shorter length and the norms
+    are of the whole vectors; null components count as nothing.
     """
-    found = None
-    for ids, q in _passes(queries.select("query_id", "embedding").filter("embedding is not null")):
-        norms = np.linalg.norm(q, axis=1)
-        unit = np.divide(q, norms[:, None], out=np.zeros_like(q), where=norms[:, None] > 0)
+    found, kind = None, dict(chunks.dtypes)[key]
+    for ids, vectors in _passes(queries.select("query_id", "embedding").filter("embedding is not null")):
+        lists = pa.array(vectors, pa.list_(pa.float64()))
+        asked = [(ids[rows], unit_rows(q)) for rows, q in by_length(lists)]
 
-        def near(batches: Iterator[pa.RecordBatch], ids=ids, unit=unit) -> Iterator[pa.RecordBatch]:
+        def near(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
+            top, key_type = RunningTop(k, key, "similarity"), None
             for b in batches:
-                if not b.num_rows:
-                    continue
-                x = np.array(b.column("embedding").flatten().to_numpy(zero_copy_only=False), float).reshape(b.num_rows, -1)
-                keys = b.column(key).to_numpy(zero_copy_only=False)
-                order = np.argsort(keys, kind="stable")
-                x, keys = x[order], keys[order]
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
-                for lo in range(0, len(ids), QUERY_BLOCK):
-                    s = np.round(unit[lo : lo + QUERY_BLOCK] @ x.T, 6)
-                    row, best = _largest(s, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo + row]), pa.array(keys[best]), pa.array(s[row, best])], ["query_id", key, "similarity"])
-
-        part = chunks.filter("embedding is not null").select(key, "embedding").mapInArrow(near, f"query_id long, {key} long, similarity double")
+                key_type, keys = b.schema.field(key).type, b.column(key).to_numpy(zero_copy_only=False)
+                for rows, x in by_length(b.column("embedding")):
+                    rows = rows[np.argsort(keys[rows], kind="stable")] if len(rows) < b.num_rows else np.argsort(keys, kind="stable")
+                    x = unit_rows(x if len(rows) < b.num_rows else x[rows])
+                    for own, q in asked:
+                        n = min(q.shape[1], x.shape[1])
+                        for lo in range(0, len(own), QUERY_BLOCK):
+                            s = np.round(q[lo : lo + QUERY_BLOCK, :n] @ x[:, :n].T, 6) + 0.0
+                            row, best = _largest(s, k)
+                            top.add(own[lo + row], keys[rows[best]], s[row, best])
+            yield from top.batch(key_type, pa.float64())
+
+        part = chunks.filter("embedding is not null").select(key, "embedding").mapInArrow(near, f"query_id long, {key} {kind}, similarity double")
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = chunks.sparkSession.createDataFrame([], f"query_id long, {key} long, similarity double")
+        found = chunks.sparkSession.createDataFrame([], f"query_id long, {key} {kind}, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
     return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
@@ -146,12 +189,32 @@ class _Stems(dict):
         return number
 
 
+def _matches(row: np.ndarray, term: np.ndarray, first: np.ndarray, lists: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, row, positions) of all pairs that share a term, from (row, term) of each position and the queries of each term (lists from first on)."""
+    pairs, n = np.unique(np.stack([row, term]), axis=1, return_counts=True)
+    fan = first[pairs[1] + 1] - first[pairs[1]]
+    upto, i = np.cumsum(fan), 0
+    while i < len(n):
+        # whole rows, of so many pairs with queries
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + most, "right")))
+        j = len(n) if j >= len(n) else max(int(np.searchsorted(pairs[0], pairs[0, j])), int(np.searchsorted(pairs[0], pairs[0, i], "right")))
+        each = fan[i:j]
+        at = np.repeat(first[pairs[1, i:j]] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+        query, r, times = lists[at], np.repeat(pairs[0, i:j], each), np.repeat(n[i:j], each)
+        order = np.lexsort((r, query))
+        query, r, times = query[order], r[order], times[order]
+        new = np.flatnonzero((np.diff(query, prepend=-1) != 0) | (np.diff(r, prepend=-1) != 0))
+        if len(new):
+            yield query[new], r[new], np.add.reduceat(times, new)
+        i = j
+
+
 def keyword_rank(chunks: DataFrame, queries: DataFrame, k: int, key: str, tokens: str = "tokens", terms: str = "terms", stems: bool = True) -> DataFrame:
     """(query_id, key, matches, rank): chunks (key, tokens) by the number of positions that match any (stemmed) term of queries (query_id, terms).
 
     The same rows as ``index_search`` in a ``token_index``, for a search without one: query terms go along with the tasks,
-    TERMS_SENT of them a pass; a task counts terms in blocks of chunks, multiplies counts with the queries' terms and keeps
-    its k best for each query. So no pair of chunk and query is shuffled, however common a term is.
+    TERMS_SENT of them a pass; a task counts the terms of its chunks, looks up which queries have them and keeps
+    its k best for each query over all its batches. So no pair of chunk and query is shuffled, however common a term is, and none is looked at that shares no term.
     """
     of = stem if stems else (lambda w: w)
     found = None
@@ -159,41 +222,29 @@ def keyword_rank(chunks: DataFrame, queries: DataFrame, k: int, key: str, tokens
     for ids, words in _asked(queries, terms):
         vocabulary: dict[str, int] = {}
         numbers = [sorted({vocabulary.setdefault(of(w), len(vocabulary)) for w in own}) for own in words]
+        own = np.repeat(np.arange(len(numbers)), [len(n) for n in numbers])
+        flat = np.array([t for n in numbers for t in n], np.int64)
+        lists = own[np.argsort(flat, kind="stable")]
+        first = np.searchsorted(np.sort(flat), np.arange(len(vocabulary) + 1))
 
-        def near(batches: Iterator[pa.RecordBatch], ids=ids, vocabulary=vocabulary, numbers=numbers) -> Iterator[pa.RecordBatch]:
-            known = _Stems(vocabulary, of)
+        def near(batches: Iterator[pa.RecordBatch], ids=np.array(ids), vocabulary=vocabulary, first=first, lists=lists) -> Iterator[pa.RecordBatch]:
+            known, top, key_type = _Stems(vocabulary, of), RunningTop(k, key, "matches"), None
             for b in batches:
-                keys = b.column(key).to_pylist()
-                order = sorted(range(b.num_rows), key=keys.__getitem__)
-                b = b.take(pa.array(order, pa.int64()))
-                keys = [keys[i] for i in order]
-                lists = b.column("_tokens")
-                row = np.repeat(np.arange(b.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                encoded = lists.flatten().dictionary_encode()
-                term = np.array([known[w] for w in encoded.dictionary.to_pylist()], np.int64)[encoded.indices.to_numpy()] if len(row) else np.zeros(0, np.int64)
-                row, term = row[term >= 0], term[term >= 0]
-                for lo in range(0, len(ids), QUERY_BLOCK):
-                    own = numbers[lo : lo + QUERY_BLOCK]
-                    used = np.unique(np.concatenate(own))
-                    place = np.full(len(vocabulary), -1)
-                    place[used] = np.arange(len(used))
-                    wanted = np.zeros((len(used), len(own)))
-                    for q, n in enumerate(own):
-                        wanted[place[n], q] = 1
-                    column = place[term]
-                    at, column = row[column >= 0], column[column >= 0]
-                    step = max(1, (1 << 22) // len(used))
-                    best: list[tuple] = []
-                    for first in range(0, b.num_rows, step):
-                        i, j = np.searchsorted(at, (first, first + step))
-                        n = min(step, b.num_rows - first)
-                        counts = np.bincount((at[i:j] - first) * len(used) + column[i:j], minlength=n * len(used)).reshape(n, -1)
-                        scores = (counts @ wanted).T
-                        q, c = _largest(scores, k)
-                        some = scores[q, c] > 0
-                        best.append((q[some] + lo, c[some] + first, scores[q, c][some]))
-                    q, c, n = (np.concatenate(x) for x in zip(*best, strict=True)) if best else (np.zeros(0, int),) * 3
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in q], pa.int64()), pa.array([keys[x] for x in c], b.schema.field(key).type), pa.array(n.astype(np.int64))], ["query_id", key, "matches"])
+                key_type, keys = b.schema.field(key).type, b.column(key).to_numpy(zero_copy_only=False)
+                words = b.column("_tokens")
+                row = np.repeat(np.arange(b.num_rows), words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                encoded = words.flatten().dictionary_encode()
+                if not len(row):
+                    continue
+                place = np.empty(b.num_rows, np.int64)
+                place[np.argsort(keys, kind="stable")] = np.arange(b.num_rows)
+                term = np.array([known[w] for w in encoded.dictionary.to_pylist()], np.int64)[encoded.indices.to_numpy()]
+                for q, r, n in _matches(row[term >= 0], term[term >= 0], first, lists):
+                    order = np.lexsort((place[r], -n, q))
+                    q, r, n = q[order], r[order], n[order]
+                    best = np.arange(len(q)) - np.searchsorted(q, q) < k
+                    top.add(ids[q[best]], keys[r[best]], n[best])
+            yield from top.batch(key_type, pa.int64())
 
         part = chunks.select(key, F.col(tokens).alias("_tokens")).filter(F.size("_tokens") > 0).mapInArrow(near, f"query_id long, {key} {kind}, matches long")
         found = part if found is None else found.unionByName(part)
@@ -241,12 +292,18 @@ def mmr_order(relevance: np.ndarray, vectors: list, limit: int, lam: float = 0.7
         if unit[at] is not None:
             for i in left:
                 if unit[i] is not None:
-                    worst[i] = max(worst[i], float(unit[i] @ unit[at]))
+                    n = min(len(unit[i]), len(unit[at]))
+                    worst[i] = max(worst[i], float(unit[i][:n] @ unit[at][:n]))
     return chosen
 
 
 def mmr(candidates: DataFrame, key: str, limit: int, lam: float = 0.7) -> DataFrame:
-    """candidates (query_id, key, relevance, embedding, rank) rerank to (query_id, key, relevance, rank). A query's pool is small by construction."""
+    """candidates (query_id, key, relevance, embedding, rank) rerank to (query_id, key, relevance, rank). A query's pool is small by construction.
+
+    Embeddings may be vectors or their text ("[0.1, 2]").
+    """
+    if dict(candidates.dtypes)["embedding"] == "string":
+        candidates = candidates.withColumn("embedding", vector.as_vector(F.col("embedding")))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank", ignore_index=True)
