@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import metrics as M
+from quillspark.session import checkpointed
 
 KS = (1, 3, 5, 10)
 
@@ -40,26 +43,63 @@ def floor_percentile(values: Column, p: float) -> Column:
     return F.when(n > 0, F.element_at(F.array_sort(values), at)).otherwise(0.0)
 
 
-def _upto(df: DataFrame, group: str, value: str) -> DataFrame:
-    """(group, value, n, upto): rows of the group, and those up to this value. Equal values are counted before they are sorted."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_k"))
-    run = Window.partitionBy(group).orderBy(value)
-    whole = Window.partitionBy(group)
-    return counts.select(group, value, F.sum("_k").over(whole).alias("n"), F.sum("_k").over(run).alias("upto"))
+#: States of a selection up to which they go to every task; with more, rows are dealt out by group and salt.
+STATES_SENT, SALTS = 100_000, 16
+
+
+def order_key(value: Column, kind: str) -> Column:
+    """A long that sorts as the value does: whole numbers as they are, others by the bits of their double, those below zero turned round."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return value.cast("long")
+    if kind not in ("float", "double"):
+        raise ValueError(f"no order key for values of type {kind}")
+    # adding zero makes the negative zero positive
+    bits = F.call_function("java_method", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value.cast("double") + F.lit(0.0)).cast("long")
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit((1 << 63) - 1)))
+
+
+def _near(rows: DataFrame, states: DataFrame) -> DataFrame:
+    """rows joined with the states of their group: by broadcast up to STATES_SENT, else with a group's rows dealt to SALTS tasks."""
+    if states.count() <= STATES_SENT:
+        return rows.join(F.broadcast(states), "_g")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS))).join(states.withColumn("_salt", every), ["_g", "_salt"]).drop("_salt")
+
+
+def selected(df: DataFrame, group: str, value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(group, n, low, high, name...): for each name the value at an index of the group's sorted values, a function of their number n, counted from 0.
+
+    Multi-group radix selection: equal values are counted, and four rounds find the value's 64 sortable bits, sixteen at a time, from a histogram of the
+    digits that come next. So no group is sorted or met by one task, however large; a round's windows see 65,536 digits at most.
+    Null values take no part; a null group is a group.
+    """
+    kind = dict(df.dtypes)[value]
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.struct(F.col(group).alias("g")).alias("_g"), F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    counts = checkpointed(counts.withColumn("_key", order_key(F.col("_v"), kind)))
+    sizes = checkpointed(counts.groupBy("_g").agg(F.sum("_c").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high")))
+    targets = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), places[name](F.col("n")).cast("long").alias("rank")) for name in places])).alias("t")
+    states = sizes.select("_g", targets).select("_g", "t.name", "t.rank", F.lit(0).cast("long").alias("_prefix"))
+    whole = Window.partitionBy("_g", "name").orderBy("_digits").rowsBetween(Window.unboundedPreceding, 0)
+    for shift in (48, 32, 16, 0):
+        near = _near(counts, states)
+        if shift < 48:
+            near = near.filter(F.shiftright("_key", shift + 16) == F.col("_prefix"))
+        histogram = near.groupBy("_g", "name", "rank", F.shiftright("_key", shift).alias("_digits")).agg(F.sum("_c").alias("_c"))
+        upto = histogram.withColumn("_upto", F.sum("_c").over(whole)).filter((F.col("_upto") > F.col("rank")) & (F.col("_upto") - F.col("_c") <= F.col("rank")))
+        states = checkpointed(upto.select("_g", "name", (F.col("rank") - F.col("_upto") + F.col("_c")).alias("rank"), F.col("_digits").alias("_prefix")))
+    values = _near(counts, states).filter(F.col("_key") == F.col("_prefix")).groupBy("_g").agg(*[F.min(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in places])
+    return sizes.join(values, "_g").select(F.col("_g.g").alias(group), "n", "low", "high", *places)
 
 
 def floor_percentiles(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """(group, name...) with the value at index floor(share * n) of each group's sorted values, the last at most; no group is collected."""
-    d = _upto(df, group, value)
-    at = lambda p: F.least(F.floor(F.lit(p) * F.col("n")), F.col("n") - 1)
-    return d.groupBy(group).agg(*[F.min(F.when(F.col("upto") > at(p), F.col(value))).alias(name) for name, p in shares.items()])
+    """(group, name...) with the value at index floor(share * n) of each group's sorted values, the last at most."""
+    at = lambda p: lambda n: F.least(F.floor(F.lit(p) * n), n - 1)
+    return selected(df, group, value, {name: at(p) for name, p in shares.items()}).select(group, *shares)
 
 
 def upper_median(df: DataFrame, group: str, value: str) -> DataFrame:
     """(group, n, low, median, high): the median is the value at index n // 2 of the sorted values."""
-    d = _upto(df, group, value)
-    middle = F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col(value)))
-    return d.groupBy(group).agg(F.first("n").alias("n"), F.min(value).alias("low"), middle.alias("median"), F.max(value).alias("high"))
+    return selected(df, group, value, {"median": lambda n: F.floor(n / 2)}).select(group, "n", "low", "median", "high")
 
 
 def most_common(df: DataFrame, column: str, order: str, limit: int) -> DataFrame:

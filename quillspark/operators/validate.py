@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillspark.functions import text as T
 
@@ -66,34 +72,134 @@ def grounded(quote: Column, source: Column) -> Column:
     return F.contains(T.grounding_form(source), T.grounding_form(quote))
 
 
-def grounding(quotes: DataFrame, sources: DataFrame, quote_id: str, source_id: str, gram: int = 8) -> DataFrame:
+#: Letters of quotes that one automaton holds (of some hundred bytes a letter), and automata up to which sources are scanned for each.
+AUTOMATON_CHARS, AUTOMATA = 1 << 20, 32
+
+#: A worker's automaton, which lives as long as the worker.
+_AUTOMATA: dict[bytes, object] = {}
+
+
+def _automaton(forms: list[str], mark: bytes):
+    if mark not in _AUTOMATA:
+        import ahocorasick
+
+        _AUTOMATA.clear()
+        machine = ahocorasick.Automaton()
+        for k, form in enumerate(forms):
+            machine.add_word(form, k)
+        machine.make_automaton()
+        _AUTOMATA[mark] = machine
+    return _AUTOMATA[mark]
+
+
+def _quote_blocks(quotes: DataFrame, quote_id: str) -> Iterator[tuple[list, list[str]]]:
+    """(ids, forms) of as many quotes at a time as an automaton holds letters."""
+    ids, forms, n = [], [], 0
+    for r in quotes.select(quote_id, "_q").toLocalIterator():
+        ids.append(r[0])
+        forms.append(r[1])
+        n += len(r[1])
+        if n >= AUTOMATON_CHARS:
+            yield ids, forms
+            ids, forms, n = [], [], 0
+    if ids:
+        yield ids, forms
+
+
+def _by_automata(quotes: DataFrame, forms: DataFrame, quote_id: str, source_id: str) -> DataFrame:
+    """Pairs of quotes (quote_id, _q) and sources (source_id, _s), a pass over the sources for each automaton."""
+    kinds, quote_type = dict(quotes.dtypes) | dict(forms.dtypes), to_arrow_type(quotes.schema[quote_id].dataType)
+    ddl = f"{quote_id} {kinds[quote_id]}, {source_id} {kinds[source_id]}"
+    found = forms.sparkSession.createDataFrame([], ddl)
+    for ids, own in _quote_blocks(quotes, quote_id):
+        # quotes of one form are found together
+        numbers: dict[str, int] = {}
+        who: list[list] = []
+        for i, form in zip(ids, own, strict=True):
+            if numbers.setdefault(form, len(numbers)) == len(who):
+                who.append([])
+            who[numbers[form]].append(i)
+        each = list(numbers)
+        mark = hashlib.sha256("\0".join(each).encode()).digest()
+
+        def hits(batches: Iterator[pa.RecordBatch], each=each, who=who, mark=mark) -> Iterator[pa.RecordBatch]:
+            machine = _automaton(each, mark)
+            for b in batches:
+                rows, quoted = [], []
+                for k, text in enumerate(b.column("_s").to_pylist()):
+                    for form in {n for _, n in machine.iter(text)}:
+                        quoted += who[form]
+                        rows += [k] * len(who[form])
+                yield pa.RecordBatch.from_arrays([pa.array(quoted, quote_type), b.column(source_id).take(pa.array(rows, pa.int64()))], [quote_id, source_id])
+
+        found = found.unionByName(forms.filter("_s is not null").mapInArrow(hits, ddl))
+    return found.distinct()
+
+
+def grounding(quotes: DataFrame, sources: DataFrame, quote_id: str, source_id: str, automata: int | None = None) -> DataFrame:
     """(quote_id, source_id) of every quote that stands in a source, for all quotes against all sources, each pair once.
 
-    A containment join through a shared gram: a quote's first ``gram`` whole words must stand in the source in this
-    order. Only hashes of grams are shuffled; they give candidate pairs, to which the texts are joined once and compared in
-    full. Quotes of fewer words are joined on what they have, and those of one or two are looked for in blocks.
+    Quotes go along with the tasks as automata of bounded size, each of which finds all its quotes in a source in one pass over its text; no
+    source text is cut up or shuffled, only the pairs found are. Quotes that would take more than ``automata`` of them are joined by a shared
+    gram instead (``grounding_by_grams``). Blank quotes stand nowhere; null texts hold none.
+    """
+    q = quotes.select(quote_id, T.grounding_form(F.col("text")).alias("_q")).filter("_q <> ''")
+    if (q.agg(F.sum(F.length("_q"))).first()[0] or 0) > (AUTOMATA if automata is None else automata) * AUTOMATON_CHARS:
+        return grounding_by_grams(quotes, sources, quote_id, source_id)
+    return _by_automata(q, sources.select(source_id, T.grounding_form(F.col("text")).alias("_s")), quote_id, source_id)
+
+
+#: Bits of the filter that grams of sources pass before they are shuffled, and tasks that a gram is dealt to.
+FILTER_BITS, SALTS = 1 << 24, 16
+
+
+def key_bits(quotes: DataFrame) -> np.ndarray:
+    """A Bloom filter of the keys (_key) with one hash, made by Spark in maps of 4 kB, FILTER_BITS in all."""
+    # counted from one: bucket n holds the numbers from 32768 (n - 1) + 1 on
+    place = F.pmod("_key", F.lit(FILTER_BITS)) + 1
+    maps = quotes.groupBy(F.bitmap_bucket_number(place).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m"))
+    bits = np.zeros(FILTER_BITS + (1 << 15), bool)
+    for r in maps.collect():
+        own = np.unpackbits(np.frombuffer(bytes(r.m), np.uint8), bitorder="little")
+        bits[(r.n - 1) << 15 : ((r.n - 1) << 15) + len(own)] |= own.astype(bool)
+    return bits
+
+
+def grounding_by_grams(quotes: DataFrame, sources: DataFrame, quote_id: str, source_id: str, gram: int = 8) -> DataFrame:
+    """The rows of ``grounding`` by a containment join through a shared gram, for more quotes than automata can hold.
+
+    A quote's first ``gram`` whole words must stand in the source in this order. Only hashes of grams are shuffled, and of a source only those
+    that a filter of the quotes' hashes lets pass; they give candidate pairs, to which the texts are joined once and compared in
+    full. Quotes of fewer words are joined on what they have, and those of one or two, which share no whole word, are left to automata.
     """
     cut = lambda c: F.filter(F.split(T.grounding_form(c), " "), lambda w: w != "")
     q = quotes.select(quote_id, T.grounding_form(F.col("text")).alias("_q"), cut(F.col("text")).alias("_w")).filter("_q <> ''")
     # words at the ends may be parts of words in the source; the inner ones may not
     inner = F.when(F.size("_w") > 2, F.slice("_w", 2, F.least(F.lit(gram), F.size("_w") - 2))).otherwise(F.array().cast("array<string>"))
     q = q.withColumn("_inner", inner).withColumn("_n", F.size("_inner")).withColumn("_key", F.xxhash64("_inner"))
+    # as many sizes at most as a gram has words
     sizes = sorted(r["_n"] for r in q.select("_n").distinct().collect())
     forms = sources.select(source_id, T.grounding_form(F.col("text")).alias("_s"))
-    if not sizes:
-        return q.select(quote_id).join(forms.select(source_id), F.lit(False))
-    found = []
-    if 0 in sizes:
-        found += list(_short_quotes(forms, q.filter("_n = 0"), quote_id, source_id))
+    found = _by_automata(q.filter("_n = 0").select(quote_id, "_q"), forms, quote_id, source_id)
     if long := [n for n in sizes if n]:
-        grams = [_gram_hashes("_w", n) for n in long]
-        keys = sources.select(source_id, cut(F.col("text")).alias("_w")).select(source_id, F.explode(F.array_distinct(F.flatten(F.array(*grams)))).alias("_key"))
-        pairs = keys.join(q.filter("_n > 0").select(quote_id, "_key"), "_key").select(quote_id, source_id).distinct()
-        found.append(pairs.join(q.select(quote_id, "_q"), quote_id).join(forms, source_id).filter(F.contains("_s", "_q")).select(quote_id, source_id).distinct())
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out
+        kind, bits = dict(sources.dtypes)[source_id], key_bits(q.filter("_n > 0"))
+
+        def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                lists = b.column("_keys")
+                keys = lists.flatten().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(b.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                may = bits[keys % FILTER_BITS] if len(keys) else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([b.column(source_id).take(pa.array(row[may])), pa.array(keys[may], pa.int64())], [source_id, "_key"])
+
+        grams = F.array_distinct(F.flatten(F.array(*[_gram_hashes("_w", n) for n in long])))
+        keys = sources.filter("text is not null").select(source_id, cut(F.col("text")).alias("_w")).select(source_id, grams.alias("_keys")).mapInArrow(known, f"{source_id} {kind}, _key long")
+        # a common gram is dealt to several tasks
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+        left = keys.withColumn("_salt", F.pmod(F.xxhash64(source_id), F.lit(SALTS)))
+        pairs = left.join(q.filter("_n > 0").select(quote_id, "_key", every.alias("_salt")), ["_key", "_salt"]).select(quote_id, source_id).distinct()
+        found = found.unionByName(pairs.join(q.select(quote_id, "_q"), quote_id).join(forms, source_id).filter(F.contains("_s", "_q")).select(quote_id, source_id).distinct())
+    return found
 
 
 def _gram_hashes(words_: str, n: int) -> Column:
@@ -102,18 +208,6 @@ def _gram_hashes(words_: str, n: int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.slice(words_, i, n)))
 
 
-def _short_quotes(sources: DataFrame, quotes: DataFrame, quote_id: str, source_id: str, block: int = 200):
-    """Quotes without an inner word share no gram; they are looked for in blocks of literals, a pass over the sources each."""
-    held, kind = [], dict(quotes.dtypes)[quote_id]
-    for r in [*quotes.select(quote_id, "_q").toLocalIterator(), None]:
-        if r is not None:
-            held.append(F.struct(F.lit(r[0]).cast(kind).alias("id"), F.lit(r[1]).alias("q")))
-        if held and (r is None or len(held) == block):
-            hit = F.filter(F.array(*held), lambda x: F.contains(F.col("_s"), x["q"]))
-            yield sources.select(source_id, F.explode(hit).alias("_h")).select(F.col("_h.id").alias(quote_id), source_id)
-            held = []
-
-
 def fabricated(cited: Column, offered: Column) -> Column:
     """Cited identifiers that were not offered, repeats kept."""
     return F.filter(cited, lambda c: ~F.coalesce(F.array_contains(offered, c), F.lit(False)))
