@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators.providers import Budget, call, call_share
+from quillspark.operators.providers import call, task_budget
 from quillspark.operators.validate import SEVERITIES, VERDICTS
 
 AUTO, REVIEW = "auto_filed", "human_review"
@@ -123,13 +123,13 @@ def views(assessments: Column) -> tuple[Column, Column]:
     return of("affected"), of("ambiguous")
 
 
-def decided(items: DataFrame, judge: Judge = first_judge, attempts: int = 3, t: Thresholds = Thresholds(), calls: int = 1 << 30, partitions: int = 1) -> DataFrame:
+def decided(items: DataFrame, judge: Judge = first_judge, attempts: int = 3, t: Thresholds = Thresholds(), calls: int | None = None, partitions: int = 1, task_attempts: int = 1) -> DataFrame:
     """(item, route, confidence, reason, affected, ambiguous, assessments, attempts, top_score, margin, model_calls) from items (item, query, candidates).
 
     candidates is array<struct<ref, context, body, similarity>> in rank order. Gated items never reach the judge, nor do their
     candidates reach Python. A malformed answer, or one that cites what was not offered, is sent back with the reason, up to
-    ``attempts`` times; then a person decides. Failures of the service are waited out within the budget: each of
-    ``partitions`` may make its share of ``calls``. model_calls counts an item's own calls.
+    ``attempts`` times; then a person decides. Failures of the service are waited out within the budget: all tasks together make
+    ``calls`` at most, dealt out over ``partitions`` and the ``task_attempts`` that a task may have. model_calls counts an item's own calls.
     """
     top, margin = top_and_margin(F.transform("candidates", lambda c: c["similarity"]))
     d = items.withColumns({"top_score": top, "margin": margin, "gated": gate(top, F.size("candidates"), t)})
@@ -138,7 +138,7 @@ def decided(items: DataFrame, judge: Judge = first_judge, attempts: int = 3, t:
     names = ["item", "top_score", "margin", "gated", "valid", "model_calls", "attempts", "assessments", "note"]
 
     def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        budget = Budget(call_share(calls, partitions))
+        budget = task_budget(calls, partitions, task_attempts)
         for pdf in batches:
             rows = []
             for r in pdf.to_dict("records"):
@@ -162,7 +162,8 @@ def decided(items: DataFrame, judge: Judge = first_judge, attempts: int = 3, t:
             yield pd.DataFrame(rows, columns=names)
 
     kind = dict(items.dtypes)["item"]
-    out = d.mapInPandas(judged, f"item {kind}, top_score double, margin double, gated string, valid boolean, model_calls long, attempts array<string>, assessments {ASSESSMENTS}, note string")
+    # a cap is dealt out over a known number of tasks
+    out = (d if calls is None else d.repartition(partitions)).mapInPandas(judged, f"item {kind}, top_score double, margin double, gated string, valid boolean, model_calls long, attempts array<string>, assessments {ASSESSMENTS}, note string")
     affected, ambiguous = views(F.col("assessments"))
     signals = (F.col("top_score"), F.col("margin"), F.lit(0), F.size(ambiguous), F.col("note"), t)
     reason = F.when(F.col("gated").isNotNull(), F.col("gated")).when(F.col("valid"), explanation(*signals)).otherwise(F.lit(f"no valid grounded assessment after {attempts} attempts"))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators.validate import RATE_LIMIT, TRANSIENT
+from quillspark.session import checkpointed, shared_dir
 
 
 def hashing_embedder(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
@@ -36,7 +37,7 @@ def hashing_embedder(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
 
 
 class Budget:
-    """Calls that one partition may make, over all its retries."""
+    """Calls that one task may make, over all its retries."""
 
     def __init__(self, limit: int):
         self.limit, self.used = limit, 0
@@ -76,10 +77,11 @@ def call(fn: Callable[[], object], budget: Budget, attempts: int = 3, rate_limit
             wait(pauses[min(tried + limited, len(pauses)) - 1])
 
 
-def embedded(df: DataFrame, text: str, embed: Callable | None = None, batch: int = 20, calls: int = 1 << 30, per_minute: int | None = None, task: str = "document", wait: Callable[[float], None] = time.sleep) -> DataFrame:
+def embedded(df: DataFrame, text: str, embed: Callable | None = None, batch: int = 20, calls: int | None = None, partitions: int = 1, task_attempts: int = 1, per_minute: int | None = None, task: str = "document", wait: Callable[[float], None] = time.sleep) -> DataFrame:
     """df with embedding: array<float>, embedded in batches of bounded size; embed takes texts, and the task if it asks for one.
 
-    per_minute bounds the texts that a task sends in a minute. Write the result before reading it twice: a recomputed task would call again.
+    per_minute bounds the texts that a task sends in a minute; calls bounds the calls of all tasks together, dealt out over ``partitions`` and the
+    ``task_attempts`` that a task may have. Write the result before reading it twice: a recomputed task would call again.
     """
     if task not in ("document", "query"):
         raise ValueError(f"unknown task {task!r}")
@@ -87,7 +89,7 @@ def embedded(df: DataFrame, text: str, embed: Callable | None = None, batch: int
     ask = (lambda texts: embed(texts, task)) if len(inspect.signature(embed).parameters) > 1 else embed
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        budget, sent = Budget(calls), 0
+        budget, sent = task_budget(calls, partitions, task_attempts), 0
         for pdf in batches:
             vectors: list = []
             for lo in range(0, len(pdf), batch):
@@ -103,27 +105,43 @@ def embedded(df: DataFrame, text: str, embed: Callable | None = None, batch: int
             yield pdf.assign(embedding=vectors)
 
     ddl = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    return df.mapInPandas(run, f"{ddl}, embedding array<float>")
+    return (df if calls is None else df.repartition(partitions)).mapInPandas(run, f"{ddl}, embedding array<float>")
 
 
 def index_in_batches(chunks: DataFrame, path: str, keys: tuple[str, ...] = ("ref", "part"), rows: int = 10_000, **settings) -> int:
     """Embeds the chunks that the index at path doesn't have yet and appends them, ``rows`` or so at a time; how many batches that took.
 
-    Every batch is committed before the next begins, so a failure loses one batch, and the next call goes on after the last commit.
+    What is pending is found once and written in batches; each batch then reads its own folder alone. Every batch is committed before the next
+    begins, so a failure loses one batch, and the next call goes on after the last commit.
     """
     spark = chunks.sparkSession
     ddl = f"{', '.join(f'`{n}` {t}' for n, t in chunks.dtypes)}, embedding array<float>"
     spark.createDataFrame([], ddl).write.mode("append").parquet(path)
-    pending = chunks.join(spark.read.schema(ddl).parquet(path).select(*keys), list(keys), "left_anti")
+    pending = checkpointed(chunks.join(spark.read.schema(ddl).parquet(path).select(*keys), list(keys), "left_anti").select(*chunks.columns))
     n = math.ceil(pending.count() / rows)
+    if not n:
+        return 0
+    work = shared_dir(spark, "pending")
+    batch = F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
+    pending.withColumn("_batch", batch).repartition("_batch").write.partitionBy("_batch").parquet(work)
+    waiting = spark.read.parquet(work)
     for k in range(n):
-        # the batch of a chunk doesn't depend on what is pending
-        own = chunks.filter((F.pmod(F.xxhash64(*keys), F.lit(n)) == k))
-        left = own.join(spark.read.schema(ddl).parquet(path).select(*keys), list(keys), "left_anti")
-        embedded(left.select(*chunks.columns), "text", **settings).write.mode("append").parquet(path)
+        embedded(waiting.filter(F.col("_batch") == k).select(*chunks.columns), "text", **settings).write.mode("append").parquet(path)
     return n
 
 
+def index_stream(chunks: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("ref", "part"), **settings) -> None:
+    """Embeds a stream of chunks into the index at path and returns when its input is used up.
+
+    The stream's state remembers the keys that are embedded, and the file sink commits each micro-batch once: every chunk is read once, neither the
+    index nor old chunks are read again, and a restart does at most one micro-batch over. How large that is, the source decides
+    (maxFilesPerTrigger or maxBytesPerTrigger).
+    """
+    new = embedded(chunks.dropDuplicates(list(keys)), "text", **settings)
+    q = new.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
 def word_diff(old: str | None, new: str | None) -> str:
     """[-removed-] [+added+] and kept words, in order."""
     a, b = (old or "").split(), (new or "").split()
@@ -136,6 +154,25 @@ def word_diff(old: str | None, new: str | None) -> str:
     return " ".join(out)
 
 
-def call_share(limit: int, partitions: int) -> int:
-    """Each partition's part of a cap on calls."""
-    return max(1, math.floor(limit / max(partitions, 1)))
+def call_share(limit: int, partitions: int, number: int = 0, attempt: int = 0, attempts: int = 1) -> int:
+    """Calls that one attempt of a partition may make under a cap on all of them.
+
+    The shares of all partitions and attempts add up to the cap, so it holds whatever is retried; a partition may have no share, and an attempt
+    beyond those planned for has none.
+    """
+    slots = max(partitions, 1) * max(attempts, 1)
+    place = attempt * max(partitions, 1) + number
+    return limit // slots + (place < limit % slots) if attempt < attempts and number < partitions else 0
+
+
+def task_budget(limit: int | None, partitions: int, attempts: int = 1) -> Budget:
+    """The budget of the running task: its attempt's share of a cap on the calls of a stage of so many partitions, no cap if limit is None.
+
+    A stage that is computed anew has its calls anew: write what it gave before reading it twice.
+    """
+    from pyspark import TaskContext
+
+    if limit is None:
+        return Budget(1 << 62)
+    task = TaskContext.get()
+    return Budget(call_share(limit, partitions, task.partitionId(), task.attemptNumber(), attempts))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
+from quillspark.session import checkpointed
 
 #: The tables that the library keeps; keys are what ``latest_wins``, ``first_wins`` and ``replace_children`` hold unique.
 TABLES = {
@@ -154,7 +157,57 @@ def first_per_group(df: DataFrame, group: str, score: str, tie: str, limit: int)
     return _first(df, [group], F.desc(score), F.asc(tie)).orderBy(F.desc(score), group, tie).limit(limit)
 
 
-def readiness(chunks: DataFrame, embedding: str = "embedding") -> DataFrame:
-    """(ready, message) with the number of embedded chunks; reads that one column."""
+def readiness(chunks: DataFrame | None, embedding: str = "embedding") -> DataFrame:
+    """(ready, message) with the number of embedded chunks; reads that one column, of which Parquet holds the lists' own levels. None stands for a table that isn't there."""
+    if chunks is None:
+        return _missing_answer()
     n = chunks.agg(F.count(embedding).alias("n"))
     return n.select((F.col("n") > 0).alias("ready"), F.when(F.col("n") > 0, F.concat(F.col("n").cast("string"), F.lit(" embedded chunks"))).otherwise("no embedded chunks").alias("message"))
+
+
+def _missing_answer() -> DataFrame:
+    return SparkSession.active().createDataFrame([(False, "no table of chunks")], "ready boolean, message string")
+
+
+def chunks_at(spark: SparkSession, where: str) -> DataFrame | None:
+    """The chunks in a folder or of a catalogue table; None if there is neither."""
+    if "/" in where:
+        fs, path = _files(spark, where)
+        return spark.read.parquet(where) if fs.exists(path()) else None
+    return spark.table(where) if spark.catalog.tableExists(where) else None
+
+
+def in_bucket(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def write_buckets(df: DataFrame, path: str, keys: list[str], buckets: int) -> None:
+    """df as a table that ``merge_buckets`` and ``replace_in_buckets`` can change: one folder for each bucket of the keys' hash."""
+    df.withColumn("bucket", in_bucket(keys, buckets)).repartition("bucket").write.partitionBy("bucket").parquet(path)
+
+
+def _rewritten(spark: SparkSession, path: str, new: DataFrame, keys: list[str], buckets: int, change: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
+    """Rewrites the buckets that new has rows of; how many those are. Others keep their files."""
+    new = checkpointed(new.withColumn("bucket", in_bucket(keys, buckets)))
+    touched = sorted(r[0] for r in new.select("bucket").distinct().collect())
+    schema = StructType([*new.drop("bucket").schema.fields, StructField("bucket", IntegerType())])
+    now = spark.read.schema(schema).parquet(path).filter(F.col("bucket").isin(touched))
+    # the rows are computed before their folders give way
+    after = checkpointed(change(now.drop("bucket"), new.drop("bucket")).withColumn("bucket", in_bucket(keys, buckets)))
+    left = {r[0] for r in after.select("bucket").distinct().collect()}
+    after.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    fs, at = _files(spark, path)
+    for b in touched:
+        if b not in left:  # nothing is left of it
+            fs.delete(at(f"bucket={b}"), True)
+    return len(touched)
+
+
+def merge_buckets(spark: SparkSession, path: str, new: DataFrame, keys: list[str], buckets: int, stamp: str, *tie: str) -> int:
+    """``latest_wins`` into a table of ``write_buckets``: only buckets that new rows fall into are read and written; how many those were. One writer a table."""
+    return _rewritten(spark, path, new, keys, buckets, lambda now, own: latest_wins(now, own, keys, stamp, *tie))
+
+
+def replace_in_buckets(spark: SparkSession, path: str, new: DataFrame, parent: str, buckets: int) -> int:
+    """``replace_children`` in a table of ``write_buckets`` by parent: only buckets of the parents in new are read and written; how many those were. One writer a table."""
+    return _rewritten(spark, path, new, [parent], buckets, lambda now, own: replace_children(now, own, parent))

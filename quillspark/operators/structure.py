@@ -9,8 +9,11 @@ from html.parser import HTMLParser
 from xml.parsers import expat
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from quillspark.functions import text as T
@@ -38,12 +41,14 @@ def finished(found: list[tuple[int, str | None, list[str]]]) -> list[Section]:
 
 
 class _Html(HTMLParser):
-    """Blocks in document order, each with the innermost of main or article it stands in; text belongs to the innermost block."""
+    """Blocks in document order, each with the main and article elements it stands in (by number); text belongs to the innermost block."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, list | None]] = []
-        self.blocks: list[tuple[str, frozenset[str], list[str]]] = []
+        self.blocks: list[tuple[str, frozenset[tuple[str, int]], list[str]]] = []
+        self.roots: list[tuple[str, int] | None] = []
+        self.seen = {"main": 0, "article": 0}
         self.skip = 0
 
     def handle_starttag(self, tag, attrs):
@@ -55,15 +60,21 @@ class _Html(HTMLParser):
         own = None
         if tag in (*HEADINGS, "p", "li"):
             own = []
-            self.blocks.append((tag, frozenset(t for t, _ in self.open if t in ("main", "article")), own))
+            self.blocks.append((tag, frozenset(r for r in self.roots if r), own))
         self.open.append((tag, own))
         self.skip += tag in SKIPPED
+        # what is skipped holds no root
+        root = (tag, self.seen[tag]) if tag in self.seen and not self.skip else None
+        if root:
+            self.seen[tag] += 1
+        self.roots.append(root)
 
     def handle_endtag(self, tag):
         if all(t != tag for t, _ in self.open):
             return
         while True:
             t, _ = self.open.pop()
+            self.roots.pop()
             self.skip -= t in SKIPPED
             if t == tag:
                 return
@@ -77,14 +88,12 @@ class _Html(HTMLParser):
 
 
 def html_sections(html: str | None) -> list[Section]:
-    """Sections of the first kind of root that occurs: main, else article, else everything."""
+    """Sections of one root: the first main element, else the first article, else everything."""
     p = _Html()
     p.feed(html or "")
     p.close()
-    for root in ("main", "article", None):
-        blocks = [(tag, _flat(t)) for tag, inside, t in p.blocks if root is None or root in inside]
-        if blocks:
-            break
+    root = next(((name, 0) for name in ("main", "article") if p.seen[name]), None)
+    blocks = [(tag, _flat(t)) for tag, inside, t in p.blocks if root is None or root in inside]
     found: list[tuple[int, str | None, list[str]]] = []
     for tag, words in blocks:
         if not words:
@@ -172,34 +181,33 @@ def with_fallback(df: DataFrame, key: str, parsers: dict[str, tuple[str, Callabl
     return df.select(key, *dict.fromkeys(c for c, _ in parsers.values())).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, {SECTION_DDL}, extracted_from string")
 
 
-#: Different levels up to which parents are found by windows; a table with more is walked document by document.
-LEVELS = 200
-
-
 def with_parents(df: DataFrame, key: str, ordinal: str = "ordinal", level: str = "level") -> DataFrame:
     """Adds parent_ordinal: the nearest row before of a smaller level, whatever the levels are; null where there is none.
 
-    For each level that occurs a window knows the last row of it, and the parent is the last of those of smaller levels.
+    A monotone stack over the rows of a document, which stream by in order: one pass, any number of levels, and no document is held. Rows
+    without a level have no parent and are none.
     """
-    levels = sorted(r[0] for r in df.select(level).filter(F.col(level).isNotNull()).distinct().limit(LEVELS + 1).collect())
-    if len(levels) > LEVELS:
-        return _walked_parents(df, key, ordinal, level)
-    before = Window.partitionBy(key).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col(level) == n, F.col(ordinal)), ignorenulls=True).over(before) for n in levels]
-    d = df.withColumn("_last", F.array(*last) if levels else F.array().cast("array<long>"))
-    smaller = F.size(F.filter(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<long>"), lambda n: n < F.col(level)))
-    return d.withColumn("parent_ordinal", F.array_max(F.slice("_last", 1, smaller))).drop("_last")
-
-
-def _walked_parents(df: DataFrame, key: str, ordinal: str, level: str) -> DataFrame:
-    ddl = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ordinal, ignore_index=True)
-        at = stack_parents(pdf[level].tolist())
-        return pdf.assign(parent_ordinal=[None if p is None else pdf[ordinal][p] for p in at])
-
-    return df.groupBy(key).applyInPandas(walk, f"{ddl}, parent_ordinal {dict(df.dtypes)[ordinal]}")
+    kind = df.schema[ordinal].dataType
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: object = walk
+        stack: list[tuple] = []
+        for b in batches:
+            parents = []
+            for k, o, n in zip(*(b.column(c).to_pylist() for c in (key, ordinal, level)), strict=True):
+                if k != now:
+                    now, stack = k, []
+                if n is None:
+                    parents.append(None)
+                    continue
+                while stack and stack[-1][0] >= n:
+                    stack.pop()
+                parents.append(stack[-1][1] if stack else None)
+                stack.append((n, o))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(parents, to_arrow_type(kind))], [*b.schema.names, "parent_ordinal"])
+
+    rows = df.repartition(key).sortWithinPartitions(key, ordinal)
+    return rows.mapInArrow(walk, StructType([*df.schema.fields, StructField("parent_ordinal", kind)]))
 
 
 def rendered_tree(sections: DataFrame, key: str, snippet: int = 70) -> DataFrame:

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quillspark.functions import metrics as M
 from quillspark.functions import text as T
 from quillspark.operators import evaluate, structure
 from quillspark.operators.store import content_hash, first_wins
+from quillspark.session import shared_dir
 
 ITEM_DDL = "document_number string, title string, type string, abstract string, publication_date string, html_url string, pdf_url string, agencies array<struct<name: string, id: long>>"
 CASE_DDL = "id string, query string, relevant array<string>, note string, verified boolean"
@@ -40,25 +41,51 @@ def fetched(payloads: DataFrame, source: str) -> DataFrame:
     return first_wins(from_payload(payloads, source), ["external_id"], "term_ix", "pos")
 
 
+def term_source(terms: list[str], get: Callable[[str], list[str]]) -> type[DataSource]:
+    """A data source of (term_ix, pos, value, error): a partition a term, what get returns for it in order; a term that fails or finds nothing is one row without a value."""
+
+    class Terms(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "terms"
+
+        def schema(self) -> str:
+            return "term_ix int, pos int, value string, error string"
+
+        def reader(self, schema) -> DataSourceReader:
+            return Reader()
+
+    class Reader(DataSourceReader):
+        def partitions(self) -> list[InputPartition]:
+            return [InputPartition((ix, term)) for ix, term in enumerate(terms)]
+
+        def read(self, partition: InputPartition) -> Iterator[tuple]:
+            ix, term = partition.value
+            try:
+                found = [(ix, pos, value, None) for pos, value in enumerate(get(term))]
+            except Exception as e:
+                found = [(ix, -1, None, f"{type(e).__name__}: {e}")]
+            yield from found or [(ix, -1, None, None)]
+
+    return Terms
+
+
 def fetch(spark: SparkSession, terms: list[str], get: Callable[[str], list[str]]) -> DataFrame:
-    """(term_ix, pos, value) of the items that get returns for each term. A term may fail; if all do, the first error is raised."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for ix, term in zip(pdf["term_ix"], pdf["term"], strict=True):
-                try:
-                    rows += [(ix, pos, value, None) for pos, value in enumerate(get(term))] or [(ix, -1, None, None)]
-                except Exception as e:
-                    rows.append((ix, -1, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["term_ix", "pos", "value", "error"])
-
-    asked = spark.createDataFrame([(i, t) for i, t in enumerate(terms)], "term_ix int, term string")
-    # read once: a second look would fetch again
-    found = [tuple(r) for r in asked.repartition(max(1, min(len(terms), 8))).mapInPandas(run, "term_ix int, pos int, value string, error string").collect()] if terms else []
-    errors = sorted((r[0], r[3]) for r in found if r[3])
-    if errors and len(errors) == len(terms):
-        raise RuntimeError(f"all {len(terms)} terms failed, first: {errors[0][1]}")
-    return spark.createDataFrame([r[:3] for r in found if r[1] >= 0], "term_ix int, pos int, value string")
+    """(term_ix, pos, value) of the items that get returns for each term. A term may fail; if all do, the first error is raised.
+
+    Every term is a partition of a data source, whose rows go from the executors to a landing table in the shared folder: they are fetched once, however
+    often they are read, and none passes through the driver.
+    """
+    if not terms:
+        return spark.createDataFrame([], "term_ix int, pos int, value string")
+    spark.dataSource.register(term_source(terms, get))
+    path = shared_dir(spark, "fetched")
+    spark.read.format("terms").load().write.parquet(path)
+    landed = spark.read.parquet(path)
+    failed = landed.filter("error is not null")
+    if failed.count() == len(terms):
+        raise RuntimeError(f"all {len(terms)} terms failed, first: {failed.orderBy('term_ix').first()['error']}")
+    return landed.filter("pos >= 0").select("term_ix", "pos", "value")
 
 
 def policies(spark: SparkSession, path: str) -> DataFrame:
@@ -113,9 +140,9 @@ def merged_lines(left: DataFrame, right: DataFrame, names: tuple[str, str], abou
     return head.unionByName(rows).orderBy("place", "id").select("place", "value")
 
 
-def with_drafts(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Drafts so far and new ones whose id isn't among them; columns that one side lacks are null."""
-    return existing.unionByName(new.join(existing.select("id"), "id", "left_anti"), allowMissingColumns=True)
+def with_drafts(existing: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+    """Drafts so far and new ones whose key isn't among them, as external_id, so that no document is drafted again; columns that one side lacks are null."""
+    return existing.unionByName(new.join(existing.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
 
 
 def report(results: DataFrame, label: str, run_at: str, config: dict[str, str] | None = None) -> DataFrame:
