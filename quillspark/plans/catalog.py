@@ -15,7 +15,7 @@ from quillspark.functions import metrics as M
 from quillspark.functions import text as T
 from quillspark.functions import vector
 from quillspark.functions.stem import stem_sql, stemmed
-from quillspark.operators import chunking, decide, evaluate, providers, retrieval, review, store, structure, validate
+from quillspark.operators import cells, chunking, decide, evaluate, inverted, providers, retrieval, review, store, structure, validate
 from quillspark.session import shared_dir, table
 from quillspark.sources import documents as docs_io
 from quillspark.streaming import ingest
@@ -74,6 +74,14 @@ def vector_topk_multi(spark, sf_dir):
     return retrieval.vector_topk_many(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir), 10)
 
 
+@_query(f"WITH {_TOPK} SELECT query_id, vec_id, similarity, rank FROM v WHERE rank <= 10")
+def vector_cells(spark, sf_dir):
+    """Nearest vectors from an index by cells, all of which are opened, so that the rows are those of a scan; tests measure smaller shares."""
+    path = shared_dir(spark, "cells")
+    cells.write_cells(table(spark, sf_dir, "embeddings"), path, "vec_id")
+    return cells.cell_search(spark, path, _asked(spark, sf_dir), 10, "vec_id", share=1.0)
+
+
 # --- state -------------------------------------------------------------------
 
 
@@ -236,6 +244,65 @@ def keyword_rank(spark, sf_dir):
     return _keyword(spark, sf_dir, 30)
 
 
+@_query(f"WITH {_KEYWORD} SELECT query_id, doc_id, matches, rank FROM kw WHERE rank <= 10")
+def block_search(spark, sf_dir):
+    """The ten best by matching positions from an index of blocks of 64 documents, without the blocks whose bounds are too low."""
+    chunks = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+    path = shared_dir(spark, "blocks")
+    inverted.write_blocks(retrieval.token_index(chunks, "doc_id"), path, "doc_id", F.expr("doc_id div 64"))
+    return inverted.block_search(spark, path, _benchmark_terms(spark, sf_dir), 10, "doc_id")
+
+
+def _benchmark_terms(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.or_terms(F.col("text")).alias("terms"))
+
+
+def _positions(spark, sf_dir):
+    return inverted.positions_index(table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens")), "doc_id")
+
+
+_POSITIONS = f"""
+{_KEYWORD},
+pw AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9]{{2,}}')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[a-z][a-z0-9]{{2,}}'), 1) AS i FROM documents),
+ps AS (SELECT doc_id, i, stem FROM pw JOIN sw USING (w))
+"""
+
+
+@_query(f"WITH {_POSITIONS} SELECT doc_id, stem AS term, count(*) AS n, min(i)::BIGINT AS first, max(i)::BIGINT AS last, sum(i)::BIGINT AS total FROM ps GROUP BY ALL")
+def position_index(spark, sf_dir):
+    """Where stems stand, told by their number, first, last and sum."""
+    at = F.col("positions")
+    total = F.aggregate(at, F.lit(0).cast("long"), lambda s, x: s + x)
+    return _positions(spark, sf_dir).select("doc_id", "term", F.size(at).cast("long").alias("n"), F.element_at(at, 1).cast("long").alias("first"), F.element_at(at, -1).cast("long").alias("last"), total.alias("total"))
+
+
+@_query(f"WITH {_KEYWORD} SELECT query_id, doc_id, matches AS covers, round(0.1::DOUBLE * matches, 9) AS score, rank FROM kw WHERE rank <= 10")
+def cover_density(spark, sf_dir):
+    """Any term is enough: every position is a cover."""
+    return inverted.cover_density(_positions(spark, sf_dir), _benchmark_terms(spark, sf_dir), 10, "doc_id")
+
+
+# a cover ends at each event and begins at the earliest of the terms' last events; it is minimal if none before began there
+@_query(f"""
+WITH {_POSITIONS},
+a AS (SELECT DISTINCT item_id AS query_id, stem FROM t JOIN sw USING (w) WHERE t.k <= 3),
+e AS (SELECT query_id, doc_id, i, stem FROM ps JOIN a USING (stem)),
+am AS (SELECT query_id, count(*) AS m FROM a GROUP BY ALL),
+en AS (SELECT query_id, doc_id, count(DISTINCT stem) AS n FROM e GROUP BY ALL),
+fd AS (SELECT en.query_id, doc_id FROM en JOIN am ON am.query_id = en.query_id AND n = m),
+ev AS (SELECT e.*, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY i) AS x FROM e JOIN fd USING (query_id, doc_id)),
+l AS (SELECT ev.query_id, doc_id, i, x, max(CASE WHEN ev.stem = a.stem THEN i END) OVER (PARTITION BY ev.query_id, doc_id, a.stem ORDER BY x) AS last_i,
+  max(CASE WHEN ev.stem = a.stem THEN x END) OVER (PARTITION BY ev.query_id, doc_id, a.stem ORDER BY x) AS last_x FROM ev JOIN a ON a.query_id = ev.query_id),
+b AS (SELECT query_id, doc_id, i, x, min(last_i) AS b, min(last_x) AS bx FROM l GROUP BY ALL HAVING count(last_x) = count(*)),
+c AS (SELECT *, lag(bx) OVER (PARTITION BY query_id, doc_id ORDER BY x) AS earlier FROM b),
+s AS (SELECT query_id, doc_id, count(*) AS covers, round(sum(0.1::DOUBLE / (1 + (i - b) - (x - bx))), 9) AS score FROM c WHERE earlier IS NULL OR bx > earlier GROUP BY ALL)
+SELECT query_id, doc_id, covers, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10""")
+def cover_density_all(spark, sf_dir):
+    """All of an item's first three terms are needed: the shortest stretches with all of them, the denser the better."""
+    asked = _benchmark_terms(spark, sf_dir).withColumn("terms", F.slice("terms", 1, 3))
+    return inverted.cover_density(_positions(spark, sf_dir), asked, 10, "doc_id", need="all")
+
+
 # vectors and keywords over the same keys: vec_id stands for the document of that number
 def _both(spark, sf_dir):
     v = retrieval.vector_topk_many(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir), 30).withColumn("query_id", F.col("query_id").cast("long") / 100).withColumn("query_id", F.col("query_id").cast("long"))
@@ -462,6 +529,19 @@ def grounding_check(spark, sf_dir):
     return validate.grounding(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id")
 
 
+_MARKED = "trim(regexp_replace(lower(replace(text, ', ', ' - ')), '\\s+', ' ', 'g'))"
+
+
+@_query(f"SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains({_MARKED.replace('text', 'd.text')}, {_MARKED.replace('text', 'b.text')}) WHERE {_MARKED.replace('text', 'b.text')} <> ''")
+def grounding_marks(spark, sf_dir):
+    """Quotes with plain marks in sources whose commas are dashes of several kinds between curly quotation marks and spaces that don't break."""
+    d = table(spark, sf_dir, "documents")
+    dash = F.element_at(F.array(*map(F.lit, " \u2013 | \u2014 |\u00a0\u2011\u00a0".split("|"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    marked = d.select("doc_id", F.concat(F.lit("\u201c"), F.replace("text", F.lit(", "), dash), F.lit("\u201d")).alias("text"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.replace("text", F.lit(", "), F.lit(" - ")).alias("text"))
+    return validate.grounding(b, marked, "item_id", "doc_id")
+
+
 _PARTY = "CASE WHEN role = 'user' THEN 'provider' WHEN role = 'assistant' THEN 'member_state' ELSE role END"
 _STRIPPED = r"trim(coalesce(text, ''), e' \t\n\r') AS t"
 
@@ -580,6 +660,48 @@ def run_upsert(spark, sf_dir):
     return store.upsert_runs(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1")).drop("ran_at")
 
 
+@_query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS version FROM orders")
+def bucket_merge(spark, sf_dir):
+    """Closed orders priced anew in a table of buckets."""
+    path = shared_dir(spark, "buckets")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.lit(1).alias("version"), "o_orderstatus")
+    store.write_buckets(o.drop("o_orderstatus"), path, ["o_orderkey"], 8)
+    new = o.filter("o_orderstatus = 'F'").withColumns({"o_totalprice": F.col("o_totalprice") * 2, "version": F.lit(2)})
+    store.merge_buckets(spark, path, new.drop("o_orderstatus"), ["o_orderkey"], 8, "version")
+    return spark.read.parquet(path).drop("bucket")
+
+
+@_query("SELECT DISTINCT event_type || ' of user ' || user_id AS obligation FROM events")
+def tables_kept(spark, sf_dir):
+    """The library's tables are made where they are missing and left alone where they hold rows."""
+    base = shared_dir(spark, "tables")
+    store.init_tables(spark, base)
+    runs = store.read_current(spark, f"{base}/agent_runs")
+    e = table(spark, sf_dir, "events").select(F.concat(F.col("event_type"), F.lit(" of user "), F.col("user_id").cast("string")).alias("obligation"), F.col("ts").cast("timestamp").alias("ran_at"))
+    store.commit_version(store.upsert_runs(runs, spark.createDataFrame([], runs.schema).unionByName(e, allowMissingColumns=True)), f"{base}/agent_runs")
+    store.init_tables(spark, base)
+    return store.read_current(spark, f"{base}/agent_runs").select("obligation")
+
+
+@_query("SELECT 'D' || doc_id AS external_id, quality::BIGINT AS quality, NULL::BIGINT AS chars FROM labels UNION ALL SELECT 'D' || doc_id, NULL, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def draft_additions(spark, sf_dir):
+    """Labelled documents as drafts, to which those without a label are added."""
+    name = F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("external_id")
+    old = table(spark, sf_dir, "labels").select(name, F.col("quality").cast("long").alias("quality"))
+    return docs_io.with_drafts(old, table(spark, sf_dir, "documents").select(name, F.col("n_chars").alias("chars")), "external_id")
+
+
+@_query("""
+SELECT conv_id, md5(string_agg('[' || n || '] ' || ref || chr(10) || '    ' || context || chr(10) || '    ' || body, chr(10) || chr(10) ORDER BY n)) AS prompt
+FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n, 'T' || turn AS ref, coalesce(role, '') AS context, coalesce(text, '') AS body FROM conversations) GROUP BY conv_id""")
+def candidate_prompts(spark, sf_dir):
+    """Turns as the candidates of their conversation, listed for a judge."""
+    c = table(spark, sf_dir, "conversations")
+    one = F.struct("turn", "role", "text", F.concat(F.lit("T"), F.col("turn").cast("string")).alias("ref"), F.coalesce("role", F.lit("")).alias("context"), F.coalesce("text", F.lit("")).alias("body"))
+    lists = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("c"))
+    return lists.select("conv_id", F.md5(decide.prompt_candidates(F.col("c"))).alias("prompt"))
+
+
 @_query("SELECT r_regionkey, r_name, 2 AS version FROM region")
 def versioned_table(spark, sf_dir):
     """A table that is committed twice; readers see the second version."""
@@ -611,7 +733,11 @@ def payload_documents(spark, sf_dir):
 # --- structure ---------------------------------------------------------------
 
 
-@_query()
+# the pages have one article, of one heading and paragraphs that may be left open
+@_query(r"""
+WITH a AS (SELECT page_id, regexp_extract(html, '<article>(.*?)</article>', 1, 's') AS t FROM pages),
+p AS (SELECT page_id, list_filter(list_transform(string_split_regex(t, '</?(?:p|h1)>'), lambda x: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS b FROM a)
+SELECT page_id, 0 AS ordinal, 0 AS level, b[1] AS heading, array_to_string(b[2:], chr(10) || chr(10)) AS body FROM p WHERE len(b) > 0""")
 def html_sections(spark, sf_dir):
     return structure.sections(table(spark, sf_dir, "pages"), "page_id", "html")
 
@@ -650,14 +776,18 @@ def chunk_sizes(spark, sf_dir):
     return c.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.length("body")).cast("long").alias("longest"))
 
 
-@_query(r"""
-SELECT conv_id || ':' || turn || ':' || CASE WHEN turn % 2 = 0 THEN 'x' ELSE role END AS ref, conv_id AS document, array_to_string(list_filter(['Conversation ' || conv_id, CASE WHEN turn % 2 = 1 THEN role END, CASE WHEN turn % 3 = 0 THEN 'turn ' || turn END], lambda x: x IS NOT NULL), ' — ') AS context, md5(trim(text, e' \t\n\r')) AS body
-FROM conversations WHERE length(trim(coalesce(text, ''), e' \t\n\r')) BETWEEN 1 AND 2000""")
+_TURN_PIECES = _PIECES.replace("doc_id, coalesce(source, '') AS source", "conv_id, turn, role").replace("FROM documents", "FROM conversations").replace("doc_id, source", "conv_id, turn, role")
+
+
+@_query(f"""
+WITH {_TURN_PIECES}
+SELECT conv_id || ':' || turn || ':' || CASE WHEN turn % 2 = 0 THEN 'x' ELSE role END AS ref, conv_id AS document, array_to_string(list_filter(['Conversation ' || conv_id, CASE WHEN turn % 2 = 1 THEN role END, CASE WHEN turn % 3 = 0 THEN 'turn ' || turn END], lambda x: x IS NOT NULL), ' — ') AS context,
+unnest(range(len(p)))::INT AS part, len(p)::INT AS of_parts, md5(unnest(p)) AS body FROM g""")
 def section_chunks(spark, sf_dir):
-    """Turns as sections of their conversations; a section of several parts has its own rows, which SQL leaves out."""
+    """Turns as sections of their conversations, long ones in several parts."""
     c = table(spark, sf_dir, "conversations")
     s = c.select(F.col("conv_id").alias("document"), F.col("turn").alias("ordinal"), F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")).alias("title"), F.when(F.col("turn") % 2 == 1, F.col("role")).alias("ref"), F.when(F.col("turn") % 3 == 0, F.concat(F.lit("turn "), F.col("turn").cast("string"))).alias("heading"), F.col("text").alias("body"))
-    return chunking.section_chunks(s).filter("of_parts = 1").select("ref", "document", "context", F.md5("body").alias("body"))
+    return chunking.section_chunks(s).select("ref", "document", "context", "part", "of_parts", F.md5("body").alias("body"))
 
 
 def _policy_files(spark, sf_dir):
@@ -756,6 +886,16 @@ def stream_dedup(spark, sf_dir):
     return spark.read.parquet(f"{base}/store").select("user_id", "event_type")
 
 
+@_query("SELECT doc_id AS ref, 0 AS part, 64 AS n FROM documents")
+def stream_index(spark, sf_dir):
+    """Documents as chunks in a file stream, each embedded once; the index then holds each of them."""
+    base = shared_dir(spark, "index")
+    path = f"{sf_dir}/documents.parquet"
+    d = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + "[t]")
+    providers.index_stream(d.select(F.col("doc_id").alias("ref"), F.lit(0).alias("part"), "text"), f"{base}/index", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/index").select("ref", "part", F.size("embedding").alias("n"))
+
+
 # --- review ------------------------------------------------------------------
 
 
@@ -839,10 +979,11 @@ def decision_truth(spark, sf_dir):
     return review.with_truth(e.filter("event_id % 2 = 1").select("event_id", F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("query"), F.col("value").alias("got")), truth).drop("query")
 
 
-@_query("SELECT doc_id AS id, r AS ref, r < 100 AS known FROM (SELECT doc_id, unnest([doc_id % 150, doc_id % 7]) AS r FROM labels)")
+@_query("SELECT doc_id AS id, r AS ref, r IN (SELECT doc_id FROM documents) AS known FROM (SELECT doc_id, unnest([doc_id * 2, doc_id % 7]) AS r FROM labels)")
 def broken_labels(spark, sf_dir):
-    cases = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.array(F.col("doc_id") % 150, F.col("doc_id") % 7).alias("relevant"))
-    return review.broken_labels(cases, spark.range(100).withColumnRenamed("id", "ref"))
+    """Labelled documents that point to others, some of which there aren't."""
+    cases = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.array(F.col("doc_id") * 2, F.col("doc_id") % 7).alias("relevant"))
+    return review.broken_labels(cases, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref")))
 
 
 @_query("SELECT user_id, event_id, coalesce(event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id), true) AS starts FROM events")

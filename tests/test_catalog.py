@@ -34,7 +34,7 @@ def test_query_matches_sql(spark, sf, con, name):
 
 def test_queries_without_sql_match_plain_python(spark, sf):
     """The parser, the diff and the embedder, whose results are held against plain code row by row."""
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"html_sections", "word_diff", "embed_documents"}
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"word_diff", "embed_documents"}
     got = {}
     for r in catalog.html_sections(spark, sf).collect():
         got.setdefault(r.page_id, []).append((r.ordinal, r.level, r.heading, r.body))

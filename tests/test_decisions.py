@@ -180,7 +180,51 @@ def test_percentiles_by_rank(spark):
         v = sorted(x for k, x in rows if k == g and x is not None)
         assert tuple(got[g][1:]) == tuple(v[min(int(p * len(v)), len(v) - 1)] for p in (0, 0.5, 0.9, 1)) and tuple(median[g][1:]) == (len(v), v[0], v[len(v) // 2], v[-1])
     plan = evaluate.floor_percentiles(df, "g", "v", {"p": 0.5})._jdf.queryExecution().executedPlan().toString()
-    assert "collect_list" not in plan and "partial_count" in plan
+    assert "collect_list(" not in plan and "Window" not in plan
+
+
+def test_selection_of_any_values(spark, monkeypatch):
+    """Signs, zeros, infinities, tiny values, whole numbers, a null group, groups of one; by broadcast and by salt."""
+    rng = np.random.default_rng(2)
+    odd = [-1e300, -2.5, -0.0, 0.0, 1e-310, 3.25, 7.0, 1e9, float("inf"), float("-inf")]
+    rows = [(["a", "b", None][rng.integers(0, 3)], float(rng.choice(odd) if rng.random() < 0.5 else rng.uniform(-5, 5))) for _ in range(900)] + [("one", 5.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for sent in (100_000, 0):
+        monkeypatch.setattr(evaluate, "STATES_SENT", sent)
+        got = {r.g: (r.p, r.q) for r in evaluate.floor_percentiles(df, "g", "v", {"p": 0.37, "q": 0.5}).collect()}
+        for g in ("a", "b", None, "one"):
+            v = sorted(x for k, x in rows if k == g and x is not None)
+            assert got.pop(g) == (v[min(len(v) - 1, int(0.37 * len(v)))], v[len(v) // 2])
+        assert not got
+    whole = spark.createDataFrame([("x", k - 50) for k in range(101)], "g string, v int")
+    assert evaluate.upper_median(whole, "g", "v").collect()[0][:] == ("x", 101, -50, 0, 50)
+    assert evaluate.upper_median(whole.limit(0), "g", "v").collect() == []
+    with pytest.raises(ValueError):
+        evaluate.upper_median(whole.withColumn("v", F.lit("a")), "g", "v")
+
+
+def test_a_cap_on_calls_holds_for_all_tasks(spark):
+    """The shares of partitions and attempts add up to the cap; an attempt that wasn't planned for has none."""
+    for limit, partitions, attempts in ((10, 100, 1), (10, 3, 1), (7, 4, 2), (0, 5, 1)):
+        shares = [providers.call_share(limit, partitions, n, a, attempts) for n in range(partitions) for a in range(attempts + 1)]
+        assert sum(shares) == limit and all(providers.call_share(limit, partitions, n, attempts, attempts) == 0 for n in range(partitions))
+    texts = spark.createDataFrame([(f"text {k}",) for k in range(40)], "text string")
+    assert providers.embedded(texts, "text", batch=1, calls=40 * 4, partitions=4).count() == 40
+    with pytest.raises(Exception, match="call budget"):
+        providers.embedded(texts, "text", batch=1, calls=20, partitions=8).collect()
+
+
+def test_grounding_by_automata_and_by_grams(spark, monkeypatch):
+    """Both ways find what plain containment finds: quotes of any length, repeated, blank, in several automata."""
+    sources = [(k, " ".join(f"w{(k * 7 + i) % 50}" for i in range(60))) for k in range(30)] + [(99, None)]
+    quotes = [(k, " ".join(f"w{(k * 7 + i) % 50}" for i in range(k % 12 + 1))) for k in range(40)] + [(100, "W3  w4"), (101, " "), (102, "nothing here at all to find my friend"), (103, "W3 w4"), (104, None)]
+    want = sorted((i, j) for i, t in quotes for j, s in sources if s and t and t.strip() and " ".join(t.lower().split()) in s)
+    q, s = spark.createDataFrame(quotes, "id long, text string"), spark.createDataFrame(sources, "sid long, text string")
+    assert sorted(map(tuple, validate.grounding(q, s, "id", "sid").collect())) == want
+    assert sorted(map(tuple, validate.grounding(q, s, "id", "sid", automata=0).collect())) == want
+    monkeypatch.setattr(validate, "AUTOMATON_CHARS", 300)
+    assert sorted(map(tuple, validate.grounding(q, s, "id", "sid").collect())) == want
+    assert validate.grounding(q.limit(0), s, "id", "sid").collect() == []
 
 
 def test_component_summary(spark):

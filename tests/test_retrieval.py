@@ -128,8 +128,7 @@ def test_plans_of_searches(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     b = spark.read.parquet(f"{sf}/benchmark.parquet")
     plan = validate.grounding(b, d, "item_id", "doc_id")._jdf.queryExecution().optimizedPlan().toString()
-    keys = plan[plan.index("Generate explode(array_distinct(flatten") :]
-    assert "_s#" not in keys.split("\n")[0] and "text" not in plan.split("Generate")[0].split("Join")[-1]
+    assert "Generate" not in plan and "Join" not in plan  # no text is cut up or joined
     index = R.token_index(d.select("doc_id", T.tokens(F.col("text")).alias("tokens")), "doc_id")
     asked = b.select(F.col("item_id").alias("query_id"), T.or_terms(F.col("text")).alias("terms"))
     plan = R.index_search(index, asked, 5, "doc_id")._jdf.queryExecution().executedPlan().toString()

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import store
+from quillspark.operators import providers, store
 from quillspark.sources import documents as D
 from quillspark.streaming import ingest
 
@@ -151,3 +151,49 @@ def test_first_arrivals_watermark(spark, tmp_path):
     q = ingest.first_arrivals(s, ["k"], "ts").writeStream.format("memory").queryName("first_arrivals").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("first_arrivals").agg(F.count("*")).first()[0] == 1
+
+
+def test_stream_embeds_each_chunk_once(spark, tmp_path):
+    """Files that arrive later, with chunks that came before, and a stream that is started again."""
+    chunks = spark.createDataFrame([(str(k), k % 2, f"text {k}") for k in range(30)], "ref string, part int, text string")
+    chunks.repartition(3).write.parquet(f"{tmp_path}/chunks")
+
+    def run():
+        s = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/chunks")
+        providers.index_stream(s, f"{tmp_path}/index", f"{tmp_path}/cp")
+        return spark.read.parquet(f"{tmp_path}/index").count()
+
+    assert run() == 30
+    chunks.limit(5).unionByName(spark.createDataFrame([("new", 0, "t")], chunks.schema)).write.mode("append").parquet(f"{tmp_path}/chunks")
+    assert run() == 31 and run() == 31
+
+
+def test_buckets_keep_their_files(spark, tmp_path):
+    """A merge reads and rewrites the buckets that new rows fall into, and only those."""
+    files = lambda p: {str(f) for f in (tmp_path / p).glob("bucket=*/*.parquet")}
+    rows = spark.range(300).select(F.col("id").alias("k"), F.lit(1).alias("at"), F.lit("x").alias("v"))
+    store.write_buckets(rows, f"{tmp_path}/t", ["k"], 16)
+    before = files("t")
+    n = store.merge_buckets(spark, f"{tmp_path}/t", spark.createDataFrame([(5, 2, "y"), (6, 0, "old"), (1000, 1, "z")], "k long, at int, v string"), ["k"], 16, "at")
+    got = {r.k: (r.at, r.v) for r in spark.read.parquet(f"{tmp_path}/t").collect()}
+    assert len(got) == 301 and got[5] == (2, "y") and got[6] == (1, "x") and got[1000] == (1, "z") and got[7] == (1, "x")
+    assert n <= 3 and len(before - files("t")) == n and len(before & files("t")) == len(before) - n
+    children = spark.createDataFrame([(d, k) for d in range(20) for k in range(3)], "d long, k int")
+    store.write_buckets(children, f"{tmp_path}/c", ["d"], 16)
+    before = files("c")
+    assert store.replace_in_buckets(spark, f"{tmp_path}/c", spark.createDataFrame([(4, 9)], "d long, k int"), "d", 16) == 1
+    got = sorted((r.d, r.k) for r in spark.read.parquet(f"{tmp_path}/c").collect())
+    assert got == sorted([(d, k) for d in range(20) for k in range(3) if d != 4] + [(4, 9)]) and len(before - files("c")) == 1
+
+
+def test_readiness_of_what_is_not_there(spark, tmp_path):
+    assert store.readiness(store.chunks_at(spark, f"{tmp_path}/none")).first()[:] == (False, "no table of chunks")
+    assert store.readiness(store.chunks_at(spark, "no_such_table")).first()[:] == (False, "no table of chunks")
+    spark.createDataFrame([([1.0],), (None,)], "embedding array<float>").write.parquet(f"{tmp_path}/chunks")
+    assert store.readiness(store.chunks_at(spark, f"{tmp_path}/chunks")).first()[:] == (True, "1 embedded chunks")
+
+
+def test_drafts_by_document(spark):
+    old = spark.createDataFrame([("a", "D1"), ("b", "D1")], "id string, external_id string")
+    new = spark.createDataFrame([("c", "D1", 1), ("d", "D2", 2), ("e", "D2", 3)], "id string, external_id string, n int")
+    assert sorted((r.id, r.n) for r in D.with_drafts(old, new, "external_id").collect() if r.n) == [("d", 2), ("e", 3)]
