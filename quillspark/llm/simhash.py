@@ -11,7 +11,7 @@ positions alone reports it, and its differing bits are verified.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -94,32 +94,48 @@ def close(a: np.ndarray, b: np.ndarray | np.uint64, bits: int) -> np.ndarray:
     return near
 
 
-def _flood(fp: np.ndarray, bits: int) -> tuple[list, list]:
+#: Whether rows of fingerprints (one column a lane) lie close to others, row by row or all to one.
+Close = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _flood(fp: np.ndarray, near: Close) -> tuple[list, list]:
     """Links that connect what is linked in a long list, a tree of each component.
 
     Lists are long where many fingerprints lie close together, so that the first pivots take most of the list. Those
     nearest to the list's majority of bits come first: the centre of a group is the pivot in most lists in which it meets, so that
     its lists give the same links over and over and not others each time.
     """
-    ones = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
-    middle = np.packbits(2 * ones > len(fp)).view(np.uint64)[0]
-    rest, left, right = np.argsort(np.bitwise_count(fp ^ middle), kind="stable"), [], []
+    ones = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1), axis=1).sum(axis=0)
+    middle = np.packbits(2 * ones > len(fp)).view(np.uint64)
+    rest, left, right = np.argsort(np.bitwise_count(fp ^ middle).sum(axis=1), kind="stable"), [], []
     while len(rest):
         pivots, rest = [rest[0]], rest[1:]
         while pivots and len(rest):
             p = pivots.pop()
-            near = close(fp[rest], fp[p], bits)
-            hit, rest = rest[near], rest[~near]
-            left += [np.full(len(hit), p)]
-            right += [hit]
-            pivots += hit.tolist()
+            hit = near(fp[rest], fp[p : p + 1])
+            found, rest = rest[hit], rest[~hit]
+            left += [np.full(len(found), p)]
+            right += [found]
+            pivots += found.tolist()
     return left, right
 
 
-def links(batches: Iterator[pa.RecordBatch], bits: int, name: str = "fp", label: str = "fp", once: bool = True) -> Iterator[pa.RecordBatch]:
+def _neighbours(fp: np.ndarray, turn: int, near: Close) -> tuple[np.ndarray, np.ndarray]:
+    """Links of close fingerprints of a long list that stand next to each other in the order of some lane from some bit on, which turn chooses.
+
+    A tree links a fingerprint to a pivot alone, and that one's text may turn out unlike; very close ones are mostly neighbours in some list's order.
+    """
+    lane, by = fp[:, turn % fp.shape[1]], np.uint64(turn * 13 % 64)
+    order = np.argsort((lane << by) | (lane >> ((np.uint64(64) - by) % np.uint64(64))), kind="stable")
+    hit = near(fp[order[:-1]], fp[order[1:]])
+    return order[:-1][hit], order[1:][hit]
+
+
+def links(batches: Iterator[pa.RecordBatch], near: Close, lanes: tuple[str, ...] = ("fp",), name: str = "fp", label: str = "fp", once: bool = True, nearest: Close | None = None) -> Iterator[pa.RecordBatch]:
     """Links of nodes within runs of equal keys (number of the position set, then its bytes); rows come sorted by key.
 
     once: the keys are those of ``position_sets``, and a pair of a short list is reported by its first list alone.
+    nearest: neighbours in long lists that are so close are linked too.
     Nodes that agree in label are known to be connected: links between them are left out.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -134,14 +150,18 @@ def links(batches: Iterator[pa.RecordBatch], bits: int, name: str = "fp", label:
         index = np.arange(len(key))
         for d in range(1, min(SHORT_LIST, int(size.max())) if len(size) else 0):
             i = index[index + d < within]
-            i = i[close(fp[i], fp[i + d], bits)]
+            i = i[near(fp[i], fp[i + d])]
             # a pair is reported by the first of the lists in which it meets
             if once:
-                i = i[_FIRST_SET[shared_positions(fp[i], fp[i + d])] == key[i] >> 32]
+                i = i[_FIRST_SET[shared_positions(fp[i, 0], fp[i + d, 0])] == key[i] >> 32]
             left.append(i)
             right.append(i + d)
         for k in np.flatnonzero(size > SHORT_LIST):
-            a, b = _flood(fp[begin[k] : end[k]], bits)
+            own = fp[begin[k] : end[k]]
+            a, b = _flood(own, near)
+            if nearest is not None:
+                x, y = _neighbours(own, int(key[begin[k]] >> 20), nearest)
+                a, b = [*a, x], [*b, y]
             left += [x + begin[k] for x in a]
             right += [x + begin[k] for x in b]
         a, b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (left, right))
@@ -154,8 +174,8 @@ def links(batches: Iterator[pa.RecordBatch], bits: int, name: str = "fp", label:
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, node, known, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", name, label, "fp"))
-        held.append((key, node, known, fp.view(np.uint64)))
+        key, node, known = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", name, label))
+        held.append((key, node, known, np.stack([batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in lanes], axis=1)))
         if key[0] == key[-1] and held[0][0][0] == key[0]:
             continue
         key, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -184,7 +204,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, carried: tup
     keys = [F.lit(k << 32).bitwiseOR(F.shiftleft(byte[a], 24)).bitwiseOR(F.shiftleft(byte[b], 16)).bitwiseOR(F.shiftleft(byte[c], 8)).bitwiseOR(byte[d]) for k, (a, b, c, d) in enumerate(position_sets())]
     lists = nodes.select("fp", F.explode(F.array(*keys)).alias("key"))
     lists = lists.repartition("key").sortWithinPartitions("key")
-    edges = lists.mapInArrow(lambda it: links(it, bits), "a long, b long")
+    edges = lists.mapInArrow(lambda it: links(it, lambda a, b: close(a[:, 0], b[:, 0], bits)), "a long, b long")
     reach = common.components(edges)
     # a component is named by its smallest fingerprint until the documents' ids are known; what has no link names itself
     linked = common.checkpointed(nodes.join(reach, nodes.fp == reach.node).select("fp", "component", "component_id"))
@@ -198,21 +218,28 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, carried: tup
 # --- near copies by similarity ---------------------------------------------------
 
 #: Bits of the first 64 of a wide fingerprint that may differ, and of all 256. At a similarity of 0.8 some 10 and 39 do, with
-#: deviations of 3 and 6; of unlike texts 32 and 128.
-WIDE_BITS, ALL_BITS = 20, 56
-#: Positional bytes in a posting of the wide index, number of position sets, and those that are searched first.
-WIDE_BYTES, WIDE_SETS, FIRST_SETS = 3, 128, 16
+#: deviations of 3 and 6; of unlike texts 32 and 128. Neighbours in a long list are looked at up to NEAR_BITS, about a similarity of 0.9.
+WIDE_BITS, ALL_BITS, NEAR_BITS = 20, 56, 24
+#: Position sets of the wide index, of two of 32 positional bytes and half of a third, and those that are searched first.
+WIDE_SETS, FIRST_SETS = 128, 16
 
 
-def wide_sets() -> list[tuple[int, ...]]:
-    """Sets of WIDE_BYTES of the 32 byte positions; every position is in about as many."""
+def wide_sets() -> list[tuple[int, int, int, int]]:
+    """Two byte positions, a third, and which half of that one (0 or 4 bits up); every position is in about as many."""
     rng, out = np.random.default_rng(5), []
     while len(out) < WIDE_SETS:
         order = rng.permutation(32)
-        out += [tuple(sorted(order[k : k + WIDE_BYTES].tolist())) for k in range(0, 32 - WIDE_BYTES + 1, WIDE_BYTES)]
+        out += [(*sorted(order[k : k + 2].tolist()), int(order[k + 2]), 4 * int(rng.integers(0, 2))) for k in range(0, 30, 3)]
     return out[:WIDE_SETS]
 
 
+def close_wide(a: np.ndarray, b: np.ndarray, bits: int = ALL_BITS) -> np.ndarray:
+    """The first 64 bits first, then all of them."""
+    near = np.bitwise_count(a[:, 0] ^ b[:, 0]) <= WIDE_BITS
+    near[near] = np.bitwise_count(a[near] ^ (b[near] if len(b) == len(a) else b)).sum(axis=1) <= bits
+    return near
+
+
 _CASE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -242,29 +269,24 @@ def _similar(batches: Iterator[pa.RecordBatch], words: int, similarity: float) -
 def similar_texts(nodes: DataFrame, texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(a, b): links of nodes (key, fp, fp1, fp2, fp3) whose texts (key, text) have that Jaccard similarity of their shingles.
 
-    Links connect what is connected: of pairs that lie close in the fingerprint a tree for each posting list, verified on the
+    Links connect what is connected: of pairs that lie close in all of the fingerprint a tree for each posting list, verified on the
     texts. A few position sets come first; what their links connect, and pairs that they have compared, aren't compared again under
-    the others, so a large group of near copies is verified over a few links a text and not over as many as there are sets.
+    the others, so a large group of near copies is verified over a few links a text and not over as many as there are sets. Those others also propose
+    the closest neighbours in long lists, for texts whose pivot was unlike.
     """
     byte = lambda p: F.shiftrightunsigned("fp" if p < 8 else f"fp{p // 8}", 8 * (p % 8)).bitwiseAND(0xFF)
+    lanes = ("fp", "fp1", "fp2", "fp3")
     keys = []
-    for k, places in enumerate(wide_sets()):
-        key = F.lit(k).cast("long")
-        for p in places:
-            key = F.shiftleft(key, 8).bitwiseOR(byte(p))
-        keys.append(key)
-
-    def candidates(labelled: DataFrame, keys: list) -> DataFrame:
-        lists = labelled.select(F.col("key").alias("node"), "label", "fp", F.explode(F.array(*keys)).alias("key"))
+    for k, (p, q, r, up) in enumerate(wide_sets()):
+        two = F.shiftleft(F.shiftleft(F.lit(k).cast("long"), 8).bitwiseOR(byte(p)), 8).bitwiseOR(byte(q))
+        keys.append(F.shiftleft(two, 4).bitwiseOR(F.shiftrightunsigned(byte(r), up).bitwiseAND(0xF)))
+
+    def candidates(labelled: DataFrame, keys: list, nearest: Close | None = None) -> DataFrame:
+        lists = labelled.select(F.col("key").alias("node"), "label", *lanes, F.explode(F.array(*keys)).alias("key"))
         lists = lists.repartition("key").sortWithinPartitions("key", "node")
-        return common.checkpointed(lists.mapInArrow(lambda it: links(it, WIDE_BITS, "node", "label", False), "a long, b long").distinct())
+        return common.checkpointed(lists.mapInArrow(lambda it: links(it, close_wide, lanes, "node", "label", False, nearest), "a long, b long").distinct())
 
     def verified(edges: DataFrame) -> DataFrame:
-        lanes = ("fp", "fp1", "fp2", "fp3")
-        for end in ("a", "b"):
-            edges = edges.join(nodes.select(F.col("key").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in lanes]), end)
-        differ = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in lanes), F.lit(0))
-        edges = common.checkpointed(edges.filter(differ <= ALL_BITS).select("a", "b"))
         ends = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         known = common.checkpointed(texts.join(ends, "key", "left_semi").groupBy("key").agg(F.any_value("text").alias("text")))
         pairs = edges.join(known.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(known.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
@@ -274,7 +296,7 @@ def similar_texts(nodes: DataFrame, texts: DataFrame, words: int = 5, similarity
     first = verified(early)
     reach = common.components(first).select(F.col("node").alias("key"), F.col("component").alias("label"))
     labelled = nodes.join(reach, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    late = candidates(labelled, keys[FIRST_SETS:]).join(early, ["a", "b"], "left_anti")
+    late = candidates(labelled, keys[FIRST_SETS:], lambda a, b: close_wide(a, b, NEAR_BITS)).join(early, ["a", "b"], "left_anti")
     return first.unionByName(verified(late))
 
 
@@ -282,7 +304,7 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     """One row of docs (doc_id, text, ...) of each group of near copies, that of the smallest doc_id; all columns stay, whatever their names.
 
     Near copies have shingles of five words whose Jaccard similarity is 0.8 or more; groups are what such links connect. Candidates
-    come from an index over 256-bit fingerprints, in which a posting has three of 32 positional bytes; pairs that share as many and
+    come from an index over 256-bit fingerprints, in which a posting has two and a half of 32 positional bytes; pairs that share as many and
     differ in few bits are verified on the texts, so no other texts are linked, and what the index misses is said in the README.
 
     Null doc_ids come last; of equal doc_ids the smallest hash of the text stays, and of rows that repeat both any one. Null and
