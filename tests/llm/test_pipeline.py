@@ -60,7 +60,7 @@ def test_repeated_rows_and_empty_tables(spark):
 
 def test_entry_lists_all_queries():
     names = __spark_entry__.queries()
-    assert {int(m[1]) for x in names if (m := re.match(r"op(\d+)_", x))} == set(range(1, 11)) and "pipeline" in names
+    assert {int(m[1]) for x in names if (m := re.match(r"op(\d+)_", x))} == set(range(1, 14)) and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
     assert np.all([callable(f) for f in names.values()])
 
