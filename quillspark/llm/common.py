@@ -41,6 +41,12 @@ def trimmed() -> None:
         trim(0)
 
 
+def released(spark) -> None:
+    """What earlier rounds left on the driver goes: its garbage, and with it the shuffles and broadcasts that nothing refers to any more."""
+    trimmed()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(taken: list[str], *bases: str) -> list[str]:
     """Column names made of bases that none of taken has, in any case."""
     used = {t.lower() for t in taken}

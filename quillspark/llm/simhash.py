@@ -292,12 +292,20 @@ def similar_texts(nodes: DataFrame, texts: DataFrame, words: int = 5, similarity
         pairs = edges.join(known.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(known.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
         return common.checkpointed(pairs.sortWithinPartitions("a").mapInArrow(lambda it: _similar(it, words, similarity), "a long, b long"))
 
+    spark = nodes.sparkSession
+    common.released(spark)
     early = candidates(nodes.withColumn("label", F.col("key")), keys[:FIRST_SETS])
     first = verified(early)
+    common.released(spark)
     reach = common.components(first).select(F.col("node").alias("key"), F.col("component").alias("label"))
-    labelled = nodes.join(reach, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    labelled = common.checkpointed(nodes.join(reach, "key", "left").withColumn("label", F.coalesce("label", "key")))
+    common.released(spark)
     late = candidates(labelled, keys[FIRST_SETS:], lambda a, b: close_wide(a, b, NEAR_BITS)).join(early, ["a", "b"], "left_anti")
-    return first.unionByName(verified(late))
+    late = common.checkpointed(late)
+    common.released(spark)
+    second = verified(late)
+    common.released(spark)
+    return first.unionByName(second)
 
 
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
