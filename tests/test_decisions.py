@@ -278,3 +278,14 @@ def test_agent_candidates_carry_whole_texts(spark, monkeypatch):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert max(map(len, offered.values())) > 200
     assert offered == {i: texts[i] for i in offered}
+
+
+def test_numbers_that_are_no_status(spark):
+    """A user, an amount or a longer number that holds the digits of a status code is none; real ones count wherever they stand."""
+    want = {
+        "TimeoutError answer timeout of user 429": "transient", "ValueError of user 503": "permanent", "ValueError row 5000 of 42900": "permanent", "NotFound: use models/m-500 instead": "permanent",
+        "ClientError 429 RESOURCE": "rate_limit", "ClientError code: 429": "rate_limit", "APIError: got 503": "transient", "ClientError {'code': 502}": "transient", "X failed, HTTP/1.1 504": "transient",
+        "X the server said 500 Internal Server Error": "transient", "X (status 429)": "rate_limit", "HTTPError: 500 at /v1": "transient",
+    }
+    rows = spark.createDataFrame([(e,) for e in want], "e string").select("e", validate.failure_kind(F.col("e")).alias("kind")).collect()
+    assert {r.e: r.kind for r in rows} == want
