@@ -10,6 +10,7 @@ positions alone reports it, and its differing bits are verified.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 from itertools import combinations
@@ -266,13 +267,121 @@ def _similar(batches: Iterator[pa.RecordBatch], words: int, similarity: float) -
     common.trimmed()
 
 
+# --- what the index over fingerprints can't promise ------------------------------
+
+#: Texts that common shingles are looked for in, about, how many of these have one that is common, and common shingles that are remembered at most.
+COMMON_DOCS, COMMON_IN, COMMON_KEPT = 4000, 3, 1 << 18
+#: Pairs of a list that are looked at together.
+PAIRS_BLOCK = 1 << 22
+
+
+def _hashed_shingles(text: str, words: int) -> np.ndarray:
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles(text, words)), np.uint64))
+
+
+def common_shingles(texts: DataFrame, nodes: int, words: int) -> np.ndarray:
+    """Hashes of shingles that several of a bounded sample of texts (key, text) have, the commonest last."""
+    share = math.ceil((1 << 20) * min(1.0, COMMON_DOCS / max(nodes, 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text in b.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(_hashed_shingles(text.as_py() or "", words).view(np.int64))], ["token"])
+
+    some = texts.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < share)
+    counts = some.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON_IN)
+    found = counts.orderBy(F.desc("n"), "token").limit(COMMON_KEPT).toArrow()
+    return found.column("token").to_numpy()[::-1].view(np.uint64)
+
+
+def prefixes(batches: Iterator[pa.RecordBatch], words: int, similarity: float, late: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(token, key, label, size, place): of texts (key, label, text) the shingles that come first in one order of all shingles, as many as two similar texts must share one of.
+
+    Sets of Jaccard similarity t share t * n of the n shingles of either at least, so the first n - ceil(t * n) + 1 of both have a shingle in common. The order puts
+    common shingles last; any order is exact. A text without shingles has token zero and size zero.
+    """
+    by_hash = np.argsort(late, kind="stable")
+    known = late[by_hash]
+    for b in batches:
+        for i, j in common.slices(common.raw_strings(b.column("text"))[1], SLICE_BYTES):
+            out = []
+            for k in range(i, j):
+                h = _hashed_shingles(b.column("text")[k].as_py() or "", words)
+                n = len(h)
+                if len(known) and n:
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    rank = np.where(known[at] == h, by_hash[at] + 1, 0)
+                    h = h[np.argsort(rank, kind="stable")]
+                first = h[: n - math.ceil(similarity * n - 1e-9) + 1] if n else np.zeros(1, np.uint64)
+                out.append((first, np.full(len(first), k), np.full(len(first), n), np.arange(len(first))))
+            token, row, size, place = (np.concatenate(x) for x in zip(*out, strict=True))
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), b.column("key").take(row), b.column("label").take(row), pa.array(size.astype(np.int32)), pa.array(place.astype(np.int32))], ["token", "key", "label", "size", "place"])
+
+
+def _list_pairs(label: np.ndarray, size: np.ndarray, place: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unequal labels in one list whose sizes and places leave room for enough shared shingles.
+
+    What has the list's commonest label is compared with the others alone, so a group that is known to be one costs as much as what isn't of it.
+    """
+    kinds, own, n = np.unique(label, return_inverse=True, return_counts=True)
+    if len(kinds) == 1:
+        return
+    odd = np.flatnonzero(own != n.argmax())
+    step = max(1, PAIRS_BLOCK // len(label))
+    index, rest = np.arange(len(label)), size - place
+    for lo in range(0, len(odd), step):
+        i = odd[lo : lo + step, None]
+        both = size[i] + size[None]
+        # a pair of two odd ones is met from either side, and taken from one
+        fits = (own[i] != own[None]) & ((own[None] == n.argmax()) | (index[None] < i))
+        fits &= np.minimum(rest[i], rest[None]) * (1 + similarity) >= similarity * both - 1e-6
+        x, y = np.nonzero(fits)
+        yield i[x, 0], y
+
+
+def unlinked(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of nodes of unequal labels that meet in a list (rows sorted by token) and may be similar."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def of(token, key, label, size, place) -> Iterator[pa.RecordBatch]:
+        edge = np.flatnonzero(np.diff(token)) + 1
+        begin, end = np.concatenate([[0], edge]), np.concatenate([edge, [len(token)]])
+        for lo, hi in zip(begin.tolist(), end.tolist(), strict=True):
+            if hi - lo < 2:
+                continue
+            if size[lo] == 0 == size[hi - 1] and token[lo] == 0:
+                # texts without shingles are alike
+                pairs = [(np.arange(lo, hi - 1), np.arange(lo + 1, hi))]
+            else:
+                pairs = ((i + lo, j + lo) for i, j in _list_pairs(label[lo:hi], size[lo:hi], place[lo:hi], similarity))
+            for i, j in pairs:
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(key[i], key[j])), pa.array(np.minimum(key[i], key[j]))], schema=schema)
+
+    held: list[tuple[np.ndarray, ...]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("token", "key", "label", "size", "place")))
+        if held[-1][0][-1] == held[0][0][0]:
+            continue
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))
+        yield from of(*(x[:cut] for x in columns))
+        held = [tuple(x[cut:] for x in columns)]
+    if held:
+        yield from of(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
 def similar_texts(nodes: DataFrame, texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(a, b): links of nodes (key, fp, fp1, fp2, fp3) whose texts (key, text) have that Jaccard similarity of their shingles.
 
     Links connect what is connected: of pairs that lie close in all of the fingerprint a tree for each posting list, verified on the
     texts. A few position sets come first; what their links connect, and pairs that they have compared, aren't compared again under
     the others, so a large group of near copies is verified over a few links a text and not over as many as there are sets. Those others also propose
-    the closest neighbours in long lists, for texts whose pivot was unlike.
+    the closest neighbours in long lists, for texts whose pivot was unlike. Last, what isn't connected yet meets by ``prefixes``, which no similar pair
+    escapes: in the worst case, many texts that share common shingles and are no copies, that compares all of them.
     """
     byte = lambda p: F.shiftrightunsigned("fp" if p < 8 else f"fp{p // 8}", 8 * (p % 8)).bitwiseAND(0xFF)
     lanes = ("fp", "fp1", "fp2", "fp3")
@@ -305,7 +414,18 @@ def similar_texts(nodes: DataFrame, texts: DataFrame, words: int = 5, similarity
     common.released(spark)
     second = verified(late)
     common.released(spark)
-    return first.unionByName(second)
+    found = first.unionByName(second)
+    # what the fingerprints miss: exact candidates between texts that aren't connected yet
+    reach = common.components(found).select(F.col("node").alias("key"), F.col("component").alias("label"))
+    one = texts.groupBy("key").agg(F.any_value("text").alias("text")).join(reach, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    common_last = common_shingles(texts, nodes.count(), words)
+    lists = one.mapInArrow(lambda it: prefixes(it, words, similarity, common_last), "token long, key long, label long, size int, place int")
+    lists = lists.repartition("token").sortWithinPartitions("token")
+    left = common.checkpointed(lists.mapInArrow(lambda it: unlinked(it, similarity), "a long, b long").distinct())
+    common.released(spark)
+    third = verified(left.join(early.unionByName(late), ["a", "b"], "left_anti"))
+    common.released(spark)
+    return found.unionByName(third)
 
 
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -313,7 +433,7 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
 
     Near copies have shingles of five words whose Jaccard similarity is 0.8 or more; groups are what such links connect. Candidates
     come from an index over 256-bit fingerprints, in which a posting has two and a half of 32 positional bytes; pairs that share as many and
-    differ in few bits are verified on the texts, so no other texts are linked, and what the index misses is said in the README.
+    differ in few bits are verified on the texts, so no other texts are linked; what that index misses is found by prefixes of the texts' shingles.
 
     Null doc_ids come last; of equal doc_ids the smallest hash of the text stays, and of rows that repeat both any one. Null and
     empty texts are one group. An empty table stays empty.

@@ -172,3 +172,23 @@ def test_similarity_at_the_edge(spark):
     assert set(want.values()) <= kept and len(kept - set(want.values())) <= 0.1 * len(rows)
     near = {d for d in want if d % 10 in (1, 2)}  # similarity of 0.9 and more
     assert len(near & kept) <= 0.02 * len(near)
+
+
+def test_no_similar_pair_is_left_out(spark):
+    """Pairs just above 0.8, common shingles in most texts, texts without shingles: the groups are those of all pairs."""
+    import random
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(6))
+    common = " ".join(word() for _ in range(30))
+    rows = [(90000, " "), (90001, "\n\t"), (90002, "one two"), (90003, "one  TWO")]
+    for k in range(150):
+        w = [word() for _ in range(300)]
+        v = list(w)
+        for c in range(6):
+            v[20 + c * 40] = word()
+        rows += [(2 * k, " ".join(w) + " " + common), (2 * k + 1, common + " " + " ".join(v))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = similar_groups(rows)
+    assert len(set(want.values())) == 152
+    assert {r.doc_id for r in simhash.deduplicated(docs).collect()} == set(want.values())
