@@ -5,14 +5,17 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from quillspark.functions.batches import parts
 from quillspark.functions.text import SENTENCE_END
 
 TARGET, MAXIMUM, SCRAP = 1200, 2000, 120
-CHUNKS_DDL = "array<struct<text: string, body: string, context: string, part: int, of_parts: int>>"
+#: Bytes of text that are cut together.
+PART_BYTES = 4 << 20
 _END = re.compile(SENTENCE_END)
 
 
@@ -61,17 +64,28 @@ def pieces(text: str, target: int = TARGET, maximum: int = MAXIMUM, scrap: int =
 def chunks(df: DataFrame, text: str = "text", context: str | None = None, target: int = TARGET, maximum: int = MAXIMUM) -> DataFrame:
     """df with text, body, context, part and of_parts for each piece; rows with empty text have none."""
 
-    @F.pandas_udf(CHUNKS_DDL)
-    def cut(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, contexts in it:
-            rows = []
-            for t, c in zip(texts, contexts, strict=True):
-                body = pieces(t or "", target, maximum)
-                rows.append([{"text": f"{c}\n{b}" if c else b, "body": b, "context": c, "part": k, "of_parts": len(body)} for k, b in enumerate(body)])
-            yield pd.Series(rows)
+    kept = df.drop(text)
+    added = [StructField(n, StringType()) for n in ("text", "body", "context")] + [StructField(n, IntegerType()) for n in ("part", "of_parts")]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches, "_cut_text", PART_BYTES):
+            rows, bodies, contexts, numbers, counts = [], [], [], [], []
+            for k, (t, c) in enumerate(zip(b.column("_cut_text"), b.column("_cut_context"), strict=True)):
+                own = pieces(t.as_py() or "", target, maximum)
+                rows += [k] * len(own)
+                bodies += own
+                contexts += [c.as_py()] * len(own)
+                numbers += range(len(own))
+                counts += [len(own)] * len(own)
+            whole = [f"{c}\n{x}" if c else x for c, x in zip(contexts, bodies, strict=True)]
+            at = pa.array(rows, pa.int64())
+            columns = [b.column(k).take(at) for k in range(b.num_columns - 2)]
+            columns += [pa.array(x, pa.string()) for x in (whole, bodies, contexts)] + [pa.array(x, pa.int32()) for x in (numbers, counts)]
+            yield pa.RecordBatch.from_arrays(columns, [*b.schema.names[:-2], *(f.name for f in added)])
 
     shown = F.col(context) if context else F.lit("")
-    return df.withColumn("_cut", cut(F.col(text), F.coalesce(shown, F.lit("")))).drop(text).selectExpr("*", "inline(_cut)").drop("_cut")
+    d = df.select(*[F.col(f"`{n}`") for n in kept.columns], F.col(text).alias("_cut_text"), F.coalesce(shown, F.lit("")).alias("_cut_context"))
+    return d.mapInArrow(cut, StructType([*kept.schema.fields, *added]))
 
 
 def section_context(title: str, ref: str, heading: str):

@@ -42,3 +42,13 @@ def test_sections_and_clauses(spark):
     assert got["7:1:x", 0].context == "" and got["7:1:x", 0].of_parts == len(got) - 1 > 1 and all(k[0] != "8:0:1.2" for k in got)
     c = spark.createDataFrame([("P §1", "T", "S", "H", "x" * 5000, "T — S — H\nx")], "clause_id string, policy_title string, section string, heading string, text string, retrieval_text string")
     assert tuple(C.clause_chunks(c).first()) == ("P §1", "T — S — H\nx", "x" * 5000, "T — S — H", 0, 1)
+
+
+def test_long_batches_are_cut_in_parts(spark, monkeypatch):
+    """A part of a batch at a time, with the other columns beside each piece; no row is lost at the borders."""
+    monkeypatch.setattr(C, "PART_BYTES", 50)
+    rows = [(k, "x" * (k % 7) * 20 if k % 5 else None, f"s{k}" if k % 3 else None) for k in range(60)]
+    got = C.chunks(spark.createDataFrame(rows, "k long, text string, source string"), context="source")
+    assert got.columns == ["k", "source", "text", "body", "context", "part", "of_parts"]
+    want = sorted((k, s, f"{s}\n{t}" if s else t, t, s or "", 0, 1) for k, t, s in rows if t)
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[0]) == sorted(want, key=lambda r: r[0])
