@@ -1,7 +1,7 @@
 """Inverted indexes: positions for cover-density ranking, and blocks with upper bounds that a search skips where they can't matter.
 
 A positional index holds where each term stands in each chunk; minimal covers are found by one sweep over the merged
-positions of a query's terms. A block index holds the postings in one folder a block of chunks, sorted by term, and of each term and
+positions of a query's terms. A block index holds the postings in folders by block of chunks, sorted by term, and of each term and
 block the largest count; a search opens the blocks with the highest bounds first and then only those whose bound
 reaches the k-th score found.
 """
@@ -18,33 +18,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions.stem import stem, stemmed
-from quillspark.operators.retrieval import SALTS, TERMS_SENT
+from quillspark.operators.retrieval import SALTS, TERMS_SENT, term_runs, term_sums
 from quillspark.session import checkpointed
 
-#: Distinct words whose stems a task remembers, and query terms that are pushed into a scan as conditions.
-WORDS_KEPT, TERMS_PUSHED = 500_000, 64
+#: Query terms that are pushed into a scan as conditions.
+TERMS_PUSHED = 64
+#: Folders of a block index.
+FOLDERS = 512
 
 
 def _positions(batches: Iterator[pa.RecordBatch], key: str, of) -> Iterator[pa.RecordBatch]:
-    known: dict[str, str] = {}
-    for b in batches:
-        lists = b.column("_tokens")
-        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        if not sizes.sum():
-            continue
-        row = np.repeat(np.arange(b.num_rows), sizes)
-        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
-        words = lists.flatten().dictionary_encode()
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        stems = pa.array([known[w] if w in known else known.setdefault(w, of(w)) for w in words.dictionary.to_pylist()], pa.string()).dictionary_encode()
-        term = stems.indices.to_numpy()[words.indices.to_numpy()]
-        order = np.lexsort((place, term, row))
-        row, term, place = row[order], term[order], place[order]
-        first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(term, prepend=-1) != 0))
+    for b, terms, row, term, place, first in term_runs(batches, of):
         ends = pa.array(np.append(first, len(row)).astype(np.int32))
         yield pa.RecordBatch.from_arrays(
-            [stems.dictionary.take(pa.array(term[first])), b.column(key).take(pa.array(row[first])), pa.ListArray.from_arrays(ends, pa.array(place.astype(np.int32)))], ["term", key, "positions"]
+            [terms.take(pa.array(term[first])), b.column(key).take(pa.array(row[first])), pa.ListArray.from_arrays(ends, pa.array(place.astype(np.int32)))], ["term", key, "positions"]
         )
 
 
@@ -110,10 +97,10 @@ def cover_density(index: DataFrame, queries: DataFrame, k: int, key: str, terms:
     """
     if need not in ("any", "all"):
         raise ValueError(f"a query needs any or all of its terms, not {need!r}")
-    pairs = with_terms(index, checkpointed(asked_terms(queries, terms, stems)), key)
     if need == "any":
-        found = pairs.groupBy("query_id", key).agg(F.sum(F.size("positions")).alias("covers")).withColumn("score", F.round(F.lit(0.1) * F.col("covers"), 9))
+        found = term_sums(index, F.size("positions"), queries, key, k, terms, stems).withColumnRenamed("matches", "covers").withColumn("score", F.round(F.lit(0.1) * F.col("covers"), 9))
     else:
+        pairs = with_terms(index, checkpointed(asked_terms(queries, terms, stems)), key)
         lists = pairs.groupBy("query_id", key, "m").agg(F.collect_list(F.struct("t", "positions")).alias("_lists")).filter(F.size("_lists") == F.col("m"))
         events = F.array_sort(F.flatten(F.transform("_lists", lambda x: F.transform(x["positions"], lambda p: F.struct(p.alias("p"), x["t"].alias("t"))))))
         swept = lists.withColumn("_events", events).withColumn("_s", cover_sweep(F.col("_events"), F.col("m")))
@@ -123,14 +110,14 @@ def cover_density(index: DataFrame, queries: DataFrame, k: int, key: str, terms:
 
 
 def write_blocks(index: DataFrame, path: str, key: str, block: Column, row_group: int = 1 << 20) -> None:
-    """A block index of (term, key, n) below path: the postings, one folder a block, and the bounds (term, block, top).
+    """A block index of (term, key, n) below path: the postings, in FOLDERS folders that blocks are dealt to, and the bounds (term, block, top).
 
-    block is a number that depends on key alone; blocks of some 100,000 chunks keep folders few. Files are sorted by term, in row groups of
+    block is a number that depends on key alone. Up to FOLDERS blocks in a row have a folder each; with more, a folder has several. Files are sorted by term, in row groups of
     bounded size with Bloom filters of their terms.
     """
     sorted_, bloom = {"parquet.block.size": str(row_group)}, {"parquet.bloom.filter.enabled#term": "true"}
-    posts = index.select("term", key, "n", block.cast("long").alias("block"))
-    posts.repartition("block").sortWithinPartitions("block", "term", key).write.options(**sorted_, **bloom).partitionBy("block").parquet(f"{path}/postings")
+    posts = index.select("term", key, "n", block.cast("long").alias("block")).withColumn("folder", F.pmod("block", F.lit(FOLDERS)))
+    posts.repartition("folder").sortWithinPartitions("folder", "term", "block", key).write.options(**sorted_, **bloom).partitionBy("folder").parquet(f"{path}/postings")
     tops = index.sparkSession.read.parquet(f"{path}/postings").groupBy("term", F.col("block").cast("long").alias("block")).agg(F.max("n").alias("top"))
     tops.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.options(**sorted_, **bloom).parquet(f"{path}/bounds")
 
@@ -147,17 +134,17 @@ def opened_blocks(spark: SparkSession, path: str, queries: DataFrame, k: int, ke
     Round 1 is each query's ``first`` blocks by bound; round 2 the others whose bound is no less than its k-th best count so far.
     """
     asked = checkpointed(asked_terms(queries, terms, stems))
-    bounds = with_terms(_of_terms(spark.read.parquet(f"{path}/bounds"), asked), asked, "block").groupBy("query_id", "block").agg(F.sum("top").alias("bound"))
+    bounds = term_sums(_of_terms(spark.read.parquet(f"{path}/bounds"), asked), F.col("top"), queries, "block", None, terms, stems).withColumnRenamed("matches", "bound")
     order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
     bounds = checkpointed(bounds.withColumn("place", F.row_number().over(order)))
     postings = _of_terms(spark.read.parquet(f"{path}/postings"), asked)
 
     def matches(open_: DataFrame) -> DataFrame:
         # the condition on round is selective for Spark, so that the scan reads opened blocks' folders only
-        blocks = open_.filter("round > 0").select(F.col("block").alias("_block")).distinct()
-        near = postings.join(F.broadcast(blocks), F.col("block") == F.col("_block"), "left_semi")
-        pairs = with_terms(near, asked, key).join(open_.select("query_id", "block"), ["query_id", "block"], "left_semi")
-        return pairs.groupBy("query_id", key).agg(F.sum("n").alias("matches"))
+        blocks = open_.filter("round > 0").select(F.col("block").alias("_block")).distinct().withColumn("_folder", F.pmod("_block", F.lit(FOLDERS)))
+        near = postings.join(F.broadcast(blocks), (F.col("folder") == F.col("_folder")) & (F.col("block") == F.col("_block")), "left_semi")
+        # a block that one query opens is counted for all: what another finds there can't be among its best unless it opens the block
+        return term_sums(near, F.col("n"), queries, key, k, terms, stems)
 
     one = checkpointed(bounds.filter(F.col("place") <= first).select("query_id", "block", "bound", F.lit(1).alias("round")))
     best = Window.partitionBy("query_id").orderBy(F.desc("matches"), key)
@@ -165,7 +152,7 @@ def opened_blocks(spark: SparkSession, path: str, queries: DataFrame, k: int, ke
     worst = found.filter(F.col("r") == k).select("query_id", F.col("matches").alias("worst"))
     two = bounds.filter(F.col("place") > first).join(worst, "query_id", "left").filter(F.col("bound") >= F.coalesce("worst", F.lit(0)))
     two = checkpointed(two.select("query_id", "block", "bound", F.lit(2).alias("round")))
-    return one.unionByName(two), bounds, found.drop("r").unionByName(matches(two))
+    return one.unionByName(two), bounds, found.drop("r").unionByName(matches(two)).distinct()
 
 
 def block_search(spark: SparkSession, path: str, queries: DataFrame, k: int, key: str, terms: str = "terms", stems: bool = True, first: int = 2) -> DataFrame:

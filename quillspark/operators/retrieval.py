@@ -13,12 +13,17 @@ from pyspark.sql.window import Window
 
 from quillspark.functions import text as T
 from quillspark.functions import vector
-from quillspark.functions.stem import stem, stemmed
+from quillspark.functions.batches import parts
+from quillspark.functions.stem import stem
 
 RRF_K = 60
 #: Bytes of query vectors that go along with a pass over the chunks, and queries that are scored together.
 QUERY_BYTES, QUERY_BLOCK = 64 << 20, 512
-#: Query terms up to which they are sent to every task; with more, both sides are dealt out by term and salt.
+#: Rows of results that a task holds in a pass over the chunks: queries times k.
+RESULT_ROWS = 1 << 19
+#: Positions of terms that are looked at together, and distinct words whose stems a task remembers.
+PART_TERMS, WORDS_KEPT = 1 << 18, 500_000
+#: Query terms that are sent to every task, in a pass or in a join; with more, both sides of a join are dealt out by term and salt.
 TERMS_SENT, SALTS = 200_000, 16
 
 
@@ -30,13 +35,13 @@ def vector_topk(chunks: DataFrame, query: list[float], k: int, key: str = "ref",
     return rows.select(key, F.round(vector.cosine(F.col("embedding"), q), 6).alias("similarity")).orderBy(F.desc("similarity"), key).limit(k)
 
 
-def _passes(queries: DataFrame) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """(ids, vectors) of as many queries at a time as QUERY_BYTES hold."""
+def _passes(queries: DataFrame, k: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(ids, vectors) of as many queries at a time as QUERY_BYTES hold, and RESULT_ROWS hold k rows of."""
     held, n = [], 0
     for r in queries.toLocalIterator():
         held.append(r)
         n += 8 * (len(r[1]) + 1)
-        if n >= QUERY_BYTES:
+        if n >= QUERY_BYTES or len(held) * k >= RESULT_ROWS:
             yield np.array([x[0] for x in held]), [np.array(x[1], float) for x in held]
             held, n = [], 0
     if held:
@@ -64,7 +69,7 @@ class RunningTop:
         if len(query):
             self.parts.append(pd.DataFrame(dict(zip(self.names, (query, keys, score), strict=True))))
             self.held += len(query)
-        if self.held > max(4 * self.least, 1 << 18):
+        if self.held > max(2 * self.least, 1 << 18):
             self._shrink()
 
     def _shrink(self) -> None:
@@ -103,7 +108,7 @@ def vector_topk_many(chunks: DataFrame, queries: DataFrame, k: int, key: str = "
     are of the whole vectors; null components count as nothing.
     """
     found, kind = None, dict(chunks.dtypes)[key]
-    for ids, vectors in _passes(queries.select("query_id", "embedding").filter("embedding is not null")):
+    for ids, vectors in _passes(queries.select("query_id", "embedding").filter("embedding is not null"), k):
         lists = pa.array(vectors, pa.list_(pa.float64()))
         asked = [(ids[rows], unit_rows(q)) for rows, q in by_length(lists)]
 
@@ -130,33 +135,51 @@ def vector_topk_many(chunks: DataFrame, queries: DataFrame, k: int, key: str = "
     return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
+def term_runs(batches: Iterator[pa.RecordBatch], of: Callable[[str], str]) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of parts of batches with _tokens: the part, its different (stemmed) terms, and sorted by row, term and place each position's; and where a row's term begins."""
+    known: dict[str, str] = {}
+    for b in parts(batches, "_tokens", PART_TERMS):
+        lists = b.column("_tokens")
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        if not sizes.sum():
+            continue
+        row = np.repeat(np.arange(b.num_rows), sizes)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+        words = lists.flatten().dictionary_encode()
+        if len(known) > WORDS_KEPT:
+            known.clear()
+        stems = pa.array([known[w] if w in known else known.setdefault(w, of(w)) for w in words.dictionary.to_pylist()], pa.string()).dictionary_encode()
+        term = stems.indices.to_numpy()[words.indices.to_numpy()]
+        # a stable sort keeps the order of places
+        order = np.argsort(row * len(stems.dictionary) + term, kind="stable")
+        row, term, place = row[order], term[order], place[order]
+        first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(term, prepend=-1) != 0))
+        yield b, stems.dictionary, row, term, place, first
+
+
 def token_index(chunks: DataFrame, key: str, tokens: str = "tokens", stems: bool = True) -> DataFrame:
     """(key, term, n): an inverted index to write once and search often; n positions of the chunk have the (stemmed) term.
 
-    Positions of a word are counted before its stem is taken, so each word of a chunk is stemmed once.
+    A chunk's terms are counted where it lies, and a word is stemmed once by a task; only the counts are shuffled, to add up those of
+    rows that share a key. Null tokens are no terms.
     """
-    words = chunks.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
-    if not stems:
-        return words
-    return stemmed(words, "term", "_stem").groupBy(key, F.col("_stem").alias("term")).agg(F.sum("n").alias("n"))
+    of, kind = stem if stems else (lambda w: w), dict(chunks.dtypes)[key]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, terms, row, term, _, first in term_runs(batches, of):
+            n = np.diff(np.append(first, len(row)))
+            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(row[first])), terms.take(pa.array(term[first])), pa.array(n)], [key, "term", "n"])
+
+    own = chunks.select(key, F.array_compact(tokens).alias("_tokens")).mapInArrow(counted, f"{key} {kind}, term string, n long")
+    return own.groupBy(key, "term").agg(F.sum("n").alias("n"))
 
 
 def index_search(index: DataFrame, queries: DataFrame, k: int, key: str, terms: str = "terms", stems: bool = True) -> DataFrame:
     """(query_id, key, matches, rank): chunks of a token index by the number of positions that match any term, for queries (query_id, terms).
 
-    Nothing is compared that shares no term. Query terms are counted: up to TERMS_SENT of them go to every task, and the
-    index isn't shuffled; more are dealt out by term and a salt of the chunk, so a common term is many keys.
+    Nothing is compared that shares no term, and no pair of query and chunk is shuffled (``term_sums``).
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms)).alias("term"))
-    if stems:
-        asked = stemmed(asked, "term", "_stem").select("query_id", F.col("_stem").alias("term")).distinct()
-    if asked.count() <= TERMS_SENT:
-        pairs = index.join(F.broadcast(asked), "term")
-    else:
-        salt = F.pmod(F.xxhash64(key), F.lit(SALTS))
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-        pairs = index.withColumn("_salt", salt).join(asked.withColumn("_salt", every), ["term", "_salt"])
-    found = pairs.groupBy("query_id", key).agg(F.sum("n").alias("matches"))
+    found = term_sums(index, F.col("n"), queries, key, k, terms, stems)
     w = Window.partitionBy("query_id").orderBy(F.desc("matches"), key)
     return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
@@ -189,9 +212,18 @@ class _Stems(dict):
         return number
 
 
-def _matches(row: np.ndarray, term: np.ndarray, first: np.ndarray, lists: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query, row, positions) of all pairs that share a term, from (row, term) of each position and the queries of each term (lists from first on)."""
-    pairs, n = np.unique(np.stack([row, term]), axis=1, return_counts=True)
+def _query_lists(words: list[list[str]], of: Callable[[str], str]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """Numbers of the (stemmed) terms of some queries, and the queries that have each term: in lists from first on."""
+    vocabulary: dict[str, int] = {}
+    numbers = [sorted({vocabulary.setdefault(of(w), len(vocabulary)) for w in own}) for own in words]
+    own = np.repeat(np.arange(len(numbers)), [len(n) for n in numbers])
+    flat = np.array([t for n in numbers for t in n], np.int64)
+    return vocabulary, np.searchsorted(np.sort(flat), np.arange(len(vocabulary) + 1)), own[np.argsort(flat, kind="stable")]
+
+
+def _matches(row: np.ndarray, term: np.ndarray, n: np.ndarray, first: np.ndarray, lists: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, row, sum) of all pairs that share a term, from n of each row (in order) and term, and the queries of each term (lists from first on)."""
+    pairs = np.stack([row, term])
     fan = first[pairs[1] + 1] - first[pairs[1]]
     upto, i = np.cumsum(fan), 0
     while i < len(n):
@@ -209,6 +241,49 @@ def _matches(row: np.ndarray, term: np.ndarray, first: np.ndarray, lists: np.nda
         i = j
 
 
+def _best(q: np.ndarray, r: np.ndarray, n: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k rows of each query of the largest n, ties to the row that stands first."""
+    order = np.lexsort((place[r], -n, q))
+    q, r, n = q[order], r[order], n[order]
+    best = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[best], r[best], n[best]
+
+
+def term_sums(index: DataFrame, n: Column, queries: DataFrame, key: str, k: int | None = None, terms: str = "terms", stems: bool = True) -> DataFrame:
+    """(query_id, key, matches): n of an index's rows (term, key) summed over each query's terms, for the keys that have any; with k the k largest of each task.
+
+    Query terms go along with the tasks, TERMS_SENT of them a pass. What is shuffled is numbers of asked terms by key, so a key with all its terms
+    comes to one task, which looks up the queries that have them: no pair of query and key is shuffled before its sum is known.
+    """
+    of = stem if stems else (lambda w: w)
+    found, kind, spark = None, dict(index.dtypes)[key], index.sparkSession
+    for ids, words in _asked(queries, terms):
+        vocabulary, first, lists = _query_lists(words, of)
+        numbers = spark.createDataFrame(list(vocabulary.items()), "term string, _t int")
+        own = index.select("term", key, n.cast("long").alias("_n")).join(F.broadcast(numbers), "term").groupBy(key).agg(F.collect_list(F.struct("_t", "_n")).alias("_terms"))
+
+        def near(batches: Iterator[pa.RecordBatch], ids=np.array(ids), first=first, lists=lists) -> Iterator[pa.RecordBatch]:
+            top, key_type = RunningTop(k or 0, key, "matches"), None
+            for b in parts(batches, "_terms", PART_TERMS):
+                key_type, found = b.schema.field(key).type, b.column("_terms")
+                row = np.repeat(np.arange(b.num_rows), found.value_lengths().to_numpy(zero_copy_only=False))
+                term, each = (c.to_numpy(zero_copy_only=False) for c in found.flatten().flatten())
+                keys = b.column(key).to_numpy(zero_copy_only=False)
+                place = np.empty(b.num_rows, np.int64)
+                place[np.argsort(keys, kind="stable")] = np.arange(b.num_rows)
+                for q, r, total in _matches(row, term.astype(np.int64), each, first, lists):
+                    if k is None:
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), b.column(key).take(pa.array(r)), pa.array(total, pa.int64())], ["query_id", key, "matches"])
+                    else:
+                        q, r, total = _best(q, r, total, place, k)
+                        top.add(ids[q], keys[r], total)
+            yield from top.batch(key_type, pa.int64())
+
+        part = own.mapInArrow(near, f"query_id long, {key} {kind}, matches long")
+        found = part if found is None else found.unionByName(part)
+    return spark.createDataFrame([], f"query_id long, {key} {kind}, matches long") if found is None else found
+
+
 def keyword_rank(chunks: DataFrame, queries: DataFrame, k: int, key: str, tokens: str = "tokens", terms: str = "terms", stems: bool = True) -> DataFrame:
     """(query_id, key, matches, rank): chunks (key, tokens) by the number of positions that match any (stemmed) term of queries (query_id, terms).
 
@@ -220,16 +295,11 @@ def keyword_rank(chunks: DataFrame, queries: DataFrame, k: int, key: str, tokens
     found = None
     kind = dict(chunks.dtypes)[key]
     for ids, words in _asked(queries, terms):
-        vocabulary: dict[str, int] = {}
-        numbers = [sorted({vocabulary.setdefault(of(w), len(vocabulary)) for w in own}) for own in words]
-        own = np.repeat(np.arange(len(numbers)), [len(n) for n in numbers])
-        flat = np.array([t for n in numbers for t in n], np.int64)
-        lists = own[np.argsort(flat, kind="stable")]
-        first = np.searchsorted(np.sort(flat), np.arange(len(vocabulary) + 1))
+        vocabulary, first, lists = _query_lists(words, of)
 
         def near(batches: Iterator[pa.RecordBatch], ids=np.array(ids), vocabulary=vocabulary, first=first, lists=lists) -> Iterator[pa.RecordBatch]:
             known, top, key_type = _Stems(vocabulary, of), RunningTop(k, key, "matches"), None
-            for b in batches:
+            for b in parts(batches, "_tokens", PART_TERMS):
                 key_type, keys = b.schema.field(key).type, b.column(key).to_numpy(zero_copy_only=False)
                 words = b.column("_tokens")
                 row = np.repeat(np.arange(b.num_rows), words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
@@ -239,11 +309,10 @@ def keyword_rank(chunks: DataFrame, queries: DataFrame, k: int, key: str, tokens
                 place = np.empty(b.num_rows, np.int64)
                 place[np.argsort(keys, kind="stable")] = np.arange(b.num_rows)
                 term = np.array([known[w] for w in encoded.dictionary.to_pylist()], np.int64)[encoded.indices.to_numpy()]
-                for q, r, n in _matches(row[term >= 0], term[term >= 0], first, lists):
-                    order = np.lexsort((place[r], -n, q))
-                    q, r, n = q[order], r[order], n[order]
-                    best = np.arange(len(q)) - np.searchsorted(q, q) < k
-                    top.add(ids[q[best]], keys[r[best]], n[best])
+                pair, times = np.unique(row[term >= 0] * len(vocabulary) + term[term >= 0], return_counts=True)
+                for q, r, n in _matches(*np.divmod(pair, len(vocabulary)), times, first, lists):
+                    q, r, n = _best(q, r, n, place, k)
+                    top.add(ids[q], keys[r], n)
             yield from top.batch(key_type, pa.int64())
 
         part = chunks.select(key, F.col(tokens).alias("_tokens")).filter(F.size("_tokens") > 0).mapInArrow(near, f"query_id long, {key} {kind}, matches long")
