@@ -82,42 +82,69 @@ def write_cells(chunks: DataFrame, path: str, key: str, cells: int | None = None
     listed.join(sizes, "cell", "left").na.fill(0, ["rows"]).coalesce(1).write.parquet(f"{path}/centres")
 
 
-def routed(spark: SparkSession, path: str, queries: DataFrame, share: float) -> DataFrame:
-    """(cell, query_id, embedding): the cells that each query opens, nearest centres first, until they hold this share of all vectors."""
-    # one row a cell
+def _order(q: np.ndarray, centres: np.ndarray, rows: np.ndarray, budget: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, cell) of the cells that unit vectors open, nearest centres first: one is opened if those before it don't hold the share, so one at least."""
+    order = np.argsort(-(q @ centres.T), axis=1, kind="stable")
+    held = np.cumsum(rows[order], axis=1)
+    at, place = np.nonzero((held - rows[order] < budget) & (rows[order] > 0))
+    return at, order[at, place]
+
+
+def _known(spark: SparkSession, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and numbers of rows; one row a cell."""
     known = sorted(spark.read.parquet(f"{path}/centres").collect())
-    centres, rows = np.array([r.centre for r in known]), np.array([r.rows for r in known])
+    return np.array([r.centre for r in known]), np.array([r.rows for r in known])
+
+
+def _with_vectors(queries: DataFrame) -> DataFrame:
+    return queries.filter("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+def routed(spark: SparkSession, path: str, queries: DataFrame, share: float) -> DataFrame:
+    """(cell, query_id): the cells that each query opens, nearest centres first, until they hold this share of all vectors."""
+    centres, rows = _known(spark, path)
+    budget = share * rows.sum()
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            q = _padded(b.column("embedding"), centres.shape[1])
+            for lo in range(0, len(q), retrieval.QUERY_BLOCK):
+                at, cell = _order(q[lo : lo + retrieval.QUERY_BLOCK], centres, rows, budget)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), b.column("query_id").take(pa.array(lo + at))], ["cell", "query_id"])
+
+    return _with_vectors(queries).mapInArrow(route, "cell int, query_id long")
+
+
+def _opened(spark: SparkSession, path: str, queries: DataFrame, share: float) -> DataFrame:
+    """(query_id, embedding, opened): each query once, with a bit for each cell, set if the query opens it."""
+    centres, rows = _known(spark, path)
     budget = share * rows.sum()
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             q = _padded(b.column("embedding"), centres.shape[1])
             for lo in range(0, len(q), retrieval.QUERY_BLOCK):
-                order = np.argsort(-(q[lo : lo + retrieval.QUERY_BLOCK] @ centres.T), axis=1, kind="stable")
-                held = np.cumsum(rows[order], axis=1)
-                # a cell is opened if those before it don't hold the share, so one at least
-                at, place = np.nonzero((held - rows[order] < budget) & (rows[order] > 0))
-                i = pa.array(lo + at)
-                yield pa.RecordBatch.from_arrays([pa.array(order[at, place].astype(np.int32)), b.column("query_id").take(i), b.column("embedding").take(i)], ["cell", "query_id", "embedding"])
-
-    asked = queries.filter("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return asked.mapInArrow(route, "cell int, query_id long, embedding array<double>")
-
-
-def _passes(opened: DataFrame) -> Iterator[dict[int, tuple[np.ndarray, list]]]:
-    """Queries by cell, as many cells at a time as retrieval.QUERY_BYTES hold vectors of queries."""
-    held: dict[int, tuple[list, list]] = {}
-    n = 0
-    for r in opened.orderBy("cell", "query_id").toLocalIterator():
-        ids, vectors = held.setdefault(r.cell, ([], []))
-        ids.append(r.query_id)
-        vectors.append(r.embedding)
-        n += 8 * (len(r.embedding) + 1)
-        if n >= retrieval.QUERY_BYTES:
-            yield held
-            held, n = {}, 0
+                own = q[lo : lo + retrieval.QUERY_BLOCK]
+                mask = np.zeros((len(own), len(centres)), bool)
+                mask[_order(own, centres, rows, budget)] = True
+                bits = pa.array([x.tobytes() for x in np.packbits(mask, axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("query_id").slice(lo, len(own)), b.column("embedding").slice(lo, len(own)), bits], ["query_id", "embedding", "opened"])
+
+    return _with_vectors(queries).mapInArrow(route, "query_id long, embedding array<double>, opened binary")
+
+
+def _passes(opened: DataFrame, k: int) -> Iterator[tuple[np.ndarray, list, np.ndarray]]:
+    """(ids, vectors, bits of cells) of as many queries at a time as retrieval.QUERY_BYTES and RESULT_ROWS allow; each query is sent once."""
+    held, n = [], 0
+    columns = lambda: (np.array([r[0] for r in held], np.int64), [r[1] for r in held], np.stack([np.frombuffer(r[2], np.uint8) for r in held]))
+    for r in opened.toLocalIterator():
+        held.append(r)
+        n += 8 * (len(r.embedding) + 1) + len(r.opened)
+        if n >= retrieval.QUERY_BYTES or len(held) * k >= retrieval.RESULT_ROWS:
+            yield columns()
+            held, n = [], 0
     if held:
-        yield held
+        yield columns()
 
 
 def cell_search(spark: SparkSession, path: str, queries: DataFrame, k: int, key: str, share: float = 0.1) -> DataFrame:
@@ -126,9 +153,12 @@ def cell_search(spark: SparkSession, path: str, queries: DataFrame, k: int, key:
     A pass sends queries along with tasks that read their cells alone; cells come in order, so hardly one is read twice. Every task keeps its k best.
     """
     vectors, found = None, None
-    for own in _passes(routed(spark, path, queries, share)):
-        # of each cell the queries by length, as unit vectors
-        asked = {cell: [(np.array(ids, np.int64)[rows], unit_rows(q)) for rows, q in by_length(pa.array(lists, pa.list_(pa.float64())))] for cell, (ids, lists) in own.items()}
+    for ids, lists, bits in _passes(_opened(spark, path, queries, share), k):
+        # the queries by length, as unit vectors, with their bits
+        asked = [(ids[rows], unit_rows(q), bits[rows]) for rows, q in by_length(pa.array(lists, pa.list_(pa.float64())))]
+        open_cells = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(bits, axis=0))).tolist()
+        if not open_cells:
+            continue
         vectors = vectors or spark.read.parquet(f"{path}/vectors")
         kind = dict(vectors.dtypes)[key]
 
@@ -141,15 +171,16 @@ def cell_search(spark: SparkSession, path: str, queries: DataFrame, k: int, key:
                         mine = rows[cell[rows] == c]
                         mine = mine[np.argsort(keys[mine], kind="stable")]
                         unit = unit_rows(x[np.searchsorted(rows, mine)])
-                        for ids, q in asked[int(c)]:
-                            m = min(q.shape[1], unit.shape[1])
-                            for lo in range(0, len(ids), retrieval.QUERY_BLOCK):
-                                s = np.round(q[lo : lo + retrieval.QUERY_BLOCK, :m] @ unit[:, :m].T, 6) + 0.0
+                        for ids, q, bits in asked:
+                            m, own = min(q.shape[1], unit.shape[1]), np.flatnonzero(bits[:, c >> 3] >> (7 - (c & 7)) & 1)
+                            for lo in range(0, len(own), retrieval.QUERY_BLOCK):
+                                some = own[lo : lo + retrieval.QUERY_BLOCK]
+                                s = np.round(q[some, :m] @ unit[:, :m].T, 6) + 0.0
                                 at, best = retrieval._largest(s, k)
-                                top.add(ids[lo + at], keys[mine[best]], s[at, best])
+                                top.add(ids[some[at]], keys[mine[best]], s[at, best])
             yield from top.batch(key_type, pa.float64())
 
-        part = vectors.filter(F.col("cell").isin(sorted(asked))).select(key, "embedding", "cell").mapInArrow(near, f"query_id long, {key} {kind}, similarity double")
+        part = vectors.filter(F.col("cell").isin(open_cells)).select(key, "embedding", "cell").mapInArrow(near, f"query_id long, {key} {kind}, similarity double")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], f"query_id long, {key} long, similarity double")

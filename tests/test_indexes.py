@@ -144,3 +144,42 @@ def test_vectors_kept_as_text(spark):
     rows = [(0, "a", 1.0, "[1, 0]", 1), (0, "b", 0.99, "[1.0, 0.01]", 2), (0, "c", 0.8, "[0, 1]", 3), (0, "d", 0.1, None, 4)]
     df = spark.createDataFrame(rows, "query_id long, ref string, relevance double, embedding string, rank long")
     assert [r.ref for r in sorted(R.mmr(df, "ref", 2, 0.5).collect(), key=lambda r: r["rank"])] == ["a", "c"]
+
+
+def test_queries_are_sent_once(spark, structured, monkeypatch):
+    """A query comes to the driver with a bit for each cell, not with a copy of its vector for each; passes of few queries find the same."""
+    df, path = structured
+    asked = df.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    opened = cells._opened(spark, path, asked, 1.0).collect()
+    known = spark.read.parquet(f"{path}/centres").filter("rows > 0").count()
+    assert len(opened) == asked.count() and all(int.from_bytes(r.opened).bit_count() == known for r in opened)
+    few = cells._opened(spark, path, asked, 0.05)
+    assert sum(int.from_bytes(r.opened).bit_count() for r in few.collect()) == cells.routed(spark, path, asked, 0.05).count()
+    want = sorted(map(tuple, cells.cell_search(spark, path, asked, 5, "vec_id", share=0.3).collect()))
+    monkeypatch.setattr(R, "RESULT_ROWS", 100)
+    assert sorted(map(tuple, cells.cell_search(spark, path, asked, 5, "vec_id", share=0.3).collect())) == want
+
+
+def test_folders_of_a_block_index_are_bounded(spark, tmp_path, monkeypatch):
+    """More blocks than folders: a folder has several, and a search finds what one over everything does."""
+    monkeypatch.setattr(inverted, "FOLDERS", 4)
+    rng = np.random.default_rng(3)
+    chunks = spark.createDataFrame([(k, [f"w{x}x" for x in rng.integers(0, 30, rng.integers(1, 25))]) for k in range(300)], "doc_id long, tokens array<string>")
+    asked = spark.createDataFrame([(q, [f"w{q}x", f"w{q + 3}x", "absent"]) for q in range(20)], "query_id long, terms array<string>")
+    index = R.token_index(chunks, "doc_id", stems=False)
+    inverted.write_blocks(index, str(tmp_path), "doc_id", F.expr("doc_id div 8"))
+    assert len(list((tmp_path / "postings").glob("folder=*"))) == 4
+    rows = lambda d: sorted((r.query_id, r.doc_id, r.matches, r["rank"]) for r in d.collect())
+    assert rows(inverted.block_search(spark, str(tmp_path), asked, 3, "doc_id", stems=False)) == rows(R.keyword_rank(chunks, asked, 3, "doc_id", stems=False))
+
+
+def test_sums_and_counts_in_parts(spark, monkeypatch):
+    """Terms are counted a part of a batch at a time, rows of one key are added up, and no pair of query and chunk is shuffled before its sum is known."""
+    monkeypatch.setattr(R, "PART_TERMS", 3)
+    chunks = spark.createDataFrame([(1, ["run", "runs", "a1x"]), (1, ["running"]), (2, []), (3, None), (4, ["cat", None, "cats", "cat", "dog"])], "doc_id long, tokens array<string>").coalesce(1)
+    index = R.token_index(chunks, "doc_id")
+    assert sorted(map(tuple, index.collect())) == [(1, "a1x", 1), (1, "run", 3), (4, "cat", 3), (4, "dog", 1)]
+    asked = spark.createDataFrame([(7, ["dogs", "cat"]), (8, ["runs"]), (9, [])], "query_id long, terms array<string>")
+    sums = R.term_sums(index, F.col("n"), asked, "doc_id")
+    assert sorted(map(tuple, sums.collect())) == [(7, 4, 4), (8, 1, 3)]
+    assert "hashpartitioning(query_id" not in sums._jdf.queryExecution().executedPlan().toString()
