@@ -195,10 +195,22 @@ def salted(left: DataFrame, right: DataFrame, key: str, other: str, salts: int =
     return left.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(salts))).join(right.withColumn("_salt", salt), [key, "_salt"]).drop("_salt")
 
 
+def _told(edges: DataFrame, least: DataFrame, salts: int = 16) -> DataFrame:
+    """edges (a, b) with the m of least (a, m), which has one row a node; edges of a node are dealt to as many tasks as there are salts.
+
+    A window and no join: Spark takes a join's size for the product of its sides' and a checkpoint hands that on, so that with joins the number gets four times the
+    digits a round, millions of them after ten, and the driver does little else than multiply.
+    """
+    none, salt = F.lit(None).cast(dict(edges.dtypes)["b"]), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+    rows = edges.select("a", "b", none.alias("m"), F.pmod(F.xxhash64("b"), F.lit(salts)).alias("_salt"))
+    rows = rows.unionByName(least.select("a", none.alias("b"), "m", salt.alias("_salt")))
+    return rows.withColumn("m", F.min("m").over(Window.partitionBy("a", "_salt"))).filter("b is not null").drop("_salt")
+
+
 def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of edges (a, b).
 
-    Alternating large-star and small-star steps; every round is checkpointed. Their number grows with the logarithm of the
+    Alternating large-star and small-star steps; every round is checkpointed, and what it left on the driver goes. Their number grows with the logarithm of the
     nodes, most_rounds only ends a run that would not. The edges of a node with very many neighbours are dealt to several tasks.
     """
     now = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -206,14 +218,15 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = salted(both, least, "a", "b").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _told(both, least).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = salted(large, least, "a", "b").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        small = _told(large, least).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         after = checkpointed(small.filter("a <> b").distinct())
         signature = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         same, before = signature == before, signature
         now = after
+        released(edges.sparkSession)
         if same:
             break
     else:

@@ -383,15 +383,18 @@ def similar_texts(nodes: DataFrame, texts: DataFrame, words: int = 5, similarity
     the closest neighbours in long lists, for texts whose pivot was unlike. Last, what isn't connected yet meets by ``prefixes``, which no similar pair
     escapes: in the worst case, many texts that share common shingles and are no copies, that compares all of them.
     """
-    byte = lambda p: F.shiftrightunsigned("fp" if p < 8 else f"fp{p // 8}", 8 * (p % 8)).bitwiseAND(0xFF)
     lanes = ("fp", "fp1", "fp2", "fp3")
-    keys = []
-    for k, (p, q, r, up) in enumerate(wide_sets()):
-        two = F.shiftleft(F.shiftleft(F.lit(k).cast("long"), 8).bitwiseOR(byte(p)), 8).bitwiseOR(byte(q))
-        keys.append(F.shiftleft(two, 4).bitwiseOR(F.shiftrightunsigned(byte(r), up).bitwiseAND(0xF)))
-
-    def candidates(labelled: DataFrame, keys: list, nearest: Close | None = None) -> DataFrame:
-        lists = labelled.select(F.col("key").alias("node"), "label", *lanes, F.explode(F.array(*keys)).alias("key"))
+    octets = F.array(*[F.shiftrightunsigned(lane, 8 * k).bitwiseAND(0xFF) for lane in lanes for k in range(8)])
+    # a set is one number, so that the plan stays as short as for one set
+    packed = [k << 24 | p << 18 | q << 12 | r << 6 | up for k, (p, q, r, up) in enumerate(wide_sets())]
+
+    def candidates(labelled: DataFrame, sets: list[int], nearest: Close | None = None) -> DataFrame:
+        part = lambda up: F.shiftright("set", up).bitwiseAND(0x3F)
+        byte = lambda up: F.get("octets", part(up))
+        two = F.shiftleft(F.shiftleft(F.shiftright("set", 24).cast("long"), 8).bitwiseOR(byte(18)), 8).bitwiseOR(byte(12))
+        half = F.when(part(0) == 4, F.shiftright(byte(6), 4)).otherwise(byte(6)).bitwiseAND(0xF)
+        lists = labelled.select(F.col("key").alias("node"), "label", *lanes, octets.alias("octets")).select("*", F.explode(F.lit(sets)).alias("set"))
+        lists = lists.select("node", "label", *lanes, F.shiftleft(two, 4).bitwiseOR(half).alias("key"))
         lists = lists.repartition("key").sortWithinPartitions("key", "node")
         return common.checkpointed(lists.mapInArrow(lambda it: links(it, close_wide, lanes, "node", "label", False, nearest), "a long, b long").distinct())
 
@@ -403,13 +406,13 @@ def similar_texts(nodes: DataFrame, texts: DataFrame, words: int = 5, similarity
 
     spark = nodes.sparkSession
     common.released(spark)
-    early = candidates(nodes.withColumn("label", F.col("key")), keys[:FIRST_SETS])
+    early = candidates(nodes.withColumn("label", F.col("key")), packed[:FIRST_SETS])
     first = verified(early)
     common.released(spark)
     reach = common.components(first).select(F.col("node").alias("key"), F.col("component").alias("label"))
     labelled = common.checkpointed(nodes.join(reach, "key", "left").withColumn("label", F.coalesce("label", "key")))
     common.released(spark)
-    late = candidates(labelled, keys[FIRST_SETS:], lambda a, b: close_wide(a, b, NEAR_BITS)).join(early, ["a", "b"], "left_anti")
+    late = candidates(labelled, packed[FIRST_SETS:], lambda a, b: close_wide(a, b, NEAR_BITS)).join(early, ["a", "b"], "left_anti")
     late = common.checkpointed(late)
     common.released(spark)
     second = verified(late)

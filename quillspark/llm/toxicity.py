@@ -9,6 +9,7 @@ text; they aggregate to a document score, calibrated on the labelled documents,
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
@@ -351,11 +352,18 @@ def trained(docs: DataFrame, labels: DataFrame, held_out: bool = True) -> Tagger
         known = known.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, SAMPLE_DOCS / max(known.count(), 1))))
     own = docs.select("doc_id", "text").filter(F.length("text") <= DOC_CHARS).join(F.broadcast(picked), "doc_id")
-    rows = own.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).toPandas().sort_values("doc_id")
-    tagger = fit(rows["text"].tolist(), rows["toxic"].tolist())
+    rows = own.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    found = rows.coalesce(1).mapInArrow(_fitted, "tagger binary").first()
+    return pickle.loads(found["tagger"]) if found else fit([], [])
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pickled tagger of all rows (doc_id, toxic, text), by order of doc_id; a worker fits it, as a driver has less memory."""
+    rows = sorted((r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True)), key=lambda r: r[0])
+    tagger = pickle.dumps(fit([text for _, text, _ in rows], [toxic for _, _, toxic in rows]))
     del rows
     common.trimmed()
-    return tagger
+    yield pa.RecordBatch.from_arrays([pa.array([tagger], pa.binary())], ["tagger"])
 
 
 def tag(docs: DataFrame, tagger: Tagger) -> DataFrame:

@@ -3,9 +3,11 @@ import re
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
-from quillspark.llm import simhash
+from quillspark.llm import common, simhash
 
 
 def brute(rows, words=4, bits=4):
@@ -192,3 +194,24 @@ def test_no_similar_pair_is_left_out(spark):
     want = similar_groups(rows)
     assert len(set(want.values())) == 152
     assert {r.doc_id for r in simhash.deduplicated(docs).collect()} == set(want.values())
+
+
+def test_components_keep_size_estimates_short(spark):
+    """The size that Spark takes the result for has few digits, after many rounds too; so planning costs the driver nothing."""
+    path = spark.range(1, 25).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
+    found = common.components(path)
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 400
+    assert {(r.node, r.component) for r in found.collect()} == {(k, 0) for k in range(25)}
+
+
+def test_components_against_search(spark):
+    """Hubs, chains and lone pairs, loops and repeats; every node has the smallest that it reaches."""
+    rng = np.random.default_rng(8)
+    pairs = [(0, k) for k in range(1, 40)] + [(k, k + 1) for k in range(100, 130)] + [(int(a), int(b)) for a, b in rng.integers(200, 300, (60, 2))] + [(5, 5), (7, 0)]
+    least = {n: n for e in pairs if e[0] != e[1] for n in e}
+    for _ in least:
+        for a, b in pairs:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    got = common.components(spark.createDataFrame([*pairs, (None, 3)], "a long, b long"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(least.items())
