@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -66,15 +67,44 @@ def _near(rows: DataFrame, states: DataFrame) -> DataFrame:
     return rows.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS))).join(states.withColumn("_salt", every), ["_g", "_salt"]).drop("_salt")
 
 
+#: Rows of a group up to which it is sorted; larger ones go through the radix selection.
+SORTED_ROWS = 1 << 16
+
+
 def selected(df: DataFrame, group: str, value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """(group, n, low, high, name...): for each name the value at an index of the group's sorted values, a function of their number n, counted from 0.
 
-    Multi-group radix selection: equal values are counted, and four rounds find the value's 64 sortable bits, sixteen at a time, from a histogram of the
-    digits that come next. So no group is sorted or met by one task, however large; a round's windows see 65,536 digits at most.
-    Null values take no part; a null group is a group.
+    Groups of at most SORTED_ROWS rows are sorted, all in one shuffle; larger ones, of which there are few, go through ``_radix_selected``, so that no large group is
+    sorted or met by one task. Null values take no part; a null group is a group.
     """
     kind = dict(df.dtypes)[value]
-    counts = df.filter(F.col(value).isNotNull()).groupBy(F.struct(F.col(group).alias("g")).alias("_g"), F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    order_key(F.col(value), kind)  # refuses other kinds
+    # adding zero makes the negative zero positive
+    own = F.col(value) + F.lit(0.0).cast(kind) if kind in ("float", "double") else F.col(value)
+    rows = checkpointed(df.filter(F.col(value).isNotNull()).select(F.col(group).alias("g"), own.alias("_v")))
+    large = checkpointed(rows.groupBy("g").count().filter(F.col("count") > SORTED_ROWS).select(F.col("g").alias("_large")))
+    some, large = not large.isEmpty(), F.broadcast(large)
+    same = F.col("g").eqNullSafe(F.col("_large"))
+    small = rows.join(large, same, "left_anti") if some else rows
+    every = Window.partitionBy("g")
+    small = small.withColumn("_k", F.row_number().over(every.orderBy("_v")) - 1).withColumn("n", F.count("*").over(every))
+    at = {name: place(F.col("n")).cast("long") for name, place in places.items()}
+    ends = [F.col("_k") == 0, F.col("_k") == F.col("n") - 1]
+    small = small.filter(functools.reduce(Column.__or__, [*ends, *(F.col("_k") == k for k in at.values())]))
+    picked = {"low": ends[0], "high": ends[1]} | {name: F.col("_k") == k for name, k in at.items()}
+    found = checkpointed(small.groupBy("g").agg(F.min("n").alias("n"), *[F.min(F.when(at, F.col("_v"))).alias(name) for name, at in picked.items()]))
+    if some:
+        found = found.unionByName(_radix_selected(rows.join(large, same, "left_semi"), kind, places))
+    return found.select(F.col("g").alias(group), "n", "low", "high", *places)
+
+
+def _radix_selected(rows: DataFrame, kind: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """What ``selected`` gives for rows (g, _v) of large groups, by multi-group radix selection.
+
+    Equal values are counted, and four rounds find the value's 64 sortable bits, sixteen at a time, from a histogram of the
+    digits that come next. So no group is sorted or met by one task, however large; a round's windows see 65,536 digits at most.
+    """
+    counts = rows.groupBy(F.struct("g").alias("_g"), "_v").agg(F.count("*").alias("_c"))
     counts = checkpointed(counts.withColumn("_key", order_key(F.col("_v"), kind)))
     sizes = checkpointed(counts.groupBy("_g").agg(F.sum("_c").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high")))
     targets = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), places[name](F.col("n")).cast("long").alias("rank")) for name in places])).alias("t")
@@ -88,7 +118,7 @@ def selected(df: DataFrame, group: str, value: str, places: dict[str, Callable[[
         upto = histogram.withColumn("_upto", F.sum("_c").over(whole)).filter((F.col("_upto") > F.col("rank")) & (F.col("_upto") - F.col("_c") <= F.col("rank")))
         states = checkpointed(upto.select("_g", "name", (F.col("rank") - F.col("_upto") + F.col("_c")).alias("rank"), F.col("_digits").alias("_prefix")))
     values = _near(counts, states).filter(F.col("_key") == F.col("_prefix")).groupBy("_g").agg(*[F.min(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in places])
-    return sizes.join(values, "_g").select(F.col("_g.g").alias(group), "n", "low", "high", *places)
+    return sizes.join(values, "_g").select("_g.g", "n", "low", "high", *places)
 
 
 def floor_percentiles(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:

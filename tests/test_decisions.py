@@ -289,3 +289,24 @@ def test_numbers_that_are_no_status(spark):
     }
     rows = spark.createDataFrame([(e,) for e in want], "e string").select("e", validate.failure_kind(F.col("e")).alias("kind")).collect()
     assert {r.e: r.kind for r in rows} == want
+
+
+def test_selection_sorts_small_groups(spark, monkeypatch):
+    """Small groups cost one shuffle of their rows and no radix rounds; with large ones among them, a null one too, rows are those of sorting."""
+    rng = np.random.default_rng(3)
+    size = {"big": 300, None: 250, "a": 40, "b": 1, "c": 200}
+    rows = [(g, float(v)) for g, n in size.items() for v in rng.integers(-9, 9, n) / 4] + [("a", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    want = {g: sorted(v for k, v in rows if k == g and v is not None) for g in size}
+    radix, met = evaluate._radix_selected, []
+    monkeypatch.setattr(evaluate, "_radix_selected", lambda own, *rest: met.append({r.g for r in own.collect()}) or radix(own, *rest))
+    for limit, large in ((1 << 16, []), (200, [{"big", None}]), (0, [set(size)])):
+        monkeypatch.setattr(evaluate, "SORTED_ROWS", limit)
+        met.clear()
+        got = {r.g: r for r in evaluate.upper_median(df, "g", "v").collect()}
+        assert met == large and {g: tuple(got[g][1:]) for g in got} == {g: (len(v), v[0], v[len(v) // 2], v[-1]) for g, v in want.items()}
+
+
+def test_radix_selection_of_any_values(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "SORTED_ROWS", 0)
+    test_selection_of_any_values(spark, monkeypatch)
