@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import math
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,9 +42,16 @@ def trimmed() -> None:
         trim(0)
 
 
-def released(spark) -> None:
-    """What earlier rounds left on the driver goes: its garbage, and with it the shuffles and broadcasts that nothing refers to any more."""
+def released(spark, pause: float = 1.5) -> None:
+    """What earlier rounds left on the driver goes: its garbage, and with it the shuffles and broadcasts that nothing refers to any more.
+
+    What Python has dropped the JVM is told up to a second later, and Spark's listeners may hold the last query until they are told of another one, so without the
+    pause and the small query in it the last shuffles stay on disk until the next call.
+    """
     trimmed()
+    if pause:
+        spark.range(1).collect()
+        time.sleep(pause)
     spark.sparkContext._jvm.System.gc()
 
 
@@ -226,7 +234,7 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
         signature = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         same, before = signature == before, signature
         now = after
-        released(edges.sparkSession)
+        released(edges.sparkSession, 0)
         if same:
             break
     else:

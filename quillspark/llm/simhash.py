@@ -33,8 +33,8 @@ SHORT_LIST = 16
 _LANES = (0, 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA0761D6478BD642F)
 
 
-def fingerprints(batches: Iterator[pa.RecordBatch], words: int, carried: tuple[str, ...] = (), lanes: int = 1) -> Iterator[pa.RecordBatch]:
-    """doc_id, carried and fp of every row; with more lanes also fp1, fp2..., of hashes made from each shingle's hash."""
+def fingerprints(batches: Iterator[pa.RecordBatch], words: int, carried: tuple[str, ...] = (), lanes: int = 1, sketched: bool = False) -> Iterator[pa.RecordBatch]:
+    """doc_id, carried and fp of every row; with more lanes also fp1, fp2..., of hashes made from each shingle's hash; sketched adds size, the number of different shingles, and their ``sketch``."""
     lower = np.arange(256, dtype=np.uint8)
     lower[65:91] += 32
     digest = xxhash.xxh64_intdigest
@@ -42,6 +42,7 @@ def fingerprints(batches: Iterator[pa.RecordBatch], words: int, carried: tuple[s
     for batch in batches:
         data, at = common.raw_strings(batch.column("text"))
         found = np.zeros((lanes, batch.num_rows), np.uint64)
+        size, marks = np.zeros(batch.num_rows, np.int32), [b""] * batch.num_rows
         for i, j in common.slices(at, SLICE_BYTES):
             piece, own = data[at[i] : at[j]], at[i : j + 1] - at[i]
             starts, ends, before = common.word_spans(piece, own)
@@ -65,7 +66,11 @@ def fingerprints(batches: Iterator[pa.RecordBatch], words: int, carried: tuple[s
                 bits = np.unpackbits(own_h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 ones = np.add.reduceat(bits, upto[some], axis=0, dtype=np.int32)
                 found[lane, i + some] = np.packbits(2 * ones > full[some, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in carried), *(pa.array(x.view(np.int64)) for x in found)], ["doc_id", *carried, *names])
+            for k in some.tolist() if sketched else ():
+                own = np.unique(h[upto[k] : upto[k + 1]])
+                size[i + k], marks[i + k] = len(own), sketch(own)
+        more = {"size": pa.array(size), "sketch": pa.array(marks, pa.binary())} if sketched else {}
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in carried), *(pa.array(x.view(np.int64)) for x in found), *more.values()], ["doc_id", *carried, *names, *more])
     common.trimmed()
 
 
@@ -241,6 +246,39 @@ def close_wide(a: np.ndarray, b: np.ndarray, bits: int = ALL_BITS) -> np.ndarray
     return near
 
 
+#: Bits of a sketch: a power of two, as many as there are shingles or more, between these.
+LEAST_BITS, MOST_BITS = 64, 1 << 16
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """For each value of the hashes' low bits whether an odd number of these different hashes has it.
+
+    A hash that only one of two sets has changes one bit, so the sketches of two sets differ in at most as many bits as there are such hashes.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (len(hashes) - 1).bit_length()))
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Shingles that only one of two texts has, by their sketches: that many at least. The longer one is folded to the shorter one's bits."""
+    if len(x) < len(y):
+        x, y = y, x
+    n, width = int.from_bytes(x, "little"), 4 * len(x)
+    while width >= 8 * len(y) and y:
+        n, width = n >> width ^ n & (1 << width) - 1, width // 2
+    return (n ^ int.from_bytes(y, "little")).bit_count()
+
+
+def _roomy(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Of pairs (a, b, m, n, x, y) of nodes with their sizes and sketches those that can be similar: exact, as sets of similarity t differ in (1 - t) / (1 + t) of both sizes at most."""
+    most = (1 - similarity) / (1 + similarity)
+    for batch in batches:
+        room = most * (batch.column("m").to_numpy() + batch.column("n").to_numpy()) + 1e-6
+        keep = [apart(x, y) <= r for x, y, r in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), room.tolist(), strict=True)]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 _CASE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -269,8 +307,9 @@ def _similar(batches: Iterator[pa.RecordBatch], words: int, similarity: float) -
 
 # --- what the index over fingerprints can't promise ------------------------------
 
-#: Texts that common shingles are looked for in, about, how many of these have one that is common, and common shingles that are remembered at most.
-COMMON_DOCS, COMMON_IN, COMMON_KEPT = 4000, 3, 1 << 18
+#: Texts that common shingles are looked for in, about (or this share of all, so that what is common in them doesn't grow with the table), how many of these
+#: have one that is common, and common shingles that are remembered at most.
+COMMON_DOCS, COMMON_SHARE, COMMON_IN, COMMON_KEPT = 4000, 1 / 8, 3, 1 << 18
 #: Pairs of a list that are looked at together.
 PAIRS_BLOCK = 1 << 22
 
@@ -280,8 +319,8 @@ def _hashed_shingles(text: str, words: int) -> np.ndarray:
 
 
 def common_shingles(texts: DataFrame, nodes: int, words: int) -> np.ndarray:
-    """Hashes of shingles that several of a bounded sample of texts (key, text) have, the commonest last."""
-    share = math.ceil((1 << 20) * min(1.0, COMMON_DOCS / max(nodes, 1)))
+    """Hashes of shingles that several of a sample of texts (key, text) have, the commonest last and a bounded number. They only order shingles: any order is exact."""
+    share = math.ceil((1 << 20) * min(1.0, max(COMMON_SHARE, COMMON_DOCS / max(nodes, 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -375,10 +414,10 @@ def unlinked(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
 
 
 def similar_texts(nodes: DataFrame, texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(a, b): links of nodes (key, fp, fp1, fp2, fp3) whose texts (key, text) have that Jaccard similarity of their shingles.
+    """(a, b): links of nodes (key, fp, fp1, fp2, fp3, size, sketch) whose texts (key, text) have that Jaccard similarity of their shingles.
 
     Links connect what is connected: of pairs that lie close in all of the fingerprint a tree for each posting list, verified on the
-    texts. A few position sets come first; what their links connect, and pairs that they have compared, aren't compared again under
+    texts. Texts are sent only for pairs that can be similar by their sketches. A few position sets come first; what their links connect, and pairs that they have compared, aren't compared again under
     the others, so a large group of near copies is verified over a few links a text and not over as many as there are sets. Those others also propose
     the closest neighbours in long lists, for texts whose pivot was unlike. Last, what isn't connected yet meets by ``prefixes``, which no similar pair
     escapes: in the worst case, many texts that share common shingles and are no copies, that compares all of them.
@@ -399,18 +438,23 @@ def similar_texts(nodes: DataFrame, texts: DataFrame, words: int = 5, similarity
         return common.checkpointed(lists.mapInArrow(lambda it: links(it, close_wide, lanes, "node", "label", False, nearest), "a long, b long").distinct())
 
     def verified(edges: DataFrame) -> DataFrame:
+        marks = nodes.select("key", "size", "sketch")
+        pairs = edges.join(marks.toDF("a", "m", "x"), "a").join(marks.toDF("b", "n", "y"), "b")
+        edges = common.checkpointed(pairs.mapInArrow(lambda it: _roomy(it, similarity), "a long, b long"))
         ends = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         known = common.checkpointed(texts.join(ends, "key", "left_semi").groupBy("key").agg(F.any_value("text").alias("text")))
+        common.released(spark)
         pairs = edges.join(known.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(known.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
         return common.checkpointed(pairs.sortWithinPartitions("a").mapInArrow(lambda it: _similar(it, words, similarity), "a long, b long"))
 
     spark = nodes.sparkSession
     common.released(spark)
-    early = candidates(nodes.withColumn("label", F.col("key")), packed[:FIRST_SETS])
+    early = candidates(nodes.select("key", *lanes, F.col("key").alias("label")), packed[:FIRST_SETS])
+    common.released(spark)
     first = verified(early)
     common.released(spark)
     reach = common.components(first).select(F.col("node").alias("key"), F.col("component").alias("label"))
-    labelled = common.checkpointed(nodes.join(reach, "key", "left").withColumn("label", F.coalesce("label", "key")))
+    labelled = common.checkpointed(nodes.select("key", *lanes).join(reach, "key", "left").withColumn("label", F.coalesce("label", "key")))
     common.released(spark)
     late = candidates(labelled, packed[FIRST_SETS:], lambda a, b: close_wide(a, b, NEAR_BITS)).join(early, ["a", "b"], "left_anti")
     late = common.checkpointed(late)
@@ -422,6 +466,7 @@ def similar_texts(nodes: DataFrame, texts: DataFrame, words: int = 5, similarity
     reach = common.components(found).select(F.col("node").alias("key"), F.col("component").alias("label"))
     one = texts.groupBy("key").agg(F.any_value("text").alias("text")).join(reach, "key", "left").withColumn("label", F.coalesce("label", "key"))
     common_last = common_shingles(texts, nodes.count(), words)
+    common.released(spark)
     lists = one.mapInArrow(lambda it: prefixes(it, words, similarity, common_last), "token long, key long, label long, size int, place int")
     lists = lists.repartition("token").sortWithinPartitions("token")
     left = common.checkpointed(lists.mapInArrow(lambda it: unlinked(it, similarity), "a long, b long").distinct())
@@ -445,8 +490,8 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     key, id_, k = common.fresh(names, "key", "id", "k")
     hashed = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = docs.select("doc_id", hashed.alias("key"), "text")
-    marks = rows.mapInArrow(lambda it: fingerprints(it, words, ("key",), 4), "doc_id long, key long, fp long, fp1 long, fp2 long, fp3 long")
-    lanes = ("fp", "fp1", "fp2", "fp3")
+    marks = rows.mapInArrow(lambda it: fingerprints(it, words, ("key",), 4, True), "doc_id long, key long, fp long, fp1 long, fp2 long, fp3 long, size int, sketch binary")
+    lanes = ("fp", "fp1", "fp2", "fp3", "size", "sketch")
     own = marks.groupBy("key", "doc_id").agg(*[F.min(c).alias(c) for c in lanes], F.count("*").alias("n"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("i"))).alias("first")
     nodes = common.checkpointed(own.groupBy("key").agg(*[F.min(c).alias(c) for c in lanes], least, F.max("n").alias("n")))

@@ -215,3 +215,54 @@ def test_components_against_search(spark):
                 least[a] = least[b] = min(least[a], least[b])
     got = common.components(spark.createDataFrame([*pairs, (None, 3)], "a long, b long"))
     assert sorted(tuple(r) for r in got.collect()) == sorted(least.items())
+
+
+def test_sketches_are_bounds():
+    """Never further apart than the sets are, whatever their sizes; for sets of like size about as far."""
+    rng = np.random.default_rng(3)
+    for n, m, both in [(0, 0, 0), (0, 1, 0), (1, 1, 1), (64, 65, 60), (300, 270, 250), (300, 300, 0), (5, 3000, 5), (200_000, 190_000, 180_000)]:
+        h = rng.integers(0, 1 << 63, n + m - both).astype(np.uint64)
+        x, y = simhash.sketch(h[:n]) if n else b"", simhash.sketch(h[n - both :]) if m else b""
+        far = n + m - 2 * both
+        assert simhash.apart(x, y) == simhash.apart(y, x) <= far
+        assert simhash.apart(x, x) == 0 and (far > 50 or simhash.apart(x, y) >= far * 0.7 or not n)
+
+
+def test_texts_are_sent_for_likely_pairs_alone(spark, monkeypatch):
+    """Pairs that share half of their shingles meet by their prefixes, but their texts are left where they are."""
+    import random
+
+    rng = random.Random(21)
+    some = lambda n: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(n))
+    rows = []
+    for k in range(40):
+        middle = some(200)
+        rows += [(2 * k, f"{some(60)} {middle} {some(60)}"), (2 * k + 1, f"{some(60)} {middle} {some(60)}")]
+    rows += [(100, rows[0][1] + " and"), (101, rows[2][1] + " or")]
+    sent, plain = [], common.checkpointed
+
+    def watched(df):
+        out = plain(df)
+        sent.extend([out.count()] * ("text" in df.columns))
+        return out
+
+    monkeypatch.setattr(common, "checkpointed", watched)
+    kept = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert kept == set(range(80)) and 4 <= sum(sent) <= 8, sent
+
+
+def test_released_frees_the_last_shuffle(spark):
+    import time
+
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count(".data")
+    common.released(spark)
+    time.sleep(1)
+    before = files()
+    held = common.checkpointed(spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).agg(F.sum("id")))
+    assert files() > before
+    common.released(spark)
+    for _ in range(20):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and held.count() == 1000
