@@ -44,14 +44,16 @@ def components(top: Column, margin: Column, failures: Column, ambiguous: Column,
 
 
 def confidence(top: Column, margin: Column, failures: Column, ambiguous: Column, note: Column, t: Thresholds = Thresholds()) -> Column:
-    """The weakest of three signals, so that none can cover up for another; rounded to 3."""
-    return F.round(F.least(*components(top, margin, failures, ambiguous, note, t)), 3)
+    """The weakest of three signals, so that none can cover up for another; in whole thousandths, which are rounded as SQL's ``round`` does it."""
+    return F.round(F.least(*components(top, margin, failures, ambiguous, note, t)) * 1000) / 1000
 
 
 def explanation(top: Column, margin: Column, failures: Column, ambiguous: Column, note: Column, t: Thresholds = Thresholds()) -> Column:
-    """The three signals with what they come from, and what lowers integrity."""
+    """The three signals with what they come from, and what lowers integrity; numbers are rounded by their exact values, ties to the even digit."""
     parts = components(top, margin, failures, ambiguous, note, t)
-    why = F.format_string("retrieval %.2f (top %.3f), margin %.2f (%.3f), integrity %.2f", parts[0], top, parts[1], margin, parts[2])
+    # format_string rounds the shortest decimal, so 0.5185, which is a little less in binary, would come out as 0.519
+    shown = F.udf(lambda *x: None if None in x else "retrieval {:.2f} (top {:.3f}), margin {:.2f} ({:.3f}), integrity {:.2f}".format(*x), "string")
+    why = shown(parts[0], top, parts[1], margin, parts[2])
     notes = F.array_compact(F.array(
         F.when(failures > 0, F.concat(failures.cast("string"), F.lit(" fabricated citation(s)"))),
         F.when(ambiguous > 0, F.concat(ambiguous.cast("string"), F.lit(" clause(s) marked ambiguous"))),
